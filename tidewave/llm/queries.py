@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import media, mixing
+from tidewave.llm import language, media, mixing, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": media.op2,
+    "op5_language_id": language.op5,
+    "op6_sentencepiece": pieces.op6,
+    "op7_quality": quality.op7,
     "op9_mixing": mixing.op9,
 }
 
