@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import language, media, mixing, pieces, quality
+from tidewave.llm import language, media, mixing, pieces, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1,
     "op2_media_columns": media.op2,
     "op5_language_id": language.op5,
     "op6_sentencepiece": pieces.op6,
