@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import language, media, mixing, pieces, pii, quality
+from tidewave.llm import language, media, mixing, neighbours, pages, pieces, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
     "op2_media_columns": media.op2,
+    "op3_neighbours": neighbours.op3,
+    "op4_html_extraction": pages.op4,
     "op5_language_id": language.op5,
     "op6_sentencepiece": pieces.op6,
     "op7_quality": quality.op7,
