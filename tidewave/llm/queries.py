@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import language, media, mixing, neighbours, pages, pieces, pii, quality
+from tidewave.llm import jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language.op5,
     "op6_sentencepiece": pieces.op6,
     "op7_quality": quality.op7,
+    "op8_jaccard_join": jaccard.op8,
     "op9_mixing": mixing.op9,
 }
 
