@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality
+from tidewave.llm import jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": quality.op7,
     "op8_jaccard_join": jaccard.op8,
     "op9_mixing": mixing.op9,
+    "op10_substring_dedup": substrings.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
