@@ -15,6 +15,7 @@ another kind, with user-defined or unused pieces, or with pieces across units ra
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 import struct
@@ -23,7 +24,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewave.llm.common import portions, table, texts
 
@@ -395,41 +395,45 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_column(blob: bytes, text: str = "text") -> F.Column:
-    """Struct (ids, offsets) of a text column: piece i covers its bytes offsets[i] to offsets[i + 1]."""
+def encode(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, offsets, decoded) of every row; portions of about 4 MB of text bound a worker's memory."""
 
-    @F.arrow_udf("struct<ids:array<int>,offsets:array<int>>")
-    def encoded(column: pa.Array) -> pa.Array:
-        model, rows = load(blob), []
-        for part in portions(iter([pa.record_batch([column], names=["text"])]), "text", 8 << 20):
-            rows += model.encode(texts(part.column(0)))
-
-        def lists(k: int) -> pa.Array:
-            values = [r[k] for r in rows]
-            ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+    def run(batches):
+        model = load(blob)
+        for part in portions(batches, "text", 4 << 20):
+            rows = model.encode(texts(part.column(1)))
+            ends = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([i for i, _ in rows])))
+            marks = np.concatenate([[0], np.cumsum([len(o) for _, o in rows])]).astype(np.int32)
+            offsets = pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate([o for _, o in rows])))
+            yield pa.record_batch([part.column(0), ids, offsets, pa.array([model.decode(i.tolist()) for i, _ in rows], pa.string())], names=["key", "ids", "offsets", "decoded"])
 
-        return pa.StructArray.from_arrays([lists(0), lists(1)], names=["ids", "offsets"])
+    return _over(docs, key, text, run, "ids array<int>, offsets array<int>, decoded string")
 
-    return encoded.asNondeterministic()(F.col(text).cast("string"))
 
+def digests(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256, source_bytes): ``encode`` with its lists turned to digests where they are made."""
 
-def decode_column(blob: bytes, ids: str = "ids") -> F.Column:
-    @F.arrow_udf("string")
-    def decoded(column: pa.Array) -> pa.Array:
+    def run(batches):
         model = load(blob)
-        column = column.fill_null([]) if column.null_count else column
-        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        return pa.array([model.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        names = [str(i).encode() for i in range(model.base)]
+        for part in portions(batches, "text", 4 << 20):
+            rows = []
+            for ids, offsets in model.encode(texts(part.column(1))):
+                some = ids.tolist()
+                rows.append((len(some), hashlib.sha256(b" ".join(map(names.__getitem__, some))).hexdigest(), hashlib.sha256(model.decode(some).encode()).hexdigest(), int(offsets[-1])))
+            n, a, b, c = zip(*rows, strict=True)
+            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(c, pa.int64())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes"])
+
+    return _over(docs, key, text, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, source_bytes bigint")
+
 
-    return decoded(F.col(ids))
+def _over(docs: DataFrame, key: str, text: str, run, columns: str) -> DataFrame:
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.selectExpr(f"`{key}` AS key", f"cast(`{text}` AS string) AS text").mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
 
 
 def op6(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    blob = model_bytes(path or public_tokenizers.path("piece_bpe_32k.model"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode_column(blob).alias("e"))
-    docs = docs.select("doc_id", F.col("e.ids").alias("ids"), F.element_at("e.offsets", -1).cast("long").alias("source_bytes"))
-    docs = docs.withColumn("decoded", decode_column(blob))
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "source_bytes")
+    return digests(table(spark, sf_dir, "documents"), model_bytes(path or public_tokenizers.path("piece_bpe_32k.model")))
