@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm import jaccard, mixing, pieces, pii, quality
-from tidewave.llm.common import table
+from tidewave.llm.common import fresh, table
 from tidewave.llm.tables import Work
 
 
@@ -22,7 +22,8 @@ def _retold(docs: DataFrame, text: F.Column) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line chain scores at the threshold or above."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", quality.score_column(model)).where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = fresh(docs, "score")
+    return docs.withColumn(score, quality.score_column(model)).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,11 @@ def run_hashes(hashes: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.n
 
 def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, with as many marks in front as keep it apart from the frame's columns."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

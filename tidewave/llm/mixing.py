@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import table
+from tidewave.llm.common import fresh, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -82,6 +82,8 @@ def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2,
 def mix(docs: DataFrame, seed: int = 9, **options) -> DataFrame:
     """The mixed corpus: one row for each time a document is taken, with ``shard`` and ``shard_order``.
 
+    Where ``docs`` has columns of these names, the new ones get marks in front.
+
     All columns of ``docs`` are kept. The one document of each source inside which its last block ends is cut after
     its ``extra`` words. Sort by ``shard`` and ``shard_order`` to read each shard locally shuffled.
     """
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, seed: int = 9, **options) -> DataFrame:
     taken = rows.select(*[c for c in rows.columns if c.startswith("_")], "key", "size", "passes", "extra", F.posexplode("shards").alias("pass", "shard"))
     head = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), 1, F.greatest(F.lit(1), F.col("extra")).cast("int")), "")
     taken = taken.withColumn("_text", F.when((F.col("pass") == F.col("passes")) & (F.col("extra") < F.col("size")), head).otherwise(F.col("_text")))
-    return taken.select(*[F.col(f"_{c}").alias(c) for c in docs.columns], "shard", _unit(F.lit(str(seed)), "key", F.col("pass").cast("string")).alias("shard_order"))
+    return taken.select(*[F.col(f"_{c}").alias(c) for c in docs.columns], F.col("shard").alias(fresh(docs, "shard")), _unit(F.lit(str(seed)), "key", F.col("pass").cast("string")).alias(fresh(docs, "shard_order")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
