@@ -142,3 +142,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["stream_id"], r["frame_no"]): r["timestamp_s"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == batch and len(got) == 12
+
+
+def test_pool_refusals_and_shuffled_tail(spark, sf):
+    s = registry.samples(spark, sf)
+    users = poses.folds(s, Split.CROSS_USER)
+    with pytest.raises(ValueError):
+        poses.require_pool(poses.calibration(s, users, [1.0], 6.0), users, [1.0])
+    folded = poses.folds(s, Split.WITHIN_SESSION)
+    with pytest.raises(LeakageError):
+        poses.require_pool(folded.withColumn("participant", F.lit("x")), folded, [1.0])
+    other = poses.folds(s, Split.WITHIN_SESSION, contiguous=False)
+    assert other.groupBy("role").count().collect() and other.exceptAll(folded).count() > 0
+    poses.require_no_leakage(other, s, Split.WITHIN_SESSION)

@@ -73,6 +73,14 @@ def simulate(chirp: Chirp, ranges: np.ndarray, amplitudes: np.ndarray, snr_db: f
     return out
 
 
+def simulate_recording(chirp: Chirp, tracks: list[tuple[np.ndarray, float]], frames: int, snr_db: float | None = None, seed: int = 0) -> np.ndarray:
+    """(frames, samples) from tracks of (range of each frame, amplitude); the noise is drawn once over the whole."""
+    clean = np.stack([simulate(chirp, np.array([r[i] for r, _ in tracks]), np.array([a for _, a in tracks])) for i in range(frames)])
+    if snr_db is None:
+        return clean
+    return clean + np.random.default_rng(seed).normal(0, np.sqrt((clean**2).mean() / 10 ** (snr_db / 10)), clean.shape)
+
+
 def floor_of(x: np.ndarray, block: int = 96) -> float:
     x = np.abs(np.asarray(x, float))
     if not len(x):
@@ -175,3 +183,12 @@ def simulate_column(reflectors: Column, chirp: Chirp, snr_db: float | None = Non
         return pa.array(out, pa.list_(pa.float64()))
 
     return run(reflectors)
+
+
+def profiles(recording, keys: list[str], chirp: Chirp, start_s: float = 0.0, hop: int | None = None, bins: int | None = None):
+    """Range profiles of a recording (keys, pos, value): keys, frame_id, samples, timestamp_s, bin_metres."""
+    from tidewave.operators import frames as fr
+
+    cut = fr.segment(recording, keys, chirp.n_samples, hop)
+    step = (hop or chirp.n_samples) / chirp.rate
+    return cut.select(*keys, "frame_id", matched_filter_column(F.col("samples"), chirp, bins).cast("array<float>").alias("samples"), (F.lit(start_s) + F.col("frame_id") * step).alias("timestamp_s"), F.lit(chirp.bin_metres).alias("bin_metres"))

@@ -85,11 +85,12 @@ def left_out_means(samples: DataFrame, unit: str, within: list[str] | None = Non
     return total.where("all_n > n").select(*within, unit, mean_vector(rest, F.col("all_n") - F.col("n")).alias("mean_pose"))
 
 
-def folds(samples: DataFrame, split: Split, test_fraction: float = 0.2) -> DataFrame:
-    """(fold, sample_id, role) of one family, for all its folds."""
+def folds(samples: DataFrame, split: Split, test_fraction: float = 0.2, contiguous: bool = True) -> DataFrame:
+    """(fold, sample_id, role) of one family, for all its folds; without ``contiguous`` the tail of a session is one
+    of a fixed shuffle (by hash) instead of its end in time."""
     s = samples.select("sample_id", "participant", "device", "ts", identity(F.col("participant")).alias("who"), session_key(F.col("participant"), F.col("session")).alias("skey"))
     if split is Split.WITHIN_SESSION:
-        order = Window.partitionBy("skey").orderBy("ts", "sample_id")
+        order = Window.partitionBy("skey").orderBy(*(["ts"] if contiguous else [F.xxhash64("sample_id")]), "sample_id")
         n = F.count("*").over(Window.partitionBy("skey"))
         test = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * F.lit(test_fraction)).cast("long")))
         return s.select("sample_id", F.col("skey").alias("fold"), F.row_number().over(order).alias("at"), n.alias("n"), test.alias("test")).where("n >= 2").select("fold", "sample_id", F.when(F.col("at") > F.col("n") - F.col("test"), "test").otherwise("train").alias("role"))
@@ -242,3 +243,45 @@ def time_blocks(samples: DataFrame, most: int = 10) -> DataFrame:
     whole = Window.partitionBy("session").orderBy("ts", "sample_id")
     n = F.count("*").over(Window.partitionBy("session"))
     return samples.withColumn("time_block", F.floor((F.row_number().over(whole) - 1) * F.least(n, F.lit(most)) / n).cast("int"))
+
+
+def where(samples: DataFrame, participant: str | None = None, session: str | None = None, device: str | None = None) -> DataFrame:
+    """Samples that meet all that is given; names are compared as identities."""
+    out = samples
+    if participant is not None:
+        out = out.where(identity(F.col("participant")) == identity(F.lit(participant)))
+    if session is not None:
+        out = out.where(session_key(F.col("participant"), F.col("session")) == F.lit(session))
+    return out if device is None else out.where(F.col("device") == device)
+
+
+def study_participant(study: Column, participant: Column) -> Column:
+    """Names that keep people of different studies apart, where numbering starts anew."""
+    return F.format_string("study%d/sub%d", study.cast("int"), participant.cast("int"))
+
+
+def standardise(features: Column, mean: Column, sd: Column) -> Column:
+    return F.zip_with(F.zip_with(features, mean, lambda x, m: x - m), sd, lambda x, s: x / s)
+
+
+def restore_pose(z: Column, mean: Column, sd: Column) -> Column:
+    """A standardised pose in metres, with its wrist at the origin."""
+    return wrist_relative(F.zip_with(F.zip_with(z, sd, lambda x, s: x * s), mean, lambda x, m: x + m))
+
+
+def digest(predictions: DataFrame, digits: int = 9) -> DataFrame:
+    """(rows, digest) of (sample_id, pose): one hash for each row, combined over their sorted list of 256 buckets.
+
+    Buckets keep any one list short: rows are hashed within buckets of their ids first.
+    """
+    row = F.sha2(F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("pose", lambda v: F.format_number(v, digits))), 256)
+    parts = predictions.select(F.pmod(F.xxhash64("sample_id"), F.lit(1 << 16)).alias("b"), row.alias("h")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("b").cast("string"), 6, "0"), "h"))), ""), 256).alias("digest"))
+
+
+def require_pool(calibrated: DataFrame, folded: DataFrame, budgets: list[float]) -> None:
+    """An empty pool with a budget above zero is refused, and so is a pool that holds training or test samples."""
+    if max(budgets, default=0) > 0 and calibrated.limit(1).count() == 0:
+        raise ValueError("no samples are left to calibrate on")
+    if calibrated.join(folded.select("fold", "sample_id"), ["fold", "sample_id"], "left_semi").limit(1).count():
+        raise LeakageError("the calibration pool holds training or test samples")

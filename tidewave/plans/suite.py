@@ -84,3 +84,8 @@ def write_suite(reports: ReportSet, folder: str) -> None:
         (at / "report.txt").write_text(f"{report.headline(True)}\n\n{report.table()}\n\n{report.validity()}\n")
         (at / "report.json").write_text(report.as_json() + "\n")
     (root / "report.txt").write_text(f"{reports.headline()}\n\n{reports.table()}\n")
+
+
+def write_predictions(said: DataFrame, split: Split, folder: str) -> None:
+    """Predictions as Parquet by split and fold."""
+    said.withColumn("split", F.lit(split.name.lower())).write.mode("overwrite").partitionBy("split", "fold").parquet(folder)

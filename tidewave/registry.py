@@ -307,9 +307,44 @@ def feature_normalizer_stats(spark, d):
     return rounded(e.groupBy((F.col("k") % 2).alias("channel")).agg(F.avg(F.col("v").cast("double")).alias("mean"), F.greatest(F.stddev_pop(F.col("v").cast("double")), F.lit(1e-6)).alias("sd")), "mean", "sd", digits=6)
 
 
+@query("SELECT c_custkey, 'study' || (c_custkey % 4 + 1) || '/sub' || (c_custkey % 40 + 1) AS person FROM customer")
+def study_participants(spark, d):
+    return table(spark, d, "customer").select("c_custkey", poses.study_participant(F.col("c_custkey") % 4 + 1, F.col("c_custkey") % 40 + 1).alias("person"))
+
+
+@query(f"WITH {J}, a AS (SELECT joint, avg(x) AS m, greatest(stddev_pop(x), 1e-6) AS sd FROM j GROUP BY joint) SELECT sample_id, round(sum((x - m) / sd), 4) AS total FROM j JOIN a USING (joint) GROUP BY sample_id")
+def standardised_poses(spark, d):
+    s = samples(spark, d).select("sample_id", F.filter(poses.wrist_relative(F.col("pose")), lambda v, i: i % 3 == 0).alias("p"))
+    stats = s.agg(F.array(*[F.avg(F.col("p")[j]) for j in range(21)]).alias("m"), F.array(*[F.greatest(F.stddev_pop(F.col("p")[j]), F.lit(1e-6)) for j in range(21)]).alias("sd"))
+    met = s.join(F.broadcast(stats), F.lit(True))  # one row
+    return met.select("sample_id", F.round(F.aggregate(poses.standardise(F.col("p"), F.col("m"), F.col("sd")), F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+@query()
+def prediction_digest(spark, d):
+    return poses.digest(samples(spark, d).select("sample_id", "pose"))
+
+
+@query(f"WITH {S} SELECT device, count(*) AS n, count(DISTINCT lower(participant)) AS people, count(DISTINCT lower(participant) || '/' || lower(session)) AS sessions FROM s GROUP BY device")
+def units_by_device(spark, d):
+    s = samples(spark, d)
+    return s.groupBy("device").agg(F.count("*").alias("n"), F.countDistinct(poses.identity(F.col("participant"))).alias("people"), F.countDistinct(poses.session_key(F.col("participant"), F.col("session"))).alias("sessions"))
+
+
+@query(f"WITH {S}, t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, sample_id) - 1 AS r, count(*) OVER (PARTITION BY session) AS n FROM s) SELECT session, (r * least(n, 10) // n)::INT AS time_block, count(*) AS n FROM t GROUP BY ALL")
+def time_blocks(spark, d):
+    return poses.time_blocks(samples(spark, d)).groupBy("session", "time_block").agg(F.count("*").alias("n"))
+
+
 # Signals: the recording of events
 
 
+@query()
+def recording_profiles(spark, d):
+    p = dsp.profiles(recording(spark, d), ["rec"], SMALL)
+    return p.select("frame_id", F.round("timestamp_s", 6).alias("timestamp_s"), F.round(F.array_max("samples").cast("double"), 3).alias("top"))
+
+
 def recording(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.lit("r").alias("rec"), F.col("event_id").alias("pos"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
