@@ -421,17 +421,34 @@ def test_substrings_equal_brute_force(spark, docs, empty):
 # The pipeline
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_equals_brute_force(spark, sf, model):
+    """Each stage over all that the one before kept, against a plain version of it."""
     import corpus_pipeline as p
+    import sentencepiece
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before, kept = docs, []
     for name, stage in p.STAGES[:-1]:
-        after = stage(spark, before, sf).cache()
-        assert after.columns == docs.columns, name
-        kept.append(after.count())
-        before = after
-    assert 0 < kept[1] <= kept[0] < docs.count() and kept[2] == kept[1]
-    text = "\n".join(r["text"] for r in before.collect())
-    assert not pii.base_spans(text) and "[EMAIL]" in text
-    assert p.run(spark, sf).count() == kept[3]
+        before = stage(spark, before, sf).cache()
+        assert before.columns == docs.columns, name
+        kept.append(before.collect())
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scores = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet")).scores(*utf8(__import__("pyarrow").array(list(rows.values()))))
+    assert {r["doc_id"] for r in kept[0]} == {i for i, x in zip(rows, scores, strict=True) if x >= quality.THRESHOLD}
+    linked = brute_links([(r["doc_id"], r["text"]) for r in kept[0]])
+    assert {str(r["doc_id"]) for r in kept[1]} == {c for _, c, _ in linked}
+    redacted = {r["doc_id"]: r["text"] for r in kept[2]}
+    for r in kept[1]:
+        assert set(WORDS.findall(redacted[r["doc_id"]])) <= {*WORDS.findall(r["text"])} or literal_base(r["text"]) or "[" in redacted[r["doc_id"]]
+        assert not literal_base(redacted[r["doc_id"]]) and r["n_chars"] == len(r["text"])
+        assert len(redacted[r["doc_id"]]) == len(r["text"]) or "[" in redacted[r["doc_id"]]
+    taken = Counter()
+    for r in kept[3]:
+        assert redacted[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+        taken[r["source"]] += len(WORDS.findall(r["text"]))
+    targets = mixing.assign(spark.createDataFrame(kept[2]), ["source"]).groupBy("_source").agg(F.first("target").alias("t")).collect()
+    assert all(abs(taken[r["_source"]] - r["t"]) <= 1 for r in targets)
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    want = Counter((r["doc_id"], tuple([*sp.encode(r["text"]), 2])) for r in kept[3])
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in p.STAGES[-1][1](spark, before, sf).collect()) == want
+    assert p.run(spark, sf).count() == len(kept[3])

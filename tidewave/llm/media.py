@@ -7,7 +7,7 @@ their median: 64 bits as 16 hexadecimal digits.
 
 Defined results: null and empty texts give one row of 64 zero samples; equal texts give equal values whatever
 their row; extra columns are ignored; an empty table gives no rows. Each row is handled alone, so memory is
-bounded by one portion of about 4 MB of text or one longer text.
+bounded by one portion of about 1 MB of text or one longer text.
 """
 
 from __future__ import annotations
