@@ -172,7 +172,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 2048, tolerance: float = 1e-6) -> DataFrame:
+def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, class_id, links) of every row of ``docs`` (doc_id, text)."""
     spark, need = docs.sparkSession, least_matches(tolerance)
     work = Work(spark)
@@ -185,25 +185,29 @@ def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_ro
             nodes = [f if k else None for f, k in zip(fingerprints(value, at), n.tolist(), strict=True)]
             bands = minhashes(value, at).view(np.int64).reshape(-1)
             ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (HASHES // 4))
-            yield pa.record_batch([part.column(0), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands))], names=["doc_id", "node", "n", "bands"])
+            short = pa.array([int.from_bytes(f[:8], "little", signed=True) if f else None for f in nodes], pa.int64())
+            yield pa.record_batch([part.column(0), pa.array(nodes, pa.binary()), short, pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands))], names=["doc_id", "node", "id", "n", "bands"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    base = work.saved(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, n bigint, bands array<bigint>"))
-    classes = work.saved(base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    base = work.saved(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, id bigint, n bigint, bands array<bigint>"))
+    classes = work.saved(base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
-    banded = classes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
+    # candidates go by half a fingerprint: if two sets share one, both are looked at
+
+    banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    # written, so that the join is between plain tables and a hot bucket's rows can be split
+    buckets = work.saved(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"))
     met = work.saved(banded.join(buckets, "bucket"))
-    few = met.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("x"))
+    few = met.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("x"))
     pairs = few.select(F.explode(F.expr("flatten(transform(sequence(1, size(x) - 1), i -> transform(slice(x, i + 1, size(x)), y -> struct(x[i - 1] AS a, y AS b))))")).alias("p")).select("p.a", "p.b").groupBy("a", "b").count().where("count > 1").select("a", "b")
-    stars = met.where(F.col("size") > small).select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    roots = components(work, pairs.unionByName(stars))
+    stars = met.where(F.col("size") > small).select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    roots = components(work, pairs.unionByName(stars)).withColumnRenamed("node", "id")
     work.drop(met)
 
-    members = work.saved(roots.join(classes.select("node", "rep", "copies", "n"), "node"))
+    members = work.saved(roots.join(classes.select("id", "node", "rep", "copies", "n"), "id").drop("id"))
     weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_weight), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.sum("n").alias("weight"))
     total = weights.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0
-    groups = max(1, -(-total // block_weight))
+    groups = max(1, -(-4 * total // block_weight))
     # block b of a component stands in the groups of all pairs that it is part of
     placed = members.join(weights.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "node", "root", "copies", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"))
@@ -217,7 +221,10 @@ def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_ro
             same = pa.array([f == x for f, x in zip(prints, part.column(1).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([part.column(1), sets], names=["node", "set"]).filter(same)
 
-    texts = rows.join(members.select("rep", "node"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
+    wanted = members.select("rep", "node")
+    if members.count() <= broadcast_rows:  # 24 bytes each; beyond that both sides are shuffled
+        wanted = F.broadcast(wanted)
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
     sets = work.saved(texts.mapInArrow(reshingle, "node binary, set binary").dropDuplicates(["node"]))
 
     def verify(data: pa.Table) -> pa.Table:
@@ -246,7 +253,8 @@ def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_ro
     linked = components(work, verified.where("links > 0").select(F.col("root").alias("a"), F.col("node").alias("b")))
     named = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     found = classes.select("node", "rep", "copies").join(counted, "node", "left").join(linked, "node", "left").join(named, "root", "left")
-    found = found.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    found = work.saved(found.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    work.keep_only(base, found)
     return base.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -24,6 +24,7 @@ class Work:
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: set[str] = set()
 
     def saved(self, frame: DataFrame) -> DataFrame:
         self.n += 1
@@ -31,11 +32,21 @@ class Work:
         frame.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out.saved_at = path
+        self.paths.add(path)
         return out
 
     def drop(self, frame: DataFrame) -> None:
         """Removes a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
+        self._delete(frame.saved_at)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Removes all saved tables but those that the result reads."""
+        for path in sorted(self.paths - {f.saved_at for f in frames}):
+            self._delete(path)
+
+    def _delete(self, at: str) -> None:
+        self.paths.discard(at)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
