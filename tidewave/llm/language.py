@@ -152,7 +152,7 @@ def train(docs: DataFrame, train_docs: int = 3000, folds: int = 3, held: int = 1
             out += [r.astype(np.float16).tobytes() for r in np.sqrt(histograms(*utf8(part.column(0))))]
         return pa.array(out, pa.binary())
 
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "lang", described("text").alias("x")).collect()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", described("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))
     if not rows:
         return Hierarchy((), np.zeros((DIM + 1, 0)))

@@ -169,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, folds: int
             out += [a.astype(np.float32).tobytes() for a in np.split(x, first[1:])]
         return pa.array(out, pa.binary())
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", described("text").alias("x")).collect()
+    # one text for each sampled label, however often its doc_id is repeated
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "quality", described("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     parts = [np.frombuffer(r["x"], np.float32).reshape(-1, 3 * N_OWN + 1).astype(np.float64) for r in rows]
     if not parts:
