@@ -80,11 +80,12 @@ def repeated_spans(docs: DataFrame, work: Work, span: int = SPAN) -> DataFrame:
             yield pa.record_batch([part.column(0).take(own), part.column(1).take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seed), pa.array(whole)], names=["k1", "k2", "start", "n", "seed", "whole"])
 
     found = keyed.select("k1", "k2", "text").mapInArrow(cut, "k1 bigint, k2 bigint, start int, n int, seed bigint, whole bigint")
-    several = found.groupBy("seed").agg(F.count("*").alias("times"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("times > 1").select("seed", (F.col("low") != F.col("high")).alias("mixed"))
+    # what is joined below is written first, so that joins are between plain tables and hot keys can be split
+    several = work.saved(found.groupBy("seed").agg(F.count("*").alias("times"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("times > 1").select("seed", (F.col("low") != F.col("high")).alias("mixed")))
     shared = work.saved(found.join(several, "seed"))
     kinds = work.saved(shared.groupBy("seed", "whole", "mixed").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("source")))
 
-    asked = kinds.where("mixed").select("source.*", (F.col("times") == 1).alias("lone")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "lone")).alias("asked"))
+    asked = work.saved(kinds.where("mixed").select("source.*", (F.col("times") == 1).alias("lone")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "lone")).alias("asked")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
@@ -104,7 +105,7 @@ def repeated_spans(docs: DataFrame, work: Work, span: int = SPAN) -> DataFrame:
             yield pa.record_batch([part.column(0).take(own), part.column(1).take(own), pa.array(place.astype(np.int32)), pa.array(np.concatenate(lone)), pa.array(seed[window].view(np.int64)), pa.array(whole[window].view(np.int64))], names=["k1", "k2", "start", "lone", "seed", "whole"])
 
     single = work.saved(keyed.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(look, "k1 bigint, k2 bigint, start int, lone boolean, seed bigint, whole bigint"))
-    again = single.groupBy("seed", "whole").agg(F.count("*").alias("times")).where("times > 1").select("seed", "whole")
+    again = work.saved(single.groupBy("seed", "whole").agg(F.count("*").alias("times")).where("times > 1").select("seed", "whole"))
     alone = single.where("lone").join(again, ["seed", "whole"]).select("k1", "k2", "start", (F.col("start") + span).alias("end"))
 
     paths = compact(work, shared.join(kinds.where("times > 1").select("seed", "whole"), ["seed", "whole"]), span)
@@ -130,7 +131,8 @@ def compact(work: Work, repeated: DataFrame, span: int = SPAN) -> DataFrame:
 def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; kept words are joined by one space."""
     work = Work(docs.sparkSession)
-    spans = repeated_spans(docs, work, span)
+    spans = work.saved(repeated_spans(docs, work, span))
+    work.keep_only(spans)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
