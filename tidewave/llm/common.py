@@ -18,7 +18,13 @@ MULT2 = 0xD1342543DE82EF95 | 1
 MASK = (1 << 64) - 1
 
 
+#: Rows in a batch between Spark and Python, where the session has Spark's default; long texts need small batches.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -229,7 +229,7 @@ class PieceModel:
         alive = np.ones(len(codes), bool)
         symbols = codes.copy()
         for low, high in ((1, 8), (8, 16), (16, LONG)):
-            for rows in np.array_split(chosen := np.flatnonzero((lengths > low) & (lengths <= high)), max(1, len(chosen) // 50_000)):
+            for rows in np.array_split(chosen := np.flatnonzero((lengths > low) & (lengths <= high)), max(1, len(chosen) // 20_000)):
                 if len(rows):
                     self._merge_rows(symbols, alive, starts[rows], lengths[rows], high)
         for row in np.flatnonzero(lengths > LONG):
@@ -396,11 +396,11 @@ def model_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, offsets, decoded) of every row; portions of about 4 MB of text bound a worker's memory."""
+    """(key, ids, offsets, decoded) of every row; portions of about 1 MB of text bound a worker's memory."""
 
     def run(batches):
         model = load(blob)
-        for part in portions(batches, "text", 4 << 20):
+        for part in portions(batches, "text"):
             rows = model.encode(texts(part.column(1)))
             ends = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([i for i, _ in rows])))
@@ -417,7 +417,7 @@ def digests(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text
     def run(batches):
         model = load(blob)
         names = [str(i).encode() for i in range(model.base)]
-        for part in portions(batches, "text", 4 << 20):
+        for part in portions(batches, "text"):
             rows = []
             for ids, offsets in model.encode(texts(part.column(1))):
                 some = ids.tolist()
