@@ -14,7 +14,10 @@ C = Chirp()
 def test_a_reflector_is_found_within_a_fifth_of_a_bin(at):
     profile = dsp.matched_filter(dsp.simulate(C, np.array([at]), np.array([0.7]))[None], C)[0]
     best = dsp.peaks(profile, C.bin_metres)[0]
-    assert abs(best["range_m"] - at) < 0.2 * C.bin_metres and abs(best["amplitude"] / 0.7 - 1) < 0.05
+    assert abs(best["range_m"] - at) < 0.2 * C.bin_metres
+    # the part of an echo that wraps past the frame's end is lost to lags from 0 on
+    whole = 1 - 2 * at / (343.0 * C.duration)
+    assert whole - 0.02 < best["amplitude"] / 0.7 < 1.05
 
 
 def test_reflectors_apart_are_told_apart():
