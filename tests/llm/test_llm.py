@@ -170,6 +170,14 @@ def test_pages(spark):
     assert pages.extract(d.limit(0)).count() == 0
 
 
+def test_pages_of_a_large_host_equal_one_shard(spark):
+    notice = "This section moves to another address at the end of the year"
+    html = lambda i: f"<div>Page {i} alone says a{i} b{i} c{i}</div>" + (f"<div>{notice}</div>" if i % 60 == 0 else "")
+    d = spark.createDataFrame([(i, f"http://a.example/{i}", html(i)) for i in range(1200)], "page_id long, url string, html string")
+    one, many = ({r["page_id"]: r["text"] for r in pages.extract(d, shard_pages=n).collect()} for n in (1200, 16))
+    assert one == many and many == {i: f"Page {i} alone says a{i} b{i} c{i}" for i in range(1200)}
+
+
 def test_suffix_array_equals_brute_force():
     draw = random.Random(0)
     for _ in range(200):
