@@ -82,6 +82,26 @@ def test_network_gradient_and_variants(spark):
     assert out[2] is None and "[EMAIL]" in out[1] and "@" not in out[1] and "[PHONE]" in out[1] and "[IP]" in out[1]
 
 
+
+def test_spelled_addresses_without_digits_are_found(spark):
+    for name, sign, host in itertools.product(("anna.berg", "a-very-long-name.with.parts.of.more.than.forty.characters"), (" at ", " (at) ", "[at]", " AT "), ("example dot org", "mail[dot]example.com")):
+        text = f"{'some words ' * 20}{name}{sign}{host}{' other words' * 20}"
+        assert any(a <= text.index(name) and text.index(host) + len(host) <= b for a, b in pii.regions_of(text))
+    assert pii.regions_of("") == pii.regions_of("no such sign here, that data") == []
+    draw = random.Random(0)
+    words = "we looked at the river and some of them came home late while others read at night or went out again".split()
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    texts = [f"{some(40)} {draw.choice(words)}.{i}@mail.example.com {some(40)} 10.2.{i}.{i} {some(40)}" for i in range(300)]
+    tagger = pii.fit(*pii.examples(texts))
+    address = "anna.berg at example dot org"
+    many = [f"{some(6)} {address} {some(6)}" for _ in range(10)]
+    found = pii.find_all(tagger, many)
+    assert sum(any(k == "email_like" and t[a:b] == address for k, a, b in f) for t, f in zip(many, found, strict=True)) >= 7
+    assert sum(map(len, pii.find_all(tagger, [some(60) for _ in range(20)]))) == 0
+    rows = spark.createDataFrame([(t,) for t in many], "text string").select(pii.redact_column(tagger).alias("t")).collect()
+    assert sum("[EMAIL]" in r["t"] for r in rows) >= 7
+
+
 # 2
 
 

@@ -1,14 +1,15 @@
 """Operator 1: personal data by exact patterns and by a character-level bidirectional LSTM with CRF transitions.
 
 The base spans follow fixed patterns of e-mail addresses, IP addresses, card and phone numbers over whole texts, in
-time linear in the text. The network reads characters around every digit and @ of a text (a span holds at least one
-of these by definition, so no other place can hold a span): each such region is cut into overlapping windows, the
-emissions of all windows that cover a character are averaged with weights that fall towards window edges, and one
+time linear in the text. The network reads whole words around every digit, @ and spelled sign (at, AT, dot, bare or in
+brackets) of a text: an added span must pass its kind's check, which asks for digits, an @ or a word at, so no span is
+lost for not being read. Each such region is cut into overlapping windows, the emissions of all windows that cover a character are averaged with weights that fall towards window edges, and one
 Viterbi pass over the whole region reconciles the windows. What it finds beside the base spans is added with the kind
 followed by ``_like`` if it passes the kind's check (digits, Luhn, ranges). Base spans are never dropped or changed.
 
 The network is trained in numpy on windows of at most ``train_docs`` documents (smallest hashes): their base spans are
-the labels, and seeded variants of them (other separators, spelled signs) and harmless numbers are put in as well.
+the labels, and seeded variants of them (other separators, spelled signs, addresses without digits), harmless numbers
+and places around spelled signs are put in as well.
 
 Defined results: null texts are empty; a text without spans has counts of 0 and empty ``spans``; positions are code
 points, end exclusive; equal texts give equal spans; extra columns are ignored; with nothing to train on only base
@@ -31,11 +32,14 @@ from tidewave.llm.common import table
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+SPACE = re.compile(r"[ \n\t\r]")
 LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+DIGIT_OR_AT = re.compile(r"[0-9@]")
+SPELLED = re.compile(r"\b(?:at|AT|dot)\b")
+TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT|dot)\b")
 Span = tuple[str, int, int]
 
 
@@ -67,7 +71,7 @@ def _emails(text: str) -> list[Span]:
 
 def base_spans(text: str) -> list[Span]:
     """Base spans by kind as listed, then start."""
-    if not TRIGGER.search(text):
+    if not DIGIT_OR_AT.search(text):
         return []
     out = _emails(text)
     out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
@@ -232,10 +236,19 @@ class Tagger:
 
 
 def regions_of(text: str) -> list[tuple[int, int]]:
-    """Places around digits and @, joined where they meet."""
-    out: list[tuple[int, int]] = []
+    """Places of whole words around digits, @ and spelled signs, joined where they meet."""
+    near: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if near and a <= near[-1][1]:
+            near[-1] = near[-1][0], b
+        else:
+            near.append((a, b))
+    out: list[tuple[int, int]] = []
+    for (a, b), (after, _) in zip(near, [*near[1:], (len(text), len(text))], strict=False):
+        a = max(text.rfind(c, out[-1][1] if out else 0, a) + 1 for c in " \n\t\r") or (out[-1][1] if out else 0)
+        m = SPACE.search(text, b, after)
+        b = m.start() if m else after
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], b
         else:
@@ -291,12 +304,20 @@ def find_all(tagger: Tagger | None, many: list[str]) -> list[list[Span]]:
 # Training
 
 
+def address(draw: random.Random) -> str:
+    """An e-mail address without digits."""
+    word = lambda: "".join(draw.choice("bcdfghjklmnprstvwz") + draw.choice("aeiouy") + draw.choice(["", "", "n", "r", "s", "l", "th"]) for _ in range(draw.randint(1, 4)))
+    name = draw.choice([".", "_", "-", "."]).join(word() for _ in range(draw.choice([1, 2, 2, 3])))
+    host = ".".join([draw.choice([word(), "mail", f"{word()}-{word()}"]) for _ in range(draw.choice([1, 1, 2]))] + [draw.choice(["com", "org", "net", "de", "fr", "io", "co.uk", "edu", "info"])])
+    return f"{name.title() if draw.random() < 0.2 else name}@{host}"
+
+
 def variants(kind: str, text: str, draw: random.Random) -> str:
     """The same kind of thing in another spelling."""
     if kind == "email":
         name, _, host = text.partition("@")
-        sign = draw.choice([" at ", " (at) ", "[at]", " @ ", "@"])
-        return name + sign + host.replace(".", draw.choice([".", " dot ", " [dot] ", "."]))
+        sign = draw.choice([" at ", " (at) ", "[at]", " [at] ", " AT ", " at ", " @ ", "@"])
+        return name + sign + host.replace(".", draw.choice([".", " dot ", " [dot] ", " dot ", " (dot) ", "."]))
     if kind == "ip":
         return text.replace(".", draw.choice([" . ", "[.]", "(.)", " dot "]))
     if kind == "card":
@@ -312,7 +333,7 @@ def harmless(draw: random.Random) -> str:
     return draw.choice([f"version {n(1)}.{n(1)}", f"v{n(1)}.{n(1)}.{n(2)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", n(4), n(draw.randint(1, 7)), f"{n(2)}.{n(2)}", f"{n(2)}.{n(2)}.{n(4)}", f"${n(3)},{n(3)}.{n(2)}", f"id {n(draw.randint(5, 7))}", f"key={hexa}", f'token = "{hexa}"', f"{n(1)},{n(3)},{n(3)}", f"@{n(2)}", f"no. {n(3)}/{n(2)}", f"{n(2)} % of {n(3)}", hexa, f"@user{n(2)}"])
 
 
-def examples(many: list[str], seed: int = 1, most: int = 2400) -> tuple[np.ndarray, np.ndarray]:
+def examples(many: list[str], seed: int = 1, most: int = 4800) -> tuple[np.ndarray, np.ndarray]:
     """Windows of codes and tags around labelled spans, their variants and harmless numbers."""
     draw, codes, tags = random.Random(seed), [], []
 
@@ -344,9 +365,19 @@ def examples(many: list[str], seed: int = 1, most: int = 2400) -> tuple[np.ndarr
         whole = near + " " + what + " " + rest
         if not base_spans(whole):
             add(whole, [], len(near) - draw.randint(0, WINDOW - 20))
-        for a, _ in regions_of(text)[:1]:
-            if not overlap:
+        for _ in range(4):
+            at = draw.randint(0, len(text))
+            near, rest = text[max(0, at - WINDOW) : at], text[at : at + WINDOW]
+            if base_spans(near + " " + rest):
+                continue
+            gap, other = draw.choice([" ", " ", ": ", " ("]), variants("email", address(draw), draw)
+            whole = near + gap + other + draw.choice([" ", ", ", ". ", ") "]) + rest
+            add(whole, [("email", len(near + gap), len(near + gap) + len(other))], len(near) - draw.randint(0, WINDOW - 10) + draw.choice([0, 0, 20]))
+        if not overlap:
+            for a, _ in regions_of(text)[:1]:
                 add(text, labels, a + draw.randint(-10, 20))
+            for m in list(SPELLED.finditer(text))[:2]:
+                add(text, labels, m.start() - draw.randint(5, WINDOW - 5))
     order = list(range(len(codes)))
     draw.shuffle(order)
     order = order[:most]
