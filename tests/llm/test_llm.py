@@ -198,6 +198,16 @@ def test_pages_of_a_large_host_equal_one_shard(spark):
     assert one == many and many == {i: f"Page {i} alone says a{i} b{i} c{i}" for i in range(1200)}
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    text = "These words stand in copies of one page and nowhere else at all"
+    notice = "All rights to the pages of this address are reserved"
+    rows = [(1, "http://a.example/1", f"<div>{text}</div>")] * 3 + [(i, f"http://a.example/{i}", f"<p>{text}</p>") for i in (2, 3, 4)]
+    rows += [(i, f"http://b.example/{i}", f"<article>Article {i}</article><footer>{notice}</footer>") for i in (5, 6)] + [(7, "http://b.example/7", f"<p>Seventh</p><p>{notice}</p>")]
+    for n in (256, 2):
+        got = sorted((r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=n).collect())
+        assert got == [(1, text)] * 3 + [(i, text) for i in (2, 3, 4)] + [(5, "Article 5"), (6, "Article 6"), (7, "Seventh")]
+
+
 def test_suffix_array_equals_brute_force():
     draw = random.Random(0)
     for _ in range(200):
