@@ -369,6 +369,13 @@ def test_jaccard_equals_brute_force(spark, docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_one_of_each_where_doc_ids_repeat(spark):
+    some = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, some("a")), (1, some("b")), (1, some("b")), (2, some("b") + " tail"), (2, some("c")), (3, ""), (3, some("d")), (4, some("d"))]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, some("a")), (1, some("b")), (2, some("c")), (3, ""), (3, some("d"))])
+
+
 def test_least_matches_bounds_the_posterior():
     t, tolerance = 0.8, 1e-6
     for k, least in enumerate(jaccard.least_matches(tolerance)):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import U64, mix, portions, run_hashes, table, utf8, word_hashes, words
+from tidewave.llm.common import U64, fresh, mix, portions, run_hashes, table, utf8, word_hashes, words
 from tidewave.llm.tables import Work, components
 
 SHINGLE, HASHES, STEP = 5, 128, 16
@@ -172,8 +172,13 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, broadcast_rows: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, links) of every row of ``docs`` (doc_id, text)."""
+    return classified(docs, **options).select("doc_id", "class_id", "links")
+
+
+def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, node, root, class_id, links) of every row: node names its set, root its class, also where doc_ids repeat."""
     spark, need = docs.sparkSession, least_matches(tolerance)
     work = Work(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -253,15 +258,41 @@ def join(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_ro
     linked = components(work, verified.where("links > 0").select(F.col("root").alias("a"), F.col("node").alias("b")))
     named = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     found = classes.select("node", "rep", "copies").join(counted, "node", "left").join(linked, "node", "left").join(named, "root", "left")
-    found = work.saved(found.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    found = work.saved(found.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     work.keep_only(base, found)
-    return base.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return base.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def node_column(text: str = "text") -> F.Column:
+    """The name of each text's set; empty where it has no words."""
+
+    @F.arrow_udf("binary")
+    def nodes(column: pa.Array) -> pa.Array:
+        out: list[bytes] = []
+        for part in portions(iter([pa.record_batch([column], names=["text"])]), "text"):
+            value, at = shingles(*utf8(part.column(0)))
+            out += [f if k else b"" for f, k in zip(fingerprints(value, at), np.diff(at).tolist(), strict=True)]
+        return pa.array(out, pa.binary())
+
+    return nodes(F.col(text).cast("string"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The row with the smallest doc_id of each class; rows without a doc_id stay."""
-    keep = join(docs.where("doc_id IS NOT NULL"), **options).select(F.col("class_id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The row with the smallest doc_id of each class; rows without a doc_id stay.
+
+    Rows of a doc_id that repeats are known by doc_id and set, so such a doc_id keeps a row for each class it stands
+    for; of rows of one doc_id and set the smallest text stays, and of rows of one doc_id without words one.
+    """
+    node, known = fresh(docs, "node"), docs.where("doc_id IS NOT NULL")
+    rows = Work(docs.sparkSession).saved(classified(known, **options).select("doc_id", F.coalesce("node", F.lit(b"")).alias(node), "root"))
+    keep = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", node)).alias("row")).select("row.*").unionByName(rows.where("root IS NULL").select("doc_id", node).distinct())
+    repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    single = docs.join(keep.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+    named = known.join(repeated, "doc_id", "left_semi").withColumn(node, node_column()).join(keep, ["doc_id", node], "left_semi")
+    one = named.groupBy("doc_id", node).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")).select("row.*")
+    return single.select(*docs.columns).unionByName(one).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
