@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,7 +195,7 @@ def test_pages_of_a_large_host_equal_one_shard(spark):
     notice = "This section moves to another address at the end of the year"
     html = lambda i: f"<div>Page {i} alone says a{i} b{i} c{i}</div>" + (f"<div>{notice}</div>" if i % 60 == 0 else "")
     d = spark.createDataFrame([(i, f"http://a.example/{i}", html(i)) for i in range(1200)], "page_id long, url string, html string")
-    one, many = ({r["page_id"]: r["text"] for r in pages.extract(d, shard_pages=n).collect()} for n in (1200, 16))
+    one, many = ({r["page_id"]: r["text"] for r in pages.extract(d, shard_tokens=n).collect()} for n in (10**6, 300))
     assert one == many and many == {i: f"Page {i} alone says a{i} b{i} c{i}" for i in range(1200)}
 
 
@@ -203,11 +204,50 @@ def test_copies_of_a_page_are_one_page(spark):
     notice = "All rights to the pages of this address are reserved"
     rows = [(1, "http://a.example/1", f"<div>{text}</div>")] * 3 + [(i, f"http://a.example/{i}", f"<p>{text}</p>") for i in (2, 3, 4)]
     rows += [(i, f"http://b.example/{i}", f"<article>Article {i}</article><footer>{notice}</footer>") for i in (5, 6)] + [(7, "http://b.example/7", f"<p>Seventh</p><p>{notice}</p>")]
-    for n in (256, 2):
-        got = sorted((r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=n).collect())
+    for n in (10**6, 20):
+        got = sorted((r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=n, broadcast_rows=n).collect())
         assert got == [(1, text)] * 3 + [(i, text) for i in (2, 3, 4)] + [(5, "Article 5"), (6, "Article 6"), (7, "Seventh")]
 
 
+def test_suffix_array_is_sorted_with_longest_common_prefixes():
+    draw = random.Random(1)
+    for _ in range(200):
+        streams = [[draw.randint(0, 2) for _ in range(draw.randint(0, 30))] for _ in range(4)] + [[7, 8] * 9] * 2
+        suffixes = [s[k:] for s in streams for k in range(len(s))]
+        order, common, left = pages.suffix_array(streams)
+        ordered = [suffixes[i] for i in order]
+        assert ordered == sorted(suffixes) and [len(x) for x in suffixes] == left.tolist()
+        for k in range(1, len(ordered)):
+            a, b = ordered[k - 1], ordered[k]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_parser_is_linear_in_odd_pages():
+    for part in ("</b>", "<b>", "<!", "<!--", "<a '", '<a ">', "<a '\">", "<p", "<div></p>", "<script>", "&amp"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            pages.parse("<div>" + part * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.1, part
+
+
+def test_suffix_array_finds_the_article_without_marks(spark, sf):
+    """On the given pages with all marks of articles and furniture taken away, host by host."""
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
+    furniture = "<div>Read the terms of use of this site before you write to us</div>"
+    bare = [(i, "http://one.example/", furniture + re.sub(r"</?(article|nav|footer|header)[^>]*>", " ", h.partition("<article>")[2].partition("</article>")[0]) + furniture) for i, _, h in given]
+    d = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r["page_id"]: r["text"] for r in pages.extract(d(given)).collect()}
+    kept = total = 0
+    for r in pages.extract(d(bare), pages_needed=20).collect():
+        assert "terms of use" not in r["text"]
+        a, b = Counter(WORDS.findall(want[r["page_id"]])), Counter(WORDS.findall(r["text"]))
+        kept += (a & b).total()
+        total += max(a.total(), b.total())
+    assert kept / total > 0.95
+
+
 def test_suffix_array_equals_brute_force():
     draw = random.Random(0)
     for _ in range(200):

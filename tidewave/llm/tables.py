@@ -1,23 +1,52 @@
-"""Tables in the folder that all executors share, and connected components over them."""
+"""Tables in the folder that all executors share, and connected components over them.
+
+A result is lazy, so the tables it reads stay until it has been read; ``scratch`` removes those made inside it once
+its body, which must have read the results, is done, and ``clear`` removes all of a session.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, on one machine a temporary one, on a cluster refused."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tidewave.work", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidewave-')}"
         spark.conf.set("spark.tidewave.work", folder)
     return folder
 
 
+#: Runs whose tables have not been removed.
+_open: list[Work] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables of all runs that begin inside, once what they gave has been read."""
+    before = set(map(id, _open))
+    try:
+        yield
+    finally:
+        for work in [w for w in _open if id(w) not in before]:
+            work.clear()
+
+
+def clear() -> None:
+    """Removes the tables of all runs; results that read them must have been read."""
+    for work in list(_open):
+        work.clear()
+
+
 class Work:
     """Written tables of one run; ``saved`` cuts the lineage of a frame."""
 
@@ -25,11 +54,12 @@ class Work:
         self.spark, self.at = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: set[str] = set()
+        _open.append(self)
 
     def saved(self, frame: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out.saved_at = path
         self.paths.add(path)
@@ -44,6 +74,12 @@ class Work:
         for path in sorted(self.paths - {f.saved_at for f in frames}):
             self._delete(path)
 
+    def clear(self) -> None:
+        """Removes every table of this run."""
+        self._delete(self.at)
+        self.paths.clear()
+        _open.remove(self)
+
     def _delete(self, at: str) -> None:
         self.paths.discard(at)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
