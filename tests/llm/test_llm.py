@@ -433,20 +433,49 @@ def test_least_matches_bounds_the_posterior():
 
 def test_mixing_equals_sql_and_keeps_its_word(spark, duck, sf, docs, empty):
     got = queries.QUERIES["op9_mixing"](spark, sf)
-    rows = sorted(map(tuple, got.select("doc_id", "size", "source_size", "target", "taken", "shards").collect()))
-    assert rows == sorted(duck.execute(f"SELECT doc_id, size, source_size, target, taken, shards FROM ({mixing.OP9_SQL})").fetchall())
+    rows = sorted(map(tuple, got.select("doc_id", "size", "source_size", "target", "taken", "draws").collect()))
+    assert rows == sorted(duck.execute(f"SELECT doc_id, size, source_size, target, taken, draws FROM ({mixing.OP9_SQL})").fetchall())
     odd = mixing.assign(docs, ["source"])
     out = odd.groupBy("_source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 1 and r["target"] <= 2 * r["size"] for r in out) and odd.count() == 13
     assert odd.where("taken > 2 * size").count() == 0
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, whole=False)
     assert set(docs.columns) < set(mixed.columns)
     words = mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
     assert words == odd.agg(F.sum("taken")).first()[0]
-    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs).collect()))
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs, whole=False).collect()))
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_whole_documents(spark, sf, docs):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = mixing.assign(d, ["source"], whole=True).groupBy("_source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest"), F.max(F.col("taken") % F.greatest(F.col("size"), F.lit(1))).alias("parts")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= r["longest"] / 2 + 1 and r["parts"] == 0 for r in plan)
+    texts = {r["text"] for r in docs.collect()}
+    assert all(r["text"] in texts for r in mixing.mix(docs).collect())
+
+
+def test_splitting_tree_is_hypergeometric(spark):
+    """Counts add up at every node, and their mean and spread over seeds are those of drawing without replacement."""
+    quotas = {"a": 70, "b": 25, "c": 4, "d": 0, "e": 101}
+    d = spark.createDataFrame(list(quotas.items()), "skey string, quota long")
+    got = defaultdict(list)
+    for seed in range(12):
+        rows = {r["skey"]: r["counts"] for r in mixing.leaves(d, 4, seed, groups=1 + seed % 3).collect()}
+        assert {k: sum(v) for k, v in rows.items()} == {k: q for k, q in quotas.items() if q}
+        assert [sum(v[i] for v in rows.values()) for i in range(4)] == [50] * 4
+        for k, v in rows.items():
+            got[k] += v
+    for k, v in got.items():
+        p = quotas[k] / 200
+        sd = math.sqrt(50 * p * (1 - p) * 150 / 199)
+        assert abs(np.mean(v) - 50 * p) < 1e-9 and 0.6 < np.std(v) / sd < 1.4
+    u = spark.range(20_000).select(mixing._draw(F.lit(20), F.lit(8), F.lit(7), (F.col("id") + 0.5) / 20_000).alias("k")).groupBy("k").count().collect()
+    for r in u:
+        assert abs(r["count"] / 20_000 - math.comb(8, r["k"]) * math.comb(12, 7 - r["k"]) / math.comb(20, 7)) < 1e-3
+    assert sum(r["count"] for r in u) == 20_000 and mixing.leaves(d.where("quota < 0"), 4).count() == 0
+
+
 def test_targets_by_rounds(spark):
     """The closed form against capping and sharing anew until nothing is above."""
     draw = random.Random(0)

@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 MULT = 0x9E3779B97F4A7C15 | 1
@@ -84,12 +86,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about ``most`` bytes of text each; a longer text comes alone."""
+    """Runs of whole rows with about ``most`` bytes of a text or binary column each; a longer value comes alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
-        at = 0
+        data = batch.column(batch.schema.get_field_index(column))
+        size = pc.binary_length(data.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets, at = np.append(0, np.cumsum(size)), 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
@@ -121,6 +124,25 @@ def run_hashes(hashes: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.n
     return mix(slice_hashes(hashes, at, at + k, powers))
 
 
+def sampled(rows: DataFrame, key: Column, most: int, by: str | None = None) -> DataFrame:
+    """Of ``rows`` the distinct rows with the smallest hashes of ``key``, about ``most`` and no more, or of each ``by``.
+
+    A threshold on the hash, from a count of distinct keys, lets about four times as many pass whatever the number of
+    rows, copies and tasks; they are made distinct, then cut. ``hash`` is the key's, a number from 0 to 1.
+    """
+    share = (F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("double") / float(1 << 52)).alias("hash")
+    rows = rows.select("*", share)
+    bound = F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest(F.lit(1), F.approx_count_distinct("hash"))).alias("_bound")
+    if by:
+        some = rows.join(rows.groupBy(by).agg(bound), by).where(F.col("hash") <= F.col("_bound")).drop("_bound").distinct()
+    else:
+        some = rows.where(F.col("hash") <= rows.agg(bound).first()[0]).distinct()
+    order = ["hash", *(c for c in some.columns if c != "hash")]
+    if not by:
+        return some.orderBy(*order).limit(most)
+    return some.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_place") <= most).drop("_place")
+
+
 def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

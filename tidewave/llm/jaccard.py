@@ -17,8 +17,11 @@ Links count pairs of documents, copies included, at similarity of at least ``NUM
 near copies is n**2 comparisons in blocks, the rows it ships n times the number of blocks.
 
 Defined results: words are runs without space and the characters 9 to 13, taken unchanged; null, empty and blank
-texts have no shingles and are alone with 0 links; repeated rows count as documents; class_id is the smallest doc_id
-of the class; extra columns are ignored; an empty table gives no rows.
+texts have no shingles and are alone with 0 links; repeated rows and rows without a doc_id count as documents; class_id
+is the smallest doc_id of the class, null if it has none; extra columns are ignored; an empty table gives no rows.
+
+Not every pair is looked at: a pair that shares one band alone is dropped where ``bands_needed`` is 2 (chance of 1e-6 at
+similarity 0.8), and one that shares none is never met (chance of 5e-8). ``bands_needed=1`` gives the first ones back.
 """
 
 from __future__ import annotations
@@ -177,7 +180,7 @@ def join(docs: DataFrame, **options) -> DataFrame:
     return classified(docs, **options).select("doc_id", "class_id", "links")
 
 
-def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, broadcast_rows: int = 500_000) -> DataFrame:
+def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, bands_needed: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, node, root, class_id, links) of every row: node names its set, root its class, also where doc_ids repeat."""
     spark, need = docs.sparkSession, least_matches(tolerance)
     work = Work(spark)
@@ -191,11 +194,13 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
             bands = minhashes(value, at).view(np.int64).reshape(-1)
             ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (HASHES // 4))
             short = pa.array([int.from_bytes(f[:8], "little", signed=True) if f else None for f in nodes], pa.int64())
-            yield pa.record_batch([part.column(0), pa.array(nodes, pa.binary()), short, pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands))], names=["doc_id", "node", "id", "n", "bands"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(nodes, pa.binary()), short, pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands))], names=["doc_id", "mark", "node", "id", "n", "bands"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    base = work.saved(rows.mapInArrow(sketch, f"doc_id {kind}, node binary, id bigint, n bigint, bands array<bigint>"))
-    classes = work.saved(base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    base = work.saved(rows.mapInArrow(sketch, f"doc_id {kind}, mark bigint, node binary, id bigint, n bigint, bands array<bigint>"))
+    # the row that stands for a class is known by its doc_id and its text's hash, so repeated and null ids do no harm
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    classes = work.saved(base.where("node IS NOT NULL").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies", "id", "n", "bands"))
 
     # candidates go by half a fingerprint: if two sets share one, both are looked at
 
@@ -204,12 +209,12 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
     buckets = work.saved(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"))
     met = work.saved(banded.join(buckets, "bucket"))
     few = met.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("x"))
-    pairs = few.select(F.explode(F.expr("flatten(transform(sequence(1, size(x) - 1), i -> transform(slice(x, i + 1, size(x)), y -> struct(x[i - 1] AS a, y AS b))))")).alias("p")).select("p.a", "p.b").groupBy("a", "b").count().where("count > 1").select("a", "b")
+    pairs = few.select(F.explode(F.expr("flatten(transform(sequence(1, size(x) - 1), i -> transform(slice(x, i + 1, size(x)), y -> struct(x[i - 1] AS a, y AS b))))")).alias("p")).select("p.a", "p.b").groupBy("a", "b").count().where(F.col("count") >= bands_needed).select("a", "b")
     stars = met.where(F.col("size") > small).select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     roots = components(work, pairs.unionByName(stars)).withColumnRenamed("node", "id")
     work.drop(met)
 
-    members = work.saved(roots.join(classes.select("id", "node", "rep", "copies", "n"), "id").drop("id"))
+    members = work.saved(roots.join(classes.select("id", "node", "rep", "mark", "copies", "n"), "id").drop("id"))
     weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_weight), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.sum("n").alias("weight"))
     total = weights.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0
     groups = max(1, -(-4 * total // block_weight))
@@ -226,10 +231,10 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
             same = pa.array([f == x for f, x in zip(prints, part.column(1).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([part.column(1), sets], names=["node", "set"]).filter(same)
 
-    wanted = members.select("rep", "node")
-    if members.count() <= broadcast_rows:  # 24 bytes each; beyond that both sides are shuffled
+    wanted = members.select("rep", F.col("mark").alias("same"), "node")
+    if members.count() <= broadcast_rows:  # 32 bytes each; beyond that both sides are shuffled
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
+    texts = rows.join(wanted, (F.col("mark") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
     sets = work.saved(texts.mapInArrow(reshingle, "node binary, set binary").dropDuplicates(["node"]))
 
     def verify(data: pa.Table) -> pa.Table:

@@ -5,11 +5,12 @@ support vector machines with squared hinge loss first tell families of languages
 one-versus-one machines tell the languages of the chosen family apart by votes, ties by summed margins. All margins
 are sums of weights over the n-grams of the whole text.
 
-Machines are fitted on at most ``train_docs`` documents (smallest hashes) with a language, outside the held-out
-fold; predictions read only the text.
+Machines are fitted on at most ``per_lang`` documents (smallest hashes) of each language, outside the held-out fold;
+a doc_id that repeats counts once for a language, with its smallest text. Predictions read only the text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no training rows every text
-is ``und``; with one language every other text is that language; extra columns are ignored.
+is ``und``; with one language every other text is that language; a null doc_id is held out of training, and its
+``held_out`` is false; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import portions, table, utf8
+from tidewave.llm.common import portions, sampled, table, utf8
 
 # Families of languages by code; a language not named is a family of its own.
 FAMILIES = {
@@ -141,9 +142,10 @@ def fit(x: np.ndarray, langs: list[str]) -> Hierarchy:
     return Hierarchy(families, np.stack(columns, axis=1) if columns else np.zeros((DIM + 1, 0)))
 
 
-def train(docs: DataFrame, train_docs: int = 3000, folds: int = 3, held: int = 1) -> Hierarchy:
-    """Fits on at most ``train_docs`` documents outside the held-out fold; only their histograms reach the driver."""
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != held)).select(F.md5(F.col("doc_id").cast("string")).alias("k"), "doc_id").orderBy("k", "doc_id").limit(train_docs).select("doc_id").distinct()
+def train(docs: DataFrame, per_lang: int = 1000, folds: int = 3, held: int = 1) -> Hierarchy:
+    """Fits on at most ``per_lang`` doc_ids of each language outside the held-out fold; only histograms reach the driver."""
+    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != held)).select("doc_id", "lang")
+    sample = sampled(some, F.col("doc_id"), per_lang, by="lang").select("doc_id", "lang")
 
     @F.arrow_udf("binary")
     def described(text: pa.Array) -> pa.Array:
@@ -152,7 +154,7 @@ def train(docs: DataFrame, train_docs: int = 3000, folds: int = 3, held: int = 1
             out += [r.astype(np.float16).tobytes() for r in np.sqrt(histograms(*utf8(part.column(0))))]
         return pa.array(out, pa.binary())
 
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", described("text").alias("x")).collect()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", described("text").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))
     if not rows:
         return Hierarchy((), np.zeros((DIM + 1, 0)))
@@ -180,4 +182,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs)
     found = docs.select("doc_id", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("some"), language_columns(model).alias("p"))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), F.when(F.col("some"), F.col("p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("some"), F.col("p.score")).otherwise(0.0).alias("score"))
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.when(F.col("some"), F.col("p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("some"), F.col("p.score")).otherwise(0.0).alias("score"))

@@ -163,15 +163,14 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Reads the binary column of ``store`` back and describes payload, stored form and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for blob in part.column(2).to_pylist():
-                    image = decode_png(blob)
-                    payload = image.tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), dct_hash(image)))
-                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS[2:], strict=True))], names=["key", *(n for n, _ in FIELDS[1:])])
+        for part in portions(batches, "media"):
+            rows = []
+            for blob in part.column(2):  # one image is inflated at a time
+                blob = blob.as_py()
+                image = decode_png(blob)
+                payload = image.tobytes()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), dct_hash(image)))
+            yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS[2:], strict=True))], names=["key", *(n for n, _ in FIELDS[1:])])
 
     kind = media.schema[key].dataType.simpleString()
     return media.select(key, "n_bytes", "media").mapInArrow(run, f"key {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("key", key)

@@ -4,27 +4,38 @@ Every document has a size in words. Sources, by code point and null last, weigh
 ``budget`` times all words; a source stops at ``most`` times its own size, and what is over is shared anew by
 weight (water filling in closed form, by windows over the table of sources).
 
-The documents of a source are dealt by hash into ``blocks`` blocks. A source whose target holds f whole passes
-draws every block f times and then blocks in a permuted order until the target is met; the last drawn block ends
-inside a block, and there inside a document, so a source takes exactly its target, rounded. The numbers of drawn
-blocks are the source's quotas. The splitting tree halves the vector of quotas among ``shards`` output shards: at
-each node a uniform subset of half of the units is drawn (smallest hashes), so that the counts by source follow
-the multivariate hypergeometric law; leaves then take disjoint runs of each source's permuted blocks, and rows are
-shuffled inside a shard by a hash.
+The documents of a source are dealt by hash into blocks (``block_count``). A source whose target holds f whole passes
+has every block f times in its quota, and then blocks in a permuted order until the target is met.
 
-Only sums by (source, block) cross sources, so a hot source is as many groups as any other. Tables of sources and
-blocks have at most ``sources`` and ``sources * blocks`` rows, whatever the number of documents.
+The splitting tree recursively halves the quotas, counts of blocks by source, among ``shards`` output shards. The left
+child of a node takes half of its blocks; how many of each source is a multivariate hypergeometric draw, made one
+source after another as univariate draws by inverse distribution from a hash (``_draw``). So that no row holds all
+sources, a tree over about sqrt(sources) groups of sources is split first, and within each group the same tree splits
+its sources to the group's counts, which together is the same law. Leaves then draw disjoint runs of each source's
+permuted blocks: a block's passes are where its places in the permutation fall among the leaves' runs. What a document
+is taken is what the leaves drew of its block. Rows are shuffled inside a shard by a hash.
+
+The last drawn block of a source ends inside a block. With ``whole`` a document there is taken if its middle is within
+the target, so a source misses its target by half a document at most; otherwise the one document at the target is
+taken in part, so that the source takes exactly its target, rounded. Only that block's documents are put in order.
+
+Only sums by (source, block) cross sources, so a hot source is as many groups as any other. The table of sources is
+ranked in one task (three numbers a source); tables of blocks have at most ``sources * blocks`` rows.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its own; a source of
-size 0 has target 0; an empty table gives no rows; equal rows each count; extra columns are kept by ``mix``.
+size 0 has target 0; an empty table gives no rows; equal rows each count; extra columns are kept by ``mix``, clashing
+names get marks in front; a null doc_id is like any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.llm.common import fresh, table
+from tidewave.llm.tables import Work
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -47,70 +58,163 @@ def _unit(*parts) -> F.Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2, blocks: int = 4096, shards: int = 16, seed: int = 9) -> DataFrame:
+def _unit_interval(*parts) -> F.Column:
+    """A number from 0 to 1 from a hash."""
+    return F.conv(F.substring(_unit(*parts), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _draw(total: F.Column, kind: F.Column, taken: F.Column, u: F.Column) -> F.Column:
+    """How many of ``taken`` blocks out of ``total`` are of a source with ``kind`` blocks: hypergeometric, by inversion.
+
+    Weights follow from each other by their ratio within 12 standard deviations of the mean; beyond lie 1e-31.
+    """
+    lo, hi = F.greatest(F.lit(0), taken + kind - total), F.least(taken, kind)
+    mean = taken * kind / F.greatest(F.lit(1), total)
+    wide = 12 * F.sqrt(mean * (1 - kind / F.greatest(F.lit(1), total)) * (total - taken) / F.greatest(F.lit(1), total - 1)) + 3
+    a, b = F.greatest(lo, F.floor(mean - wide)).cast("long"), F.least(hi, F.ceil(mean + wide)).cast("long")
+    ratio = lambda k: (kind - k) * (taken - k) / ((k + 1.0) * (total - kind - taken + k + 1.0))
+    # state: the weight at hand and the sum so far; then the same again until the sum passes u of it
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+    whole = F.aggregate(F.sequence(a, b), start, lambda s, k: F.struct((s["w"] * ratio(k)).alias("w"), (s["sum"] + s["w"]).alias("sum")), lambda s: s["sum"])
+    return F.aggregate(
+        F.sequence(a, b),
+        F.struct(F.lit(1.0).alias("w"), (u * whole).alias("left"), b.alias("got"), F.lit(False).alias("done")),
+        lambda s, k: F.struct((s["w"] * ratio(k)).alias("w"), (s["left"] - s["w"]).alias("left"), F.when(~s["done"] & (s["left"] <= s["w"]), k).otherwise(s["got"]).alias("got"), (s["done"] | (s["left"] <= s["w"])).alias("done")),
+        lambda s: s["got"],
+    )
+
+
+def _split(quotas: F.Column, taken: F.Column, seed: F.Column) -> F.Column:
+    """Of an array of counts, the array of how many go left when ``taken`` go left in all: multivariate hypergeometric."""
+    total = F.aggregate(quotas, F.lit(0).cast("long"), lambda x, q: x + q)
+    start = F.struct(total.alias("total"), taken.cast("long").alias("taken"), F.array().cast("array<bigint>").alias("left"))
+
+    def step(s: F.Column, at: F.Column) -> F.Column:
+        q = F.element_at(quotas, at)
+        drawn = F.array(_draw(s["total"], q, s["taken"], _unit_interval(seed, at.cast("string"))))
+        # bound once
+        return F.element_at(F.transform(drawn, lambda k: F.struct((s["total"] - q).alias("total"), (s["taken"] - k).alias("taken"), F.array_append(s["left"], k).alias("left"))), 1)
+
+    return F.when(F.size(quotas) > 0, F.aggregate(F.sequence(F.lit(1), F.size(quotas)), start, step, lambda s: s["left"])).otherwise(F.array().cast("array<bigint>"))
+
+
+def _tree(rows: DataFrame, quotas: str, totals: list[str] | None, levels: int, seed: str) -> DataFrame:
+    """``rows`` with level0 ... level<levels>: for each node of the tree the array of counts by source, from ``quotas``.
+
+    ``totals``: columns with the number that each node must hold, level by level; None halves.
+    """
+    sum_of = lambda q: F.aggregate(q, F.lit(0).cast("long"), lambda x, y: x + y)
+    rows = rows.withColumn("level0", F.array(quotas))
+
+    def children(level: int):
+        def of(q: F.Column, node: F.Column) -> F.Column:
+            half = F.floor(sum_of(q) / 2) if totals is None else F.element_at(totals[level + 1], (2 * node + 1).cast("int"))
+            left = F.array(_split(q, half, F.concat_ws("|", F.lit(f"{seed}|{level}"), F.col("group").cast("string"), node.cast("string"))))
+            return F.element_at(F.transform(left, lambda x: F.array(x, F.zip_with(q, x, lambda a, b: a - b))), 1)
+
+        return of
+
+    for level in range(levels):
+        rows = rows.withColumn(f"level{level + 1}", F.flatten(F.transform(f"level{level}", children(level))))
+    return rows
+
+
+def leaves(quotas: DataFrame, shards: int, seed: int = 9, groups: int | None = None) -> DataFrame:
+    """(skey, counts) from (skey, quota): how many of each source's blocks each of ``shards`` shards draws.
+
+    Both trees are written: their expressions are long, and whatever reads them would analyse them again.
+    """
+    levels, s, work = shards.bit_length() - 1, str(seed), Work(quotas.sparkSession)
+    n = groups or max(1, math.isqrt(quotas.count()))
+    grouped = quotas.where("quota > 0").groupBy(F.pmod(F.xxhash64("skey"), F.lit(n)).cast("int").alias("group")).agg(F.array_sort(F.collect_list(F.struct("skey", F.col("quota").cast("long").alias("quota")))).alias("of"))
+    grouped = grouped.select("group", "of", F.transform("of", lambda x: x["quota"]).alias("quotas"))
+    sums = grouped.select("group", F.aggregate("quotas", F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
+    # one row of at most n groups
+    top = sums.agg(F.array_sort(F.collect_list(F.struct("group", "n"))).alias("of")).select(F.lit(-1).alias("group"), "of", F.transform("of", lambda x: x["n"]).alias("quotas"))
+    top = _tree(top, "quotas", None, levels, s)
+    given = top.select(F.posexplode("of").alias("at", "x"), *[f"level{k}" for k in range(levels + 1)])
+    given = given.select(F.col("x.group").alias("group"), *[F.transform(f"level{k}", lambda q: F.element_at(q, (F.col("at") + 1).cast("int"))).alias(f"total{k}") for k in range(levels + 1)])
+    given = work.saved(given)
+    split = _tree(grouped.join(given, "group"), "quotas", [f"total{k}" for k in range(levels + 1)], levels, s)
+    each = split.select(F.posexplode("of").alias("at", "x"), F.col(f"level{levels}").alias("nodes"))
+    return work.saved(each.select(F.col("x.skey").alias("skey"), F.transform("nodes", lambda q: F.element_at(q, (F.col("at") + 1).cast("int"))).alias("counts")))
+
+
+def block_count(docs: int) -> int:
+    """Blocks of a source: 4,096, doubled as long as a block would hold over 65,536 documents of a table of ``docs``."""
+    blocks = 4096
+    while docs > blocks * 65536:
+        blocks *= 2
+    return blocks
+
+
+def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2, blocks: int | None = None, shards: int = 16, seed: int = 9, whole: bool = False) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``) with size, source_size, target, taken, passes, extra and shards.
 
     ``passes`` whole copies and then the first ``extra`` words are taken; ``shards`` lists the output shard of
     each pass in turn. ``shards`` (the parameter) is a power of two.
     """
-    s = F.lit(str(seed))
-    sized = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("doc_id"), F.col("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).withColumn("key", _unit(s, F.col("doc_id").cast("string"), "skey", F.col("size").cast("string")))
+    s, blocks = F.lit(str(seed)), blocks or block_count(docs.count())
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("doc_id"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(text).alias("mark"))
+    sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).withColumn("key", _unit(s, F.col("doc_id").cast("string"), "skey", "mark"))
     sized = sized.withColumn("block", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % blocks).cast("int"))
-    by_block = sized.groupBy("skey", "source", "block").agg(F.sum("size").alias("words"))
+    work = Work(docs.sparkSession)
+    by_block = work.saved(sized.groupBy("skey", "source", "block").agg(F.sum("size").alias("words")))
     targets = source_targets(by_block.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), budget, most)
     targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    permuted = Window.partitionBy("skey").orderBy(_unit(s, "skey", F.col("block").cast("string")), "block")
-    drawn = by_block.select("skey", "block", "words").join(targets, "skey").withColumn("before", F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    permuted = Window.partitionBy("skey").orderBy(F.col("words") == 0, _unit(s, "skey", F.col("block").cast("string")), "block")
+    drawn = by_block.select("skey", "block", "words").join(targets, "skey").withColumn("before", F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(permuted))
     drawn = drawn.withColumn("extra_words", F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("before"))))
-    # the units that each source puts into the tree, in permuted order
-    units = drawn.where(F.col("words") > 0).select("skey", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"), "passes", "extra_words").where((F.col("pass") < F.col("passes")) | (F.col("extra_words") > 0)).withColumn("pos", F.row_number().over(Window.partitionBy("skey").orderBy("pass", _unit(s, "skey", F.col("block").cast("string")), "block")))
-    tree = units.groupBy("skey").agg(F.count("*").alias("quota")).select("skey", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))).alias("unit")).withColumn("node", F.lit(0))
-    for level in range(shards.bit_length() - 1):
-        split = Window.partitionBy("node")
-        tree = tree.withColumn("node", F.col("node") * 2 + (F.row_number().over(split.orderBy(_unit(s, F.lit(str(level)), "skey", F.col("unit").cast("string")), "unit")) * 2 > F.count("*").over(split)).cast("int"))
-    leaves = tree.select("skey", "node", F.row_number().over(Window.partitionBy("skey").orderBy("node", "unit")).alias("pos"))
-    placed = units.join(leaves, ["skey", "pos"]).groupBy("skey", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "node"))), lambda x: x["node"]).alias("shards"))
-    plan = drawn.join(placed, ["skey", "block"], "left").select("skey", "block", "source_size", "target", "passes", "extra_words", "shards")
+    # a source's quota: its blocks that hold words, passes times, and those of its last, partial pass
+    drawn = work.saved(drawn)
+    quotas = drawn.groupBy("skey").agg(F.sum(F.when(F.col("words") > 0, F.col("passes") + (F.col("extra_words") > 0).cast("int")).otherwise(0)).alias("quota"), F.sum((F.col("words") > 0).cast("int")).alias("full"))
+    runs = leaves(quotas.select("skey", "quota"), shards, seed)
+    plan = drawn.join(quotas.select("skey", "full"), "skey").join(runs, "skey", "left")
+    # the leaf of a place is the first whose run reaches it
+    ends = F.transform(F.sequence(F.lit(1), F.size("counts")), lambda n: F.aggregate(F.slice("counts", 1, n), F.lit(0).cast("long"), lambda x, y: x + y))
+    leaf = lambda place: F.size(F.filter(F.col("ends"), lambda e: e < place))
+    passes = F.when((F.col("words") > 0) & F.col("counts").isNotNull(), F.col("passes") + (F.col("extra_words") > 0).cast("int")).otherwise(0)
+    plan = plan.withColumn("ends", F.coalesce(ends, F.array().cast("array<bigint>"))).withColumn("n", passes)
+    plan = plan.withColumn("shards", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), lambda j: leaf((j - 1) * F.col("full") + F.col("place")))).otherwise(F.array().cast("array<int>")))
+    plan = plan.select("skey", "block", "source_size", "target", "passes", "words", "extra_words", "shards")
     inside = Window.partitionBy("skey", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.join(plan, ["skey", "block"]).withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("extra_words") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
-    out = out.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
+    out = sized.drop("mark").join(plan, ["skey", "block"])
+    cut = (F.col("extra_words") > 0) & (F.col("extra_words") < F.col("words"))
+    ahead = F.coalesce(F.sum("size").over(inside), F.lit(0))
+    part = F.when(ahead + F.col("size") / 2 <= F.col("extra_words"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least("size", F.col("extra_words") - ahead))
+    out = out.where(~cut).withColumn("extra", F.when(F.col("extra_words") > 0, F.col("size")).otherwise(0).cast("long")).unionByName(out.where(cut).withColumn("extra", part.cast("long")))
+    # each pass that the leaves drew takes the whole document, the partial one its extra words
+    out = out.withColumn("taken", F.least(F.col("passes"), F.size("shards")) * F.col("size") + F.when(F.size("shards") > F.col("passes"), F.col("extra")).otherwise(0))
     n = F.when(F.col("taken") > 0, F.when(F.col("extra") > 0, F.col("passes") + 1).otherwise(F.col("passes"))).otherwise(F.lit(0))
-    return out.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, n))
+    return out.withColumn("shards", F.slice("shards", 1, n))
 
 
-def mix(docs: DataFrame, seed: int = 9, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 9, whole: bool = True, **options) -> DataFrame:
     """The mixed corpus: one row for each time a document is taken, with ``shard`` and ``shard_order``.
 
     Where ``docs`` has columns of these names, the new ones get marks in front.
 
-    All columns of ``docs`` are kept. The one document of each source inside which its last block ends is cut after
-    its ``extra`` words. Sort by ``shard`` and ``shard_order`` to read each shard locally shuffled.
+    All columns of ``docs`` are kept, and whole texts; ``whole=False`` cuts the one document of each source that its
+    target falls into. Sort by ``shard`` and ``shard_order`` to read each shard locally shuffled.
     """
-    rows = assign(docs, docs.columns, seed=seed, **options)
+    rows = assign(docs, docs.columns, seed=seed, whole=whole, **options)
     taken = rows.select(*[c for c in rows.columns if c.startswith("_")], "key", "size", "passes", "extra", F.posexplode("shards").alias("pass", "shard"))
-    head = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), 1, F.greatest(F.lit(1), F.col("extra")).cast("int")), "")
-    taken = taken.withColumn("_text", F.when((F.col("pass") == F.col("passes")) & (F.col("extra") < F.col("size")), head).otherwise(F.col("_text")))
+    if not whole:
+        head = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), 1, F.greatest(F.lit(1), F.col("extra")).cast("int")), "")
+        taken = taken.withColumn("_text", F.when((F.col("pass") == F.col("passes")) & (F.col("extra") < F.col("size")), head).otherwise(F.col("_text")))
     return taken.select(*[F.col(f"_{c}").alias(c) for c in docs.columns], F.col("shard").alias(fresh(docs, "shard")), _unit(F.lit(str(seed)), "key", F.col("pass").cast("string")).alias(fresh(docs, "shard_order")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign(table(spark, sf_dir, "documents"), [])
-    return rows.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), F.array_join("shards", ",").alias("shards"))
-
-
-def _tree_sql(levels: int) -> str:
-    parts = []
-    for k in range(levels):
-        source = f"t{k}"
-        parts.append(f"t{k + 1} AS (SELECT skey, unit, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY md5('9|{k}|' || skey || '|' || unit), unit) * 2 > count(*) OVER (PARTITION BY node) THEN 1 ELSE 0 END AS node FROM {source})")
-    return ", ".join(parts)
+    return rows.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), F.size("shards").cast("long").alias("draws"))
 
 
-OP9_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+OP9_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey FROM documents),
-e AS (SELECT *, md5(concat_ws('|', '9', doc_id::VARCHAR, skey, size::VARCHAR)) AS key FROM d),
+e AS (SELECT *, md5(concat_ws('|', '9', doc_id::VARCHAR, skey, md5(text))) AS key FROM d),
 f AS (SELECT *, (('0x' || substr(key, 1, 7))::BIGINT % 4096) AS block FROM e),
 b AS (SELECT skey, source, block, sum(size)::BIGINT AS words FROM f GROUP BY ALL),
 s AS (SELECT skey, source, sum(words)::BIGINT AS source_size FROM b GROUP BY ALL),
@@ -124,15 +228,9 @@ i AS (SELECT *, round(target - passes * source_size)::BIGINT AS rest FROM h),
 j AS (SELECT b.skey, b.block, b.words, i.source_size, i.target, i.passes, i.rest,
     coalesce(sum(words) OVER (PARTITION BY b.skey ORDER BY md5('9|' || b.skey || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b JOIN i USING (skey)),
 k AS (SELECT *, greatest(0, least(words, rest - before)) AS extra_words FROM j),
-u AS (SELECT skey, block, p AS pass, row_number() OVER (PARTITION BY skey ORDER BY p, md5('9|' || skey || '|' || block), block) AS pos
-    FROM (SELECT *, unnest(range(passes + 1)) AS p FROM k WHERE words > 0) WHERE p < passes OR extra_words > 0),
-t0 AS (SELECT skey, pos AS unit, 0 AS node FROM u),
-{_tree_sql(4)},
-v AS (SELECT skey, node, row_number() OVER (PARTITION BY skey ORDER BY node, unit) AS pos FROM t4),
-q AS (SELECT skey, block, list(node ORDER BY pass) AS shards FROM u JOIN v USING (skey, pos) GROUP BY ALL),
-x AS (SELECT f.doc_id, f.size, k.source_size, k.target, k.passes, q.shards,
+x AS (SELECT f.doc_id, f.size, k.source_size, k.target, k.passes,
     greatest(0, least(f.size, k.extra_words - coalesce(sum(f.size) OVER (PARTITION BY f.skey, f.block ORDER BY f.key, f.doc_id, f.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS extra
-    FROM f JOIN k USING (skey, block) LEFT JOIN q USING (skey, block))
+    FROM f JOIN k USING (skey, block))
 SELECT doc_id, size::BIGINT AS size, source_size, target, (passes * size + extra)::BIGINT AS taken,
-    coalesce(array_to_string(shards[1:CASE WHEN size = 0 THEN 0 WHEN extra > 0 THEN passes + 1 ELSE passes END], ','), '') AS shards FROM x
+    (CASE WHEN size = 0 THEN 0 WHEN extra > 0 THEN passes + 1 ELSE passes END)::BIGINT AS draws FROM x
 """

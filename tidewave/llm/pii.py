@@ -7,7 +7,7 @@ lost for not being read. Each such region is cut into overlapping windows, the e
 Viterbi pass over the whole region reconciles the windows. What it finds beside the base spans is added with the kind
 followed by ``_like`` if it passes the kind's check (digits, Luhn, ranges). Base spans are never dropped or changed.
 
-The network is trained in numpy on windows of at most ``train_docs`` documents (smallest hashes): their base spans are
+The network is trained in numpy on windows of at most ``train_docs`` different texts (smallest hashes): their base spans are
 the labels, and seeded variants of them (other separators, spelled signs, addresses without digits), harmless numbers
 and places around spelled signs are put in as well.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import table
+from tidewave.llm.common import sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base spans.
@@ -333,8 +333,11 @@ def harmless(draw: random.Random) -> str:
     return draw.choice([f"version {n(1)}.{n(1)}", f"v{n(1)}.{n(1)}.{n(2)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", n(4), n(draw.randint(1, 7)), f"{n(2)}.{n(2)}", f"{n(2)}.{n(2)}.{n(4)}", f"${n(3)},{n(3)}.{n(2)}", f"id {n(draw.randint(5, 7))}", f"key={hexa}", f'token = "{hexa}"', f"{n(1)},{n(3)},{n(3)}", f"@{n(2)}", f"no. {n(3)}/{n(2)}", f"{n(2)} % of {n(3)}", hexa, f"@user{n(2)}"])
 
 
-def examples(many: list[str], seed: int = 1, most: int = 4800) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of codes and tags around labelled spans, their variants and harmless numbers."""
+def examples(many: list[str], seed: int = 1, most: int = 4800, spans: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of codes and tags around labelled spans, their variants and harmless numbers.
+
+    Bounds of the training set: ``most`` windows in all (a seeded choice), and of each snippet its first ``spans`` spans.
+    """
     draw, codes, tags = random.Random(seed), [], []
 
     def add(text: str, spans: list[Span], a: int) -> None:
@@ -352,7 +355,7 @@ def examples(many: list[str], seed: int = 1, most: int = 4800) -> tuple[np.ndarr
             continue
         labels = base_spans(text)
         overlap = any(a < t and s < b for i, (_, a, b) in enumerate(labels) for _, s, t in labels[i + 1 :])
-        for kind, a, b in labels[:4]:
+        for kind, a, b in labels[:spans]:
             if overlap:
                 break
             add(text, labels, a - draw.randint(5, WINDOW - 5))
@@ -384,7 +387,7 @@ def examples(many: list[str], seed: int = 1, most: int = 4800) -> tuple[np.ndarr
     return np.array([codes[i] for i in order]).reshape(-1, WINDOW), np.array([tags[i] for i in order]).reshape(-1, WINDOW)
 
 
-def fit(codes: np.ndarray, tags: np.ndarray, epochs: int = 18, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Tagger | None:
+def fit(codes: np.ndarray, tags: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Tagger | None:
     if not len(codes) or not tags.any():
         return None
     r = np.random.default_rng(seed)
@@ -410,10 +413,11 @@ def fit(codes: np.ndarray, tags: np.ndarray, epochs: int = 18, batch: int = 64,
 
 
 def train(docs: DataFrame, train_docs: int = 600, snippet: int = 400) -> Tagger | None:
-    """Fits on snippets around the first digits or @ of at most ``train_docs`` documents that hold any."""
+    """Fits on snippets of ``snippet`` characters around the first digit or @ of at most ``train_docs`` different texts."""
     text = F.col("text")
     place = F.regexp_instr(text, F.lit("[0-9@]"))
-    rows = docs.where(text.rlike("[0-9@]")).select(F.md5(text).alias("k"), F.substring(text, F.greatest(F.lit(1), place - F.lit(snippet // 4)), F.lit(snippet)).alias("t")).orderBy("k", "t").limit(train_docs).collect()
+    near = docs.where(place > 0).select(F.md5(text).alias("k"), F.substring(text, F.greatest(F.lit(1), place - F.lit(snippet // 4)), F.lit(snippet)).alias("t"))
+    rows = sorted(sampled(near, F.col("k"), train_docs).collect(), key=lambda r: (r["hash"], r["k"], r["t"]))
     return fit(*examples([r["t"] for r in rows]))
 
 
