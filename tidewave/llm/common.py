@@ -63,6 +63,8 @@ class Powers:
 
 
 BYTE_POWERS, WORD_POWERS, WORD_POWERS2 = Powers(MULT), Powers(0xC2B2AE3D27D4EB4F), Powers(MULT2)
+#: A second hash of words that shares nothing with the first.
+BYTE_VALUES2, BYTE_POWERS2 = mix(np.arange(301, 557, dtype=np.uint64) * U64(MULT2)) | U64(1), Powers(0xA0761D6478BD642F)
 
 
 def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
@@ -113,8 +115,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(slice_hashes(BYTE_VALUES[data], starts, ends, BYTE_POWERS))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    values, powers = (BYTE_VALUES2, BYTE_POWERS2) if second else (BYTE_VALUES, BYTE_POWERS)
+    return mix(slice_hashes(values[data], starts, ends, powers))
 
 
 def run_hashes(hashes: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Operator 3: approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
 Vectors are dealt by hash into shards of about ``shard_rows`` rows. A shard holds each distinct vector as one node with
-the sorted ids of its rows. Every node gets a top level by the usual geometric law (from a hash of its vector); on each
-level a node is linked to diverse near nodes: candidates come from exact nearness within the bounded shard, one is
-taken if it is nearer to the node than to all taken before, and links are made mutual. Graphs are flat int32 arrays of
+the sorted ids of its rows. Every node gets a top level by the usual geometric law (from a hash of its vector). Nodes are inserted in batches that double up to ``BATCH``: each node of a batch walks
+down the graph built so far and takes the beam's nodes on each of its levels, with the nearest of its own batch, as
+candidates. One is linked if it is nearer to the node than to all taken before (the rest is filled up with the
+nearest), links are made mutual, and a node with too many chooses among them in the same way. Graphs are flat int32 arrays of
 neighbours, one row of the index table a shard. A greedy walk through the upper levels finds an entry point; a beam of
 ``ef`` nodes on the lowest level finds the nearest, for a block of queries at once. Results of the shards are merged
 by query.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from tidewave.llm.common import table
 
 LINKS, LOW_LINKS = 16, 32
+#: Nodes inserted at once; they see each other by exact nearness, the rest by a walk.
+BATCH = 512
 
 
 @dataclass
@@ -57,87 +60,33 @@ def _level(vectors: np.ndarray) -> np.ndarray:
     return np.floor(-np.log((u + 1) / 2.0**48) / math.log(LINKS)).astype(int)
 
 
-def _connect(long: np.ndarray, nodes: np.ndarray, width: int) -> np.ndarray:
-    """Mutual links to diverse near nodes among ``nodes``."""
-    n, x = len(nodes), long[nodes]
-    wanted = min(n - 1, 3 * width)
-    out = np.full((n, width), -1, np.int32)
-    if wanted < 1:
-        return out
-    for a in range(0, n, 512):
-        near = x[a : a + 512] @ x.T
-        rows = np.arange(len(near))
-        near[rows, a + rows] = -np.inf
-        cand = np.argpartition(-near, wanted - 1, axis=1)[:, :wanted]
-        score = np.take_along_axis(near, cand, 1)
-        order = np.argsort(-score, axis=1, kind="stable")
-        cand, score = np.take_along_axis(cand, order, 1), np.take_along_axis(score, order, 1)
-        between = np.einsum("rcd,red->rce", x[cand], x[cand])
-        taken = np.zeros(cand.shape, bool)
-        half = width // 2
-        for j in range(wanted):
+def _choose(long: np.ndarray, nodes: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
+    """(nodes, keep) of diverse near ones among the candidates (nodes, c), -1 for none: diverse ones first, then near."""
+    out = np.full((len(nodes), keep), -1, np.int32)
+    for a in range(0, len(nodes), 256):
+        own, c = nodes[a : a + 256], cand[a : a + 256]
+        score = np.where(c >= 0, np.einsum("nd,ncd->nc", long[own], long[c]), -np.inf)
+        order = np.argsort(-score, axis=1, kind="stable")[:, : max(48, 2 * keep)]
+        c, score = np.take_along_axis(c, order, 1), np.take_along_axis(score, order, 1)
+        x = long[c]
+        between = np.einsum("rcd,red->rce", x, x)
+        taken = np.zeros(c.shape, bool)
+        for j in range(c.shape[1]):
             worst = np.where(taken, between[:, j], -np.inf).max(axis=1)
-            taken[:, j] = (score[:, j] > worst) & (taken.sum(axis=1) < half)
-        # what is left over is filled with the nearest
-        key = np.where(taken, 0, 1) * wanted + np.arange(wanted)
-        best = np.argsort(key, axis=1, kind="stable")[:, :half]
-        chosen = np.take_along_axis(cand, best, 1)
-        out[a : a + 512, : chosen.shape[1]] = chosen
-    # links back: the first of those that point here and are not yet linked
-    source = np.repeat(np.arange(n), out.shape[1])
-    target = out.ravel()
-    ok = target >= 0
-    source, target = source[ok], target[ok]
-    new = ~(out[target] == source[:, None]).any(axis=1)
-    source, target = source[new], target[new]
-    order = np.lexsort((-(x[source] * x[target]).sum(axis=1), target))
-    source, target = source[order], target[order]
-    place = np.arange(len(target)) - np.searchsorted(target, target, "left") + (out >= 0).sum(axis=1)[target]
-    fits = place < width
-    out[target[fits], place[fits]] = source[fits]
-    return np.where(out >= 0, nodes[out], -1).astype(np.int32)
-
-
-def build(ids: np.ndarray, vectors: np.ndarray) -> Graph:
-    vectors = np.ascontiguousarray(vectors, np.float64) + 0.0
-    _, first, inverse = np.unique(vectors.view(f"V{vectors.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
-    order = np.lexsort((ids, inverse))
-    bounds = np.searchsorted(inverse[order], np.arange(len(first) + 1))
-    nodes = vectors[first]
-    top = _level(nodes)
-    long = lengthen(nodes)
-    members, links = [], []
-    for level in range(int(top.max()) + 1):
-        here = np.flatnonzero(top >= level)
-        members.append(here.astype(np.int32))
-        links.append(_connect(long, here, LOW_LINKS if level == 0 else LINKS))
-    return Graph(ids[order], bounds, nodes, members, links)
+            taken[:, j] = (score[:, j] > worst) & (taken.sum(axis=1) < keep)
+        key = np.where(taken, 0, 1) * c.shape[1] + np.arange(c.shape[1])
+        best = np.argsort(np.where(score > -np.inf, key, 1 << 30), axis=1, kind="stable")[:, :keep]
+        chosen = np.where(np.take_along_axis(score, best, 1) > -np.inf, np.take_along_axis(c, best, 1), -1)
+        out[a : a + 256, : chosen.shape[1]] = chosen
+    return out
 
 
-def search(graph: Graph, queries: np.ndarray, k: int, ef: int = 96, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (q, k) by falling nearness and their scores; -1 where there are fewer."""
-    long, n, count = graph.long, len(graph.vectors), len(queries)
-    q = np.concatenate([queries, np.zeros((count, 1))], axis=1).astype(np.float32)
-    rows = np.arange(count)
-    at = np.full(count, graph.members[-1][0])
-    best = q @ long[at[0]]
-    for level in range(len(graph.members) - 1, 0, -1):
-        place = np.full(n, -1)
-        place[graph.members[level]] = np.arange(len(graph.members[level]))
-        moving = rows
-        while len(moving):
-            near = graph.links[level][place[at[moving]]]
-            score = np.where(near >= 0, np.einsum("qd,qld->ql", q[moving], long[near]), -np.inf)
-            j = score.argmax(axis=1)
-            got = score[np.arange(len(moving)), j]
-            up = got > best[moving]
-            at[moving[up]], best[moving[up]] = near[np.arange(len(moving)), j][up], got[up]
-            moving = moving[up]
-    ef = max(ef, 2 * k)
-    links = graph.links[0]
+def _beam(long: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray, ef: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``ef`` nodes (-1 for none) and scores that a walk over ``links`` from ``at`` finds for each query."""
+    n, count, rows = len(long), len(q), np.arange(len(q))
     beam, score = np.full((count, ef), -1), np.full((count, ef), -np.inf, np.float32)
     opened, seen = np.ones((count, ef), bool), np.zeros((count, n + 1), bool)
-    beam[:, 0], score[:, 0], opened[:, 0] = at, best, False
+    beam[:, 0], score[:, 0], opened[:, 0] = at, np.einsum("nd,nd->n", q, long[at]), False
     seen[rows, at], seen[:, n] = True, True
     active = rows
     while len(active):
@@ -164,6 +113,102 @@ def search(graph: Graph, queries: np.ndarray, k: int, ef: int = 96, width: int =
         beam[active] = np.take_along_axis(np.concatenate([beam[active], np.where(fresh, near, -1)], axis=1), keep, 1)
         opened[active] = np.take_along_axis(np.concatenate([opened[active], ~fresh], axis=1), keep, 1)
         opened[active] |= score[active] == -np.inf
+    return np.where(score > -np.inf, beam, -1), score
+
+
+def _walk(long: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a greedy walk over ``links`` from ``at`` ends."""
+    at, best = at.copy(), np.einsum("nd,nd->n", q, long[at])
+    moving = np.arange(len(q))
+    while len(moving):
+        near = links[at[moving]]
+        score = np.where(near >= 0, np.einsum("qd,qld->ql", q[moving], long[near]), -np.inf)
+        j = score.argmax(axis=1)
+        got = score[np.arange(len(moving)), j]
+        up = got > best[moving]
+        at[moving[up]], best[moving[up]] = near[np.arange(len(moving)), j][up], got[up]
+        moving = moving[up]
+    return at
+
+
+def _insert(long: np.ndarray, links: list[np.ndarray], top: np.ndarray, entry: int, batch: np.ndarray, ef: int) -> None:
+    """Links the nodes of ``batch`` into every one of their levels."""
+    at = np.full(len(batch), entry)
+    for level in range(len(links) - 1, -1, -1):
+        width = links[level].shape[1]
+        mine = np.flatnonzero(top[batch] >= level)
+        cand = np.full((len(batch), 0), -1)
+        if entry >= 0 and level <= top[entry]:
+            found, score = _beam(long, links[level], long[batch], at, ef) if len(mine) == len(batch) or level == 0 else (None, None)
+            if found is None:
+                at = _walk(long, links[level], long[batch], at)
+                found = np.full((len(batch), ef), -1)
+                if len(mine):
+                    found[mine], _ = _beam(long, links[level], long[batch[mine]], at[mine], ef)
+            else:
+                at = found[np.arange(len(batch)), score.argmax(axis=1)]
+            cand = found
+        if not len(mine):
+            continue
+        nodes = batch[mine]
+        peers = long[nodes] @ long[nodes].T
+        np.fill_diagonal(peers, -np.inf)
+        most = min(len(nodes) - 1, 2 * width)
+        near = nodes[np.argpartition(-peers, most - 1, axis=1)[:, :most]] if most > 0 else np.full((len(nodes), 0), -1)
+        links[level][nodes, : width // 2] = _choose(long, nodes, np.concatenate([cand[mine], near], axis=1), width // 2)
+        # links back, the nearest ones where a node has too many
+        source, target = np.repeat(nodes, width // 2), links[level][nodes, : width // 2].ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        new = ~(links[level][target] == source[:, None]).any(axis=1)
+        source, target = source[new], target[new]
+        if not len(target):
+            continue
+        order = np.lexsort((-np.einsum("nd,nd->n", long[source], long[target]), target))
+        source, target = source[order], target[order]
+        owner, first = np.unique(target, return_index=True)
+        place = np.arange(len(target)) - np.repeat(first, np.diff(np.append(first, len(target))))
+        used = (links[level][owner] >= 0).sum(axis=1)
+        room = used + np.bincount(np.searchsorted(owner, target)) <= width
+        easy = room[np.searchsorted(owner, target)]
+        links[level][target[easy], (used[np.searchsorted(owner, target)] + place)[easy]] = source[easy]
+        full, easy = owner[~room], easy | (place >= width)
+        if len(full):
+            more = np.full((len(full), width), -1)
+            more[np.searchsorted(full, target[~easy]), place[~easy]] = source[~easy]
+            links[level][full] = _choose(long, full, np.concatenate([links[level][full], more], axis=1), width)
+
+
+def build(ids: np.ndarray, vectors: np.ndarray, ef: int = 64) -> Graph:
+    """The graph of one shard, by insertion; ``ef`` is the beam of the walk that finds candidates."""
+    vectors = np.ascontiguousarray(vectors, np.float64) + 0.0
+    _, first, inverse = np.unique(vectors.view(f"V{vectors.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    by_node = np.lexsort((ids, inverse))
+    ids_sorted, bounds = ids[by_node], np.searchsorted(inverse[by_node], np.arange(len(first) + 1))
+    nodes = vectors[first]
+    top = _level(nodes)
+    long = lengthen(nodes)
+    links = [np.full((len(nodes), LOW_LINKS if level == 0 else LINKS), -1, np.int32) for level in range(int(top.max()) + 1)]
+    # one of the highest level is the entry point, the others follow in a seeded order
+    order = np.argsort(-top, kind="stable")
+    order = np.concatenate([order[:1], np.random.default_rng(len(order)).permutation(order[1:])])
+    entry, done, size = -1, 0, 64
+    while done < len(order):
+        _insert(long, links, top, entry, order[done : done + size], ef)
+        entry, done, size = int(order[0]), done + size, min(2 * size, BATCH)
+    members = [np.flatnonzero(top >= level).astype(np.int32) for level in range(len(links))]
+    return Graph(ids_sorted, bounds, nodes, members, [x[m] for x, m in zip(links, members, strict=True)])
+
+
+def search(graph: Graph, queries: np.ndarray, k: int, ef: int = 96) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (q, k) by falling nearness and their scores; -1 where there are fewer."""
+    long, n = graph.long, len(graph.vectors)
+    q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+    at = np.full(len(queries), int(graph.members[-1][0]))
+    for level in range(len(graph.members) - 1, 0, -1):
+        links = np.full((n, graph.links[level].shape[1]), -1, np.int32)
+        links[graph.members[level]] = graph.links[level]
+        at = _walk(long, links, q, at)
+    beam, _ = _beam(long, graph.links[0], q, at, max(ef, 2 * k))
     exact = np.where(beam >= 0, np.einsum("qd,qed->qe", queries, graph.vectors[np.maximum(beam, 0)]), -np.inf)
     smallest = np.where(beam >= 0, graph.ids[graph.bounds[np.maximum(beam, 0)]], np.iinfo(np.int64).max)
     order = np.lexsort((smallest, -exact))[:, :k]
