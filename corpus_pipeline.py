@@ -1,6 +1,11 @@
 """Pipeline from raw documents to tokens: quality, near duplicates, personal data, source mix, encoding.
 
 Each stage works on all that the one before kept and returns the columns of ``documents``; the last returns tokens.
+
+Defined results, stage by stage: a null, empty or blank text has a quality score like any other (that of one empty
+line), is nobody's near copy, holds no personal data and is never taken by the mix. Of equal rows and near copies one
+stays; rows without a doc_id stay all; a doc_id that stands for several texts keeps one row for each. A null source is a
+source of its own. Extra columns go through all stages but the last. An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewave.llm import jaccard, mixing, pieces, pii, quality
 from tidewave.llm.common import fresh, table
-from tidewave.llm.tables import Work
+from tidewave.llm.tables import Work, scratch
 
 
 def _retold(docs: DataFrame, text: F.Column) -> DataFrame:
@@ -37,9 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each time the mix takes a document; the last document taken of a source may be cut."""
-    mixed = mixing.mix(docs).select(*docs.columns)
-    return _retold(mixed, F.col("text"))
+    """One row for each time the mix takes a document, with its whole text; documents without words are never taken."""
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -63,9 +67,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
-    work = Work(spark)
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result but the last is written and read again.
+
+    Tables of a stage are removed when its result is written, and that when the next one is; the mix's own stays, since
+    the tokens are read from it (``tables.clear`` removes it).
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = work.saved(stage(spark, docs, sf_dir))
+        work = Work(spark)
+        with scratch(spark):
+            docs = work.saved(stage(spark, docs, sf_dir))
+        if before:
+            before.clear()
+        before = work
     return STAGES[-1][1](spark, docs, sf_dir)
