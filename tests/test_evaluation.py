@@ -23,11 +23,99 @@ def test_leakage_is_raised(spark, sf):
         poses.require_no_leakage(folded.unionByName(folded.withColumn("role", F.lit("train"))), s, Split.CROSS_USER)
 
 
-def test_suite_measures_or_refuses(spark, sf):
-    s = registry.samples(spark, sf).where("participant IN ('P00', 'P01', 'P02')")
-    out = suite.run_suite(s, P, "mean-again", suite.fold_means)
-    assert set(out.reports) | set(out.absences) == set(Split)
-    assert out.headline().startswith("NO HEADLINE") or "does NOT clearly beat" in out.headline()
+def people(spark, n=6, sessions=2, per=8, devices=3, seed=7, noise=0.001):
+    """Balanced people on rotating devices, each with a hand of their own; features say the finger curls."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for p in range(n):
+        hand = r.normal(0, 0.05, (21, 3))
+        for s in range(sessions):
+            for t in range(per):
+                curl = r.uniform(0, 1, 5)
+                pose = hand + np.repeat(np.append(0, np.repeat(curl, 4))[:, None], 3, axis=1) * 0.03 + r.normal(0, noise, (21, 3))
+                rows.append((len(rows), f"P{p:02d}", f"S{s}", f"D{(p + s) % devices}", float(t), (pose - pose[0]).ravel().tolist(), curl.tolist()))
+    return spark.createDataFrame(rows, "sample_id long, participant string, session string, device string, ts double, pose array<double>, features array<double>")
+
+
+def perfect(train, test):
+    return test.select("sample_id", F.transform("pose", lambda v: v + 0.001).alias("guess"))
+
+
+def test_a_good_model_gets_a_headline_across_users(spark, tmp_path):
+    """Concentration looks at all folds together, so that a fold of one person does not block by itself."""
+    s = people(spark).cache()
+    done = suite.cross_user(s, P, "good", perfect)
+    assert done.report.refusals() == [] and done.report.headline().startswith("good: 0.0")
+    assert {r.name for r in done.report.rows} == {"good", "mean-pose", "subject-mean", "nearest-neighbour"}
+    assert set(done.report.beaten()) == {"mean-pose", "subject-mean", "nearest-neighbour"}
+    assert sorted(done.folds) == [f"p{i:02d}" for i in range(6)] and all(len(f.rows) == 4 for f in done.folds.values())
+    assert "MPJPE20" in done.report.table() and "fingertips" in done.report.text() and "6 folds" in done.notes["good"]
+    done.write(str(tmp_path))
+    assert (tmp_path / "folds" / "05" / "report.json").exists() and "NO HEADLINE" not in (tmp_path / "report.txt").read_text()
+    assert spark.read.parquet(str(tmp_path / "predictions")).count() == 4 * s.count()
+    # the same numbers by hand: the mean of the others, sample by sample
+    rows = s.collect()
+    errors = []
+    for r in rows:
+        mean = np.mean([x["pose"] for x in rows if x["participant"] != r["participant"]], axis=0).reshape(21, 3)
+        errors.append(1000 * np.linalg.norm((mean - mean[0]) - np.array(r["pose"]).reshape(21, 3), axis=1).mean())
+    assert abs(next(r for r in done.report.rows if r.name == "mean-pose").mpjpe.value - np.mean(errors)) < 1e-6
+
+
+def test_guards_block_copies_and_lone_people(spark):
+    s = people(spark)
+    copies = s.unionByName(s.where("participant = 'P00'").withColumns({"participant": F.lit("P77"), "sample_id": F.col("sample_id") + 1000}))
+    report = suite.cross_user(copies, P, "good", perfect).report
+    assert [f.guard for f in report.guards.blocking] == [GuardName.LABEL_MATCH] and "NO HEADLINE" in report.headline()
+    assert set(report.guards.findings[1].detail["failed"]) == {"p00", "p77"}
+    lone = s.where("participant <> 'P01' OR ts < 1").where("participant IN ('P00', 'P01')").unionByName(s.where("participant = 'P02' AND ts < 1"))
+    assert GuardName.CONCENTRATION in [f.guard for f in suite.cross_user(lone, P, "good", perfect).report.guards.blocking]
+
+
+def test_suite_measures_or_refuses(spark, sf, tmp_path):
+    s = people(spark, per=4)
+    out = suite.run_suite(s, P, "good", perfect)
+    assert set(out.reports) == set(Split) and out.absence(Split.CROSS_USER) is None
+    assert all(f.passed for f in out.reports[Split.CROSS_USER].guards.findings)
+    # every device holds people that others hold too, so their labels match by design
+    assert [f.guard for f in out.reports[Split.CROSS_DEVICE].guards.blocking] == [GuardName.LABEL_MATCH]
+    suite.write_suite(out, str(tmp_path))
+    assert (tmp_path / "splits" / "cross_session" / "report.txt").exists() and "guards block" in (tmp_path / "report.json").read_text()
+    apart = s.where("(participant IN ('P00', 'P03') AND session = 'S0') OR (participant NOT IN ('P00', 'P03'))").withColumn("device", F.concat(F.lit("D"), (F.substring("participant", 3, 1).cast("int") % 3).cast("string")))
+    assert suite.measure(apart, Split.CROSS_DEVICE, P, "good", perfect).report.refusals() == []
+    few = suite.run_suite(s.where("participant = 'P00' AND device = 'D0'").drop("features"), P, "good", perfect)
+    assert few.absence(Split.CROSS_USER) and few.headline().startswith("NO HEADLINE") and "nearest-neighbour" not in few.reports[Split.WITHIN_SESSION].table()
+
+
+def test_baselines_of_own_folds(spark):
+    """A fold builder's folds give what the family's own do."""
+    s = people(spark, n=4, per=3)
+    own = suite.measure(s, Split.CROSS_USER, P, "mean", suite.fold_means).report
+    built = suite.measure(s, Split.CROSS_USER, P, "mean", suite.fold_means, builder=lambda x: poses.folds(x, Split.CROSS_USER)).report
+    assert [(r.name, round(r.mpjpe.value, 9)) for r in own.rows] == [(r.name, round(r.mpjpe.value, 9)) for r in built.rows]
+    assert [f.passed for f in own.guards.findings] == [f.passed for f in built.guards.findings]
+    with pytest.raises(ExperimentError):
+        suite.measure(s, Split.WITHIN_SESSION, P, "x", suite.fold_means, builder=lambda x: poses.folds(x, Split.WITHIN_SESSION).unionByName(poses.folds(x, Split.WITHIN_SESSION)))
+
+
+def test_calibration_sweep(spark):
+    from tidewave.plans import calibration
+
+    s = people(spark, n=3, sessions=3, per=40).cache()
+    test = s.where("session = 'S2'").select(F.col("participant").alias("fold"), "sample_id", F.lit("test").alias("role"))
+    others = s.where("session = 'S0'").select("sample_id", F.col("participant").alias("p")).join(s.select(F.col("participant").alias("fold")).distinct(), F.col("fold") != F.col("p")).select("fold", "sample_id", F.lit("train").alias("role"))
+    folded = test.unionByName(others)
+    curve = calibration.sweep(s, folded, suite.fold_means, P, 6.0)
+    assert [p.requested for p in curve.points] == [0, 1, 2, 20] and curve.zero_shot.achieved == 0 and curve.two_minutes.achieved == 2
+    assert curve.at(20.0).truncated and curve.at(20.0).achieved == 8.0 and curve.at(3.0) is None
+    assert curve.monotone and curve.gain > 0 and curve.best.requested == 20 and "asked for 20" in curve.text() and '"monotone": true' in curve.as_json()
+    with pytest.raises(ValueError):
+        calibration.sweep(s, poses.folds(s, Split.CROSS_USER), suite.fold_means, P, 6.0)
+
+
+def test_fold_tables_and_identities(spark):
+    names = spark.createDataFrame([("Straße ",), ("STRASSE",), ("ﬁn",), ("FIN",), ("Σοφός",), ("σοφόσ",)], "n string").select(poses.identity(F.col("n")).alias("i")).collect()
+    assert [names[k]["i"] == names[k + 1]["i"] for k in (0, 2, 4)] == [True] * 3
 
 
 def test_reports_refuse():
@@ -81,10 +169,120 @@ def test_npy_source(spark, tmp_path):
     from tidewave.sources import npy
 
     x = np.arange(30, dtype=np.float32).reshape(3, 10)
-    np.save(tmp_path / "x.npy", x)
     npy.register(spark)
-    got = spark.read.format("npy_columns").option("path", str(tmp_path / "x.npy")).option("columns_per_partition", 4).load().orderBy("frame_idx").collect()
-    assert [r["samples"] for r in got] == x.T.tolist()
+    for name, data in (("c", x), ("f", np.asfortranarray(x))):
+        np.save(tmp_path / f"{name}.npy", data)
+        for axis, want in (("columns", x.T), ("rows", x)):
+            got = spark.read.format("npy_columns").option("path", str(tmp_path / f"{name}.npy")).option("axis", axis).option("columns_per_partition", 4).load().orderBy("frame_idx").collect()
+            assert [r["samples"] for r in got] == want.tolist()
+    np.save(tmp_path / "d.npy", x.astype(float))
+    with pytest.raises(Exception, match="not 32-bit floats"):
+        spark.read.format("npy_columns").option("path", str(tmp_path / "d.npy")).load().count()
+
+
+def session_tree(root, frames=40, rate=48000):
+    """One session with a static and a moving peak, its differences at lag 2, landmarks and a configuration."""
+    import json
+
+    r = np.random.default_rng(0)
+    x = r.normal(0, 0.1, (600, frames)).astype(np.float32)
+    x[3] += 40
+    x[12 + (np.arange(frames) % 7), np.arange(frames)] += 8
+    at = root / "Study-1" / "sub1_samsung_left"
+    at.mkdir(parents=True)
+    np.save(at / "audio001_fmcw_16bit_profiles.npy", x)
+    np.save(at / "audio001_fmcw_16bit_diff_profiles.npy", x[:, 2:] - x[:, :-2])
+    np.save(at / "audio001_landmarks.npy", r.normal(0, 1, (5, 63)).astype(np.float32))
+    (at / "config.json").write_text(json.dumps({"audio": {"config": {"sampling_rate": rate, "frame_length": 600}, "files": ["a"], "syncing_poses": [0]}, "ground_truth": {"files": ["g.npy"], "syncing_poses": [0.0]}}))
+    return x
+
+
+def test_corpus_reads_only_what_the_manifest_vouches_for(spark, tmp_path):
+    from tidewave.errors import DatasetError, MissingLandmarksError, PreprocessingMismatchError
+    from tidewave.sources.corpus import Corpus, dataset_protocol
+
+    x = session_tree(tmp_path)
+    kept = integrity.manifest(integrity.tree(spark, str(tmp_path))).cache()
+    d = Descriptor(crop_bins=20, window_frames=4, bin_zero_offset=3)
+    c = Corpus(spark, str(tmp_path), kept, d)
+    path = c.sessions().first()["path"]
+    rows = c.prepared(path).orderBy("frame_idx").collect()
+    assert [r["frame_idx"] for r in rows] == list(range(2, 40)) and np.allclose(rows[5]["diff"], x[:, 7] - x[:, 5])
+    assert c.landmarks(path).count() == 5
+    times = spark.createDataFrame([(i, i * 0.1) for i in range(5)], "frame_no long, ts_s double")
+    windows = c.labelled(path, 0, 0.0, times).collect()
+    assert windows and all(len(r["window"]) == 2 * 4 * 20 for r in windows)
+    with pytest.raises(PreprocessingMismatchError, match="bin zero"):
+        Corpus(spark, str(tmp_path), kept, d.with_(bin_zero_offset=4)).prepared(path)
+    with pytest.raises(PreprocessingMismatchError, match="lag"):
+        Corpus(spark, str(tmp_path), kept, d.with_(differential_lag=1)).prepared(path)
+    with pytest.raises(IntegrityError, match="not in the manifest"):
+        Corpus(spark, str(tmp_path), kept.where("path NOT LIKE '%diff%'"), d).profiles(path)
+    without = Corpus(spark, str(tmp_path), kept.where("path NOT LIKE '%landmarks%'"), d)
+    with pytest.raises(IntegrityError, match="not in the manifest"):
+        without.landmarks(path)
+    (tmp_path / "Study-1" / "sub1_samsung_left" / "audio001_landmarks.npy").unlink()
+    assert without.landmarks(path) is None
+    with pytest.raises(MissingLandmarksError):
+        without.labelled(path, 0, 0.0, times)
+    assert dataset_protocol("d", "1", Split.CROSS_USER, 3).ground_truth is GroundTruth.VIDEO_FITTED
+    other = tmp_path / "other"
+    session_tree(other, rate=44100)
+    with pytest.raises(DatasetError, match="44100"):
+        Corpus(spark, str(other), integrity.manifest(integrity.tree(spark, str(other))), d).profiles(str(other / "Study-1" / "sub1_samsung_left" / "audio001_fmcw_16bit_profiles.npy"))
+
+
+def test_landmark_preparation_is_all_or_nothing(spark, tmp_path):
+    from tidewave.errors import LandmarkPreparationError
+    from tidewave.sources.corpus import prepare_landmarks
+
+    video = spark.createDataFrame([(i,) for i in range(4)], "frame_no long")
+    times = video.select("frame_no", (F.col("frame_no") / 30).alias("ts_s"))
+    seen = lambda v: v.select("frame_no", F.array_repeat(F.lit(0.5), 63).alias("joints"))
+    out = prepare_landmarks(video, times, seen, str(tmp_path / "a"), {"detector": "x"})
+    assert out.count() == 4 and "x" in spark.read.text(str(tmp_path / "a" / "provenance.json")).first()[0]
+    with pytest.raises(LandmarkPreparationError):
+        prepare_landmarks(video, times, lambda v: seen(v).withColumn("joints", F.when(F.col("frame_no") > 0, F.col("joints"))), str(tmp_path / "b"), {})
+    with pytest.raises(LandmarkPreparationError):
+        prepare_landmarks(video.limit(3), times, seen, str(tmp_path / "b"), {})
+
+
+def test_windows_in_blocks_equal_whole_recordings(spark):
+    """Differences, windows and trailing medians do not depend on where blocks begin, also behind missing frames."""
+    r = np.random.default_rng(0)
+    rows = [(k, i, r.normal(0, 1, 4).tolist(), float(r.normal())) for k in "ab" for i in range(5, 60) if (k, i) != ("a", 30)]
+    f = spark.createDataFrame(rows, "k string, i long, samples array<double>, v double")
+    plain = lambda d: sorted(map(str, d.collect()))
+    for make in (lambda b: fr.differences(f, ["k"], "i", 3, block=b).select("k", "i", "samples"), lambda b: fr.causal_windows(f, ["k"], "i", 5, 2, 2, block=b), lambda b: fr.trailing_median(f, ["k"], "i", "v", 6, "m", block=b).select("k", "i", "m")):
+        assert plain(make(4)) == plain(make(7)) == plain(make(4096))
+    got = {(x["k"], x["i"]) for x in fr.differences(f, ["k"], "i", 3, block=4).collect()}
+    assert ("a", 33) not in got and ("a", 34) in got and len(got) == 2 * 52 - 1 - 1
+    mine = [v for k, i, _, v in rows if k == "b"]
+    medians = {x["i"]: x["m"] for x in fr.trailing_median(f, ["k"], "i", "v", 6, "m", block=4).where("k = 'b'").collect()}
+    padded = [mine[0]] * 5 + mine
+    assert all(abs(medians[5 + n] - np.median(padded[n : n + 6])) < 1e-12 for n in range(len(mine)))
+
+
+def test_training_settings_and_metadata(spark, tmp_path):
+    from tidewave.errors import CheckpointLoadError, TrainingError
+    from tidewave.plans import checkpoint as cp
+
+    with pytest.raises(TrainingError):
+        cp.TrainingConfig(0, 8, 0.1)
+    c = cp.TrainingConfig(3, 8, 0.1, seed=4)
+    assert (c.order(1, 9) == c.order(1, 9)).all() and (c.order(1, 9) != c.order(2, 9)).any()
+    with pytest.raises(TrainingError):
+        cp.require_history([1.0, float("nan"), 0.5], c)
+    s = people(spark, n=2, per=4)
+    features, pose = cp.fit_normalizers(s)
+    x = np.array([r["features"] for r in s.collect()])
+    assert np.allclose(features.mean, x.mean(0)) and np.allclose(features.sd, x.std(0)) and pose.sd[0] == 1e-6
+    (tmp_path / "w").write_bytes(b"w")
+    cp.write_metadata(str(tmp_path / "m.json"), "pose-cnn/1,width=32", Descriptor(), P, str(tmp_path / "w"))
+    assert cp.model_width(cp.read_metadata(str(tmp_path / "m.json"))["model"]) == 32
+    for wrong in (lambda: cp.read_metadata(str(tmp_path / "m.json"), "other"), lambda: cp.model_width("other")):
+        with pytest.raises(CheckpointLoadError):
+            wrong()
 
 
 def test_sessions_and_gestures(spark, tmp_path):

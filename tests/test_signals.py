@@ -120,3 +120,137 @@ def test_claps_are_detected_and_fitted():
     assert abs(fit["centre_frequency_hz"] / f - 1) < 0.03 and abs(fit["bandwidth_hz"] / bw - 1) < 0.3
     with pytest.raises(ResonanceFitError):
         clap.resonance(np.zeros(100), rate)
+
+
+def test_columns_equal_the_kernels(spark):
+    """The sweep and its echoes as expressions against numpy."""
+    from pyspark.sql import functions as F
+
+    t = np.arange(-5, 650) / C.rate
+    got = [r["v"] for r in spark.createDataFrame([(i, float(x)) for i, x in enumerate(t)], "i int, t double").orderBy("i").select(dsp.chirp_column(F.col("t"), C).alias("v")).collect()]
+    assert np.allclose(got, dsp.chirp_at(t, C), atol=1e-9)
+    scene = spark.createDataFrame([([(0.05, 1.0), (0.3, -0.5)],)], "r array<struct<range_m:double,amplitude:double>>")
+    frame = scene.select(dsp.echoes_column(F.col("r"), C).alias("x")).first()["x"]
+    assert np.allclose(frame, dsp.simulate(C, np.array([0.05, 0.3]), np.array([1.0, -0.5])), atol=1e-9)
+
+
+def test_peaks_by_definition():
+    """Local maxima and prominence against loops that say what they are."""
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        x = r.integers(0, 5, r.integers(0, 25)).astype(float)
+        want = []
+        for i in range(len(x)):
+            j = i
+            while j + 1 < len(x) and x[j + 1] == x[i]:
+                j += 1
+            if i and x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i]:
+                want.append((i + j) // 2)
+        assert dsp.local_maxima(x) == want
+        for at in want:
+            lows = []
+            for side in (x[:at][::-1], x[at + 1 :]):
+                low = x[at]
+                for v in side:
+                    if v > x[at]:
+                        break
+                    low = min(low, v)
+                lows.append(low)
+            assert dsp.prominence(x, at) == x[at] - max(lows)
+
+
+def test_peak_list_equals_the_kernel(spark, sf):
+    from tidewave import registry
+
+    frames = {r["frame_id"]: np.array(r["samples"]) for r in registry.framed(spark, sf).collect()}
+    got = {}
+    for r in registry.QUERIES["peak_list"](spark, sf).collect():
+        got.setdefault(r["frame_id"], []).append(r["bin_index"])
+    for i, x in frames.items():
+        floor = np.median([np.quantile(np.abs(b), 0.1) for b in np.array_split(x, max(1, len(x) // 96))]) * np.sqrt(2 * np.log(2)) / np.sqrt(-2 * np.log(0.9))
+        padded = np.concatenate([[0.0], x, [0.0]])
+        want = [k - 1 for k in dsp.local_maxima(padded) if padded[k] >= 4 * floor and dsp.prominence(padded, k) >= 0.3 * x.max()]
+        assert sorted(got.get(i, [])) == sorted(want)
+
+
+def test_procrustes_errors_equal_numpy(spark, sf):
+    """The query's numbers from singular value decompositions one by one."""
+    from tidewave import registry
+
+    rows = registry.samples(spark, sf).select("participant", "pose").collect()
+    want = {}
+    for r in rows:
+        t = np.array(r["pose"]).reshape(21, 3)
+        p = np.mean([x["pose"] for x in rows if x["participant"] != r["participant"]], axis=0).reshape(21, 3)
+        a, b = p - p.mean(0), t - t.mean(0)
+        u, s, vt = np.linalg.svd(b.T @ a)
+        d = np.array([1, 1, np.sign(np.linalg.det(u @ vt))])
+        fit = (s * d).sum() / (a * a).sum() * a @ (u * d @ vt).T + t.mean(0)
+        want.setdefault(r["participant"], []).append(1000 * np.linalg.norm(fit - t, axis=1).mean())
+    got = {r["fold"]: r["pa_mpjpe"] for r in registry.QUERIES["pa_mpjpe"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - np.mean(v)) < 1e-3 for k, v in want.items())
+
+
+def test_pole_filter_equals_its_recursion():
+    x = np.random.default_rng(0).normal(0, 1, 200)
+    f, bw, rate = 900.0, 120.0, 8000
+    n = np.arange(200)
+    y = np.exp(-np.pi * bw * n / rate) * np.cos(2 * np.pi * f * n / rate + 0.3)
+    b, a = clap.fit_poles(y)
+    assert np.allclose(np.sort(np.abs(np.roots(a))), np.exp(-np.pi * bw / rate), rtol=1e-3)
+    assert np.allclose(np.abs(np.angle(np.roots(a))), 2 * np.pi * f / rate, rtol=1e-3) and len(x) == 200
+
+
+def test_capture_to_poses():
+    """Packets of a moving echo through synchroniser, profiles, windows and a predictor, with an injected clock."""
+    from tidewave.errors import InferenceError
+    from tidewave.model import Descriptor
+
+    d = Descriptor(crop_bins=20, window_frames=4, differential_lag=2)
+    wave = np.round(np.tile(dsp.reference(C), 14) * 20000).astype(np.int16)
+    for predictor, kind in ((None, "capture"), (lambda x: np.ones((len(x), 63)), "pose")):
+        said = []
+        p = live.Pipeline(predictor, "m", d, said.append, clock=lambda: 123.0)
+        for i in range(0, len(wave), 701):
+            p.packet(wave[i : i + 701], round(i / C.rate * 1e9), C.rate)
+        assert len(said) == 14 - 2 - 3 and all(r["type"] == kind for r in said)
+        if kind == "pose":
+            assert said[0]["timestamp_s"] == 123.0 and said[0]["joints"] == [[0.0] * 3] * 21
+        else:
+            assert said[0]["shape"] == [2, 20, 4] and len(said[0]["features"]) == 160
+            assert wire.require_capture(__import__("json").dumps(said[0]))["version"] == 1
+    p = live.Pipeline(lambda x: np.full((len(x), 63), np.nan), "m", d, said.append)
+    with pytest.raises(InferenceError):
+        p.packet(wave, 0, C.rate)
+
+
+def test_duplex_health():
+    h = live.DuplexHealth()
+    for i in range(5):
+        h.push(600, i * 12_500_000, 48000)
+    assert h.status()["continuous"] and h.worst_s < 1e-9
+    h.push(600, 5 * 12_500_000 + 50_000_000, 48000)
+    assert h.breaks == 1
+    h.push(100, 6 * 12_500_000 + 50_000_000, 48000)
+    for n, rate in ((600, 48000), (100, 44100)):
+        with pytest.raises(LiveCaptureError):
+            h.push(n, 0, rate)
+
+
+def test_lines_and_refusals(tmp_path):
+    from tidewave.errors import ClassMergeError, ModelUnavailableError, WireFormatError
+    from tidewave.__main__ import load_predictor, port
+
+    for bad in ("no json", "[]", '{"type":"pose","version":1,"shape":[1,1,1],"features":[0]}', '{"type":"capture","version":1,"shape":[2,1,1],"features":[0]}'):
+        with pytest.raises(WireFormatError):
+            wire.require_capture(bad)
+    with open(tmp_path / "x", "w") as f:
+        wire.LineSink(f).emit({"a": 1, "b": [2]})
+        assert (tmp_path / "x").read_text() == '{"a":1,"b":[2]}\n'
+    with pytest.raises(ClassMergeError):
+        clap.expand_class("flat")
+    with pytest.raises(ModelUnavailableError):
+        load_predictor("no_such_module:f", None)
+    with pytest.raises(Exception):
+        port("0")
+    assert load_predictor("math:sqrt", None)(4) == 2 and load_predictor(None, None) is None

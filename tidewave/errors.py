@@ -99,3 +99,7 @@ class ResonanceFitError(TidewaveError):
 
 class OverclaimError(TidewaveError):
     """A claim goes beyond what the channel can carry."""
+
+
+class ClassMergeError(TidewaveError):
+    """A merged class was asked to be told apart again."""

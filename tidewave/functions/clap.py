@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.errors import OverclaimError, ResonanceFitError
-from tidewave.model import ARM_DOF, ARM_RANGE_DEG, ARM_RESOLUTION_DEG
+from tidewave.errors import ClassMergeError, OverclaimError, ResonanceFitError
+from tidewave.model import ARM_DOF, ARM_RANGE_DEG, ARM_RESOLUTION_DEG, CLAP_MODES, PROTOTYPE_SDS, Measurement, Protocol
 
 
 def detect(x: np.ndarray, rate: int, frame_ms: float = 4, hop_ms: float = 2, floor_s: float = 0.5, threshold_db: float = 10, refractory_ms: float = 120, pre_ms: float = 2, window_ms: float = 40, early_ms: float = 8, late_ms: float = 40, decay_db: float = 6, rise_ms: float = 12, rise_db: float = 6) -> list[dict]:
@@ -72,10 +72,15 @@ def fit_poles(x: np.ndarray, order: int = 2, rounds: int = 5) -> tuple[np.ndarra
     impulse[0] = 1
 
     def by_poles(v: np.ndarray) -> np.ndarray:
-        out = np.zeros(n)
-        for i in range(n):
-            out[i] = v[i] - sum(a[k] * out[i - k] for k in range(1, order + 1) if i >= k)
-        return out
+        """All-pole filter: convolution with its impulse response, which is a sum of powers of its poles."""
+        poles = np.roots(a).astype(complex)
+        if not poles.any():
+            return v
+        poles = poles * (1 + 1e-7 * np.arange(len(poles)))  # no two are equal
+        share = [p ** (order - 1) / np.prod([p - q for j, q in enumerate(poles) if j != i]) if p else 0 for i, p in enumerate(poles)]
+        response = (np.array(share)[:, None] * poles[:, None] ** np.arange(n)).sum(0).real
+        size = 1 << (2 * n - 1).bit_length()
+        return np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(response, size), size)[:n]
 
     for _ in range(rounds):
         y, u = by_poles(x), by_poles(impulse)
@@ -148,15 +153,60 @@ def fit_classes(rows: DataFrame, label: str, features: list[str], least: float =
 def predict_classes(rows: DataFrame, classes: DataFrame, key: list[str], features: list[str], label: str) -> DataFrame:
     """(key, predicted, posterior): the class with the largest score and its share of exp(score), uniform prior.
 
-    The class table has one row for each class and is checked to be small before it is broadcast.
+    The class table has one row for each class; it is checked to be small and joined to every row as one array, so that
+    rows are never multiplied or shuffled. Of equal scores the first class in order wins.
     """
     if classes.count() > 1000:
         raise ValueError("more than 1000 classes")
-    c = F.broadcast(classes.withColumnRenamed(label, "_class"))
-    score = sum((-0.5 * (F.col(f) - F.col(f"mean_{i}")) ** 2 / F.col(f"var_{i}") for i, f in enumerate(features)), F.lit(0.0))
-    scored = rows.join(c, F.lit(True)).withColumn("_score", score)
-    best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_class").alias("c"))).alias("b"), F.collect_list("_score").alias("all"))
-    return best.select(*key, F.col("b.c").alias("predicted"), (1 / F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x + F.col("b.s")))).alias("posterior"))
+    fields = [c for i in range(len(features)) for c in (f"mean_{i}", f"var_{i}")]
+    table = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("_class"), *fields))).alias("_classes"))
+    score = lambda c: sum((-0.5 * (F.col(f) - c[f"mean_{i}"]) * (F.col(f) - c[f"mean_{i}"]) / c[f"var_{i}"] for i, f in enumerate(features)), F.lit(0.0))
+    scored = rows.join(F.broadcast(table), F.lit(True)).withColumn("_scores", F.transform("_classes", score)).withColumn("_top", F.array_max("_scores"))
+    best = F.element_at("_classes", F.array_position("_scores", F.col("_top")).cast("int"))["_class"]
+    posterior = 1 / F.aggregate("_scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    return scored.select(*key, best.alias("predicted"), posterior.alias("posterior"))
+
+
+def chance(classes: int) -> float:
+    return 1 / classes
+
+
+def features_of(frequency_hz, bandwidth_hz) -> list:
+    """(log10 f, log10 bw) of a resonance, floored at 1e-12; its energy goes along but is never classified on."""
+    floor = lambda c: F.log10(F.greatest(c, F.lit(1e-12)))
+    return [floor(frequency_hz).alias("f0"), floor(bandwidth_hz).alias("f1")]
+
+
+def merged_class(mode):
+    """The class a mode merges into; an unknown mode is an error."""
+    table = F.create_map(*[F.lit(x) for m, (_, _, c) in CLAP_MODES.items() for x in (m, c)])
+    return F.coalesce(table[mode], F.raise_error(F.concat(F.lit("unknown mode: "), F.coalesce(mode, F.lit("null")))).cast("string"))
+
+
+def expand_class(name: str):
+    """A class cannot be told back into the modes that merge into it."""
+    raise ClassMergeError(f"{name} stands for {sum(c == name for _, _, c in CLAP_MODES.values())} modes")
+
+
+def prototypes(spark: SparkSession) -> DataFrame:
+    """(label, n, mean_i, var_i) of the merged classes: means of their modes' logarithms, spreads fixed."""
+    modes = spark.createDataFrame([(c, f, b) for f, b, c in CLAP_MODES.values()], "label string, f double, bw double")
+    by = modes.select("label", *features_of(F.col("f"), F.col("bw"))).groupBy("label").agg(F.count("*").alias("n"), F.avg("f0").alias("mean_0"), F.avg("f1").alias("mean_1"))
+    return by.withColumns({f"var_{i}": F.lit(sd * sd) for i, sd in enumerate(PROTOTYPE_SDS)})
+
+
+def measured(matrix: DataFrame, protocol: Protocol) -> dict[str, Measurement]:
+    """Accuracy and capacity of a confusion matrix as measurements under a protocol; an empty matrix is refused."""
+    row = capacity(matrix).first()
+    if row is None or not row["samples"]:
+        raise ValueError("the confusion matrix is empty")
+    return {"accuracy": Measurement(row["accuracy"], "share", protocol, row["samples"]), "capacity": Measurement(row["bits"], "bit", protocol, row["samples"])}
+
+
+def gap(bits, dof: int = ARM_DOF, resolution_deg: float = ARM_RESOLUTION_DEG, range_deg: float = ARM_RANGE_DEG) -> dict:
+    """What ``bits`` lack of an arm pose: need, deficit, feasibility, events needed and the resolution within reach."""
+    need = F.lit(pose_bits(dof, resolution_deg, range_deg))
+    return {"need": need, "deficit": need - bits, "feasible": bits >= need, "events_needed": F.when(bits > 0, F.ceil(need / bits)), "resolution_deg": range_deg / F.pow(F.lit(2.0), bits / dof)}
 
 
 def confusion(pairs: DataFrame, true: str, predicted: str) -> DataFrame:

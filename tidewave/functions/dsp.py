@@ -91,29 +91,23 @@ def floor_of(x: np.ndarray, block: int = 96) -> float:
 
 def local_maxima(x: np.ndarray) -> list[int]:
     """Places higher than what stands on both sides; a flat top counts at its middle."""
-    out, i, n = [], 1, len(x)
-    while i < n - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j + 1 < n and x[j + 1] == x[i]:
-                j += 1
-            if j + 1 < n and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return out
+    x = np.asarray(x)
+    if len(x) < 3:
+        return []
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    last = np.append(first[1:], len(x)) - 1
+    level = x[first]
+    top = np.zeros(len(level), bool)
+    top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+    return ((first + last) // 2)[top].tolist()
 
 
 def prominence(x: np.ndarray, at: int) -> float:
     """Height over the higher of the lowest places on each side, up to something higher."""
-    sides = []
-    for step in (-1, 1):
-        low, i = x[at], at
-        while 0 <= i < len(x) and x[i] <= x[at]:
-            low = min(low, x[i])
-            i += step
-        sides.append(low)
-    return float(x[at] - max(sides))
+    higher = np.flatnonzero(x > x[at])
+    left, right = higher[higher < at], higher[higher > at]
+    low = x[left[-1] + 1 if len(left) else 0 : at + 1].min(), x[at : right[0] if len(right) else len(x)].min()
+    return float(x[at] - max(low))
 
 
 def subbin(x: np.ndarray, i: int) -> float:
@@ -143,6 +137,42 @@ def peaks(x: np.ndarray, bin_metres: float, offset: float = 0.0, ratio: float =
     return out[:most]
 
 
+# Expressions: the same signals as columns
+
+
+def tukey_column(u: Column, alpha: float = 0.25) -> Column:
+    edge = F.least(u, 1 - u)
+    flank = 0.5 * (1 - F.cos(2 * np.pi * edge / alpha)) if alpha else F.lit(1.0)
+    return F.when((u < 0) | (u >= 1), 0.0).otherwise(F.when(edge < alpha / 2, flank).otherwise(1.0))
+
+
+def chirp_column(t: Column, chirp: Chirp, alpha: float = 0.25) -> Column:
+    """The windowed sweep at times t, 0 outside its duration."""
+    wave = F.sin(2 * np.pi * (chirp.f_start * t + 0.5 * chirp.bandwidth / chirp.duration * t * t))
+    return F.when((t >= 0) & (t < chirp.duration), wave * tukey_column(t / chirp.duration, alpha)).otherwise(0.0)
+
+
+def reflector_delay(range_m: Column) -> Column:
+    """Seconds until an echo from ``range_m`` returns; a negative range is an error."""
+    return F.when(range_m >= 0, 2 * range_m / SPEED_OF_SOUND).otherwise(F.raise_error(F.lit("a range is negative")))
+
+
+def echoes_column(reflectors: Column, chirp: Chirp) -> Column:
+    """One frame of echoes of an array of (range_m, amplitude), without noise; late echoes wrap into it."""
+
+    def at(k: Column) -> Column:
+        t = k / chirp.rate
+        one = lambda r: r["amplitude"] * chirp_column(F.pmod(t - reflector_delay(r["range_m"]), F.lit(chirp.duration)), chirp)
+        return F.aggregate(reflectors, F.lit(0.0), lambda s, r: s + one(r))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(chirp.n_samples - 1)), at)
+
+
+def pcm(samples: Column, bits: int = 16) -> Column:
+    """Integer samples as numbers from -1 to below 1."""
+    return F.transform(samples, lambda v: v / float(1 << (bits - 1)))
+
+
 # Arrow functions
 
 

@@ -54,6 +54,13 @@ class Normalisation(str, Enum):
     L2 = "l2"
 
 
+class Phase(str, Enum):
+    """Which of its two frames a difference is dated by."""
+
+    LATER = "later"
+    EARLIER = "earlier"
+
+
 class Device(str, Enum):
     SAMSUNG = "samsung"
     XIAOMI = "xiaomi"
@@ -128,7 +135,7 @@ class Descriptor:
     window_frames: int = 96
     bin_zero_offset: int = 0
     differential_lag: int = 2
-    phase: str = "later"
+    phase: Phase = Phase.LATER
     normalisation: Normalisation = Normalisation.PEAK
     schema: str = "preprocessing/1"
 
@@ -136,6 +143,14 @@ class Descriptor:
         if min(self.crop_bins, self.window_frames, self.differential_lag) < 1 or self.bin_zero_offset < 0:
             raise ValueError("sizes and the lag are positive and the offset is not negative")
 
+    def with_(self, **changes) -> Descriptor:
+        """A copy with other settings."""
+        return replace(self, **changes)
+
+    def differential_column(self, index: int) -> int:
+        """The column of the stored differences that belongs to a column of the profiles."""
+        return index - self.differential_lag
+
     def require_match(self, other: Descriptor) -> None:
         wrong = [f"{f}: {getattr(self, f)!r} is not {getattr(other, f)!r}" for f in self.__dataclass_fields__ if getattr(self, f) != getattr(other, f)]
         if wrong:

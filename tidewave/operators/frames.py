@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.errors import CaptureProcessingError, PreprocessingMismatchError
 from tidewave.model import SPEED_OF_SOUND, Normalisation
 
 
@@ -42,29 +43,83 @@ def bin_range(index: Column, bin_metres: float, offset: float = 0.0) -> Column:
     return F.lit(offset) + index * bin_metres
 
 
-def differences(frames: DataFrame, keys: list[str], order: str, lag: int = 1) -> DataFrame:
-    """Each frame minus the one ``lag`` before; rows belong to the later frame."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return frames.withColumn("_before", F.lag("samples", lag).over(w)).where("_before IS NOT NULL").withColumn("samples", F.zip_with("samples", "_before", lambda a, b: a - b)).drop("_before")
+BLOCK = 4096
 
 
-def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int, stride: int = 1, lag: int = 1) -> DataFrame:
+def blocked(frames: DataFrame, order: str, halo: int, block: int = BLOCK) -> DataFrame:
+    """Frames dealt into blocks ``_block`` of ``block`` frame numbers, each with the ``halo`` frames before it.
+
+    A window over (keys, _block) then needs no whole recording in one task; rows of the halo are not ``_home``.
+    """
+    own = F.floor(F.col(order) / block)
+    dealt = frames.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col(order) + halo) / block))))
+    return dealt.withColumn("_home", F.col("_block") == own)
+
+
+def differences(frames: DataFrame, keys: list[str], order: str, lag: int = 1, block: int = BLOCK) -> DataFrame:
+    """Each frame minus the one ``lag`` numbers before, where that exists; rows belong to the later frame."""
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    met = blocked(frames, order, lag, block).withColumns({"_before": F.lag("samples", lag).over(w), "_no": F.lag(order, lag).over(w)})
+    return met.where(F.col("_home") & (F.col("_no") == F.col(order) - lag)).withColumn("samples", F.zip_with("samples", "_before", lambda a, b: a - b)).drop("_before", "_no", "_block", "_home")
+
+
+def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int, stride: int = 1, lag: int = 1, block: int = BLOCK) -> DataFrame:
     """Windows of ``length`` frames that end at each frame: profiles, then differences, divided by one peak.
 
-    Windows start at frame ``lag`` and every ``stride`` after it, since the first ``lag`` have no difference.
+    Windows start at frame ``lag`` of a recording and every ``stride`` after it, since the first ``lag`` have no
+    difference; a window with a missing frame is left out.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    seen = frames.select(*keys, order, F.transform("samples", lambda v: v.cast("float")).alias("x"), F.lag("samples", lag).over(w).alias("b"), (F.row_number().over(w) - 1).alias("at"))
-    diff = seen.where("b IS NOT NULL").withColumn("d", F.zip_with("x", "b", lambda a, c: a - c.cast("float")))
+    first = frames.groupBy(*keys).agg(F.min(order).alias("_first"))
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    seen = blocked(frames.select(*keys, order, F.transform("samples", lambda v: v.cast("float")).alias("x")), order, lag + length - 1, block)
+    seen = seen.withColumns({"b": F.lag("x", lag).over(w), "_no": F.lag(order, lag).over(w)})
+    diff = seen.withColumn("d", F.when(F.col("_no") == F.col(order) - lag, F.zip_with("x", "b", lambda a, c: a - c.cast("float"))))
     back = w.rowsBetween(-(length - 1), 0)
-    lists = diff.select(*keys, order, "at", F.collect_list("x").over(back).alias("xs"), F.collect_list("d").over(back).alias("ds"))
-    start = F.col("at") - (length - 1) - lag
+    lists = diff.select(*keys, order, "_home", F.collect_list(F.when(F.col("d").isNotNull(), F.col("x"))).over(back).alias("xs"), F.collect_list("d").over(back).alias("ds"), F.first(order).over(back).alias("_from"))
+    whole = (F.size("xs") == length) & (F.col("_from") == F.col(order) - (length - 1))
+    start = F.col(order) - (length - 1) - lag - F.col("_first")
     flat = F.concat(F.flatten("xs"), F.flatten("ds"))
-    kept = lists.where((F.size("xs") == length) & (start >= 0) & (start % stride == 0)).select(*keys, order, flat.alias("window"))
+    kept = lists.where(F.col("_home") & whole).join(first, keys).where((start >= 0) & (start % stride == 0)).select(*keys, order, flat.alias("window"))
     scale = F.array_max(F.transform("window", F.abs))
     return kept.withColumn("window", F.when(scale > 0, F.transform("window", lambda v: (v / scale).cast("float"))).otherwise(F.col("window")))
 
 
+def trailing_median(rows: DataFrame, keys: list[str], order: str, value: str, width: int, name: str, block: int = BLOCK) -> DataFrame:
+    """Rows with the median over the last ``width`` numbers, their own included; the first value stands before the start."""
+    first = rows.groupBy(*keys).agg(F.min_by(value, order).alias("_first"), F.min(order).alias("_start"))
+    back = Window.partitionBy(*keys, "_block").orderBy(order).rangeBetween(-(width - 1), 0)
+    seen = blocked(rows, order, width - 1, block).withColumn("_seen", F.collect_list(value).over(back)).where("_home").join(first, keys)
+    before = F.greatest(F.lit(0), F.lit(width - 1) - (F.col(order) - F.col("_start"))).cast("int")
+    seen = seen.withColumn("_seen", F.array_sort(F.concat(F.array_repeat("_first", before), "_seen")))
+    at = lambda k: F.element_at("_seen", F.floor(k / 2).cast("int") + 1)
+    return seen.withColumn(name, (at(F.size("_seen")) + at(F.size("_seen") - 1)) / 2).drop("_seen", "_first", "_start", "_block", "_home")
+
+
+def frame_at(frames: DataFrame, keys: list[str], order: str, index: int, rate: float) -> DataFrame:
+    """One frame of each recording with its time; a negative index counts from the end, one beyond gives no row."""
+    size = frames.groupBy(*keys).agg((F.max(order) + 1).alias("_n"))
+    at = F.when(F.lit(index) < 0, F.col("_n") + index).otherwise(F.lit(index))
+    return frames.join(size, keys).where(F.col(order) == at).withColumn("timestamp_s", F.col(order) / rate).drop("_n")
+
+
+def descriptor_crop(x: Column, offset: int, bins: int) -> Column:
+    """Bins [offset, offset + bins) of a profile; one that is too short is an error."""
+    return F.when(F.size(x) >= offset + bins, F.slice(x, offset + 1, bins)).otherwise(F.raise_error(F.lit("the profile is shorter than the crop")))
+
+
+def paired(originals: DataFrame, diffs: DataFrame, keys: list[str], lag: int) -> DataFrame:
+    """(keys, frame, samples, diff): column j of the differences belongs to column j + ``lag`` of the originals."""
+    later = diffs.select(*keys, (F.col("frame") + lag).alias("frame"), F.col("samples").alias("diff"))
+    return originals.join(later, [*keys, "frame"])
+
+
+def require_pairs(pairs: DataFrame, lag: int) -> None:
+    """Originals but the first ``lag`` have their difference, of the same length and time, marked as a difference."""
+    wrong = pairs.where(~F.col("differential") | (F.size("samples") != F.size("diff")) | (F.col("timestamp_s") != F.col("diff_timestamp_s"))).limit(1).count()
+    if wrong:
+        raise CaptureProcessingError("a frame's second part is not its difference")
+
+
 def as_of(probes: DataFrame, labels: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     """Probes with the value of the latest label at or before them; probes without one are dropped.
 
@@ -132,18 +187,26 @@ def strongest_peak(frames: DataFrame, bin_metres: float, offset: float = 0.0) ->
     return out.withColumn("range_m", F.lit(offset) + (F.col("bin") + F.col("delta")) * bin_metres).withColumn("amplitude", amplitude).drop("_n", "_l", "_c", "_r")
 
 
+def strong_enough(peaks: DataFrame, floors: DataFrame, keys: list[str], ratio: float = 4.0) -> DataFrame:
+    """Peaks with their ratio to the noise floor; bin, range and amplitude are null for silent frames and weak peaks."""
+    met = peaks.join(floors, keys, "left").withColumn("peak_to_noise", F.when(F.col("floor") > 0, F.col("amplitude") / F.col("floor")))
+    fine = (F.col("amplitude") > 0) & (F.col("peak_to_noise").isNull() | (F.col("peak_to_noise") >= ratio))
+    return met.withColumns({c: F.when(fine, F.col(c)) for c in ("bin", "range_m", "amplitude", "peak_to_noise")}).drop("floor")
+
+
 def bin_zero(values: DataFrame, keys: list[str], bins: int = 40) -> DataFrame:
     """(keys, offset): among the first bins the first with the largest median over time."""
     medians = values.where(F.col("bin") < bins).groupBy(*keys, "bin").agg(F.median(F.abs("value")).alias("m"))
     return medians.groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col("m"), "bin")).alias("offset"))
 
 
-def measured_lag(values: DataFrame, diffs: DataFrame, lags: range = range(1, 5), tolerance: float = 1e-3) -> DataFrame:
+def measured_lag(values: DataFrame, diffs: DataFrame, lags: range = range(1, 5), tolerance: float = 1e-3, columns: int = 256) -> DataFrame:
     """(lag, residual): how well ``values`` (frame, bin, value) differenced at each lag give ``diffs`` (frame, bin, d).
 
-    ``diffs`` counts frames from its own first, so that frame j belongs to frame j + lag of ``values``.
+    ``diffs`` counts frames from its own first, so that frame j belongs to frame j + lag of ``values``. Measured on the
+    first ``columns`` differences.
     """
-    out = None
+    out, diffs = None, diffs.where(F.col("frame") < columns)
     for lag in lags:
         before = values.select((F.col("frame") + lag).alias("frame"), "bin", F.col("value").alias("b"))
         expected = values.join(before, ["frame", "bin"]).select((F.col("frame") - lag).alias("frame"), "bin", (F.col("value") - F.col("b")).alias("e"))
@@ -152,6 +215,30 @@ def measured_lag(values: DataFrame, diffs: DataFrame, lags: range = range(1, 5),
     return out.withColumn("matches", F.coalesce(F.col("residual") <= tolerance, F.lit(False)))
 
 
+def require_preparation(values: DataFrame, diffs: DataFrame, keys: list[str], offset: int, lag: int) -> None:
+    """Refuses sessions (keys, frame, bin, value) whose measured bin zero, or lag where one can be measured, is another."""
+    wrong = bin_zero(values, keys).where(F.col("offset") != offset).limit(1).collect()
+    if wrong:
+        raise PreprocessingMismatchError(f"bin zero is {wrong[0]['offset']}, not {offset}, in {wrong[0].asDict()}")
+    found = [r["lag"] for r in measured_lag(values, diffs).where("matches").collect()]
+    if found and lag not in found:
+        raise PreprocessingMismatchError(f"differences are at lag {found}, not {lag}")
+
+
+def helmholtz_frequency(area: Column, volume: Column, neck: Column) -> Column:
+    """Resonance of a cavity with an opening, in Hz."""
+    return SPEED_OF_SOUND / (2 * F.pi()) * F.sqrt(area / (volume * neck))
+
+
+def quality_factor(f: Column, bandwidth: Column) -> Column:
+    return F.when(bandwidth > 0, f / bandwidth)
+
+
+def reverberation_time(decay_rate: Column) -> Column:
+    """Seconds until a resonance has fallen by 60 dB."""
+    return F.when(decay_rate > 0, F.log(F.lit(1000.0)) / decay_rate)
+
+
 def helmholtz_ratio(f: Column | float) -> Column:
     f = f if isinstance(f, Column) else F.lit(float(f))
     return F.pow(2 * F.pi() * f / SPEED_OF_SOUND, F.lit(2.0))

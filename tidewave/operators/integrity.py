@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.errors import IntegrityError
@@ -14,11 +14,21 @@ SCHEMA = "manifest/1"
 SUFFIXES = (".npy", ".json", ".txt", ".csv")
 
 
+def _glob(suffixes: tuple[str, ...]) -> str:
+    """A pattern of file names with one of the suffixes, whatever their case."""
+    return "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+
+
 def tree(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path, content) of the files below a folder with one of the suffixes, whatever their case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """(path, content) of the files below a folder with one of the suffixes; others are not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(suffixes)).load(folder)
     relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/+", "/"), "^.*?" + "/".join([""] + [p for p in str(folder).split("/") if p and ":" not in p]) + "/", "")
-    return files.select(relative.alias("path"), "content").where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+    return files.select(relative.alias("path"), "content")
+
+
+def with_suffix(paths: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Rows whose path ends in one of the suffixes, whatever its case."""
+    return paths.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -34,10 +44,50 @@ def verify(kept: DataFrame, files: DataFrame) -> DataFrame:
     return met.select("path", status.alias("status"))
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """(files, size_bytes) of a manifest."""
+    return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
+
+
+def verify_files(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, status) of the files given alone: size first, and a digest only where the size is right."""
+    now = files.select("path", F.octet_length("content").cast("long").alias("size_now"), "content")
+    met = now.join(kept, "path", "left")
+    status = F.when(F.col("size_bytes").isNull(), "not in the manifest").when(F.col("size_now") != F.col("size_bytes"), "wrong size").when(F.sha2("content", 256) != F.col("sha256"), "content changed").otherwise("ok")
+    return met.select("path", status.alias("status"))
+
+
+class Verifier:
+    """Reads below a folder only what its manifest vouches for, and hashes each path once."""
+
+    def __init__(self, kept: DataFrame, folder: str):
+        self.kept, self.folder, self.seen = kept, folder, set()
+
+    def require(self, *paths: str) -> None:
+        """IntegrityError unless every path (relative to the folder) is as the manifest says."""
+        new = sorted(set(paths) - self.seen)
+        if not new:
+            return
+        spark = self.kept.sparkSession
+        asked = spark.createDataFrame([(p,) for p in new], "path string")
+        unknown = asked.join(self.kept, "path", "left_anti").limit(1).collect()
+        if unknown:
+            raise IntegrityError(f"not in the manifest: {unknown[0]['path']}")
+        found = spark.read.format("binaryFile").load([f"{self.folder}/{p}" for p in new])
+        path = F.coalesce(*[F.when(F.endswith("path", F.lit("/" + p)), F.lit(p)) for p in sorted(new, key=len, reverse=True)])
+        require_ok(verify_files(self.kept, found.select(path.alias("path"), "content")))
+        self.seen |= set(new)
+
+
 def describe(report: DataFrame, shown: int = 5) -> str:
     """One line for each status that is not ok: its count and first paths."""
-    bad = report.where("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, shown).alias("some")).orderBy("status").collect()
-    return "\n".join(f"{r['status']}: {', '.join(r['some'])}" + (f" (+{r['n'] - shown} more)" if r["n"] > shown else "") for r in bad)
+    bad = report.where("status <> 'ok'")
+    counts = {r["status"]: r["count"] for r in bad.groupBy("status").count().collect()}
+    first = bad.withColumn("_at", F.row_number().over(Window.partitionBy("status").orderBy("path"))).where(F.col("_at") <= shown).orderBy("status", "path").collect()
+    lines = []
+    for status, n in sorted(counts.items()):
+        lines.append(f"{status}: {', '.join(r['path'] for r in first if r['status'] == status)}" + (f" (+{n - shown} more)" if n > shown else ""))
+    return "\n".join(lines)
 
 
 def require_ok(report: DataFrame) -> None:
@@ -46,8 +96,13 @@ def require_ok(report: DataFrame) -> None:
 
 
 def write_manifest(rows: DataFrame, path: str, dataset: str) -> None:
-    files = [r.asDict() for r in rows.orderBy("path").toLocalIterator()]
-    Path(path).write_text(json.dumps({"schema": SCHEMA, "dataset": dataset, "files": files}, indent=2) + "\n")
+    """One JSON file, sorted by path, written row by row."""
+    with open(path, "w") as out:
+        out.write(f'{{\n  "schema": {json.dumps(SCHEMA)},\n  "dataset": {json.dumps(dataset)},\n  "files": [')
+        for i, r in enumerate(rows.select("path", "size_bytes", "sha256").orderBy("path").toLocalIterator()):
+            text = json.dumps(r.asDict(), indent=2).replace("\n", "\n    ")
+            out.write(("," if i else "") + "\n    " + text)
+        out.write("\n  ]\n}\n")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

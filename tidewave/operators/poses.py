@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,16 @@ N_JOINTS = len(JOINTS)
 SIZE = 3 * N_JOINTS
 
 
+# Letters whose full case folding is longer than they are, or another letter than their lower case.
+FOLDED = {"ß": "ss", "ẞ": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ς": "σ", "ŉ": "ʼn", "ſ": "s"}
+
+
 def identity(name: Column) -> Column:
-    """Names that differ in case and white space alone are one; ß and its like fold as in full case folding."""
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), "[ßẞ]", "ss"))
+    """Names that differ in case and white space alone are one, by full case folding."""
+    out = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    for letter, folded in FOLDED.items():
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
 
 
 def session_key(participant: Column, session: Column) -> Column:
@@ -33,11 +42,13 @@ def wrist_relative(pose: Column) -> Column:
 
 
 def joint_errors(predicted: Column, truth: Column, alignment: Alignment = Alignment.ROOT) -> Column:
-    """Distance of each joint in mm."""
-    a, b = (predicted, truth) if alignment is Alignment.NONE else (wrist_relative(predicted), wrist_relative(truth))
-    square = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    joint = lambda j: F.sqrt(F.element_at(square, (3 * j + 1).cast("int")) + F.element_at(square, (3 * j + 2).cast("int")) + F.element_at(square, (3 * j + 3).cast("int"))) * 1000
-    return F.transform(F.sequence(F.lit(0), F.lit(N_JOINTS - 1)), joint)
+    """Distance of each joint in mm, written out joint by joint so that it is compiled."""
+
+    def apart(i: int) -> Column:
+        d = predicted[i] - truth[i]
+        return d if alignment is Alignment.NONE else d - (predicted[i % 3] - truth[i % 3])
+
+    return F.array(*[F.sqrt(apart(3 * j) * apart(3 * j) + apart(3 * j + 1) * apart(3 * j + 1) + apart(3 * j + 2) * apart(3 * j + 2)) * 1000 for j in range(N_JOINTS)])
 
 
 def mean_of(values: Column, start: int = 0) -> Column:
@@ -65,9 +76,10 @@ def metrics(errors: DataFrame, keys: list[str], threshold_mm: float = 20.0) -> D
     return out.withColumn("fingertips", tips).withColumn("rest", rest).withColumn("dilution", F.when(F.col("rest") > 0, F.col("fingertips") / F.col("rest")).otherwise(F.lit(float("inf"))))
 
 
-def vector_sums(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, sums): one grouped pass with partial sums."""
-    return samples.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("pose")[i]) for i in range(SIZE)]).alias("sums"))
+def vector_sums(samples: DataFrame, keys: list[str], vector: str = "pose", weight: str | None = None) -> DataFrame:
+    """(keys, n, sums): one grouped pass with partial sums of whole vectors; ``weight``: rows that hold sums already."""
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col(vector)))).alias("sums")
+    return samples.groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias("n"), total)
 
 
 def mean_vector(sums: Column, n: Column) -> Column:
@@ -75,14 +87,14 @@ def mean_vector(sums: Column, n: Column) -> Column:
 
 
 def left_out_means(samples: DataFrame, unit: str, within: list[str] | None = None) -> DataFrame:
-    """(within, unit, pose): for each unit the mean pose of all samples of the others."""
+    """(within, unit, mean_pose): for each unit the mean pose of all samples of the others, where there are any."""
     within = within or []
     parts = vector_sums(samples, [*within, unit])
-    frame = Window.partitionBy(*within)
     # the table of units has one row for each person, session or device
-    total = parts.select(*within, unit, "n", "sums", F.sum("n").over(frame).alias("all_n"), F.array(*[F.sum(F.col("sums")[i]).over(frame) for i in range(SIZE)]).alias("all_sums"))
+    total = vector_sums(parts, within, "sums", "n").withColumnsRenamed({"n": "all_n", "sums": "all_sums"})
+    met = parts.join(total, within) if within else parts.join(F.broadcast(total), F.lit(True))  # one row
     rest = F.zip_with("all_sums", "sums", lambda a, b: a - b)
-    return total.where("all_n > n").select(*within, unit, mean_vector(rest, F.col("all_n") - F.col("n")).alias("mean_pose"))
+    return met.where("all_n > n").select(*within, unit, mean_vector(rest, F.col("all_n") - F.col("n")).alias("mean_pose"))
 
 
 def folds(samples: DataFrame, split: Split, test_fraction: float = 0.2, contiguous: bool = True) -> DataFrame:
@@ -134,26 +146,29 @@ def aliases(names: DataFrame, column: str) -> DataFrame:
 def subject_means(train: DataFrame, test: DataFrame) -> DataFrame:
     """Each test sample with its person's mean training pose, or the mean of all, and whether the person is known."""
     people = vector_sums(train, ["participant"])
-    everybody = people.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(SIZE)]).alias("sums")).select(mean_vector(F.col("sums"), F.col("n")).alias("overall"))
+    everybody = vector_sums(people, [], "sums", "n").select(mean_vector(F.col("sums"), F.col("n")).alias("overall"))
     known = people.select("participant", mean_vector(F.col("sums"), F.col("n")).alias("own"))
     return test.join(known, "participant", "left").join(F.broadcast(everybody), F.lit(True)).select(*test.columns, F.coalesce("own", "overall").alias("mean_pose"), F.col("own").isNotNull().alias("known"))
 
 
-def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = 4096) -> DataFrame:
+def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = 4096, same: list[str] | None = None, differ: list[str] | None = None) -> DataFrame:
     """(sample_id, nearest_id, d2): nearest training sample by features, the smallest id on ties.
 
     Training rows form blocks of about ``block_rows``; each block of test rows meets each of them once as a matrix
-    product, and the best of each block are reduced by a grouped minimum.
+    product, and the best of each block are reduced by a grouped minimum. Only training rows count that have the test
+    row's values in the columns ``same`` and others in the columns ``differ``: so all folds of a family take one pass.
     """
+    keys = lambda names: F.xxhash64(*names) if names else F.lit(0).cast("long")
+
     def blocks(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
         n = max(1, -(-frame.count() // block_rows))
 
         def pack(data: pa.Table) -> pa.Table:
             x = np.array(data["features"].to_pylist(), np.float64)
-            return pa.table({f"{name}_ids": pa.array([data["sample_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_x": pa.array([x.tobytes()], pa.binary()), f"{name}_block": pa.array([data["block"][0].as_py()], pa.int64())})
+            return pa.table({f"{name}_ids": pa.array([data["sample_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_x": pa.array([x.tobytes()], pa.binary()), f"{name}_keys": pa.array([np.stack([data["same"].to_numpy(), data["differ"].to_numpy()]).astype("<i8").tobytes()], pa.binary()), f"{name}_block": pa.array([data["block"][0].as_py()], pa.int64())})
 
-        dealt = frame.select("sample_id", "features", F.pmod(F.xxhash64("sample_id"), F.lit(n)).alias("block"))
-        return dealt.groupBy("block").applyInArrow(pack, f"{name}_ids binary, {name}_x binary, {name}_block bigint"), n
+        dealt = frame.select("sample_id", "features", keys(same).alias("same"), keys(differ).alias("differ"), F.pmod(F.xxhash64("sample_id"), F.lit(n)).alias("block"))
+        return dealt.groupBy("block").applyInArrow(pack, f"{name}_ids binary, {name}_x binary, {name}_keys binary, {name}_block bigint"), n
 
     a, n = blocks(train, "train")
     b, _ = blocks(test, "test")
@@ -165,10 +180,17 @@ def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = 4096)
                 order = np.argsort(ids)
                 x, q = np.frombuffer(row["train_x"]).reshape(len(ids), -1)[order], np.frombuffer(row["test_x"]).reshape(len(qids), -1)
                 d = np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1), 0)
-                at = np.round(d, 9).argmin(1)
-                yield pa.record_batch([pa.array(qids), pa.array(ids[order][at]), pa.array(d[np.arange(len(q)), at])], names=["sample_id", "id", "d2"])
-
-    met = b.withColumn("train_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(a, "train_block").select("train_ids", "train_x", "test_ids", "test_x")
+                (same_a, differ_a), (same_b, differ_b) = (np.frombuffer(row[c], "<i8").reshape(2, -1) for c in ("train_keys", "test_keys"))
+                allowed = same_b[:, None] == same_a[order]
+                if differ:
+                    allowed &= differ_b[:, None] != differ_a[order]
+                d = np.where(allowed, np.round(d, 9), np.inf)
+                at = d.argmin(1)
+                low = d[np.arange(len(q)), at]
+                some = np.isfinite(low)
+                yield pa.record_batch([pa.array(qids[some]), pa.array(ids[order][at][some]), pa.array(low[some])], names=["sample_id", "id", "d2"])
+
+    met = b.withColumn("train_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(a, "train_block").select("train_ids", "train_x", "train_keys", "test_ids", "test_x", "test_keys")
     return met.mapInArrow(best, "sample_id bigint, id bigint, d2 double").groupBy("sample_id").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), F.col("id"))).alias("m")).select("sample_id", F.col("m.id").alias("nearest_id"), F.col("m.d2").alias("d2"))
 
 
@@ -203,6 +225,15 @@ def calibration(samples: DataFrame, folded: DataFrame, budgets: list[float], sam
     return ranked.join(F.broadcast(wanted), F.col("rank") <= F.col("wanted")).select("budget", "wanted", "fold", "participant", "sample_id", "rank")
 
 
+def achieved(samples: DataFrame, folded: DataFrame, taken: DataFrame, budgets: list[float], sample_seconds: float) -> DataFrame:
+    """(budget, achieved, truncated): minutes of the person who got least, and whether any got less than wanted."""
+    people = folded.where("role = 'test'").join(samples.select("sample_id", "participant"), "sample_id").select("fold", "participant").distinct()
+    asked = samples.sparkSession.createDataFrame([(float(b), round(b * 60 / sample_seconds)) for b in budgets], "budget double, wanted long")
+    got = taken.groupBy("budget", "fold", "participant").agg(F.count("*").alias("got"))
+    each = people.join(F.broadcast(asked), F.lit(True)).join(got, ["budget", "fold", "participant"], "left").fillna(0, ["got"])
+    return each.groupBy("budget").agg((F.min("got") * sample_seconds / 60).alias("achieved"), F.bool_or(F.col("got") < F.col("wanted")).alias("truncated"))
+
+
 def concentration(test: DataFrame, most: float = 0.5) -> DataFrame:
     """The person with most test samples; passes up to a share of ``most``. First seen wins ties."""
     people = test.groupBy("participant").agg(F.count("*").alias("n"), F.min("sample_id").alias("first"))
@@ -217,17 +248,63 @@ def pose_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(N_JOINTS - 1)), joint), F.lit(0.0), lambda s, x: s + x) / N_JOINTS
 
 
+def _match(people: np.ndarray, tested: np.ndarray) -> tuple[int, float, float | None]:
+    """Nearest person to the tested pose, its distance, and the median distance between people (n, joints, 3)."""
+    far = np.sqrt(((people - tested) ** 2).sum(2)).mean(1)
+    between = [np.sqrt(((people[i + 1 :] - people[i]) ** 2).sum(2)).mean(1) for i in range(len(people) - 1)]
+    return int(far.argmin()), float(far.min()), float(np.median(np.concatenate(between))) if between else None
+
+
+MATCH = "fold string, nearest string, distance double, typical double, ratio double, shared long, passed boolean"
+
+
+def label_matches(parts: DataFrame, tested: DataFrame, least: float = 0.2) -> DataFrame:
+    """For each fold how far its mean test pose is from the nearest training person's, against the median between them.
+
+    ``parts``: (fold, participant, n, sums) of training rows, ``tested``: the same of test rows. A fold is one group of
+    one row for each person, whose distances are taken row by row; it passes if nobody is on both sides and the nearest
+    person is farther than ``least`` of the median.
+    """
+
+    def judge(train: pa.Table, test: pa.Table) -> pa.Table:
+        fold = (test if test.num_rows else train)["fold"][0].as_py()
+        row = dict.fromkeys(("nearest", "distance", "typical", "ratio")) | {"fold": fold, "shared": 0, "passed": False}
+        if train.num_rows and test.num_rows:
+            order = np.argsort(np.array(train["participant"].to_pylist(), object))
+            mean = lambda t: np.array(t["sums"].to_pylist()) / t["n"].to_numpy()[:, None]
+            total = np.array(test["sums"].to_pylist()).sum(0) / test["n"].to_numpy().sum()
+            at, far, typical = _match(mean(train)[order].reshape(-1, N_JOINTS, 3), total.reshape(N_JOINTS, 3))
+            names = [train["participant"][int(i)].as_py() for i in order]
+            ratio = far / typical if typical else None
+            shared = len(set(names) & set(test["participant"].to_pylist()))
+            row |= {"nearest": names[at], "distance": far, "typical": typical, "ratio": ratio, "shared": shared, "passed": bool(ratio is not None and ratio > least and not shared)}
+        return pa.Table.from_pylist([row], pa.schema([("fold", pa.string()), ("nearest", pa.string()), ("distance", pa.float64()), ("typical", pa.float64()), ("ratio", pa.float64()), ("shared", pa.int64()), ("passed", pa.bool_())]))
+
+    # new names, since both sides may come from one table
+    columns = [F.col("fold").alias("fold"), F.col("participant").alias("participant"), F.col("n").cast("long").alias("n"), F.col("sums").alias("sums")]
+    return parts.select(columns).groupBy("fold").cogroup(tested.select(columns).groupBy("fold")).applyInArrow(judge, MATCH)
+
+
 def label_match(train: DataFrame, test: DataFrame, least: float = 0.2) -> DataFrame:
-    """How far the mean test pose is from the nearest training person's, against the median between training people."""
-    people = vector_sums(train, ["participant"]).select("participant", mean_vector(F.col("sums"), F.col("n")).alias("m"))
-    other = people.select(F.col("participant").alias("p2"), F.col("m").alias("m2"))
-    typical = people.join(other, F.col("participant") < F.col("p2")).agg(F.median(pose_distance(F.col("m"), F.col("m2"))).alias("typical"))
-    tested = vector_sums(test, []).select(mean_vector(F.col("sums"), F.col("n")).alias("t"))
-    near = people.join(F.broadcast(tested), F.lit(True)).select("participant", pose_distance(F.col("m"), F.col("t")).alias("d")).agg(F.min(F.struct("d", "participant")).alias("m"))
-    shared = test.select("participant").distinct().join(train.select("participant").distinct(), "participant", "left_semi").agg(F.count("*").alias("shared"))
-    row = near.join(F.broadcast(typical), F.lit(True)).join(F.broadcast(shared), F.lit(True))
-    ratio = F.when(F.col("typical") > 0, F.col("m.d") / F.col("typical"))
-    return row.select(F.col("m.participant").alias("nearest"), F.col("m.d").alias("distance"), "typical", ratio.alias("ratio"), F.coalesce((F.col("shared") == 0) & (ratio > least), F.lit(False)).alias("passed"))
+    """``label_matches`` of one pair of training and test samples."""
+    one = lambda rows: vector_sums(rows, ["participant"]).withColumn("fold", F.lit(""))
+    return label_matches(one(train), one(test), least).drop("fold", "shared")
+
+
+def unit_of(split: Split) -> tuple[str, list[str]]:
+    """The column a family leaves out, and the columns inside which it does."""
+    return {Split.CROSS_SESSION: ("skey", ["who"]), Split.CROSS_USER: ("who", []), Split.CROSS_DEVICE: ("device", [])}[split]
+
+
+def fold_label_matches(samples: DataFrame, split: Split, least: float = 0.2) -> DataFrame:
+    """``label_matches`` of all folds of a family that leaves units out, from one pass of sums by unit and person."""
+    unit, within = unit_of(split)
+    parts = vector_sums(samples, [*within, unit, "participant"])
+    tested = parts.withColumn("fold", F.col(unit))
+    left = parts.select(*within, F.col(unit).alias("fold")).distinct()
+    met = parts.join(left, within) if within else parts.join(F.broadcast(left), F.lit(True))  # a row for each unit and person
+    rest = met.where(F.col("fold") != F.col(unit))
+    return label_matches(vector_sums(rest, ["fold", "participant"], "sums", "n"), tested, least)
 
 
 def evaluation_size(errors: DataFrame, cluster: str, least: int, reported_decimals: int = 2) -> DataFrame:
@@ -245,6 +322,38 @@ def time_blocks(samples: DataFrame, most: int = 10) -> DataFrame:
     return samples.withColumn("time_block", F.floor((F.row_number().over(whole) - 1) * F.least(n, F.lit(most)) / n).cast("int"))
 
 
+def split_fingerprint(folded: DataFrame, samples: DataFrame) -> DataFrame:
+    """(fold, role, n, fingerprint): what a fold holds, as one hash of its sorted samples and what describes them."""
+    rows = folded.join(samples.select("sample_id", "participant", "session", "device"), "sample_id")
+    row = F.sha2(F.concat_ws("|", F.col("sample_id").cast("string"), "participant", "session", "device"), 256)
+    by = rows.select("fold", "role", F.pmod("sample_id", F.lit(1 << 12)).alias("b"), row.alias("h")).groupBy("fold", "role", "b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return by.groupBy("fold", "role").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("b").cast("string"), 6, "0"), "h"))), ""), 256).alias("fingerprint"))
+
+
+def index_faults(folded: DataFrame, samples: DataFrame) -> DataFrame:
+    """(fold, sample_id, fault): samples that a fold names twice on one side, on both sides, or that do not exist."""
+    by = folded.groupBy("fold", "sample_id").agg(F.count("*").alias("n"), F.countDistinct("role").alias("roles"))
+    known = samples.select("sample_id", F.lit(True).alias("known"))
+    fault = F.when(F.col("known").isNull(), "unknown").when(F.col("roles") > 1, "overlap").when(F.col("n") > 1, "repeated")
+    return by.join(known, "sample_id", "left").select("fold", "sample_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def joint(pose: Column, name: str) -> Column:
+    """(x, y, z) of a joint by its name."""
+    return F.slice(pose, 3 * JOINTS.index(name) + 1, 3)
+
+
+def valid_pose(pose: Column) -> Column:
+    """63 numbers, all finite."""
+    return F.coalesce((F.size(pose) == SIZE) & F.forall(pose, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+
+
+def head(samples: DataFrame, limit: int, order: list[str], with_features: bool = True) -> DataFrame:
+    """The first ``limit`` samples in the source's order, features only on request."""
+    rows = samples.orderBy(*order).limit(limit)
+    return rows if with_features else rows.drop("features")
+
+
 def where(samples: DataFrame, participant: str | None = None, session: str | None = None, device: str | None = None) -> DataFrame:
     """Samples that meet all that is given; names are compared as identities."""
     out = samples
@@ -270,12 +379,12 @@ def restore_pose(z: Column, mean: Column, sd: Column) -> Column:
 
 
 def digest(predictions: DataFrame, digits: int = 9) -> DataFrame:
-    """(rows, digest) of (sample_id, pose): one hash for each row, combined over their sorted list of 256 buckets.
+    """(rows, digest) of (sample_id, pose): one hash for each row, combined by 4,096 buckets of ids and then over those.
 
-    Buckets keep any one list short: rows are hashed within buckets of their ids first.
+    Numbers count to ``digits`` decimals. Buckets grow with the rows, each within one task.
     """
-    row = F.sha2(F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("pose", lambda v: F.format_number(v, digits))), 256)
-    parts = predictions.select(F.pmod(F.xxhash64("sample_id"), F.lit(1 << 16)).alias("b"), row.alias("h")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    row = F.sha2(F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("pose", lambda v: F.round(v * 10**digits).cast("long").cast("string"))), 256)
+    parts = predictions.select(F.pmod("sample_id", F.lit(1 << 12)).alias("b"), row.alias("h")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("b").cast("string"), 6, "0"), "h"))), ""), 256).alias("digest"))
 
 

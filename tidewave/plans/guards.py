@@ -7,7 +7,7 @@ import json
 from dataclasses import dataclass, field
 
 from tidewave.errors import ExperimentError, GuardViolation
-from tidewave.model import GuardName, Measurement, Protocol, Split
+from tidewave.model import JOINTS, GuardName, Measurement, Protocol, Split
 
 MARGIN = 0.9
 
@@ -76,12 +76,19 @@ class GuardReport:
         return "\n".join(f.describe() for f in self.findings)
 
 
-def run_guards(train, test, errors, protocol: Protocol, waivers: tuple[Waiver, ...] = ()) -> GuardReport:
-    """The three guards as plans over training samples, test samples and errors (cluster, error)."""
+def run_guards(family, said, protocol: Protocol, waivers: tuple[Waiver, ...] = ()) -> GuardReport:
+    """The three guards of a family of folds and a model's predictions (fold, sample_id, guess).
+
+    Concentration and the size of the evaluation look at the test rows of all folds together; whether labels match is
+    asked of every fold, since a fold that leaves one unit out holds nobody else to compare.
+    """
+    from pyspark.sql import functions as F
+
     from tidewave.operators import poses
 
     by = {w.guard: w for w in waivers}
     within = not protocol.split.is_population
+    test = family.test()
     a = poses.concentration(test).first()
     if a is None or not a["total"]:
         raise ExperimentError("the test set is empty")
@@ -89,10 +96,18 @@ def run_guards(train, test, errors, protocol: Protocol, waivers: tuple[Waiver, .
     if within:
         found.append(Finding(GuardName.LABEL_MATCH, True, "not asked within users", {}, by.get(GuardName.LABEL_MATCH)))
     else:
-        b = poses.label_match(train, test).first()
-        ratio = "no typical distance" if b is None or b["ratio"] is None else f"nearest person at {b['ratio']:.2f} of the usual distance"
-        found.append(Finding(GuardName.LABEL_MATCH, bool(b and b["passed"]), ratio, b.asDict() if b else {}, by.get(GuardName.LABEL_MATCH)))
-    c = poses.evaluation_size(errors, "cluster", 5 if protocol.split.is_population else 2).first()
+        matches = poses.fold_label_matches(family.samples, protocol.split) if family.by_unit else poses.label_matches(poses.vector_sums(family.train(), ["fold", "participant"]), poses.vector_sums(test, ["fold", "participant"]))
+        rows = sorted(matches.collect(), key=lambda r: (r["passed"], r["ratio"] if r["ratio"] is not None else -1.0, r["fold"]))  # a row a fold
+        worst = rows[0]
+        ratio = "no typical distance" if worst["ratio"] is None else f"nearest person at {worst['ratio']:.2f} of the usual distance"
+        failed = [r["fold"] for r in rows if not r["passed"]]
+        found.append(Finding(GuardName.LABEL_MATCH, not failed, f"{len(failed)} of {len(rows)} folds match their training labels; in {worst['fold']} {ratio}", {"failed": failed, "worst": worst.asDict()}, by.get(GuardName.LABEL_MATCH)))
+    errors = said.join(test, ["fold", "sample_id"]).withColumn("error", poses.mean_of(poses.joint_errors(F.col("guess"), F.col("pose"))))
+    if protocol.split.is_population:
+        clusters = errors.select(F.concat_ws("/", "participant", "session").alias("cluster"), "error")
+    else:
+        clusters = poses.time_blocks(errors).select(F.format_string("time-block-%02d", "time_block").alias("cluster"), "error")
+    c = poses.evaluation_size(clusters, "cluster", 5 if protocol.split.is_population else 2).first()
     found.append(Finding(GuardName.EVALUATION_SIZE, c["passed"], f"{c['clusters']} clusters, standard error {c['sem'] or 0:.3g}", c.asDict(), by.get(GuardName.EVALUATION_SIZE)))
     return GuardReport(tuple(found), protocol.split, protocol.dataset, protocol.dataset_version)
 
@@ -123,6 +138,14 @@ class Report:
     def protocol(self) -> Protocol:
         return self.rows[0].mpjpe.protocol
 
+    def attach(self, guards: GuardReport) -> None:
+        """Takes guards that were run on the rows' split and dataset, and no others."""
+        if not self.rows:
+            raise ExperimentError("guards without rows")
+        if not guards.bound_to(self.protocol):
+            raise ExperimentError("the guards belong to another split or dataset")
+        self.guards = guards
+
     def best(self, kind: str) -> Row | None:
         return min((r for r in self.rows if r.kind == kind), key=lambda r: r.mpjpe.value, default=None)
 
@@ -147,17 +170,48 @@ class Report:
         weak = [r.name for r in self.rows if r.kind == "baseline" and r.name not in self.beaten()]
         return f"{model.name}: {model.mpjpe.value:.2f} {model.mpjpe.unit} ({self.protocol.describe()})" + (f"; does NOT clearly beat {', '.join(weak)}" if weak else "")
 
+    def verdict(self) -> str:
+        """One line: what may be said of the model against its baselines."""
+        if self.refusals(in_set=True):
+            return "no verdict"
+        weak = [r.name for r in self.rows if r.kind == "baseline" and r.name not in self.beaten()]
+        return f"fails to beat {', '.join(weak)} by {1 - MARGIN:.0%}" if weak else f"beats {', '.join(self.beaten())} by {1 - MARGIN:.0%} or more"
+
     def validity(self) -> str:
         p = self.protocol
         unmeasured = [s.name.lower() for s in Split if s > p.split] + ["held-out poses"] * (not p.held_out_poses)
         return "\n".join([f"Measured: {p.describe()}", *(f"UNMEASURED: {u}" for u in unmeasured)])
 
     def table(self) -> str:
-        lines = [f"{'name':<20}{'kind':<10}{'MPJPE':>10}"]
-        return "\n".join(lines + [f"{r.name:<20}{r.kind:<10}{r.mpjpe.value:>10.2f}" for r in sorted(self.rows, key=lambda r: r.mpjpe.value)])
+        """Rows by their error, with the five numbers of each."""
+        number = lambda x, digits=2: f"{x:>10.{digits}f}" if x is not None else f"{'-':>10}"
+        lines = [f"{'name':<20}{'kind':<10}{'MPJPE21':>10}{'MPJPE20':>10}{'PA':>10}{'tips':>10}{'PCK':>10}"]
+        for r in sorted(self.rows, key=lambda r: r.mpjpe.value):
+            o = r.others.get
+            lines.append(f"{r.name:<20}{r.kind:<10}" + number(r.mpjpe.value) + number(o("mpjpe_excl_root")) + number(o("pa_mpjpe")) + number(o("fingertips")) + number(o("pck"), 3))
+        return "\n".join(lines)
+
+    def joints(self, name: str, worst: int = 5) -> str:
+        """The joints of a row with the largest errors, fingertips against the rest."""
+        row = next(r for r in self.rows if r.name == name)
+        per = row.others["per_joint"]
+        order = sorted(range(len(per)), key=lambda j: (-per[j], j))[:worst]
+        tips, rest = row.others.get("fingertips"), row.others.get("rest")
+        lines = [f"{JOINTS[j]:<14}{per[j]:>8.2f} mm" for j in order]
+        return "\n".join([*lines, f"fingertips {tips:.2f} mm, other joints {rest:.2f} mm" if tips is not None and rest is not None else "no fingertips"])
+
+    def text(self) -> str:
+        model = self.best("model")
+        parts = [self.headline(True), self.verdict(), self.table(), self.validity()]
+        parts += [self.guards.describe()] if self.guards else []
+        parts += [self.joints(model.name)] if model and "per_joint" in model.others else []
+        return "\n\n".join(parts)
+
+    def as_dict(self) -> dict:
+        return {"headline": self.headline(), "verdict": self.verdict(), "refusals": self.refusals(), "rows": [{"name": r.name, "kind": r.kind, "mpjpe": r.mpjpe.value, "samples": r.mpjpe.samples, **r.others} for r in self.rows], "guards": [f.describe() for f in self.guards.findings] if self.guards else None}
 
     def as_json(self) -> str:
-        return json.dumps({"headline": self.headline(), "refusals": self.refusals(), "rows": [{"name": r.name, "kind": r.kind, "mpjpe": r.mpjpe.value, "samples": r.mpjpe.samples, **r.others} for r in self.rows], "guards": [f.describe() for f in self.guards.findings] if self.guards else None}, indent=2)
+        return json.dumps(self.as_dict(), indent=2)
 
 
 @dataclass
@@ -166,6 +220,14 @@ class ReportSet:
 
     reports: dict[Split, Report] = field(default_factory=dict)
     absences: dict[Split, str] = field(default_factory=dict)
+    experiments: dict = field(default_factory=dict)
+
+    def absence(self, split: Split) -> str | None:
+        """Why a split was not measured; None if it was."""
+        return None if split in self.reports else self.absences.get(split, "not asked for")
+
+    def as_json(self) -> str:
+        return json.dumps({"headline": self.headline(), "refusals": self.refusals(), "splits": {s.name.lower(): r.as_dict() for s, r in sorted(self.reports.items())}, "absences": {s.name.lower(): self.absence(s) for s in Split if s not in self.reports}}, indent=2)
 
     def add(self, report: Report) -> None:
         split = report.protocol.split

@@ -1,9 +1,15 @@
-"""The evaluation suite: four families of splits, a model and three baselines, guards and a refusing report."""
+"""The evaluation suite: four families of splits, a model and three baselines, guards, fold reports and a refusing report.
+
+Baselines of a family that leaves units out come from sums by unit (all minus the unit) and from one pass of masked
+nearest neighbours, so no fold is joined with all samples. A model is fitted fold by fold on that fold's rows alone.
+"""
 
 from __future__ import annotations
 
+import json
+from abc import ABC, abstractmethod
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,78 +18,246 @@ from pyspark.sql import functions as F
 from tidewave.errors import ExperimentError
 from tidewave.model import Alignment, Measurement, Protocol, Split
 from tidewave.operators import poses
-from tidewave.plans.guards import Report, ReportSet, Row, run_guards
+from tidewave.plans.guards import Report, ReportSet, Row, Waiver, run_guards
 
-#: (train, test) -> (sample_id, pose); both hold the columns of samples and ``fold``, one row for each fold and sample.
+#: (train, test) of one fold -> (sample_id, guess) for each test sample.
 Predictor = Callable[[DataFrame, DataFrame], DataFrame]
+#: samples -> (fold, sample_id, role); ValueError where the data has no such folds.
+FoldBuilder = Callable[[DataFrame], DataFrame]
+
+
+@dataclass
+class Family:
+    """The folds of one split over samples; ``built`` tells that they are not the split's own."""
+
+    samples: DataFrame
+    split: Split
+    folded: DataFrame
+    built: bool = False
+
+    @classmethod
+    def of(cls, samples: DataFrame, split: Split, builder: FoldBuilder | None = None) -> Family:
+        rows = samples.withColumns({"who": poses.identity(F.col("participant")), "skey": poses.session_key(F.col("participant"), F.col("session"))})
+        folded = builder(samples) if builder else poses.folds(samples, split)
+        if folded.limit(1).count() == 0 or folded.groupBy("fold").agg(F.countDistinct("role").alias("r")).where("r < 2").limit(1).count():
+            raise ValueError(f"no folds of {split.name}")
+        if builder and poses.index_faults(folded, samples).limit(1).count():
+            raise ExperimentError("folds name samples twice or that do not exist")
+        poses.require_no_leakage(folded, samples, split)
+        return cls(rows, split, folded, builder is not None)
+
+    @property
+    def by_unit(self) -> bool:
+        return self.split is not Split.WITHIN_SESSION and not self.built
+
+    def test(self) -> DataFrame:
+        """Test rows of all folds, each with its ``fold``."""
+        return self.folded.where("role = 'test'").select("fold", "sample_id").join(self.samples, "sample_id")
+
+    def train(self) -> DataFrame:
+        """Training rows of all folds; for families without units only, where folds do not share rows."""
+        return self.folded.where("role = 'train'").select("fold", "sample_id").join(self.samples, "sample_id")
+
+    def names(self) -> list[str]:
+        return sorted(r["fold"] for r in self.folded.select("fold").distinct().collect())
+
+    def side(self, fold: str, role: str) -> DataFrame:
+        """One side of one fold."""
+        if self.by_unit:
+            unit, within = poses.unit_of(self.split)
+            inside = self.samples
+            for c in within:
+                one = self.samples.where(F.col(unit) == fold).select(c).limit(1)
+                inside = inside.join(F.broadcast(one), c, "left_semi")
+            return inside.where(F.col(unit) == fold if role == "test" else F.col(unit) != fold)
+        ids = self.folded.where((F.col("fold") == fold) & (F.col("role") == role)).select("sample_id")
+        return self.samples.join(ids, "sample_id", "left_semi")
+
+    def means(self) -> DataFrame:
+        """(fold, guess): the mean training pose of each fold."""
+        if self.by_unit:
+            unit, within = poses.unit_of(self.split)
+            return poses.left_out_means(self.samples, unit, within).select(F.col(unit).alias("fold"), F.col("mean_pose").alias("guess"))
+        return poses.vector_sums(self.train(), ["fold"]).select("fold", poses.mean_vector(F.col("sums"), F.col("n")).alias("guess"))
+
+    def subject_means(self) -> DataFrame:
+        """(fold, participant, own): the mean training pose of each person in each fold where they have any."""
+        if self.by_unit:
+            unit, _ = poses.unit_of(self.split)
+            return poses.left_out_means(self.samples, unit, ["participant"]).select(F.col(unit).alias("fold"), "participant", F.col("mean_pose").alias("own"))
+        return poses.vector_sums(self.train(), ["fold", "participant"]).select("fold", "participant", poses.mean_vector(F.col("sums"), F.col("n")).alias("own"))
+
+    def nearest(self) -> DataFrame:
+        """(fold, sample_id, nearest_id): the nearest training sample of each test sample's fold by features."""
+        test = self.test()
+        if self.by_unit:
+            unit, within = poses.unit_of(self.split)
+            found = poses.nearest_features(self.samples, self.samples, same=within, differ=[unit])
+        else:
+            found = poses.nearest_features(self.train(), test, same=["fold"])
+        return test.select("fold", "sample_id").join(found, "sample_id").select("fold", "sample_id", "nearest_id")
+
+
+class Baseline(ABC):
+    """Something to beat: fitted on a family's training rows, it guesses every test sample."""
+
+    name: str
+
+    @abstractmethod
+    def fit_predict(self, family: Family) -> DataFrame | None:
+        """(fold, sample_id, guess), or None where the samples do not have what it needs."""
+
+
+class MeanPose(Baseline):
+    name = "mean-pose"
+
+    def fit_predict(self, family: Family) -> DataFrame:
+        return family.test().select("fold", "sample_id").join(family.means(), "fold")
+
+
+class SubjectMean(Baseline):
+    """A person's own mean, the mean of all for people without training rows."""
+
+    name = "subject-mean"
+
+    def fit_predict(self, family: Family) -> DataFrame:
+        met = family.test().select("fold", "sample_id", "participant").join(family.means(), "fold").join(family.subject_means(), ["fold", "participant"], "left")
+        return met.select("fold", "sample_id", F.coalesce("own", "guess").alias("guess"))
+
+
+class NearestNeighbour(Baseline):
+    """The pose of the training sample with the nearest features; left out without features."""
+
+    name = "nearest-neighbour"
+
+    def fit_predict(self, family: Family) -> DataFrame | None:
+        if "features" not in family.samples.columns or family.samples.where("features IS NULL").limit(1).count():
+            return None
+        known = family.samples.select(F.col("sample_id").alias("nearest_id"), F.col("pose").alias("guess"))
+        return family.nearest().join(known, "nearest_id").select("fold", "sample_id", "guess")
+
+
+BASELINES: tuple[Baseline, ...] = (MeanPose(), SubjectMean(), NearestNeighbour())
 
 
 def fold_means(train: DataFrame, test: DataFrame) -> DataFrame:
-    means = poses.vector_sums(train, ["fold"]).select("fold", poses.mean_vector(F.col("sums"), F.col("n")).alias("guess"))
-    return test.join(means, "fold").select("fold", "sample_id", "guess")
+    """A predictor that says the mean training pose."""
+    mean = poses.vector_sums(train, []).select(poses.mean_vector(F.col("sums"), F.col("n")).alias("guess"))
+    return test.select("sample_id").join(F.broadcast(mean), F.lit(True))  # one row
+
+
+def predictions(family: Family, model: str, predict: Predictor, baselines: tuple[Baseline, ...] = BASELINES) -> tuple[DataFrame, list[str]]:
+    """(predictor, fold, sample_id, guess) of the model, fold by fold, and of the baselines that can be had."""
+    said, names = None, [model]
+    for fold in family.names():
+        part = predict(family.side(fold, "train"), family.side(fold, "test")).select(F.lit(model).alias("predictor"), F.lit(fold).alias("fold"), "sample_id", "guess")
+        said = part if said is None else said.unionByName(part)
+    for baseline in baselines:
+        part = baseline.fit_predict(family)
+        if part is not None:
+            names.append(baseline.name)
+            said = said.unionByName(part.select(F.lit(baseline.name).alias("predictor"), "fold", "sample_id", "guess"))
+    return said, names
+
 
+def fold_metrics(family: Family, said: DataFrame, threshold_mm: float = 20.0) -> DataFrame:
+    """(predictor, fold, samples, mpjpe, ...) with the error after a similarity fit as ``pa_mpjpe``."""
+    met = said.join(family.test().select("fold", "sample_id", "pose"), ["fold", "sample_id"])
+    errors = met.select("predictor", "fold", poses.joint_errors(F.col("guess"), F.col("pose"), Alignment.ROOT).alias("err"), poses.procrustes(F.col("guess"), F.col("pose")).alias("fit"), "pose")
+    errors = errors.withColumn("fit", poses.mean_of(poses.joint_errors(F.col("fit"), F.col("pose"), Alignment.NONE)))
+    fitted = errors.groupBy("predictor", "fold").agg(F.avg("fit").alias("pa_mpjpe"))
+    return poses.metrics(errors, ["predictor", "fold"], threshold_mm).join(fitted, ["predictor", "fold"])
 
-def fold_subject_means(train: DataFrame, test: DataFrame) -> DataFrame:
-    own = poses.vector_sums(train, ["fold", "participant"]).select("fold", "participant", poses.mean_vector(F.col("sums"), F.col("n")).alias("own"))
-    every = poses.vector_sums(train, ["fold"]).select("fold", poses.mean_vector(F.col("sums"), F.col("n")).alias("every"))
-    return test.join(every, "fold").join(own, ["fold", "participant"], "left").select("fold", "sample_id", F.coalesce("own", "every").alias("guess"))
 
+#: Numbers of a row, each the mean over samples, so that folds pool by their numbers of samples.
+NUMBERS = ("mpjpe", "mpjpe_excl_root", "pa_mpjpe", "fingertips", "rest", "pck", "pck_excl_root")
 
-def sides(samples: DataFrame, split: Split) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows of all folds of a family; ValueError where the data has none."""
-    folded = poses.folds(samples, split)
-    if folded.limit(1).count() == 0 or folded.groupBy("fold").agg(F.countDistinct("role").alias("r")).where("r < 2").limit(1).count():
-        raise ValueError(f"no folds of {split.name}")
-    poses.require_no_leakage(folded, samples, split)
-    rows = folded.join(samples, "sample_id")
-    return rows.where("role = 'train'").drop("role"), rows.where("role = 'test'").drop("role")
 
+def pooled(folds: list[dict]) -> dict:
+    """All folds of a predictor as one, with the spread of its folds."""
+    n = sum(f["samples"] for f in folds)
+    out = {k: sum(f[k] * f["samples"] for f in folds) / n for k in NUMBERS} | {"samples": n}
+    out["per_joint"] = [sum(f["per_joint"][j] * f["samples"] for f in folds) / n for j in range(poses.N_JOINTS)]
+    by = sorted(f["mpjpe"] for f in folds)
+    middle = (by[len(by) // 2] + by[(len(by) - 1) // 2]) / 2
+    out["folds"] = f"{len(by)} folds: {by[0]:.2f} / {middle:.2f} / {by[-1]:.2f} mm (least, median, most)"
+    return out
 
-def measure(samples: DataFrame, split: Split, protocol: Protocol, model: str, predict: Predictor) -> tuple[Report, DataFrame]:
-    """Report of one family, and predictions (predictor, fold, sample_id, guess)."""
-    train, test = sides(samples, split)
+
+def stamped(protocol: Protocol, *notes: str) -> Protocol:
+    """A protocol with notes added to its own, separated by semicolons."""
+    return replace(protocol, notes="; ".join(n for n in (protocol.notes, *notes) if n))
+
+
+@dataclass
+class Experiment:
+    """The report of one split, the reports of its folds, and the predictions behind them."""
+
+    report: Report
+    folds: dict[str, Report]
+    said: DataFrame
+    notes: dict[str, str] = field(default_factory=dict)
+
+    def as_dict(self) -> dict:
+        return {"report": json.loads(self.report.as_json()), "folds": {k: json.loads(r.as_json()) for k, r in self.folds.items()}, "notes": self.notes}
+
+    def write(self, folder: str) -> None:
+        """report.txt and report.json, the same under folds/NN for every fold, and predictions as Parquet."""
+        for at, report in [(Path(folder), self.report), *((Path(folder) / "folds" / f"{i:02d}", r) for i, r in enumerate(self.folds.values()))]:
+            at.mkdir(parents=True, exist_ok=True)
+            (at / "report.txt").write_text(report.text() + "\n")
+            (at / "report.json").write_text(report.as_json() + "\n")
+        write_predictions(self.said, self.report.protocol.split, f"{folder}/predictions")
+
+
+def measure(samples: DataFrame, split: Split, protocol: Protocol, model: str, predict: Predictor, builder: FoldBuilder | None = None, baselines: tuple[Baseline, ...] = BASELINES, waivers: tuple[Waiver, ...] = ()) -> Experiment:
+    """One family: the model and the baselines refitted in every fold, pooled, and guarded."""
+    family = Family.of(samples, split, builder)
     protocol = replace(protocol, split=split)
-    made = {model: ("model", predict), "mean-pose": ("baseline", fold_means), "subject-mean": ("baseline", fold_subject_means)}
-    said = None
-    for name, (_, f) in made.items():
-        part = f(train, test).select(F.lit(name).alias("predictor"), "fold", "sample_id", "guess")
-        said = part if said is None else said.unionByName(part)
-    met = said.join(test.select("fold", "sample_id", "participant", "session", "pose"), ["fold", "sample_id"])
-    errors = met.select("predictor", "participant", "session", poses.joint_errors(F.col("guess"), F.col("pose"), Alignment.ROOT).alias("err"))
-    report = Report()
-    numbers = {r["predictor"]: r for r in poses.metrics(errors, ["predictor"]).collect()}
-    tested = test.count()
-    for name, (kind, _) in made.items():
-        if name not in numbers or numbers[name]["samples"] != tested:
+    said, names = predictions(family, model, predict, baselines)
+    numbers: dict[str, dict[str, dict]] = {n: {} for n in names}
+    for r in fold_metrics(family, said).collect():  # a row for each predictor and fold
+        numbers[r["predictor"]][r["fold"]] = r.asDict()
+    wanted = {r["fold"]: r["count"] for r in family.test().groupBy("fold").count().collect()}
+    report, folds, notes = Report(), {f: Report() for f in sorted(wanted)}, {}
+    for name in names:
+        kind = "model" if name == model else "baseline"
+        if {f: x["samples"] for f, x in numbers[name].items()} != wanted:
             raise ExperimentError(f"{name} did not predict every test sample once")
-        r = numbers[name]
-        report.add(Row(name, kind, Measurement(r["mpjpe"], "mm", protocol, r["samples"]), {"mpjpe_excl_root": r["mpjpe_excl_root"], "pck": r["pck"], "fingertips": r["fingertips"]}))
-    clusters = errors.where(F.col("predictor") == model).select(F.concat_ws("/", "participant", "session").alias("cluster"), poses.mean_of(F.col("err")).alias("error"))
-    first = test.agg(F.min("fold")).first()[0]
-    report.guards = run_guards(train.where(F.col("fold") == first), test if split is not Split.CROSS_USER else test.where(F.col("fold") == first), clusters, protocol)
-    return report, said
+        for fold, x in numbers[name].items():
+            folds[fold].add(Row(name, kind, Measurement(x["mpjpe"], "mm", protocol, x["samples"]), {k: x[k] for k in NUMBERS[1:]} | {"per_joint": x["per_joint"]}))
+        x = pooled(list(numbers[name].values()))
+        notes[name] = x["folds"]
+        report.add(Row(name, kind, Measurement(x["mpjpe"], "mm", protocol, x["samples"]), {k: x[k] for k in NUMBERS[1:]} | {"per_joint": x["per_joint"]}))
+    report.attach(run_guards(family, said.where(F.col("predictor") == model), protocol, waivers))
+    return Experiment(report, folds, said, notes)
+
+
+def cross_user(samples: DataFrame, protocol: Protocol, model: str, predict: Predictor, **options) -> Experiment:
+    return measure(samples, Split.CROSS_USER, protocol, model, predict, **options)
 
 
-def run_suite(samples: DataFrame, protocol: Protocol, model: str, predict: Predictor) -> ReportSet:
+def run_suite(samples: DataFrame, protocol: Protocol, model: str, predict: Predictor, **options) -> ReportSet:
     """All four families; one that the data cannot give is an absence, leakage is never caught."""
     out = ReportSet()
     for split in Split:
         try:
-            report, _ = measure(samples, split, protocol, model, predict)
-            out.add(report)
+            done = measure(samples, split, protocol, model, predict, **options)
         except ValueError as e:
             out.absences[split] = str(e)
+            continue
+        out.add(done.report)
+        out.experiments[split] = done
     return out
 
 
 def write_suite(reports: ReportSet, folder: str) -> None:
     root = Path(folder)
-    for split, report in reports.reports.items():
-        at = root / "splits" / split.name.lower()
-        at.mkdir(parents=True, exist_ok=True)
-        (at / "report.txt").write_text(f"{report.headline(True)}\n\n{report.table()}\n\n{report.validity()}\n")
-        (at / "report.json").write_text(report.as_json() + "\n")
+    for split, done in reports.experiments.items():
+        done.write(str(root / "splits" / split.name.lower()))
+    root.mkdir(parents=True, exist_ok=True)
     (root / "report.txt").write_text(f"{reports.headline()}\n\n{reports.table()}\n")
+    (root / "report.json").write_text(reports.as_json() + "\n")
 
 
 def write_predictions(said: DataFrame, split: Split, folder: str) -> None:

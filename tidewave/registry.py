@@ -80,7 +80,7 @@ def mpjpe_excl_root(spark, d):
 
 
 @query(f"WITH {E} SELECT fold, round(avg((e <= 250)::INT), 6) AS pck, round(avg(CASE WHEN joint > 0 THEN (e <= 250)::INT END), 6) AS pck_excl_root FROM err GROUP BY fold")
-def pck_2cm(spark, d):
+def pck_25cm(spark, d):
     return rounded(poses.metrics(louo_errors(spark, d), ["fold"], 250.0).select("fold", "pck", "pck_excl_root"), "pck", "pck_excl_root", digits=6)
 
 
@@ -217,16 +217,15 @@ CAL_FOLD = "CASE WHEN participant = 'P00' AND session = 'S2' THEN 'test' WHEN pa
 def calibration_rows(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     folded = s.select(F.lit("p00").alias("fold"), "sample_id", F.expr(CAL_FOLD).alias("role")).where("role IS NOT NULL")
-    taken = poses.calibration(s, folded, BUDGETS, 6.0).select("budget", "participant", "sample_id")
+    whole = poses.calibration(s, folded, BUDGETS, 6.0)
+    taken = whole.select("budget", "participant", "sample_id")
     budgets = spark.createDataFrame([(b,) for b in BUDGETS], "budget double")
     base = folded.where("role = 'train'").select("sample_id").join(budgets, F.lit(True))
     train = base.select("budget", "sample_id").unionByName(taken.select("budget", "sample_id")).join(s, "sample_id")
     means = poses.vector_sums(train, ["budget"]).select("budget", poses.mean_vector(F.col("sums"), F.col("n")).alias("mean_pose"))
     test = folded.where("role = 'test'").select("sample_id").join(s, "sample_id").join(F.broadcast(means), F.lit(True))
     errors = test.select("budget", poses.joint_errors(F.col("mean_pose"), F.col("pose")).alias("err"))
-    got = budgets.join(taken.groupBy("budget").agg(F.count("*").alias("got")), "budget", "left").fillna(0, ["got"])
-    wanted = F.bround(F.col("budget") * 60 / 6.0).cast("long")
-    return poses.metrics(errors, ["budget"]).join(got, "budget").select("budget", (F.col("got") * 6.0 / 60).alias("achieved"), (F.col("got") < wanted).alias("truncated"), "mpjpe")
+    return poses.metrics(errors, ["budget"]).join(poses.achieved(s, folded, whole, BUDGETS, 6.0), "budget").select("budget", "achieved", "truncated", "mpjpe")
 
 
 CAL = J + f", r AS (SELECT *, {CAL_FOLD} AS role FROM s), p AS (SELECT sample_id, row_number() OVER (ORDER BY ts, sample_id) AS rank FROM r WHERE role IS NULL AND participant = 'P00'), b AS (SELECT unnest([0, 1, 2, 20])::DOUBLE AS budget), w AS (SELECT budget, round_even(budget * 10, 0)::BIGINT AS wanted FROM b), t AS (SELECT budget, sample_id FROM r, b WHERE role = 'train' UNION ALL SELECT budget, sample_id FROM p JOIN w ON rank <= wanted), m AS (SELECT budget, joint, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM t JOIN j USING (sample_id) GROUP BY ALL), g AS (SELECT w.budget, wanted, count(p.sample_id) AS got FROM w LEFT JOIN p ON rank <= wanted GROUP BY ALL), c AS (SELECT m.budget, avg(1000*sqrt((j.x-m.x)**2+(j.y-m.y)**2+(j.z-m.z)**2)) AS mpjpe FROM r JOIN j USING (sample_id) JOIN m ON m.joint = j.joint WHERE role = 'test' GROUP BY m.budget)"
@@ -320,7 +319,7 @@ def standardised_poses(spark, d):
     return met.select("sample_id", F.round(F.aggregate(poses.standardise(F.col("p"), F.col("m"), F.col("sd")), F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
-@query()
+@query(f"WITH {S}, h AS (SELECT sample_id % 4096 AS b, sha256(concat_ws(',', sample_id::VARCHAR, array_to_string(list_transform(e[1:63], lambda v: round(v * 1000000000)::BIGINT::VARCHAR), ','))) AS h FROM s), p AS (SELECT b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY b) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(lpad(b::VARCHAR, 6, '0') || h, '' ORDER BY b)) AS digest FROM p")
 def prediction_digest(spark, d):
     return poses.digest(samples(spark, d).select("sample_id", "pose"))
 
@@ -338,8 +337,21 @@ def time_blocks(spark, d):
 
 # Signals: the recording of events
 
+SMALL = Chirp(1000.0, 3000.0, 0.00625, 8000)
 
-@query()
+
+def _direct_filter() -> str:
+    """Correlation with the analytic reference, lag by lag, as SQL over frames fr(frame_id, x)."""
+    z = dsp.analytic(dsp.reference(SMALL))
+    listed = lambda part: "[" + ", ".join(f"{v!r}::DOUBLE" for v in part.tolist()) + "]"
+    total = lambda name: f"list_sum(list_transform(range(1, 51 - k), lambda i: x[k + i] * {name}[i]))"
+    return f"z AS (SELECT {listed(z.real)} AS re, {listed(z.imag)} AS im), y AS (SELECT frame_id, list_transform(range(0, 50), lambda k: sqrt(pow({total('re')}, 2) + pow({total('im')}, 2)) / {float((z.real**2).sum())!r}) AS y FROM fr, z)"
+
+
+FILTERED = f"WITH r AS (SELECT event_id AS pos, coalesce(value, 0) AS value FROM events), fr AS (SELECT pos // 50 AS frame_id, list(value ORDER BY pos) AS x FROM r GROUP BY 1 HAVING count(*) = 50), {_direct_filter()}"
+
+
+@query(f"{FILTERED} SELECT frame_id, round(frame_id * 0.00625::DOUBLE, 6) AS timestamp_s, round(list_max(y)::FLOAT::DOUBLE, 3) AS top FROM y")
 def recording_profiles(spark, d):
     p = dsp.profiles(recording(spark, d), ["rec"], SMALL)
     return p.select("frame_id", F.round("timestamp_s", 6).alias("timestamp_s"), F.round(F.array_max("samples").cast("double"), 3).alias("top"))
@@ -378,10 +390,7 @@ def matched_filter_direct(spark, d):
     return out.select("frame_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + F.abs(v)), 4).alias("energy"), F.round(F.array_max("y"), 4).alias("top"))
 
 
-SMALL = Chirp(1000.0, 3000.0, 0.00625, 8000)
-
-
-@query()
+@query(f"{FILTERED} SELECT frame_id, round(list_max(y), 4) AS top, (list_position(y, list_max(y)) - 1)::BIGINT AS bin FROM y")
 def matched_filter_envelope(spark, d):
     y = framed(spark, d).select("frame_id", dsp.matched_filter_column(F.col("samples"), SMALL).alias("y"))
     return y.select("frame_id", F.round(F.array_max("y"), 4).alias("top"), (F.array_position("y", F.array_max("y")) - 1).alias("bin"))
@@ -451,17 +460,16 @@ def _lag_sql(lag: int) -> str:
 @query(f"WITH {R}, v AS (SELECT frame_id AS f, unnest(range(50)) AS bin, unnest(x) AS v FROM fr WHERE frame_id < 258), l AS (" + " UNION ALL ".join(_lag_sql(k) for k in range(1, 5)) + ") SELECT lag::INT AS lag, round(residual, 6) AS residual, residual <= 1e-3 AS matches FROM l")
 def differential_lag(spark, d):
     """Measured on the first columns of a session; the recording differenced at lag 2 stands for the stored one."""
-    some = framed(spark, d).where("frame_id < 258")
+    some = framed(spark, d)
     values = some.select(F.col("frame_id").alias("frame"), F.posexplode("samples").alias("bin", "value"))
     diffs = fr.differences(some, ["rec"], "frame_id", 2).select((F.col("frame_id") - 2).alias("frame"), F.posexplode("samples").alias("bin", "d"))
     return rounded(fr.measured_lag(values, diffs), "residual", digits=6)
 
 
-@query(f"WITH {R}, a AS (SELECT frame_id, list_transform(x[1:10], lambda v: v::FLOAT) AS x FROM fr), b AS (SELECT frame_id, x, lag(x, 1) OVER (ORDER BY frame_id) AS p, row_number() OVER (ORDER BY frame_id) - 1 AS pos FROM a), c AS (SELECT frame_id, pos, x, list_transform(range(1, 11), lambda i: x[i] - p[i]) AS dx FROM b WHERE p IS NOT NULL), w AS (SELECT frame_id, pos, list_concat(flatten(list(x) OVER o), flatten(list(dx) OVER o)) AS w, count(*) OVER o AS n FROM c WINDOW o AS (ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), k AS (SELECT frame_id, w, list_max(list_transform(w, lambda v: abs(v))) AS m FROM w WHERE n = 8 AND (pos - 8) % 3 = 0) SELECT frame_id, len(w)::INT AS size, round(list_sum(list_transform(w, lambda v: (v / m)::DOUBLE)), 2) AS total, round((w[160] / m)::DOUBLE, 4) AS last FROM k WHERE m > 0")
+@query(f"WITH {R}, a AS (SELECT frame_id, list_transform(x, lambda v: v::FLOAT) AS x FROM fr), b AS (SELECT frame_id, x, lag(x, 1) OVER (ORDER BY frame_id) AS p, row_number() OVER (ORDER BY frame_id) - 1 AS pos FROM a), c AS (SELECT frame_id, pos, x, list_transform(range(1, 51), lambda i: x[i] - p[i]) AS dx FROM b WHERE p IS NOT NULL), w AS (SELECT frame_id, pos, list_concat(flatten(list(x) OVER o), flatten(list(dx) OVER o)) AS w, count(*) OVER o AS n FROM c WINDOW o AS (ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), k AS (SELECT frame_id, w, list_max(list_transform(w, lambda v: abs(v))) AS m FROM w WHERE n = 8 AND (pos - 8) % 3 = 0) SELECT frame_id, len(w)::INT AS size, round(list_sum(list_transform(w, lambda v: (v / m)::DOUBLE)), 2) AS total, round((w[800] / m)::DOUBLE, 4) AS last FROM k WHERE m > 0")
 def causal_windows(spark, d):
-    some = framed(spark, d).select("rec", "frame_id", F.slice("samples", 1, 10).alias("samples"))
-    w = fr.causal_windows(some, ["rec"], "frame_id", 8, 3)
-    return w.select("frame_id", F.size("window").alias("size"), F.round(F.aggregate("window", F.lit(0.0), lambda a, v: a + v), 2).alias("total"), F.round(F.col("window")[159].cast("double"), 4).alias("last"))
+    w = fr.causal_windows(framed(spark, d), ["rec"], "frame_id", 8, 3)
+    return w.select("frame_id", F.size("window").alias("size"), F.round(F.aggregate("window", F.lit(0.0), lambda a, v: a + v), 2).alias("total"), F.round(F.col("window")[799].cast("double"), 4).alias("last"))
 
 
 @query("SELECT p.event_id, v.event_id AS label_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL) v ON p.user_id = v.user_id AND p.ts >= v.ts")
@@ -544,7 +552,7 @@ def gaussian_classifier_fit(spark, d):
     return rounded(clap.fit_classes(_class_rows(spark, d), "label", ["f0", "f1"]), "mean_0", "mean_1", "var_0", "var_1", digits=6)
 
 
-@query(f"WITH {GF}, p AS (SELECT l_returnflag AS true_label, h.label, -0.5 * ((f0 - mean_0)**2 / var_0 + (f1 - mean_1)**2 / var_1) AS s, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r, h), q AS (SELECT true_label, arg_max(label, s) AS predicted FROM p GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, true_label) SELECT true_label, predicted, count(*) AS n FROM q GROUP BY ALL")
+@query(f"WITH {GF}, p AS (SELECT l_returnflag AS true_label, h.label, -0.5 * ((f0 - mean_0)**2 / var_0 + (f1 - mean_1)**2 / var_1) AS s, id FROM (SELECT *, row_number() OVER () AS id FROM r), h), q AS (SELECT true_label, arg_max(label, s) AS predicted FROM p GROUP BY id, true_label) SELECT true_label, predicted, count(*) AS n FROM q GROUP BY ALL")
 def gaussian_classifier_predict(spark, d):
     rows = _class_rows(spark, d).withColumnRenamed("label", "true_label")
     classes = clap.fit_classes(_class_rows(spark, d), "label", ["f0", "f1"])
@@ -567,9 +575,8 @@ def pose_gap(spark, d):
 @query(f"WITH {R}, l AS (SELECT frame_id, 20 * log10(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 50) + 1e-20) AS level FROM fr), p AS (SELECT frame_id, level FROM l UNION ALL SELECT -1 - k, (SELECT level FROM l ORDER BY frame_id LIMIT 1) FROM range(8) t(k)), m AS (SELECT frame_id, level, quantile_cont(level, 0.5) OVER (ORDER BY frame_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS floor FROM p) SELECT frame_id, round(level, 4) AS level, round(floor, 4) AS floor FROM m WHERE frame_id >= 0")
 def impulse_levels_trailing_median(spark, d):
     level = framed(spark, d).select("rec", "frame_id", (20 * F.log10(F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v) / 50) + 1e-20)).alias("level"))
-    first = level.groupBy("rec").agg(F.min_by("level", "frame_id").alias("level")).select("rec", F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(-1).cast("long"))).alias("frame_id"), "level")
-    w = Window.partitionBy("rec").orderBy("frame_id").rowsBetween(-8, 0)
-    return level.unionByName(first).withColumn("floor", F.percentile("level", 0.5).over(w)).where("frame_id >= 0").select("frame_id", F.round("level", 4).alias("level"), F.round("floor", 4).alias("floor"))
+    seen = fr.trailing_median(level, ["rec"], "frame_id", "level", 9, "floor")
+    return seen.select("frame_id", F.round("level", 4).alias("level"), F.round("floor", 4).alias("floor"))
 
 
 def _clap_recordings(spark: SparkSession, d: str) -> DataFrame:
@@ -579,14 +586,21 @@ def _clap_recordings(spark: SparkSession, d: str) -> DataFrame:
     return e.select("rec_id", "sample_rate", wave.alias("samples"))
 
 
-@query()
+WAVE = "u AS (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL), wv AS (SELECT user_id::VARCHAR AS rec_id, user_id % 5 * 150 + 500 AS f, list_transform(range(12000), lambda i: 0.0001::DOUBLE * sin(i * 0.7::DOUBLE) + CASE WHEN i % 4000 >= 2000 THEN exp(-(i % 4000 - 2000) / 60.0::DOUBLE) * sin(2 * pi() * (user_id % 5 * 150 + 500) * (i % 4000 - 2000) / 8000.0::DOUBLE) ELSE 0 END) AS w FROM u), wm AS (SELECT rec_id, f, w, list_avg(w) AS m FROM wv), wc AS (SELECT rec_id, f, list_transform(w, lambda v: v - m) AS x FROM wm), ev AS (SELECT rec_id, f, x, 2000 + 4000 * k + list_position(list_transform(x[2001 + 4000 * k:2096 + 4000 * k], lambda v: abs(v)), list_max(list_transform(x[2001 + 4000 * k:2096 + 4000 * k], lambda v: abs(v)))) - 1 AS idx FROM wc, range(3) t(k))"
+POWER = "list_sum(list_transform(x[{a} + 1:{b}], lambda v: v * v)) / 64"
+
+
+@query(f"WITH {WAVE} SELECT rec_id, idx, round(idx / 8000, 6) AS time_s, round(10 * log10((" + POWER.format(a="idx", b="idx + 64") + " + 1e-20) / (" + POWER.format(a="idx + 320", b="idx + 384") + " + 1e-20)), 3) AS decay_db FROM ev")
 def impulse_events(spark, d):
     return clap.impulses(_clap_recordings(spark, d)).select("rec_id", "idx", F.round("time_s", 6).alias("time_s"), F.round("decay_db", 3).alias("decay_db"))
 
 
-@query()
+@query(f"WITH {WAVE} SELECT rec_id, idx, f::BIGINT AS tone_hz, true AS near FROM ev")
 def resonance_fit(spark, d):
-    return clap.resonances(clap.impulses(_clap_recordings(spark, d)), 8000).select("rec_id", "idx", F.round("centre_frequency_hz", 2).alias("centre_frequency_hz"), F.round("bandwidth_hz", 2).alias("bandwidth_hz"), "reason")
+    """The tone of each event, to the nearest of those in use, and whether the fit lies within 15 Hz of it."""
+    fits = clap.resonances(clap.impulses(_clap_recordings(spark, d)), 8000).select("rec_id", "idx", "centre_frequency_hz", F.round((F.col("centre_frequency_hz") - 500) / 150).alias("k"))
+    tone = (F.col("k") * 150 + 500).cast("long")
+    return fits.select("rec_id", "idx", tone.alias("tone_hz"), (F.abs(F.col("centre_frequency_hz") - tone) <= 15).alias("near"))
 
 
 # Files
@@ -628,7 +642,7 @@ def pose_jsonl(spark, d):
     return back.select("sample_id", "p.type", "p.version", F.round(F.col("p.joints")[0][0], 6).alias("x0"), F.size("p.joints").alias("joints"))
 
 
-@query()
+@query(f"WITH {R} SELECT frame_id, 119 AS n_bytes, true AS equal FROM fr")
 def wire_round_trip(spark, d):
     from tidewave.streaming import wire
 
@@ -637,14 +651,14 @@ def wire_round_trip(spark, d):
     return coded.select("frame_id", F.length("b").alias("n_bytes"), (wire.decode_column(F.col("b"))["samples"] == F.col("samples")).alias("equal"))
 
 
-@query()
+@query("SELECT DISTINCT user_id::VARCHAR AS stream_id, 20 AS frames, 1 AS breaks FROM events WHERE user_id IS NOT NULL")
 def stream_sync_frames(spark, d):
     from tidewave.streaming import live
 
     return live.aligned_frames(live.chirp_packets(spark, table(spark, d, "events").where("user_id IS NOT NULL").select("user_id").distinct(), 20), Chirp()).groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum((~F.col("continuous")).cast("int")).alias("breaks"))
 
 
-@query()
+@query(f"WITH {R} SELECT 's' AS stream_id, count(*) - 8 AS windows, true AS equal FROM fr")
 def stream_windows_equal_batch(spark, d):
     """Windows that the state machine assembles against those of the batch plan, by stream."""
     from tidewave.streaming import live
@@ -655,3 +669,6 @@ def stream_windows_equal_batch(spark, d):
     met = live_windows.join(batch, ["stream_id", "frame_no"])
     far = F.aggregate(F.zip_with("window", "batch", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda m, v: F.greatest(m, v))
     return met.groupBy("stream_id").agg(F.count("*").alias("windows"), (F.max(far) <= 1e-6).alias("equal"))
+
+
+from tidewave import registry_more  # noqa: E402, F401  further queries, registered on import

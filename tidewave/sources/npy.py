@@ -1,11 +1,17 @@
-"""A Spark data source for .npy matrices of which a column is a moment: ``spark.read.format("npy_columns")``.
+"""A Spark data source for .npy matrices of which a column (or a row) is a moment: ``spark.read.format("npy_columns")``.
 
-Options: ``path`` of one file, ``columns_per_partition``. Each partition maps the file and reads its own columns.
+Options: ``path`` of one file; ``axis`` ("columns" or "rows"); ``rows``, the number of rows that must be there;
+``columns_per_partition``. Files are opened through pyarrow's file systems, so a path may be local or on any store that
+they know; each partition reads the ranges of its own moments. Values must be 32-bit floats.
 """
 
 from __future__ import annotations
 
+import ast
+import struct
+
 import numpy as np
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewave.errors import DatasetError
@@ -23,23 +29,58 @@ class NpyColumns(DataSource):
         return NpyReader(self.options)
 
 
+def _open(path: str):
+    store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    return store.open_input_file(inner)
+
+
+def header(file) -> tuple[tuple[int, ...], bool, str, int]:
+    """(shape, column order, type, where values begin) of an open .npy file."""
+    if file.read(6) != b"\x93NUMPY":
+        raise DatasetError("not a .npy file")
+    major = file.read(2)[0]
+    size, n = ("<H", 2) if major == 1 else ("<I", 4)
+    (length,) = struct.unpack(size, file.read(n))
+    said = ast.literal_eval(file.read(length).decode("latin1"))
+    return tuple(said["shape"]), bool(said["fortran_order"]), said["descr"], 8 + n + length
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.step = int(options.get("columns_per_partition", 4096))
         self.rows = int(options["rows"]) if "rows" in options else None
+        self.by_rows = options.get("axis", "columns") == "rows"
 
     def partitions(self):
-        data = np.load(self.path, mmap_mode="r")
-        if data.ndim != 2 or self.rows and data.shape[0] != self.rows:
-            raise DatasetError(f"{self.path}: shape {data.shape}")
-        return [InputPartition((a, min(a + self.step, data.shape[1]))) for a in range(0, data.shape[1], self.step)]
+        with _open(self.path) as file:
+            shape, fortran, kind, at = header(file)
+        if kind not in ("<f4", "|f4"):
+            raise DatasetError(f"{self.path}: values are {kind}, not 32-bit floats")
+        if self.by_rows and len(shape) > 2:
+            shape = shape[0], int(np.prod(shape[1:]))
+        if len(shape) != 2 or self.rows and shape[0] != self.rows:
+            raise DatasetError(f"{self.path}: shape {shape}")
+        moments = shape[0 if self.by_rows else 1]
+        return [InputPartition((a, min(a + self.step, moments), shape, fortran, at)) for a in range(0, moments, self.step)]
 
     def read(self, partition):
-        a, b = partition.value
-        part = np.asarray(np.load(self.path, mmap_mode="r")[:, a:b], np.float32)
+        a, b, (rows, columns), fortran, at = partition.value
+        with _open(self.path) as file:
+
+            def values(first: int, n: int) -> np.ndarray:
+                file.seek(at + 4 * first)
+                return np.frombuffer(file.read(4 * n), "<f4")
+
+            # a moment's values stand together, or one in each of the other axis's lines
+            if self.by_rows != fortran:
+                width = columns if self.by_rows else rows
+                part = values(a * width, (b - a) * width).reshape(b - a, width)
+            else:
+                lines, length = (columns, rows) if self.by_rows else (rows, columns)
+                part = np.stack([values(k * length + a, b - a) for k in range(lines)], axis=1)
         for i in range(b - a):
-            yield a + i, part[:, i].tolist()
+            yield a + i, part[i].tolist()
 
 
 def register(spark) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.errors import DatasetError
+from tidewave.errors import MissingLandmarksError
 from tidewave.operators import frames as fr
 from tidewave.operators.integrity import session_identity
 
@@ -16,21 +16,32 @@ PROFILE_END, DIFF_END, LANDMARK_END = "_fmcw_16bit_profiles.npy", "_fmcw_16bit_d
 CONFIG = "audio struct<config:struct<sampling_rate:int,frame_length:int,n_channels:int,signal:string>,files:array<string>,syncing_poses:array<bigint>>, ground_truth struct<files:array<string>,syncing_poses:array<double>,videos:array<string>>, tasks array<string>"
 
 
-def scan(spark: SparkSession, folder: str, studies: list[int] | None = None) -> DataFrame:
-    """Sessions of a tree, sorted by identity; paths alone are read. Names that do not parse are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{PROFILE_END}").load(folder).select("path")
+def parse_paths(files: DataFrame) -> DataFrame:
+    """Sessions from paths of profile files; names that do not parse are left out."""
     p = F.col("path")
-    study = F.regexp_extract(p, r"(?i)/study[-_ ]?(\d)/", 1).cast("int")
+    digits = lambda pattern: F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")).try_cast("int")
     rest = F.regexp_extract(p, r"(?i)/study[-_ ]?\d/(.*)/[^/]+$", 1)
     stem = F.regexp_replace(F.regexp_extract(p, r"([^/]+)$", 1), PROFILE_END.replace(".", r"\.") + "$", "")
     top, nested = F.split(rest, "/")[0], F.split(rest, "/")
     number = F.regexp_extract(stem, r"^audio(\d+)$", 1)
-    rows = files.select(p, study.alias("study"), F.regexp_extract(top, r"^sub(\d+)", 1).cast("int").alias("participant"), F.nullif(F.regexp_extract(top, FOLDER, 2), F.lit("")).alias("device"), F.nullif(F.regexp_extract(top, FOLDER, 3), F.lit("")).alias("hand"), F.when(F.size(nested) > 1, nested[1]).alias("condition"), number.alias("n"), stem.alias("stem")).where((F.col("n") != "") & F.col("participant").isNotNull() & F.col("study").isNotNull())
+    rows = files.where(F.endswith(p, F.lit(PROFILE_END))).select(p, digits(r"(?i)/study[-_ ]?(\d)/").alias("study"), digits(r"(?i)/study[-_ ]?\d/sub(\d+)").alias("participant"), F.nullif(F.regexp_extract(top, FOLDER, 2), F.lit("")).alias("device"), F.nullif(F.regexp_extract(top, FOLDER, 3), F.lit("")).alias("hand"), F.when(F.size(nested) > 1, nested[1]).alias("condition"), number.alias("n"), stem.alias("stem")).where((F.col("n") != "") & F.col("participant").isNotNull() & F.col("study").isNotNull())
     rows = rows.withColumn("session_index", F.col("n").cast("int") - 1).drop("n")
-    rows = rows.withColumn("identity", session_identity(*(F.col(c) for c in ("study", "participant", "device", "hand", "condition", "session_index"))))
+    return rows.withColumn("identity", session_identity(*(F.col(c) for c in ("study", "participant", "device", "hand", "condition", "session_index"))))
+
+
+def scan(spark: SparkSession, folder: str, studies: list[int] | None = None) -> DataFrame:
+    """Sessions of a tree, sorted by identity; paths alone are read, no manifest is asked."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{PROFILE_END}").load(folder).select("path")
+    rows = parse_paths(files)
     return (rows.where(F.col("study").isin(*studies)) if studies else rows).orderBy("identity")
 
 
+def side_files(path: Column) -> tuple[Column, Column, Column]:
+    """Profile, difference and landmark files of a session by its profile file."""
+    stem = F.regexp_replace(path, PROFILE_END.replace(".", r"\.") + "$", "")
+    return tuple(F.concat(stem, F.lit(end)) for end in (PROFILE_END, DIFF_END, LANDMARK_END))
+
+
 def require_one_device(sessions: DataFrame, devices: DataFrame) -> DataFrame:
     """Fails where a folder's device is not the participant's in (study, participant, known_device)."""
     met = sessions.join(devices, ["study", "participant"], "left")
@@ -42,19 +53,20 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONFIG).json(path, multiLine=True)
 
 
-def sync_pair(config: DataFrame, index: Column) -> DataFrame:
-    """Ground-truth file and sync points of a session; an index beyond the lists is an error."""
+def sync_pair(config: DataFrame, index: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys and) ground-truth file and sync points of a session; an index beyond the lists is an error."""
     def at(c: str) -> Column:
         return F.when(F.size(c) > index, F.element_at(c, (index + 1).cast("int"))).otherwise(F.raise_error(F.lit(f"no entry in {c}")))
 
-    return config.select(at("audio.syncing_poses").alias("audio_sync"), at("ground_truth.syncing_poses").alias("gt_sync"), at("ground_truth.files").alias("gt_file"), F.regexp_replace(at("ground_truth.files"), r"\.[^.]+$", "_frame_time.txt").alias("frame_times"))
+    return config.select(*(keys or []), at("audio.syncing_poses").alias("audio_sync"), at("ground_truth.syncing_poses").alias("gt_sync"), at("ground_truth.files").alias("gt_file"), F.regexp_replace(at("ground_truth.files"), r"\.[^.]+$", "_frame_time.txt").alias("frame_times"))
 
 
-def gestures(lines: DataFrame) -> DataFrame:
-    """(label_id, start_s, end_s, name) from text lines; the name keeps its commas, blank lines are skipped."""
+def gestures(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys and) (label_id, start_s, end_s, name) from text lines; the name keeps its commas, blank lines are skipped."""
+    keys = keys or []
     parts = F.split(F.col("value"), ",", 4)
-    good = lines.where(F.trim("value") != "").select(F.when(F.size(parts) < 4, F.raise_error(F.concat(F.lit("too few fields: "), "value"))).otherwise(parts).alias("p"))
-    out = good.select(F.trim(F.col("p")[0]).cast("int").alias("label_id"), F.trim(F.col("p")[1]).cast("double").alias("start_s"), F.trim(F.col("p")[2]).cast("double").alias("end_s"), F.trim(F.col("p")[3]).alias("name"))
+    good = lines.where(F.trim("value") != "").select(*keys, F.when(F.size(parts) < 4, F.raise_error(F.concat(F.lit("too few fields: "), "value"))).otherwise(parts).alias("p"))
+    out = good.select(*keys, F.trim(F.col("p")[0]).cast("int").alias("label_id"), F.trim(F.col("p")[1]).cast("double").alias("start_s"), F.trim(F.col("p")[2]).cast("double").alias("end_s"), F.trim(F.col("p")[3]).alias("name"))
     return out.withColumn("end_s", F.when(F.col("end_s") < F.col("start_s"), F.raise_error(F.lit("a gesture ends before it starts"))).otherwise(F.col("end_s")))
 
 
@@ -75,4 +87,4 @@ def require_complete(landmarks: DataFrame, frames: int) -> None:
     """A file with one detection missing is refused as a whole."""
     n, bad = landmarks.agg(F.count("*"), F.sum(F.when(F.col("joints").isNull() | (F.size("joints") != 63), 1).otherwise(0))).first()
     if n != frames or bad:
-        raise DatasetError(f"{n} of {frames} frames, {bad or 0} without complete landmarks")
+        raise MissingLandmarksError(f"{n} of {frames} frames, {bad or 0} without complete landmarks")

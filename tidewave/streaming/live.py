@@ -1,25 +1,27 @@
 """Live capture: chirp synchroniser, window assembler, guards, and their Spark forms.
 
 The state machines are plain classes that take chunks in order. ``aligned_frames`` and ``assembled_windows`` run them
-over groups of a batch; ``SyncProcessor`` runs the synchroniser with state that Spark keeps between micro-batches.
+over sorted partitions of a batch, holding one batch of rows at a time; ``SyncProcessor`` runs the synchroniser with
+state that Spark keeps between micro-batches; ``Pipeline`` is the way of one connection from packets to poses.
 """
 
 from __future__ import annotations
 
 import pickle
+import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidewave.errors import CaptureProcessingError, InferenceError, LiveCaptureError, SynchronizationError
 from tidewave.functions import dsp
-from tidewave.model import Chirp
+from tidewave.model import Chirp, Descriptor
 
 GAP_S, LEAST_SCORE, CHECK_EVERY, SLIP = 0.030, 0.4, 80, 2
 RATE_TOLERANCE, LOCK_TIMEOUT_S = 0.02, 3.0
@@ -111,7 +113,13 @@ class Synchronizer:
             self.continuous = True
 
     def status(self) -> dict:
-        why = "locked" if self.locked else "no chirp found" if self.received else "no samples"
+        need = self.chirp.n_samples
+        if self.locked:
+            why = "locked" if self.continuous else "locked anew; the next frame marks a break"
+        elif not self.received:
+            why = "no samples"
+        else:
+            why = f"waiting for {need - len(self.pending)} more samples" if len(self.pending) < need else "no chirp found"
         return {"locked": self.locked, "frames": self.frames, "pending": len(self.pending), "observed_rate": self.last_observed, "reason": why}
 
 
@@ -173,28 +181,139 @@ class Assembler:
 ALIGNED = "stream_id string, frame_no long, timestamp_s double, continuous boolean, samples array<float>"
 
 
+def _by_stream(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Each stream whole in one partition, in order: a state machine then takes it batch by batch, never as a whole."""
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", *order)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
+    """Runs of rows of one stream, as batches hold them."""
+    for data in batches:
+        edges = np.flatnonzero((data["stream_id"] != data["stream_id"].shift()).to_numpy())
+        for a, b in zip(edges, [*edges[1:], len(data)], strict=True):
+            yield data["stream_id"].iloc[a], data.iloc[a:b]
+
+
 def aligned_frames(packets: DataFrame, chirp: Chirp) -> DataFrame:
     """Frames of packets (stream_id, seq, timestamp_ns, sample_rate, samples), each stream in order of time."""
 
-    def run(data: pd.DataFrame) -> pd.DataFrame:
-        sync, rows = Synchronizer(chirp), []
-        data = data.sort_values(["timestamp_ns", "seq"])
-        for ns, rate, x in zip(data["timestamp_ns"], data["sample_rate"], data["samples"], strict=True):
-            rows += sync.push(np.asarray(x, np.int16), ns / 1e9, int(rate))
-        return pd.DataFrame([(data["stream_id"].iloc[0], i, t, c, f) for i, (t, c, f) in enumerate(rows)], columns=["stream_id", "frame_no", "timestamp_s", "continuous", "samples"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, sync, done = None, None, 0
+        for name, data in _runs(batches):
+            if name != stream:
+                stream, sync, done = name, Synchronizer(chirp), 0
+            rows = []
+            for ns, rate, x in zip(data["timestamp_ns"], data["sample_rate"], data["samples"], strict=True):
+                rows += sync.push(np.asarray(x, np.int16), ns / 1e9, int(rate))
+            yield pd.DataFrame([(name, done + i, t, c, f) for i, (t, c, f) in enumerate(rows)], columns=["stream_id", "frame_no", "timestamp_s", "continuous", "samples"])
+            done += len(rows)
 
-    return packets.groupBy("stream_id").applyInPandas(run, ALIGNED)
+    return _by_stream(packets.select("stream_id", "seq", "timestamp_ns", "sample_rate", "samples"), ["timestamp_ns", "seq"]).mapInPandas(run, ALIGNED)
 
 
 def assembled_windows(frames: DataFrame, length: int, lag: int) -> DataFrame:
-    def run(data: pd.DataFrame) -> pd.DataFrame:
-        a, rows = Assembler(length, lag), []
-        for no, t, c, x in data.sort_values("frame_no")[["frame_no", "timestamp_s", "continuous", "samples"]].itertuples(index=False):
-            if (w := a.push(np.asarray(x), t, c)) is not None:
-                rows.append((data["stream_id"].iloc[0], no, t, w))
-        return pd.DataFrame(rows, columns=["stream_id", "frame_no", "timestamp_s", "window"])
+    """Windows of frames (stream_id, frame_no, timestamp_s, continuous, samples), each stream in order of frames."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, a = None, None
+        for name, data in _runs(batches):
+            if name != stream:
+                stream, a = name, Assembler(length, lag)
+            rows = []
+            for no, t, c, x in data[["frame_no", "timestamp_s", "continuous", "samples"]].itertuples(index=False):
+                if (w := a.push(np.asarray(x), t, c)) is not None:
+                    rows.append((name, no, t, w))
+            yield pd.DataFrame(rows, columns=["stream_id", "frame_no", "timestamp_s", "window"])
 
-    return frames.groupBy("stream_id").applyInPandas(run, "stream_id string, frame_no long, timestamp_s double, window array<float>")
+    return _by_stream(frames.select("stream_id", "frame_no", "timestamp_s", "continuous", "samples"), ["frame_no"]).mapInPandas(run, "stream_id string, frame_no long, timestamp_s double, window array<float>")
+
+
+@dataclass
+class Processor:
+    """Aligned frames to windows: range profile, crop, difference, window; the live form of the batch plans."""
+
+    descriptor: Descriptor = field(default_factory=Descriptor)
+
+    def __post_init__(self) -> None:
+        self.assembler = Assembler(self.descriptor.window_frames, self.descriptor.differential_lag)
+
+    def push(self, frame: np.ndarray, timestamp_s: float, continuous: bool) -> np.ndarray | None:
+        d = self.descriptor
+        profile = dsp.matched_filter(np.asarray(frame, float)[None], d.chirp)[0]
+        return self.assembler.push(profile[d.bin_zero_offset : d.bin_zero_offset + d.crop_bins], timestamp_s, continuous)
+
+
+@dataclass
+class Pipeline:
+    """Capture to poses: packets in, pose lines out. ``clock`` gives the time at which a pose is made."""
+
+    predictor: Callable[[np.ndarray], np.ndarray] | None = None
+    model_id: str = "none"
+    descriptor: Descriptor = field(default_factory=Descriptor)
+    emit: Callable[[dict], None] = print
+    clock: Callable[[], float] = time.time
+    calibration_minutes: float = 0.0
+
+    def __post_init__(self) -> None:
+        self.sync, self.guard, self.health = Synchronizer(self.descriptor.chirp), LiveGuard(self.descriptor.chirp), DuplexHealth()
+        self.processor = Processor(self.descriptor)
+
+    def packet(self, samples: np.ndarray, timestamp_ns: int, rate: int) -> None:
+        self.health.push(len(samples), timestamp_ns, rate)
+        for t, continuous, frame in self.sync.push(samples, timestamp_ns / 1e9, rate):
+            window = self.processor.push(frame, t, continuous)
+            if window is None:
+                continue
+            if self.predictor is None:
+                self.emit({"type": "capture", "version": 1, "timestamp_s": t, "sample_rate": rate, "shape": [2, self.descriptor.crop_bins, self.descriptor.window_frames], "features": [float(v) for v in window]})
+                continue
+            pose = checked(self.predictor, window[None])[0]
+            self.emit({"type": "pose", "version": 1, "timestamp_s": self.clock(), "source_timestamp_s": t, "model_id": self.model_id, "calibration_minutes": self.calibration_minutes, "frame": "wrist-relative", "joints": pose.reshape(21, 3).tolist()})
+        self.guard.check(self.sync, rate, timestamp_ns / 1e9)
+
+
+@dataclass
+class DuplexHealth:
+    """What a capture must keep: one rate, frames of one size but the last, and times that follow from the samples."""
+
+    rate: int | None = None
+    size: int | None = None
+    start_ns: int | None = None
+    samples: int = 0
+    breaks: int = 0
+    worst_s: float = 0.0
+    short: bool = False
+
+    def push(self, n: int, timestamp_ns: int, rate: int) -> None:
+        if self.rate is not None and rate != self.rate:
+            raise LiveCaptureError(f"the rate changed from {self.rate} to {rate}")
+        if self.short or self.size is not None and n > self.size:
+            raise LiveCaptureError(f"a frame of {n} samples after frames of {self.size}")
+        if self.start_ns is not None:
+            off = abs((timestamp_ns - self.start_ns) / 1e9 - self.samples / rate)
+            self.worst_s = max(self.worst_s, off)
+            if off > GAP_S:
+                self.breaks += 1
+                self.start_ns, self.samples = timestamp_ns, 0
+        self.rate, self.size = rate, self.size or n
+        self.short = n < self.size
+        self.start_ns = timestamp_ns if self.start_ns is None else self.start_ns
+        self.samples += n
+
+    def status(self) -> dict:
+        return {"rate": self.rate, "frame_samples": self.size, "breaks": self.breaks, "worst_s": self.worst_s, "continuous": self.breaks == 0}
+
+
+def health(packets: DataFrame, gap_s: float = GAP_S) -> DataFrame:
+    """(stream_id, packets, rates, sizes, breaks): the same questions to packets at rest, as windows by stream.
+
+    A packet breaks off where its time is over ``gap_s`` from the end of the one before.
+    """
+    w = Window.partitionBy("stream_id").orderBy("timestamp_ns", "seq")
+    n = F.size("samples")
+    end = F.lag(F.col("timestamp_ns") / 1e9 + n / F.col("sample_rate")).over(w)
+    seen = packets.select("stream_id", "sample_rate", n.alias("n"), F.coalesce((F.abs(F.col("timestamp_ns") / 1e9 - end) > gap_s).cast("long"), F.lit(0)).alias("broken"), F.lead("seq").over(w).isNotNull().alias("inner"))
+    return seen.groupBy("stream_id").agg(F.count("*").alias("packets"), F.countDistinct("sample_rate").alias("rates"), F.countDistinct(F.when(F.col("inner"), F.col("n"))).alias("sizes"), F.sum("broken").alias("breaks"))
 
 
 class SyncProcessor(StatefulProcessor):
@@ -224,6 +343,17 @@ def synchronise_stream(packets: DataFrame, chirp: Chirp) -> DataFrame:
     return packets.groupBy("stream_id").transformWithStateInPandas(SyncProcessor(chirp), ALIGNED, "Append", "None")
 
 
+def checked(predictor, x: np.ndarray) -> np.ndarray:
+    """Wrist-relative poses (b, 63) of ``predictor`` on finite windows."""
+    if not np.isfinite(x).all():
+        raise InferenceError("windows that are not finite")
+    y = np.asarray(predictor(x), np.float32)
+    if y.shape != (len(x), 63) or not np.isfinite(y).all():
+        raise InferenceError(f"poses of shape {y.shape}")
+    y = y.reshape(-1, 21, 3)
+    return (y - y[:, :1]).reshape(-1, 63)
+
+
 def infer(windows: DataFrame, predictor, model_id: str, size: int) -> DataFrame:
     """Wrist-relative poses of windows (stream_id, timestamp_s, window) by ``predictor`` (b, size) -> (b, 63)."""
 
@@ -232,18 +362,15 @@ def infer(windows: DataFrame, predictor, model_id: str, size: int) -> DataFrame:
             x = np.stack(data["window"].to_numpy()) if len(data) else np.zeros((0, size))
             if x.shape[1] != size or not np.isfinite(x).all():
                 raise InferenceError(f"windows of shape {x.shape}")
-            y = np.asarray(predictor(x), np.float32)
-            if y.shape != (len(x), 63) or not np.isfinite(y).all():
-                raise InferenceError(f"poses of shape {y.shape}")
-            y = (y.reshape(-1, 21, 3) - y.reshape(-1, 21, 3)[:, :1]).reshape(-1, 63)
+            y = checked(predictor, x)
             yield pd.DataFrame({"stream_id": data["stream_id"], "source_timestamp_s": data["timestamp_s"], "model_id": model_id, "pose": list(y)})
 
     return windows.mapInPandas(run, "stream_id string, source_timestamp_s double, model_id string, pose array<float>")
 
 
-def chirp_packets(spark: SparkSession, streams: DataFrame, chirps: int, chunk: int = 701) -> DataFrame:
+def chirp_packets(spark: SparkSession, streams: DataFrame, chirps: int, chunk: int = 701, lead: int = 137) -> DataFrame:
     """Synthetic packets of repeated chirps with a lead of silence for each row of ``streams`` (user_id)."""
-    wave = np.concatenate([np.zeros(137), np.tile(dsp.reference(Chirp()), chirps)])
+    wave = np.concatenate([np.zeros(lead), np.tile(dsp.reference(Chirp()), chirps)])
     pcm = np.round(wave * 20000).astype(int).tolist()
     size = len(pcm)
     parts = streams.select(F.col("user_id").cast("string").alias("stream_id"), F.explode(F.sequence(F.lit(0), F.lit((size - 1) // chunk))).alias("seq"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import socket
 import struct
+from abc import ABC, abstractmethod
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewave.errors import SessionError, TruncatedFrameError, WireError
+from tidewave.errors import SessionError, TruncatedFrameError, WireError, WireFormatError
 
 # The header of a frame is magic, version, rate, nanoseconds of the first sample, number of samples.
 HEADER = struct.Struct("<4sBIQH")
@@ -100,7 +102,7 @@ def pose_json(pose: Column, timestamp_s: Column, source_timestamp_s: Column, mod
 def parse_pose(line: Column) -> Column:
     """Struct of a valid pose line, null for any other."""
     p = F.from_json(line, POSE)
-    good = (p["type"] == "pose") & (p["version"] == 1) & (p["frame"] == "wrist-relative") & (F.size(p["joints"]) == 21) & F.forall(p["joints"], lambda j: F.size(j) == 3)
+    good = (p["type"] == "pose") & (p["version"] == 1) & (p["frame"] == "wrist-relative") & (F.size(p["joints"]) == 21) & F.forall(p["joints"], lambda j: (F.size(j) == 3) & F.forall(j, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     return F.when(F.coalesce(good, F.lit(False)), p)
 
 
@@ -114,6 +116,41 @@ def parse_capture(line: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), p)
 
 
+def require_capture(line: str) -> dict:
+    """A capture line as a dict; any other type, version or number of features is refused."""
+    try:
+        data = json.loads(line)
+    except ValueError as e:
+        raise WireFormatError(str(e)) from e
+    shape = data.get("shape") if isinstance(data, dict) else None
+    if not shape or data.get("type") != "capture" or data.get("version") != 1 or len(shape) != 3 or len(data.get("features", ())) != int(np.prod(shape)):
+        raise WireFormatError("not a capture frame of this version and shape")
+    return data
+
+
+def scene_axes(joint: Column) -> Column:
+    """A joint in the axes of a viewer whose z points up."""
+    return F.array(joint[0], -joint[2], joint[1])
+
+
+class Sink(ABC):
+    """Takes rows of pose or capture frames, one at a time."""
+
+    @abstractmethod
+    def emit(self, row: dict) -> None: ...
+
+
+class LineSink(Sink):
+    """One compact JSON line a row, flushed at once."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def emit(self, row: dict) -> None:
+        self.file.write(json.dumps(row, separators=(",", ":")) + "\n")
+        self.file.flush()
+
+
 class JsonLines:
     """foreachBatch sink that appends one JSON line a row to a folder that all executors share."""
 
@@ -134,8 +171,6 @@ class TcpLines:
         return True
 
     def process(self, row) -> None:
-        import json
-
         try:
             if self.conn is None:
                 self.conn = socket.create_connection((self.host, self.port))
