@@ -58,9 +58,9 @@ def blocked(frames: DataFrame, order: str, halo: int, block: int = BLOCK) -> Dat
 
 def differences(frames: DataFrame, keys: list[str], order: str, lag: int = 1, block: int = BLOCK) -> DataFrame:
     """Each frame minus the one ``lag`` numbers before, where that exists; rows belong to the later frame."""
-    w = Window.partitionBy(*keys, "_block").orderBy(order)
-    met = blocked(frames, order, lag, block).withColumns({"_before": F.lag("samples", lag).over(w), "_no": F.lag(order, lag).over(w)})
-    return met.where(F.col("_home") & (F.col("_no") == F.col(order) - lag)).withColumn("samples", F.zip_with("samples", "_before", lambda a, b: a - b)).drop("_before", "_no", "_block", "_home")
+    earlier = Window.partitionBy(*keys, "_block").orderBy(order).rangeBetween(-lag, -lag)
+    met = blocked(frames, order, lag, block).withColumn("_before", F.first("samples").over(earlier))
+    return met.where(F.col("_home") & F.col("_before").isNotNull()).withColumn("samples", F.zip_with("samples", "_before", lambda a, b: a - b)).drop("_before", "_block", "_home")
 
 
 def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int, stride: int = 1, lag: int = 1, block: int = BLOCK) -> DataFrame:
@@ -72,8 +72,7 @@ def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int,
     first = frames.groupBy(*keys).agg(F.min(order).alias("_first"))
     w = Window.partitionBy(*keys, "_block").orderBy(order)
     seen = blocked(frames.select(*keys, order, F.transform("samples", lambda v: v.cast("float")).alias("x")), order, lag + length - 1, block)
-    seen = seen.withColumns({"b": F.lag("x", lag).over(w), "_no": F.lag(order, lag).over(w)})
-    diff = seen.withColumn("d", F.when(F.col("_no") == F.col(order) - lag, F.zip_with("x", "b", lambda a, c: a - c.cast("float"))))
+    diff = seen.withColumn("b", F.first("x").over(w.rangeBetween(-lag, -lag))).withColumn("d", F.zip_with("x", "b", lambda a, c: a - c.cast("float")))
     back = w.rowsBetween(-(length - 1), 0)
     lists = diff.select(*keys, order, "_home", F.collect_list(F.when(F.col("d").isNotNull(), F.col("x"))).over(back).alias("xs"), F.collect_list("d").over(back).alias("ds"), F.first(order).over(back).alias("_from"))
     whole = (F.size("xs") == length) & (F.col("_from") == F.col(order) - (length - 1))
