@@ -327,6 +327,37 @@ def test_language(spark, sf, docs, empty):
     assert (whole[at[2] : at[3]] == alone).all()
 
 
+def test_language_margins_equal_plain_sums():
+    """Votes of weights summed n-gram by n-gram over plain strings, on texts of one and two bytes a letter."""
+    r = np.random.default_rng(0)
+    texts = ["Hello, World 12 times", "Über die Brücke", "a", "  x  ", "ça et là, é"]
+    every, begin = language.grams(*utf8(__import__("pyarrow").array(texts)))
+    for i, text in enumerate(texts):
+        raw = " " + "".join(c if c.isalpha() else " " * len(c.encode()) for c in text.lower())
+        code = [b for b in raw.encode()]
+        want = []
+        for k in range(len(code)):
+            for n, blank in ((1, b" "), (2, b"  "), (3, b"   ")):
+                gram = bytes(code[max(0, k - n + 1) : k + 1])
+                value = int.from_bytes(gram, "big") if len(gram) == n else int.from_bytes(b" " * (n - len(gram)) + gram, "big")
+                if len(gram) < n:
+                    value = int.from_bytes(gram, "big")
+                number = ((value * 2654435761 + (n - 1) * 0x9E3779B1) & 0xFFFFFFFF) >> 20
+                want.append(0 if set(gram) == {32} else number)
+        assert every[begin[i] : begin[i + 1]].ravel().tolist() == want, text
+    weights = r.normal(0, 1, (language.DIM + 1, 4))
+    m = language.Hierarchy((("germanic", ("de", "en")), ("romance", ("es", "fr"))), weights)
+    langs, scores = m.predict(*utf8(__import__("pyarrow").array(texts)))
+    for i in range(len(texts)):
+        x = [int(v) for v in every[begin[i] : begin[i + 1]].ravel() if v]
+        margin = [sum(weights[v, j] for v in x) / max(1, len(x)) + weights[-1, j] for j in range(4)]
+        top = 0 if margin[0] >= margin[1] else 1
+        pair = margin[2 + top]
+        assert langs[i] == m.families[top][1][0 if pair >= 0 else 1]
+        chance = lambda d: 1 / (1 + math.exp(-3 * d))
+        assert abs(scores[i] - chance(margin[top]) * (chance(pair) if pair >= 0 else 1 - chance(pair))) < 1e-5
+
+
 # 6
 
 
@@ -399,10 +430,31 @@ def test_chain_marginals_equal_enumeration():
         assert np.allclose(good[a:b], p / z)
 
 
+def test_quality_scores_equal_enumeration():
+    """A document's score from all state sequences of its lines, weighted by line lengths."""
+    r = np.random.default_rng(1)
+    m = quality.ChainModel(r.standard_normal(3 * quality.N_OWN + 1), r.standard_normal((2, 2)), (0.3, 1.7))
+    texts = ["One line of words.", "FIRST $$$ line\nsecond, longer line of text\n\n12 34", "", "a\n"]
+    got = m.scores(*utf8(__import__("pyarrow").array(texts)))
+    for text, score in zip(texts, got, strict=True):
+        lines = text.split("\n")
+        x, n, _ = quality.line_features(*utf8(__import__("pyarrow").array([text])))
+        assert len(x) == len(lines) and n.tolist() == [max(1, len(t)) for t in lines]
+        z, good = 0.0, np.zeros(len(lines))
+        for states in itertools.product((0, 1), repeat=len(lines)):
+            w = math.exp(sum(float(x[i] @ m.weights) * (s - 0.5) for i, s in enumerate(states)) + sum(m.links[a, b] for a, b in itertools.pairwise(states)))
+            z += w
+            good += w * np.array(states)
+        share = min(0.999, max(0.001, float((good / z * n).sum() / n.sum())))
+        assert abs(score - 1 / (1 + math.exp(-(0.3 + 1.7 * math.log(share / (1 - share)))))) < 1e-9
+
+
 def test_quality(spark, sf, docs, empty):
+    big = sf.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    out = queries.QUERIES["op7_quality"](spark, big).join(labels, "doc_id").where("held_out AND quality IS NOT NULL").collect()
+    assert out and sum(r["predicted"] == r["quality"] for r in out) / len(out) >= 0.95
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    out = queries.QUERIES["op7_quality"](spark, sf).join(labels, "doc_id").where("quality IS NOT NULL").collect()
-    assert sum(r["predicted"] == r["quality"] for r in out) / len(out) >= 0.95
     model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), labels)
     rows = [(r["doc_id"], r["s"]) for r in docs.select("doc_id", quality.score_column(model).alias("s")).collect()]
     assert len(rows) == 13 and all(0 <= s <= 1 for _, s in rows) and dict(rows)[1] == dict(rows)[2]

@@ -64,7 +64,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     every = np.empty((len(code), 3), np.uint32)
     for k, (x, blank) in enumerate(((one, 0x20), (two, 0x2020), (three, 0x202020))):
         every[:, k] = (x * np.uint32(2654435761) + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(20)
-        every[(x == blank) | (x == 32), k] = 0
+        every[(x == blank) | (x == 32) | (x == 0x2020), k] = 0
     return every, np.append(begin, len(code))
 
 
