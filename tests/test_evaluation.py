@@ -94,6 +94,11 @@ def test_baselines_of_own_folds(spark):
     built = suite.measure(s, Split.CROSS_USER, P, "mean", suite.fold_means, builder=lambda x: poses.folds(x, Split.CROSS_USER)).report
     assert [(r.name, round(r.mpjpe.value, 9)) for r in own.rows] == [(r.name, round(r.mpjpe.value, 9)) for r in built.rows]
     assert [f.passed for f in own.guards.findings] == [f.passed for f in built.guards.findings]
+    for split in (Split.CROSS_USER, Split.CROSS_SESSION, Split.CROSS_DEVICE):
+        want = {(r["fold"], r["sample_id"]) for r in poses.folds(s, split).where("role = 'test'").collect()}
+        assert {(r["fold"], r["sample_id"]) for r in suite.Family.of(s, split).test().collect()} == want and want
+    with pytest.raises(LeakageError):
+        suite.Family.of(s.unionByName(s.where("sample_id = 0").withColumn("device", F.lit("D9"))), Split.CROSS_DEVICE)
     with pytest.raises(ExperimentError):
         suite.measure(s, Split.WITHIN_SESSION, P, "x", suite.fold_means, builder=lambda x: poses.folds(x, Split.WITHIN_SESSION).unionByName(poses.folds(x, Split.WITHIN_SESSION)))
 

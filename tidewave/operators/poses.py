@@ -296,6 +296,26 @@ def unit_of(split: Split) -> tuple[str, list[str]]:
     return {Split.CROSS_SESSION: ("skey", ["who"]), Split.CROSS_USER: ("who", []), Split.CROSS_DEVICE: ("device", [])}[split]
 
 
+def keyed(samples: DataFrame) -> DataFrame:
+    """Samples with ``who`` and ``skey``, the identities of their person and session."""
+    return samples.withColumns({"who": identity(F.col("participant")), "skey": session_key(F.col("participant"), F.col("session"))})
+
+
+def unit_leaks(samples: DataFrame, split: Split) -> DataFrame:
+    """(kind, key): what stands in two units of a family that leaves units out, and so on both sides of a fold.
+
+    One pass over the samples (with ``who`` and ``skey``) instead of one row for each fold and sample.
+    """
+    unit, within = unit_of(split)
+    keys = {"samples": "sample_id", "participants": "who", "sessions": "skey", "devices": "device"}
+    out = None
+    for kind in FORBIDDEN[split]:
+        by = samples.groupBy(*within, keys[kind]).agg(F.countDistinct(unit).alias("units")).where("units > 1")
+        part = by.select(F.lit(kind).alias("kind"), F.col(keys[kind]).cast("string").alias("key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fold_label_matches(samples: DataFrame, split: Split, least: float = 0.2) -> DataFrame:
     """``label_matches`` of all folds of a family that leaves units out, from one pass of sums by unit and person."""
     unit, within = unit_of(split)

@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.errors import ExperimentError
+from tidewave.errors import ExperimentError, LeakageError
 from tidewave.model import Alignment, Measurement, Protocol, Split
 from tidewave.operators import poses
 from tidewave.plans.guards import Report, ReportSet, Row, Waiver, run_guards
@@ -28,38 +28,56 @@ FoldBuilder = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Family:
-    """The folds of one split over samples; ``built`` tells that they are not the split's own."""
+    """The folds of one split over samples: by units that are left out in turn, or as rows (fold, sample_id, role)."""
 
     samples: DataFrame
     split: Split
-    folded: DataFrame
-    built: bool = False
+    folded: DataFrame | None = None
 
     @classmethod
     def of(cls, samples: DataFrame, split: Split, builder: FoldBuilder | None = None) -> Family:
-        rows = samples.withColumns({"who": poses.identity(F.col("participant")), "skey": poses.session_key(F.col("participant"), F.col("session"))})
+        rows = poses.keyed(samples)
+        if builder is None and split is not Split.WITHIN_SESSION:
+            out = cls(rows, split)
+            if out.units().limit(1).count() == 0:
+                raise ValueError(f"no folds of {split.name}")
+            leak = poses.unit_leaks(rows, split).limit(1).collect()
+            if leak:
+                raise LeakageError(f"{split.name}: {leak[0].asDict()}")
+            return out
         folded = builder(samples) if builder else poses.folds(samples, split)
         if folded.limit(1).count() == 0 or folded.groupBy("fold").agg(F.countDistinct("role").alias("r")).where("r < 2").limit(1).count():
             raise ValueError(f"no folds of {split.name}")
         if builder and poses.index_faults(folded, samples).limit(1).count():
             raise ExperimentError("folds name samples twice or that do not exist")
         poses.require_no_leakage(folded, samples, split)
-        return cls(rows, split, folded, builder is not None)
+        return cls(rows, split, folded)
 
     @property
     def by_unit(self) -> bool:
-        return self.split is not Split.WITHIN_SESSION and not self.built
+        return self.folded is None
+
+    def units(self) -> DataFrame:
+        """(within, unit): what is left out in turn, one row for each person, session or device with others beside it."""
+        unit, within = poses.unit_of(self.split)
+        every = self.samples.select(*within, unit).distinct()
+        n = every.groupBy(*within).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        return every.join(n, within, "left_semi") if within else every.join(F.broadcast(n.withColumn("some", F.lit(True))), F.lit(True)).drop("some")  # one row
 
     def test(self) -> DataFrame:
         """Test rows of all folds, each with its ``fold``."""
+        if self.by_unit:
+            unit, within = poses.unit_of(self.split)
+            return self.samples.join(self.units(), [*within, unit], "left_semi").withColumn("fold", F.col(unit))
         return self.folded.where("role = 'test'").select("fold", "sample_id").join(self.samples, "sample_id")
 
     def train(self) -> DataFrame:
-        """Training rows of all folds; for families without units only, where folds do not share rows."""
+        """Training rows of all folds that are given as rows."""
         return self.folded.where("role = 'train'").select("fold", "sample_id").join(self.samples, "sample_id")
 
     def names(self) -> list[str]:
-        return sorted(r["fold"] for r in self.folded.select("fold").distinct().collect())
+        rows = self.units().select(F.col(poses.unit_of(self.split)[0]).alias("fold")) if self.by_unit else self.folded.select("fold")
+        return sorted(r["fold"] for r in rows.distinct().collect())
 
     def side(self, fold: str, role: str) -> DataFrame:
         """One side of one fold."""
