@@ -215,11 +215,14 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
     work.drop(met)
 
     members = work.saved(roots.join(classes.select("id", "node", "rep", "mark", "copies", "n"), "id").drop("id"))
-    weights = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_weight), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.sum("n").alias("weight"))
+    weights = work.saved(members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_weight), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.sum("n").alias("weight")))
     total = weights.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0
     groups = max(1, -(-4 * total // block_weight))
     # block b of a component stands in the groups of all pairs that it is part of
-    placed = members.join(weights.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # components of several blocks are at most one in ``block_rows`` members or ``block_weight`` shingles
+    large = weights.where("blocks > 1").select("root", "blocks")
+    large = F.broadcast(large) if large.count() <= broadcast_rows else large
+    placed = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "node", "root", "copies", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"))
     spread = spread.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "i", "j")))
 
