@@ -254,3 +254,22 @@ def test_lines_and_refusals(tmp_path):
     with pytest.raises(Exception):
         port("0")
     assert load_predictor("math:sqrt", None)(4) == 2 and load_predictor(None, None) is None
+
+
+@pytest.mark.parametrize("lag, offset", [(1, 0), (2, 0), (2, 4)])
+def test_live_windows_equal_a_plain_batch(lag, offset):
+    """A moving and two static reflectors: windows of the live way against crops, differences and peaks by hand."""
+    from tidewave.model import Descriptor
+
+    n, bins, length = 14, 60, 4
+    moving = 0.06 + 0.004 * np.arange(n)
+    frames = dsp.simulate_recording(C, [(moving, 0.4), (np.zeros(n), 1.0), (np.full(n, 0.02), 0.3)], n, 25.0, 3)
+    d = Descriptor(crop_bins=bins, window_frames=length, bin_zero_offset=offset, differential_lag=lag)
+    live_way = live.Processor(d)
+    got = {i: w for i, f in enumerate(frames) if (w := live_way.push(f, i / 80, True)) is not None}
+    profiles = dsp.matched_filter(frames, C)[:, offset : offset + bins]
+    assert sorted(got) == list(range(lag + length - 1, n))
+    for end, w in got.items():
+        some = range(end - length + 1, end + 1)
+        want = np.concatenate([*(profiles[i] for i in some), *(profiles[i] - profiles[i - lag] for i in some)])
+        assert np.allclose(w, want / np.abs(want).max(), atol=1e-6)
