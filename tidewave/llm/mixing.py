@@ -148,19 +148,20 @@ def block_count(docs: int) -> int:
     return blocks
 
 
-def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2, blocks: int | None = None, shards: int = 16, seed: int = 9, whole: bool = False) -> DataFrame:
+def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2, blocks: int | None = None, shards: int = 16, seed: int = 9, whole: bool = False, broadcast_rows: int = 100_000) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``) with size, source_size, target, taken, passes, extra and shards.
 
     ``passes`` whole copies and then the first ``extra`` words are taken; ``shards`` lists the output shard of
-    each pass in turn. ``shards`` (the parameter) is a power of two.
+    each pass in turn. ``shards`` (the parameter) is a power of two. Tables of blocks of up to ``broadcast_rows`` rows
+    are broadcast, so that texts stay where they are; larger ones are joined.
     """
     s, blocks = F.lit(str(seed)), blocks or block_count(docs.count())
-    text = F.coalesce("text", F.lit(""))
-    sized = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("doc_id"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(text).alias("mark"))
-    sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).withColumn("key", _unit(s, F.col("doc_id").cast("string"), "skey", "mark"))
-    sized = sized.withColumn("block", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % blocks).cast("int"))
+    base = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).withColumn("key", _unit(s, F.col("doc_id").cast("string"), "skey", F.md5("text")))
+    base = base.withColumn("block", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % blocks).cast("int"))
+    size = F.regexp_count("text", F.lit(WORD)).cast("long")
     work = Work(docs.sparkSession)
-    by_block = work.saved(sized.groupBy("skey", "source", "block").agg(F.sum("size").alias("words")))
+    by_block = work.saved(base.groupBy("skey", "source", "block").agg(F.sum(size).alias("words")))
     targets = source_targets(by_block.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), budget, most)
     targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
     permuted = Window.partitionBy("skey").orderBy(F.col("words") == 0, _unit(s, "skey", F.col("block").cast("string")), "block")
@@ -177,13 +178,19 @@ def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2,
     passes = F.when((F.col("words") > 0) & F.col("counts").isNotNull(), F.col("passes") + (F.col("extra_words") > 0).cast("int")).otherwise(0)
     plan = plan.withColumn("ends", F.coalesce(ends, F.array().cast("array<bigint>"))).withColumn("n", passes)
     plan = plan.withColumn("shards", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), lambda j: leaf((j - 1) * F.col("full") + F.col("place")))).otherwise(F.array().cast("array<int>")))
-    plan = plan.select("skey", "block", "source_size", "target", "passes", "words", "extra_words", "shards")
-    inside = Window.partitionBy("skey", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.drop("mark").join(plan, ["skey", "block"])
+    plan = work.saved(plan.select("skey", "block", "source_size", "target", "passes", "words", "extra_words", "shards"))
     cut = (F.col("extra_words") > 0) & (F.col("extra_words") < F.col("words"))
+    # at most a row for each source and block, and one of each source whose last block is cut
+
+    def met(some: DataFrame) -> DataFrame:
+        """Documents of some blocks; sizes are counted behind the join, only where they are wanted."""
+        some = F.broadcast(some) if some.count() <= broadcast_rows else some
+        return base.join(some, ["skey", "block"]).withColumn("size", size).drop("text")
+
+    inside = Window.partitionBy("skey", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.when(ahead + F.col("size") / 2 <= F.col("extra_words"), F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least("size", F.col("extra_words") - ahead))
-    out = out.where(~cut).withColumn("extra", F.when(F.col("extra_words") > 0, F.col("size")).otherwise(0).cast("long")).unionByName(out.where(cut).withColumn("extra", part.cast("long")))
+    out = met(plan.where(~cut)).withColumn("extra", F.when(F.col("extra_words") > 0, F.col("size")).otherwise(0).cast("long")).unionByName(met(plan.where(cut)).withColumn("extra", part.cast("long")))
     # each pass that the leaves drew takes the whole document, the partial one its extra words
     out = out.withColumn("taken", F.least(F.col("passes"), F.size("shards")) * F.col("size") + F.when(F.size("shards") > F.col("passes"), F.col("extra")).otherwise(0))
     n = F.when(F.col("taken") > 0, F.when(F.col("extra") > 0, F.col("passes") + 1).otherwise(F.col("passes"))).otherwise(F.lit(0))
