@@ -1,9 +1,9 @@
 """Operator 1: personal data by exact patterns and by a character-level bidirectional LSTM with CRF transitions.
 
 The base spans follow fixed patterns of e-mail addresses, IP addresses, card and phone numbers over whole texts, in
-time linear in the text. The network reads whole words around every digit, @ and spelled sign (at, AT, dot, bare or in
-brackets) of a text: an added span must pass its kind's check, which asks for digits, an @ or a word at, so no span is
-lost for not being read. Each such region is cut into overlapping windows, the emissions of all windows that cover a character are averaged with weights that fall towards window edges, and one
+time linear in the text. The network reads whole words around every digit, @ and spelled sign of a text (at or AT, bare
+or in brackets, before a label and a dot that touches letters or is spelled; the word dot): an added span must pass its
+kind's check, which asks for digits, an @ or such an at, so no span is lost for not being read. Each such region is cut into overlapping windows, the emissions of all windows that cover a character are averaged with weights that fall towards window edges, and one
 Viterbi pass over the whole region reconciles the windows. What it finds beside the base spans is added with the kind
 followed by ``_like`` if it passes the kind's check (digits, Luhn, ranges). Base spans are never dropped or changed.
 
@@ -39,7 +39,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT_OR_AT = re.compile(r"[0-9@]")
 SPELLED = re.compile(r"\b(?:at|AT|dot)\b")
-TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT|dot)\b")
+# a spelled sign counts where a host name follows it: a label, then a dot that touches letters or is spelled itself
+SPELLED_AT = r"\b(?:at|AT)\b[\s)\]]{1,3}[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9]|\s{0,3}[(\[]?\s?dot\b)"
+TRIGGER = re.compile(rf"[0-9@]|{SPELLED_AT}|\bdot\b")
+HOST_DOT = re.compile(r"[A-Za-z0-9-](?:\.|\s*[(\[]?\s*\bdot\b\s*[)\]]?\s*)[A-Za-z]")
+AT_SIGN = re.compile(rf"@|{SPELLED_AT}")
 Span = tuple[str, int, int]
 
 
@@ -273,7 +277,7 @@ def plausible(kind: str, text: str) -> bool:
     """The check that a span found by the network alone must pass."""
     digits = ascii_digits(text)
     if kind == "email":
-        return bool(re.search(r"@|\b(?:at|AT)\b", text) and re.search(r"[A-Za-z0-9-]\s*(?:\.|\bdot\b|\(dot\)|\[dot\])\s*[A-Za-z]", text))
+        return bool(AT_SIGN.search(text) and HOST_DOT.search(text))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
