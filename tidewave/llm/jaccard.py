@@ -180,7 +180,7 @@ def join(docs: DataFrame, **options) -> DataFrame:
     return classified(docs, **options).select("doc_id", "class_id", "links")
 
 
-def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, bands_needed: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
+def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 21, block_rows: int = 4096, tolerance: float = 1e-6, bands_needed: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, node, root, class_id, links) of every row: node names its set, root its class, also where doc_ids repeat."""
     spark, need = docs.sparkSession, least_matches(tolerance)
     work = Work(spark)

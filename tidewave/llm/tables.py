@@ -50,8 +50,8 @@ def clear() -> None:
 class Work:
     """Written tables of one run; ``saved`` cuts the lineage of a frame."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.at = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, compression: str = "snappy"):
+        self.spark, self.compression, self.at = spark, compression, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: set[str] = set()
         _open.append(self)
@@ -59,7 +59,7 @@ class Work:
     def saved(self, frame: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        frame.write.option("compression", "zstd").parquet(path)
+        frame.write.option("compression", self.compression).parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out.saved_at = path
         self.paths.add(path)
