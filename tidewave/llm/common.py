@@ -127,6 +127,10 @@ def run_hashes(hashes: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.n
     return mix(slice_hashes(hashes, at, at + k, powers))
 
 
+#: Groups up to which a table with a row for each is broadcast.
+MANY = 10_000
+
+
 def sampled(rows: DataFrame, key: Column, most: int, by: str | None = None) -> DataFrame:
     """Of ``rows`` the distinct rows with the smallest hashes of ``key``, about ``most`` and no more, or of each ``by``.
 
@@ -137,7 +141,10 @@ def sampled(rows: DataFrame, key: Column, most: int, by: str | None = None) -> D
     rows = rows.select("*", share)
     bound = F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest(F.lit(1), F.approx_count_distinct("hash"))).alias("_bound")
     if by:
-        some = rows.join(rows.groupBy(by).agg(bound), by).where(F.col("hash") <= F.col("_bound")).drop("_bound").distinct()
+        bounds = rows.groupBy(by).agg(bound)
+        known = bounds.limit(MANY + 1).collect()
+        small = F.broadcast(rows.sparkSession.createDataFrame(known, bounds.schema)) if len(known) <= MANY else bounds
+        some = rows.join(small, by).where(F.col("hash") <= F.col("_bound")).drop("_bound").distinct()
     else:
         some = rows.where(F.col("hash") <= rows.agg(bound).first()[0]).distinct()
     order = ["hash", *(c for c in some.columns if c != "hash")]
