@@ -102,8 +102,11 @@ def least_matches(tolerance: float) -> list[int]:
     return out
 
 
-def links(sets: list[np.ndarray], marks: np.ndarray, left: int, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of sets at the threshold; left: pairs of the first ``left`` with the others, 0: all pairs i < j."""
+def links(sets: list[np.ndarray], marks: np.ndarray, left: int, need: list[int], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of sets at the threshold; left: pairs of the first ``left`` with the others, 0: all pairs i < j.
+
+    They come in portions of about ``most`` candidates, so that memory does not grow with the square of the sets.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -123,8 +126,14 @@ def links(sets: list[np.ndarray], marks: np.ndarray, left: int, need: list[int])
                 i, j, matched = i[ok], j[ok], matched[ok]
             if len(i):
                 found.append((rows[i], cols[j]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if sum(len(x) for x, _ in found) >= most:
+            yield _verified(sets, sizes, found)
+            found = []
+    if found:
+        yield _verified(sets, sizes, found)
+
+
+def _verified(sets: list[np.ndarray], sizes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     both = _intersections(sets, sizes, i, j)
     ok = both * DEN >= NUM * (sizes[i] + sizes[j] - both)
@@ -139,9 +148,9 @@ def _intersections(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j:
     several = count[number] > 1
     names, column = np.unique(number[several], return_inverse=True)
     owner = owner[several]
-    place = np.searchsorted(used, np.arange(len(sets)))
-    if len(used) ** 2 * len(names) * 0.1 < len(i) * 4000 + 8 * float((sizes[i] + sizes[j]).sum()):
-        total = np.zeros((len(used), len(used)), np.float32)
+    left, right = np.unique(i), np.unique(j)
+    if len(left) * len(right) * len(names) * 0.1 < len(i) * 4000 + 8 * float((sizes[i] + sizes[j]).sum()):
+        total = np.zeros((len(left), len(right)), np.float32)
         width = max(1, 8_000_000 // len(used))
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
@@ -149,8 +158,8 @@ def _intersections(sets: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j:
             a, b = np.searchsorted(column, (c, c + width))
             dense = np.zeros((len(used), min(width, len(names) - c)), np.float32)
             dense[owner[a:b], column[a:b] - c] = 1
-            total += dense @ dense.T
-        return np.rint(total[place[i], place[j]]).astype(np.int64)
+            total += dense[np.searchsorted(used, left)] @ dense[np.searchsorted(used, right)].T
+        return np.rint(total[np.searchsorted(left, i), np.searchsorted(right, j)]).astype(np.int64)
     out = np.empty(len(i), np.int64)
     for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         x, y = (sets[a], sets[b]) if sizes[a] <= sizes[b] else (sets[b], sets[a])
@@ -253,10 +262,12 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 21, bl
                 continue
             sets = [np.frombuffer(value["set"][r], U64) for r in some]
             marks = minhashes(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
-            a, b = links(sets, marks, left, need)
             copies = np.array([value["copies"][r] for r in some], np.int64)
-            count = np.bincount(a, copies[b], len(some)) + np.bincount(b, copies[a], len(some))
-            root = _roots(len(some), a, b)
+            count, every = np.zeros(len(some)), np.arange(len(some))
+            root = every
+            for a, b in links(sets, marks, left, need):
+                count += np.bincount(a, copies[b], len(some)) + np.bincount(b, copies[a], len(some))
+                root = _roots(len(some), np.concatenate([every, a]), np.concatenate([root, b]))
             out += [(value["node"][r], int(c), value["node"][some[k]]) for r, c, k in zip(some, count, root, strict=True)]
         node, count, root = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"node": pa.array(node, pa.binary()), "links": pa.array(count, pa.int64()), "root": pa.array(root, pa.binary())})
