@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import bytepairs, jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, substrings
+from tidewave.llm import bytepairs, jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, substrings, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard.op8,
     "op9_mixing": mixing.op9,
     "op10_substring_dedup": substrings.op10,
+    "op11_whitening": whitening.op11,
     "op12_byte_pairs": bytepairs.op12,
 }
 
