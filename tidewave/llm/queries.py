@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import bytepairs, jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, substrings, whitening
+from tidewave.llm import bytepairs, jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, resampling, substrings, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substrings.op10,
     "op11_whitening": whitening.op11,
     "op12_byte_pairs": bytepairs.op12,
+    "op13_resampling": resampling.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL, "op13_resampling": resampling.OP13_SQL}
