@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -6,11 +8,11 @@ from pyspark.sql import functions as F
 
 from tidewave import registry
 from tidewave.errors import ExperimentError, IntegrityError, LeakageError
-from tidewave.model import Descriptor, GroundTruth, Measurement, Protocol, Split
+from tidewave.model import Descriptor, GroundTruth, Measurement, Normalisation, Protocol, Split
 from tidewave.operators import integrity, poses
 from tidewave.operators import frames as fr
 from tidewave.plans import suite
-from tidewave.plans.guards import Finding, GuardName, GuardReport, Report, Row, Waiver
+from tidewave.plans.guards import Binding, Finding, GuardName, GuardReport, Report, Row, Waiver, run_guards
 
 P = Protocol(Split.CROSS_USER, "synthetic", "1", GroundTruth.SYNTHETIC, 6)
 
@@ -82,7 +84,7 @@ def test_suite_measures_or_refuses(spark, sf, tmp_path):
     suite.write_suite(out, str(tmp_path))
     assert (tmp_path / "splits" / "cross_session" / "report.txt").exists() and "guards block" in (tmp_path / "report.json").read_text()
     apart = s.where("(participant IN ('P00', 'P03') AND session = 'S0') OR (participant NOT IN ('P00', 'P03'))").withColumn("device", F.concat(F.lit("D"), (F.substring("participant", 3, 1).cast("int") % 3).cast("string")))
-    assert suite.measure(apart, Split.CROSS_DEVICE, P, "good", perfect).report.refusals() == []
+    assert suite.measure(apart, Split.CROSS_DEVICE, replace(P, split=Split.CROSS_DEVICE), "good", perfect).report.refusals() == []
     few = suite.run_suite(s.where("participant = 'P00' AND device = 'D0'").drop("features"), P, "good", perfect)
     assert few.absence(Split.CROSS_USER) and few.headline().startswith("NO HEADLINE") and "nearest-neighbour" not in few.reports[Split.WITHIN_SESSION].table()
 
@@ -100,7 +102,7 @@ def test_baselines_of_own_folds(spark):
     with pytest.raises(LeakageError):
         suite.Family.of(s.unionByName(s.where("sample_id = 0").withColumn("device", F.lit("D9"))), Split.CROSS_DEVICE)
     with pytest.raises(ExperimentError):
-        suite.measure(s, Split.WITHIN_SESSION, P, "x", suite.fold_means, builder=lambda x: poses.folds(x, Split.WITHIN_SESSION).unionByName(poses.folds(x, Split.WITHIN_SESSION)))
+        suite.measure(s, Split.WITHIN_SESSION, replace(P, split=Split.WITHIN_SESSION), "x", suite.fold_means, builder=lambda x: poses.folds(x, Split.WITHIN_SESSION).unionByName(poses.folds(x, Split.WITHIN_SESSION)))
 
 
 def test_calibration_sweep(spark):
@@ -131,7 +133,7 @@ def test_reports_refuse():
     report.add(Row("b", "baseline", Measurement(10.5, "mm", P, 5)))
     with pytest.raises(ExperimentError):
         report.add(Row("c", "baseline", Measurement(10.5, "mm", P.at_calibration(2), 5)))
-    report.guards = GuardReport(tuple(Finding(g, True, "") for g in GuardName), P.split, P.dataset, P.dataset_version)
+    report.guards = GuardReport(tuple(Finding(g, True, "") for g in GuardName), Binding(P.split, P.dataset, P.dataset_version, 8, 4, "f"))
     assert report.refusals() == [] and "does NOT clearly beat b" in report.headline()
 
 
@@ -358,3 +360,64 @@ def test_pool_refusals_and_shuffled_tail(spark, sf):
     other = poses.folds(s, Split.WITHIN_SESSION, contiguous=False)
     assert other.groupBy("role").count().collect() and other.exceptAll(folded).count() > 0
     poses.require_no_leakage(other, s, Split.WITHIN_SESSION)
+
+
+def errors_of(spark, levels, per=50):
+    return spark.createDataFrame([(f"P{i:02d}/S0", float(x)) for i, x in enumerate(levels) for _ in range(per)], "cluster string, error double")
+
+
+def test_evaluation_size_counts_printed_decimals(spark):
+    """Twelve people 3 mm apart do not support two decimals; people 0.002 mm apart do; one cluster fails, and does not raise."""
+    wide = poses.evaluation_size(errors_of(spark, 12 + 3 * np.random.default_rng(11).standard_normal(12)), "cluster", 5).first()
+    assert wide["clusters"] == 12 and wide["decimals"] < 2 and not wide["passed"]
+    fine = errors_of(spark, 12 + 0.002 * np.random.default_rng(5).standard_normal(20))
+    assert poses.evaluation_size(fine, "cluster", 5).first()["passed"]
+    assert not poses.evaluation_size(fine, "cluster", 5, reported_decimals=4).first()["passed"]
+    assert poses.evaluation_size(errors_of(spark, [9.0] * 10), "cluster", 5).first()["passed"]
+    one = poses.evaluation_size(errors_of(spark, [9.0]), "cluster", 1).first()
+    assert one["clusters"] == 1 and one["sem"] is None and not one["passed"]
+
+
+def test_protocols_of_another_split_are_refused(spark):
+    s = people(spark, n=3, per=2)
+    wrong = replace(P, split=Split.WITHIN_SESSION)
+    for run in (lambda: suite.cross_user(s, wrong, "x", suite.fold_means), lambda: suite.measure(s, Split.CROSS_USER, wrong, "x", suite.fold_means)):
+        with pytest.raises(ExperimentError, match="declares WITHIN_SESSION"):
+            run()
+    family = suite.Family.of(s, Split.CROSS_USER)
+    with pytest.raises(ExperimentError, match="declares WITHIN_SESSION"):
+        run_guards(family, perfect(None, family.test()).withColumn("fold", F.lit("p00")), wrong)
+
+
+def test_guards_are_bound_to_rows(spark):
+    """Counts by hand; the same rows give the same fingerprint however they are dealt, other rows or folds another."""
+    s = people(spark, n=4, per=3)
+    for split, train in ((Split.CROSS_USER, 3 * 24), (Split.CROSS_SESSION, 24)):
+        family = suite.Family.of(s, split)
+        a, b, mark = family.identity()
+        assert (a, b) == (train, 24)
+        assert suite.Family.of(s.repartition(7), split).identity() == (a, b, mark)
+        built = suite.Family.of(s, split, lambda x, split=split: poses.folds(x, split)).identity()
+        assert built[:2] == (a, b)
+        assert suite.Family.of(s.where("sample_id <> 3"), split).identity()[2] != mark
+        assert suite.Family.of(s.withColumn("device", F.concat("device", F.lit("x"))), split).identity()[2] != mark
+    report = suite.cross_user(s, P, "good", perfect).report
+    bound = report.guards.binding
+    assert (bound.n_train, bound.n_test) == (72, 24) and len(bound.fingerprint) == 64 and bound.fingerprint[:12] in report.text()
+    assert bound.disagreement(replace(P, dataset_version="9")) and "version" in bound.disagreement(replace(P, dataset_version="9"))
+    with pytest.raises(ExperimentError):
+        Binding(Split.CROSS_USER, "d", "1", 0, 3, "f")
+
+
+def test_whole_windows_are_normalised_once(spark):
+    """Windows of 2 x 60 x 96 values: linear in the values, so that 400 rows of 11,520 take seconds."""
+    rows = spark.range(400).select("id", F.transform(F.sequence(F.lit(0), F.lit(2 * 60 * 96 - 1)), lambda i: F.sin(i + F.col("id"))).alias("x")).cache()
+    rows.count()
+    began = time.perf_counter()
+    for kind, of in ((Normalisation.PEAK, lambda v: np.abs(v).max()), (Normalisation.L2, np.linalg.norm)):
+        got = rows.where("id < 3").select("x", fr.normalise(F.col("x"), kind).alias("y")).collect()
+        assert all(np.allclose(np.array(r["x"]) / of(np.array(r["x"])), r["y"]) for r in got)
+        rows.select(fr.normalise(F.col("x"), kind).alias("y")).selectExpr("sum(y[7])").collect()
+    assert time.perf_counter() - began < 60
+    odd = spark.createDataFrame([([0.0, 0.0],), ([float("inf"), 1.0],), ([],), (None,), ([2.0, -4.0],)], "x array<double>").select(fr.normalise(F.col("x"), Normalisation.PEAK).alias("y")).collect()
+    assert [r["y"] for r in odd] == [[0.0, 0.0], [float("inf"), 1.0], [], None, [0.5, -1.0]]

@@ -6,6 +6,8 @@ task: a sample at position p belongs to frames that start at multiples of ``hop`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,12 @@ def normalise(x: Column, kind: Normalisation) -> Column:
     if kind is Normalisation.NONE:
         return x
     scale = F.array_max(F.transform(x, F.abs)) if kind is Normalisation.PEAK else F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    fine = (scale > 0) & (scale < float("inf")) & ~F.isnan(scale)
-    return F.when(fine, F.transform(x, lambda v: v / scale)).otherwise(x)
+    return _with_bound(scale, lambda s: F.when((s > 0) & (s < float("inf")) & ~F.isnan(s), F.transform(x, lambda v: v / s)).otherwise(x))
+
+
+def _with_bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value worked out once: inside a lambda an expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def crop(x: Column, near: float, far: float, bin_metres: float, offset: Column | float = 0.0) -> tuple[Column, Column]:
@@ -79,8 +85,8 @@ def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int,
     start = F.col(order) - (length - 1) - lag - F.col("_first")
     flat = F.concat(F.flatten("xs"), F.flatten("ds"))
     kept = lists.where(F.col("_home") & whole).join(first, keys).where((start >= 0) & (start % stride == 0)).select(*keys, order, flat.alias("window"))
-    scale = F.array_max(F.transform("window", F.abs))
-    return kept.withColumn("window", F.when(scale > 0, F.transform("window", lambda v: (v / scale).cast("float"))).otherwise(F.col("window")))
+    peak = F.array_max(F.transform("window", F.abs))
+    return kept.withColumn("window", _with_bound(peak, lambda s: F.when(s > 0, F.transform("window", lambda v: (v / s).cast("float"))).otherwise(F.col("window"))))
 
 
 def trailing_median(rows: DataFrame, keys: list[str], order: str, value: str, width: int, name: str, block: int = BLOCK) -> DataFrame:

@@ -328,11 +328,14 @@ def fold_label_matches(samples: DataFrame, split: Split, least: float = 0.2) ->
 
 
 def evaluation_size(errors: DataFrame, cluster: str, least: int, reported_decimals: int = 2) -> DataFrame:
-    """Clusters, spread of their means, and how many decimals of the mean the spread justifies."""
+    """Clusters, spread of their means, and how many decimals of the mean the spread justifies.
+
+    Passed are ``least`` clusters or more whose spread supports the decimals that are printed; one cluster has no spread.
+    """
     by = errors.groupBy(cluster).agg(F.avg("error").alias("m"))
     out = by.agg(F.count("*").alias("clusters"), F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("sem"))
     decimals = F.when(F.col("sem") > 0, F.floor(-F.log10(2 * F.col("sem")))).otherwise(reported_decimals).cast("int")
-    return out.select("clusters", "mean", "sem", decimals.alias("decimals"), (F.col("clusters") >= max(2, least)).alias("passed"))
+    return out.select("clusters", "mean", "sem", decimals.alias("decimals"), ((F.col("clusters") >= max(2, least)) & (F.lit(reported_decimals) <= decimals)).alias("passed"))
 
 
 def time_blocks(samples: DataFrame, most: int = 10) -> DataFrame:

@@ -48,13 +48,38 @@ class Finding:
 
 
 @dataclass(frozen=True)
-class GuardReport:
-    """Findings of all three guards, bound to the split and dataset they were made on."""
+class Binding:
+    """What guards were run on: the split, the dataset, how many rows stood on either side, and which ones."""
 
-    findings: tuple[Finding, ...]
     split: Split
     dataset: str
     dataset_version: str
+    n_train: int
+    n_test: int
+    fingerprint: str
+
+    def __post_init__(self) -> None:
+        if self.n_train < 1 or self.n_test < 1 or not self.fingerprint:
+            raise ExperimentError("guards are bound to training and test rows and their fingerprint")
+
+    def disagreement(self, p: Protocol) -> str | None:
+        """Why these guards say nothing of a result under a protocol; None where they do."""
+        pairs = (("split", self.split.name, p.split.name), ("dataset", self.dataset, p.dataset), ("version", self.dataset_version, p.dataset_version))
+        return "; ".join(f"the guards saw {what} {mine}, the rows {theirs}" for what, mine, theirs in pairs if mine != theirs) or None
+
+    def describe(self) -> str:
+        return f"guards on {self.split.name}, {self.n_test} test rows of {self.dataset} {self.dataset_version}, fingerprint {self.fingerprint[:12]}"
+
+    def as_dict(self) -> dict:
+        return {"split": self.split.name, "dataset": self.dataset, "dataset_version": self.dataset_version, "n_train": self.n_train, "n_test": self.n_test, "fingerprint": self.fingerprint}
+
+
+@dataclass(frozen=True)
+class GuardReport:
+    """Findings of all three guards, bound to what they were made on."""
+
+    findings: tuple[Finding, ...]
+    binding: Binding
 
     def __post_init__(self) -> None:
         missing = set(GuardName) - {f.guard for f in self.findings}
@@ -66,17 +91,23 @@ class GuardReport:
         return [f for f in self.findings if f.blocking]
 
     def bound_to(self, p: Protocol) -> bool:
-        return (self.split, self.dataset, self.dataset_version) == (p.split, p.dataset, p.dataset_version)
+        return self.binding.disagreement(p) is None
 
     def require_clean(self) -> None:
         if self.blocking:
             raise GuardViolation("\n".join(f.describe() for f in self.blocking))
 
     def describe(self) -> str:
-        return "\n".join(f.describe() for f in self.findings)
+        return "\n".join([self.binding.describe(), *(f.describe() for f in self.findings)])
+
 
+def require_protocol(protocol: Protocol, split: Split) -> None:
+    """A protocol speaks of its own split; no result is relabelled."""
+    if protocol.split is not split:
+        raise ExperimentError(f"the protocol declares {protocol.split.name}, the folds are {split.name}")
 
-def run_guards(family, said, protocol: Protocol, waivers: tuple[Waiver, ...] = ()) -> GuardReport:
+
+def run_guards(family, said, protocol: Protocol, waivers: tuple[Waiver, ...] = (), decimals: int = 2) -> GuardReport:
     """The three guards of a family of folds and a model's predictions (fold, sample_id, guess).
 
     Concentration and the size of the evaluation look at the test rows of all folds together; whether labels match is
@@ -86,6 +117,7 @@ def run_guards(family, said, protocol: Protocol, waivers: tuple[Waiver, ...] = (
 
     from tidewave.operators import poses
 
+    require_protocol(protocol, family.split)
     by = {w.guard: w for w in waivers}
     within = not protocol.split.is_population
     test = family.test()
@@ -103,13 +135,14 @@ def run_guards(family, said, protocol: Protocol, waivers: tuple[Waiver, ...] = (
         failed = [r["fold"] for r in rows if not r["passed"]]
         found.append(Finding(GuardName.LABEL_MATCH, not failed, f"{len(failed)} of {len(rows)} folds match their training labels; in {worst['fold']} {ratio}", {"failed": failed, "worst": worst.asDict()}, by.get(GuardName.LABEL_MATCH)))
     errors = said.join(test, ["fold", "sample_id"]).withColumn("error", poses.mean_of(poses.joint_errors(F.col("guess"), F.col("pose"))))
-    if protocol.split.is_population:
-        clusters = errors.select(F.concat_ws("/", "participant", "session").alias("cluster"), "error")
-    else:
-        clusters = poses.time_blocks(errors).select(F.format_string("time-block-%02d", "time_block").alias("cluster"), "error")
-    c = poses.evaluation_size(clusters, "cluster", 5 if protocol.split.is_population else 2).first()
-    found.append(Finding(GuardName.EVALUATION_SIZE, c["passed"], f"{c['clusters']} clusters, standard error {c['sem'] or 0:.3g}", c.asDict(), by.get(GuardName.EVALUATION_SIZE)))
-    return GuardReport(tuple(found), protocol.split, protocol.dataset, protocol.dataset_version)
+    # pooled over folds there are many sessions, within users too; the blocks of one session are for one fold alone
+    clusters = errors.select(F.concat_ws("/", "participant", "session").alias("cluster"), "error")
+    least = 5 if protocol.split.is_population else 2
+    c = poses.evaluation_size(clusters, "cluster", least, decimals).first()
+    why = f"fewer than {least}" if c["clusters"] < least else f"supports {c['decimals']} decimals, {decimals} are printed"
+    found.append(Finding(GuardName.EVALUATION_SIZE, c["passed"], f"{c['clusters']} clusters, standard error {c['sem'] or 0:.3g}, {why}", c.asDict() | {"reported_decimals": decimals}, by.get(GuardName.EVALUATION_SIZE)))
+    n_train, n_test, fingerprint = family.identity()
+    return GuardReport(tuple(found), Binding(protocol.split, protocol.dataset, protocol.dataset_version, n_train, n_test, fingerprint))
 
 
 @dataclass(frozen=True)
@@ -142,8 +175,8 @@ class Report:
         """Takes guards that were run on the rows' split and dataset, and no others."""
         if not self.rows:
             raise ExperimentError("guards without rows")
-        if not guards.bound_to(self.protocol):
-            raise ExperimentError("the guards belong to another split or dataset")
+        if wrong := guards.binding.disagreement(self.protocol):
+            raise ExperimentError(wrong)
         self.guards = guards
 
     def best(self, kind: str) -> Row | None:
@@ -161,7 +194,8 @@ class Report:
         if self.guards is None:
             return [*out, "the guards were not run"]
         out += ["guards block: " + ", ".join(f.guard.value for f in self.guards.blocking)] * bool(self.guards.blocking)
-        return out + ["the guards belong to another split or dataset"] * (not self.guards.bound_to(self.protocol))
+        wrong = self.guards.binding.disagreement(self.protocol)
+        return out + ([wrong] if wrong else [])
 
     def headline(self, in_set: bool = False) -> str:
         if refused := self.refusals(in_set):
@@ -208,7 +242,7 @@ class Report:
         return "\n\n".join(parts)
 
     def as_dict(self) -> dict:
-        return {"headline": self.headline(), "verdict": self.verdict(), "refusals": self.refusals(), "rows": [{"name": r.name, "kind": r.kind, "mpjpe": r.mpjpe.value, "samples": r.mpjpe.samples, **r.others} for r in self.rows], "guards": [f.describe() for f in self.guards.findings] if self.guards else None}
+        return {"headline": self.headline(), "verdict": self.verdict(), "refusals": self.refusals(), "rows": [{"name": r.name, "kind": r.kind, "mpjpe": r.mpjpe.value, "samples": r.mpjpe.samples, **r.others} for r in self.rows], "guards": [f.describe() for f in self.guards.findings] if self.guards else None, "binding": self.guards.binding.as_dict() if self.guards else None}
 
     def as_json(self) -> str:
         return json.dumps(self.as_dict(), indent=2)

@@ -6,6 +6,7 @@ nearest neighbours, so no fold is joined with all samples. A model is fitted fol
 
 from __future__ import annotations
 
+import hashlib
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewave.errors import ExperimentError, LeakageError
 from tidewave.model import Alignment, Measurement, Protocol, Split
 from tidewave.operators import poses
-from tidewave.plans.guards import Report, ReportSet, Row, Waiver, run_guards
+from tidewave.plans.guards import Report, ReportSet, Row, Waiver, require_protocol, run_guards
 
 #: (train, test) of one fold -> (sample_id, guess) for each test sample.
 Predictor = Callable[[DataFrame, DataFrame], DataFrame]
@@ -91,6 +92,27 @@ class Family:
         ids = self.folded.where((F.col("fold") == fold) & (F.col("role") == role)).select("sample_id")
         return self.samples.join(ids, "sample_id", "left_semi")
 
+    def identity(self) -> tuple[int, int, str]:
+        """Training and test rows summed over folds, and one hash of what every fold holds.
+
+        Of a unit that is left out only its own rows are hashed: its training rows are all others in its scope.
+        """
+        if self.by_unit:
+            unit, within = poses.unit_of(self.split)
+            held = self.test()
+            rows = held.select("fold", "sample_id", F.lit("test").alias("role"))
+            scope = self.samples.groupBy(*within).agg(F.count("*").alias("all"))
+            tested = held.groupBy(*within, "fold").agg(F.count("*").alias("n"))
+            met = tested.join(scope, within) if within else tested.join(F.broadcast(scope), F.lit(True))  # one row
+            sides = met.agg(F.sum(F.col("all") - F.col("n")).alias("train"), F.sum("n").alias("test")).first()
+            more = [str(self.samples.count())]
+        else:
+            rows, more = self.folded, []
+            sides = rows.agg(F.sum((F.col("role") == "train").cast("long")).alias("train"), F.sum((F.col("role") == "test").cast("long")).alias("test")).first()
+        of_folds = poses.split_fingerprint(rows, self.samples).select(F.concat_ws("|", "fold", "role", F.col("n").cast("string"), "fingerprint").alias("h"))
+        said = sorted(r["h"] for r in of_folds.collect())  # a row for each fold and side
+        return sides["train"], sides["test"], hashlib.sha256("\n".join([*more, *said]).encode()).hexdigest()
+
     def means(self) -> DataFrame:
         """(fold, guess): the mean training pose of each fold."""
         if self.by_unit:
@@ -229,9 +251,9 @@ class Experiment:
 
 
 def measure(samples: DataFrame, split: Split, protocol: Protocol, model: str, predict: Predictor, builder: FoldBuilder | None = None, baselines: tuple[Baseline, ...] = BASELINES, waivers: tuple[Waiver, ...] = ()) -> Experiment:
-    """One family: the model and the baselines refitted in every fold, pooled, and guarded."""
+    """One family: the model and the baselines refitted in every fold, pooled, and guarded, under a protocol of its split."""
+    require_protocol(protocol, split)
     family = Family.of(samples, split, builder)
-    protocol = replace(protocol, split=split)
     said, names = predictions(family, model, predict, baselines)
     numbers: dict[str, dict[str, dict]] = {n: {} for n in names}
     for r in fold_metrics(family, said).collect():  # a row for each predictor and fold
@@ -256,11 +278,14 @@ def cross_user(samples: DataFrame, protocol: Protocol, model: str, predict: Pred
 
 
 def run_suite(samples: DataFrame, protocol: Protocol, model: str, predict: Predictor, **options) -> ReportSet:
-    """All four families; one that the data cannot give is an absence, leakage is never caught."""
+    """All four families, each under the protocol with its own split and nothing else replaced.
+
+    A family that the data cannot give is an absence; leakage is never caught.
+    """
     out = ReportSet()
     for split in Split:
         try:
-            done = measure(samples, split, protocol, model, predict, **options)
+            done = measure(samples, split, replace(protocol, split=split), model, predict, **options)
         except ValueError as e:
             out.absences[split] = str(e)
             continue

@@ -256,7 +256,7 @@ def guard_label_match(spark, d):
     return rounded(poses.label_match(s.where("participant <> 'P00'"), s.where("participant = 'P00'")), "distance", "typical", "ratio", digits=6)
 
 
-@query(f"WITH {E}, c AS (SELECT participant || '/' || session AS cluster, avg(e) AS m FROM err GROUP BY 1), a AS (SELECT count(*) AS clusters, avg(m) AS mean, stddev_samp(m) / sqrt(count(*)) AS sem FROM c) SELECT clusters, round(mean, 4) AS mean, round(sem, 4) AS sem, (CASE WHEN sem > 0 THEN floor(-log10(2 * sem)) ELSE 2 END)::INT AS decimals, clusters >= 5 AS passed FROM a")
+@query(f"WITH {E}, c AS (SELECT participant || '/' || session AS cluster, avg(e) AS m FROM err GROUP BY 1), a AS (SELECT count(*) AS clusters, avg(m) AS mean, stddev_samp(m) / sqrt(count(*)) AS sem FROM c) SELECT clusters, round(mean, 4) AS mean, round(sem, 4) AS sem, (CASE WHEN sem > 0 THEN floor(-log10(2 * sem)) ELSE 2 END)::INT AS decimals, clusters >= 5 AND 2 <= (CASE WHEN sem > 0 THEN floor(-log10(2 * sem)) ELSE 2 END) AS passed FROM a")
 def guard_evaluation_size(spark, d):
     errors = louo_errors(spark, d).select(F.concat_ws("/", "participant", "session").alias("cluster"), poses.mean_of(F.col("err")).alias("error"))
     return rounded(poses.evaluation_size(errors, "cluster", 5), "mean", "sem")
