@@ -231,5 +231,7 @@ def test_codes_of_words():
     column = pa.array(["Ab aB", None, "", "é1_é1 \x00", "ab"])
     words, codes, before = resampling.word_codes(*resampling.utf8(column))
     assert words.to_pylist() == ["ab", "é1"] and codes.tolist() == [0, 0, 1, 1, 0] and before.tolist() == [0, 2, 2, 2, 4, 5]
-    tuples, numbers, ends = resampling.tuples_of(codes, before, 2, 2)
-    assert [tuples[i].as_py() for i in numbers] == [[0, 0], [1, 1]] and ends.tolist() == [0, 1, 1, 1, 2, 2]
+    times, (pairs,), numbers, ends = resampling.runs_of(codes, before, 2, 2)
+    assert [pairs[i - 2].tolist() for i in numbers] == [[0, 0], [1, 1]] and ends.tolist() == [0, 1, 1, 1, 2, 2] and times.tolist() == [0, 0, 1, 1]
+    times, (pairs,), numbers, ends = resampling.runs_of(codes, before, 1, 2)
+    assert numbers.tolist() == [0, 0, 2, 1, 1, 3, 0] and ends.tolist() == [0, 3, 3, 3, 6, 7] and times.tolist() == [3, 2, 1, 1]
