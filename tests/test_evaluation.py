@@ -198,7 +198,7 @@ def session_tree(root, frames=40, rate=48000):
     at = root / "Study-1" / "sub1_samsung_left"
     at.mkdir(parents=True)
     np.save(at / "audio001_fmcw_16bit_profiles.npy", x)
-    np.save(at / "audio001_fmcw_16bit_diff_profiles.npy", x[:, 2:] - x[:, :-2])
+    np.save(at / "audio001_fmcw_16bit_diff_profiles.npy", np.diff(x, axis=1)[:, 1:])
     np.save(at / "audio001_landmarks.npy", r.normal(0, 1, (5, 63)).astype(np.float32))
     (at / "config.json").write_text(json.dumps({"audio": {"config": {"sampling_rate": rate, "frame_length": 600}, "files": ["a"], "syncing_poses": [0]}, "ground_truth": {"files": ["g.npy"], "syncing_poses": [0.0]}}))
     return x
@@ -214,7 +214,7 @@ def test_corpus_reads_only_what_the_manifest_vouches_for(spark, tmp_path):
     c = Corpus(spark, str(tmp_path), kept, d)
     path = c.sessions().first()["path"]
     rows = c.prepared(path).orderBy("frame_idx").collect()
-    assert [r["frame_idx"] for r in rows] == list(range(2, 40)) and np.allclose(rows[5]["diff"], x[:, 7] - x[:, 5])
+    assert [r["frame_idx"] for r in rows] == list(range(2, 40)) and np.allclose(rows[5]["diff"], x[:, 7] - x[:, 6])
     assert c.landmarks(path).count() == 5
     times = spark.createDataFrame([(i, i * 0.1) for i in range(5)], "frame_no long, ts_s double")
     windows = c.labelled(path, 0, 0.0, times).collect()
@@ -229,6 +229,7 @@ def test_corpus_reads_only_what_the_manifest_vouches_for(spark, tmp_path):
     with pytest.raises(IntegrityError, match="not in the manifest"):
         without.landmarks(path)
     (tmp_path / "Study-1" / "sub1_samsung_left" / "audio001_landmarks.npy").unlink()
+    without = Corpus(spark, str(tmp_path), kept.where("path NOT LIKE '%landmarks%'"), d)
     assert without.landmarks(path) is None
     with pytest.raises(MissingLandmarksError):
         without.labelled(path, 0, 0.0, times)
@@ -247,7 +248,7 @@ def test_landmark_preparation_is_all_or_nothing(spark, tmp_path):
     times = video.select("frame_no", (F.col("frame_no") / 30).alias("ts_s"))
     seen = lambda v: v.select("frame_no", F.array_repeat(F.lit(0.5), 63).alias("joints"))
     out = prepare_landmarks(video, times, seen, str(tmp_path / "a"), {"detector": "x"})
-    assert out.count() == 4 and "x" in spark.read.text(str(tmp_path / "a" / "provenance.json")).first()[0]
+    assert out.count() == 4 and "x" in spark.read.text(str(tmp_path / "a" / "audio001_landmarks.json")).first()[0]
     with pytest.raises(LandmarkPreparationError):
         prepare_landmarks(video, times, lambda v: seen(v).withColumn("joints", F.when(F.col("frame_no") > 0, F.col("joints"))), str(tmp_path / "b"), {})
     with pytest.raises(LandmarkPreparationError):
@@ -421,3 +422,153 @@ def test_whole_windows_are_normalised_once(spark):
     assert time.perf_counter() - began < 60
     odd = spark.createDataFrame([([0.0, 0.0],), ([float("inf"), 1.0],), ([],), (None,), ([2.0, -4.0],)], "x array<double>").select(fr.normalise(F.col("x"), Normalisation.PEAK).alias("y")).collect()
     assert [r["y"] for r in odd] == [[0.0, 0.0], [float("inf"), 1.0], [], None, [0.5, -1.0]]
+
+
+def grow_tree(root, sessions, frames=24, bad=()):
+    """Sessions of several people and studies with all their files; sessions in ``bad`` have their direct path elsewhere."""
+    import json
+
+    r = np.random.default_rng(1)
+    names = {}
+    for k in range(sessions):
+        at = root / ("Study-1/sub%d_%s_left" % (k // 2 + 1, ("samsung", "xiaomi")[k // 2 % 2]) if k % 4 < 2 else "Study-4/sub%d/normal" % (k // 2 + 1))
+        at.mkdir(parents=True, exist_ok=True)
+        stem = f"audio{k % 2 + 1:03d}"
+        x = r.normal(0, 0.1, (600, frames)).astype(np.float32)
+        x[9 if k in bad else 3] += 40
+        np.save(at / f"{stem}_fmcw_16bit_profiles.npy", x)
+        np.save(at / f"{stem}_fmcw_16bit_diff_profiles.npy", np.diff(x, axis=1)[:, 1:])
+        np.save(at / f"{stem}_landmarks.npy", r.normal(0, 1, (6, 21, 3)).astype(np.float32))
+        (at / "config.json").write_text(json.dumps({"audio": {"config": {"sampling_rate": 48000, "frame_length": 600}, "files": ["a", "b"], "syncing_poses": [0, 600]}, "ground_truth": {"files": ["s0_records.txt", "s1_records.txt"], "syncing_poses": [0.05, 0.0]}}))
+        for i in range(2):
+            (at / f"s{i}_records.txt").write_text("0,0.0,0.1,a\n")
+            (at / f"s{i}_frame_time.txt").write_text("".join(f"{0.05 * j},x\n\n" for j in range(6)))
+        names[str(at.relative_to(root)), k % 2] = x
+    return names
+
+
+def jobs(spark, name, run):
+    """What ``run`` gives and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_corpus_of_many_sessions_is_one_plan(spark, tmp_path):
+    """Windows, labels and metadata by hand; the number of jobs does not follow the number of sessions."""
+    from tidewave.sources.corpus import FRAME, RATE, Corpus
+
+    d = Descriptor(crop_bins=20, window_frames=4, bin_zero_offset=3)
+    took = {}
+    for n in (8, 24):
+        root = tmp_path / str(n)
+        arrays = grow_tree(root, n)
+        kept = integrity.manifest(integrity.tree(spark, str(root))).cache()
+        kept.count()
+        corpus = Corpus(spark, str(root), kept, d)
+        got, took[n] = jobs(spark, f"corpus-{n}", lambda c=corpus: c.examples(stride=3).collect())
+        assert len({r["session"] for r in got}) == n and len({r["sample_id"] for r in got}) == len(got)
+    assert took[8] == took[24]
+    by = {}
+    known = {r["identity"]: r for r in corpus.catalogue().collect()}
+    assert sorted(known) == [i for i, _ in sorted(((i, r["ordinal"]) for i, r in known.items()), key=lambda x: x[1])]
+    for r in got:
+        by.setdefault(r["session"], []).append(r)
+    for identity, rows in by.items():
+        k = known[identity]
+        x = arrays[k["directory"], k["session_index"]]
+        marks = np.load(k["landmarks"].removeprefix("file:")).reshape(6, 63)
+        want = []
+        for end in range(2 + 3, x.shape[1], 3):
+            t = (end * FRAME - k["audio_sync"]) / RATE + k["gt_sync"]
+            at = [j for j in range(6) if 0.05 * j <= t]
+            if at:
+                some = range(end - 3, end + 1)
+                w = np.concatenate([*(x[3:23, i] for i in some), *(x[3:23, i] - x[3:23, i - 1] for i in some)])
+                want.append((end, w / np.abs(w).max(), marks[at[-1]]))
+        rows.sort(key=lambda r: r["frame_idx"])
+        assert [r["frame_idx"] for r in rows] == [e for e, _, _ in want]
+        assert all(np.allclose(r["window"], w, atol=1e-6) and np.allclose(r["joints"], m) for r, (_, w, m) in zip(rows, want, strict=True))
+        assert {(r["participant"], r["device"]) for r in rows} == {(f"study{k['study']}/sub{k['participant']}", k["device"] or "unknown-device")}
+    data = corpus.dataset(features=True, limit=5, stride=3).collect()
+    assert [r["sample_id"] for r in data] == sorted(r["sample_id"] for r in got)[:5] and all(r["pose"][:3] == [0, 0, 0] and len(r["features"]) == 160 for r in data)
+    # a corpus feeds the evaluation as it is
+    assert suite.Family.of(corpus.dataset(stride=3), Split.CROSS_USER).units().count() == 12
+
+
+def test_scans_of_sessions_are_pruned(spark, tmp_path):
+    """Sessions are left out before anything is opened, and columns that are not asked for are not read."""
+    from tidewave.sources.corpus import Corpus
+
+    grow_tree(tmp_path, 8, frames=700)
+    kept = integrity.manifest(integrity.tree(spark, str(tmp_path))).cache()
+    corpus = Corpus(spark, str(tmp_path), kept, Descriptor(crop_bins=20, window_frames=4, bin_zero_offset=3))
+    corpus.catalogue()
+    every = corpus.frames()
+    one = corpus.frames(study=[1], participant=[1, 3])
+    assert one.count() == 4 * 700 and (one.rdd.getNumPartitions(), every.rdd.getNumPartitions()) == (4, 8)
+    assert corpus.frames(study=[4], participant=[1]).count() == 0
+    # one frame serves several queries
+    assert every.where("study = 1").select("identity").union(every.where("study = 4").select("identity")).distinct().count() == 8 == every.select("identity").distinct().count()
+    with pytest.raises(Exception, match="not chosen by"):
+        corpus.frames(colour=["red"]).count()
+    step = corpus._read("profiles", "identity string, frame_idx bigint")
+    for f in tmp_path.rglob("*_diff_profiles.npy"):
+        f.unlink()
+    assert step.count() == 8 * 700 and corpus._read("profiles", "frame_idx bigint, samples array<float>").where("samples[3] > 30").count() == 8 * 700
+    with pytest.raises(Exception, match="diff_profiles"):
+        every.select(F.sum(F.size("diff"))).collect()
+    ranges = spark.read.format("session_arrays").options(catalogue=corpus._catalogue, columns_per_partition=100).schema("identity string, frame_idx bigint").load()
+    assert ranges.rdd.getNumPartitions() == 8 * 7 and ranges.distinct().count() == 8 * 700
+    only = Corpus(spark, str(tmp_path), kept, Descriptor(), studies=[4], participants=[2])
+    assert {(r["study"], r["participant"]) for r in only.catalogue().collect()} == {(4, 2)}
+
+
+def test_sessions_with_faults_fail_or_are_left_out(spark, tmp_path):
+    """Tampered, missing, unlisted and mismeasured sessions by name; the others are used when faults are skipped."""
+    from tidewave.sources.corpus import Corpus
+
+    grow_tree(tmp_path, 8, bad=(5,))
+    kept = integrity.manifest(integrity.tree(spark, str(tmp_path))).cache()
+    kept.count()
+    d = Descriptor(crop_bins=20, window_frames=4, bin_zero_offset=3)
+    with pytest.raises(Exception, match="bin zero is 9, not 3 in study1/p03"):
+        Corpus(spark, str(tmp_path), kept, d).examples().collect()
+    wrong = Corpus(spark, str(tmp_path), kept, d).measured().where("fault IS NOT NULL").collect()
+    assert [(r["identity"][:10], r["offset"], r["lag"]) for r in wrong] == [("study1/p03", 9, 2)]
+    at = tmp_path / "Study-1" / "sub1_samsung_left"
+    changed = at / "audio001_fmcw_16bit_profiles.npy"
+    data = bytearray(changed.read_bytes())
+    data[-1] ^= 1
+    changed.write_bytes(data)
+    (at / "audio002_landmarks.npy").unlink()
+    (tmp_path / "Study-4" / "sub2" / "normal" / "s0_frame_time.txt").write_text("9\n")
+    missing = kept.where("path NOT LIKE 'Study-1/sub3%diff%' OR path NOT LIKE '%audio001%'")
+    corpus = Corpus(spark, str(tmp_path), missing, d)
+    faults = {r["identity"]: (r["fault"], r["times_fault"], r["landmarks_fault"]) for r in corpus.catalogue().collect()}
+    said = [next(x for x in f if x) for _, f in sorted(faults.items()) if any(f)]
+    assert len(said) == 4 and [any(k in s for s in said) for k in ("content changed", "landmarks missing", "not in the manifest", "times wrong size")] == [True] * 4
+    with pytest.raises(Exception, match="content changed|not in the manifest"):
+        corpus.frames().select(F.sum(F.col("samples")[0])).collect()
+    left = Corpus(spark, str(tmp_path), missing.where("path NOT LIKE 'Study-1/sub3%'"), d).examples(faults="skip")
+    assert {r["session"][:10] for r in left.select("session").distinct().collect()} == {"study4/p02", "study4/p04"}
+
+
+def test_sidecars_are_read_back(spark, tmp_path):
+    """Landmarks that are prepared beside a session are the ones that the corpus finds there."""
+    from tidewave.errors import LandmarkPreparationError
+    from tidewave.sources.corpus import Corpus, prepare_landmarks
+
+    grow_tree(tmp_path, 2)
+    at = tmp_path / "Study-1" / "sub1_samsung_left"
+    (at / "audio001_landmarks.npy").unlink()
+    video = spark.range(6).select(F.col("id").alias("frame_no")).repartition(4)
+    seen = lambda v: v.select("frame_no", F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: (F.col("frame_no") * 100 + i).cast("double")).alias("joints"))
+    back = prepare_landmarks(video, video, seen, str(at), {"detector": "x"})
+    assert sorted((r["frame_no"], r["joints"][5]) for r in back.collect()) == [(i, 100.0 * i + 5) for i in range(6)]
+    corpus = Corpus(spark, str(tmp_path), integrity.manifest(integrity.tree(spark, str(tmp_path))), Descriptor(crop_bins=20, window_frames=4, bin_zero_offset=3))
+    assert sorted(r["joints"][7] for r in corpus.poses().where("identity LIKE '%s000'").collect()) == [100.0 * i + 7 for i in range(6)]
+    with pytest.raises(LandmarkPreparationError, match="already"):
+        prepare_landmarks(video, video, seen, str(at), {})

@@ -1,11 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewave.errors import ResonanceFitError
+from tidewave.errors import CaptureProcessingError, LiveCaptureError, ResonanceFitError, TruncatedFrameError, WireError
 from tidewave.functions import clap, dsp
 from tidewave.model import Chirp
+from tidewave.operators import frames as fr
 from tidewave.streaming import live, wire
-from tidewave.errors import LiveCaptureError, TruncatedFrameError, WireError
 
 C = Chirp()
 
@@ -80,10 +81,16 @@ def test_white_noise_never_locks():
 
 
 def test_assembler_drops_what_breaks():
-    a = live.Assembler(3, 1)
+    a = live.Assembler(3)
     x = np.ones(4, np.float32)
     assert [a.push(x * i, float(i), True) is not None for i in range(5)] == [False, False, False, True, True]
     assert a.push(x, 9.0, False) is None and a.push(x, 10.0, True) is None
+    # a time that does not grow breaks too, and so does a mark on the very first frame
+    assert [a.push(x, t, True) is not None for t in (11.0, 12.0, 13.0, 13.0, 14.0, 15.0, 16.0, 17.0)] == [False, False, True, False, False, False, False, True]
+    b = live.Assembler(1)
+    assert [b.push(x * i, float(i), i > 0) is not None for i in range(4)] == [False, False, True, True]
+    with pytest.raises(CaptureProcessingError):
+        a.push(x * np.nan, 20.0, True)
 
 
 def test_wire_round_trip_and_refusals():
@@ -257,8 +264,12 @@ def test_lines_and_refusals(tmp_path):
 
 
 @pytest.mark.parametrize("lag, offset", [(1, 0), (2, 0), (2, 4)])
-def test_live_windows_equal_a_plain_batch(lag, offset):
-    """A moving and two static reflectors: windows of the live way against crops, differences and peaks by hand."""
+def test_live_and_stored_windows_are_the_same(spark, lag, offset):
+    """A moving and two static reflectors: windows of the live way, of the batch plan over stored arrays, and by hand.
+
+    Stored differences are changes from frame to frame without the first ``lag - 1``, so the live way has ``lag - 1``
+    windows more, at the start, and the rest are equal.
+    """
     from tidewave.model import Descriptor
 
     n, bins, length = 14, 60, 4
@@ -268,8 +279,34 @@ def test_live_windows_equal_a_plain_batch(lag, offset):
     live_way = live.Processor(d)
     got = {i: w for i, f in enumerate(frames) if (w := live_way.push(f, i / 80, True)) is not None}
     profiles = dsp.matched_filter(frames, C)[:, offset : offset + bins]
-    assert sorted(got) == list(range(lag + length - 1, n))
+    assert sorted(got) == list(range(length, n))
     for end, w in got.items():
         some = range(end - length + 1, end + 1)
-        want = np.concatenate([*(profiles[i] for i in some), *(profiles[i] - profiles[i - lag] for i in some)])
+        want = np.concatenate([*(profiles[i] for i in some), *(profiles[i] - profiles[i - 1] for i in some)])
         assert np.allclose(w, want / np.abs(want).max(), atol=1e-6)
+    stored = np.diff(profiles, axis=0)[lag - 1 :]
+    rows = spark.createDataFrame([("a", i, profiles[i].tolist(), stored[i - lag].tolist() if i >= lag else None) for i in range(n)], "k string, i long, samples array<double>, diff array<double>")
+    batch = {r["i"]: r["window"] for r in fr.causal_windows(rows, ["k"], "i", length, 1, lag, diff="diff").collect()}
+    assert sorted(batch) == sorted(got)[lag - 1 :]
+    assert all(np.allclose(got[i], w, atol=1e-6) for i, w in batch.items())
+
+
+def test_preparation_of_many_recordings(spark):
+    """Bin zero and lag of recordings at once, against loops; lags that fit nowhere, twice or on silence are null."""
+    draw = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, (zero, lag, kind) in enumerate([(3, 1, "own"), (0, 2, "own"), (7, 3, "own"), (2, 4, "own"), (5, 2, "noise"), (5, 2, "silent"), (1, 2, "ramp")]):
+        x = draw.normal(0, 0.1, (30, 45))
+        x[:, zero] += 20
+        if kind == "ramp":
+            x = np.arange(30)[:, None] * np.ones(45) + 0.0
+            x[:, zero] += 50
+        stored = {"own": np.diff(x, axis=0)[lag - 1 :], "ramp": np.diff(x, axis=0)[lag - 1 :], "noise": draw.normal(0, 1, (28, 45)), "silent": np.zeros((28, 45))}[kind]
+        for declared in (1, 2):
+            key = f"{k}-{declared}"
+            want[key] = (zero, lag if kind == "own" else None)
+            rows += [(key, i, declared, x[i].tolist(), stored[i - declared].tolist() if 0 <= i - declared < len(stored) else None) for i in range(30)]
+    table = spark.createDataFrame(rows, "k string, i long, declared int, samples array<double>, diff array<double>")
+    for declared in (1, 2):
+        got = {r["k"]: (r["offset"], r["lag"]) for r in fr.preparation(table.where(F.col("declared") == declared), ["k"], "i", declared).collect()}
+        assert got == {k: v for k, v in want.items() if k.endswith(str(declared))}

@@ -69,22 +69,27 @@ def differences(frames: DataFrame, keys: list[str], order: str, lag: int = 1, bl
     return met.where(F.col("_home") & F.col("_before").isNotNull()).withColumn("samples", F.zip_with("samples", "_before", lambda a, b: a - b)).drop("_before", "_block", "_home")
 
 
-def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int, stride: int = 1, lag: int = 1, block: int = BLOCK) -> DataFrame:
+def causal_windows(frames: DataFrame, keys: list[str], order: str, length: int, stride: int = 1, lag: int = 1, block: int = BLOCK, diff: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """Windows of ``length`` frames that end at each frame: profiles, then differences, divided by one peak.
 
-    Windows start at frame ``lag`` of a recording and every ``stride`` after it, since the first ``lag`` have no
-    difference; a window with a missing frame is left out.
+    The difference of a frame is to the frame right before it, or what column ``diff`` holds. Windows start at frame
+    ``lag`` of a recording, the first with a stored difference, and every ``stride`` after it; a window with a missing
+    frame or difference is left out. Columns ``carry`` of a window are those of its last frame.
     """
+    carry = carry or []
     first = frames.groupBy(*keys).agg(F.min(order).alias("_first"))
     w = Window.partitionBy(*keys, "_block").orderBy(order)
-    seen = blocked(frames.select(*keys, order, F.transform("samples", lambda v: v.cast("float")).alias("x")), order, lag + length - 1, block)
-    diff = seen.withColumn("b", F.first("x").over(w.rangeBetween(-lag, -lag))).withColumn("d", F.zip_with("x", "b", lambda a, c: a - c.cast("float")))
+    as_float = lambda c: F.transform(c, lambda v: v.cast("float"))
+    stored = [as_float(diff).alias("d")] if diff else []
+    seen = blocked(frames.select(*keys, order, *carry, as_float("samples").alias("x"), *stored), order, length, block)
+    if not diff:
+        seen = seen.withColumn("b", F.first("x").over(w.rangeBetween(-1, -1))).withColumn("d", F.zip_with("x", "b", lambda a, c: a - c.cast("float")))
     back = w.rowsBetween(-(length - 1), 0)
-    lists = diff.select(*keys, order, "_home", F.collect_list(F.when(F.col("d").isNotNull(), F.col("x"))).over(back).alias("xs"), F.collect_list("d").over(back).alias("ds"), F.first(order).over(back).alias("_from"))
+    lists = seen.select(*keys, order, *carry, "_home", F.collect_list(F.when(F.col("d").isNotNull(), F.col("x"))).over(back).alias("xs"), F.collect_list("d").over(back).alias("ds"), F.first(order).over(back).alias("_from"))
     whole = (F.size("xs") == length) & (F.col("_from") == F.col(order) - (length - 1))
     start = F.col(order) - (length - 1) - lag - F.col("_first")
     flat = F.concat(F.flatten("xs"), F.flatten("ds"))
-    kept = lists.where(F.col("_home") & whole).join(first, keys).where((start >= 0) & (start % stride == 0)).select(*keys, order, flat.alias("window"))
+    kept = lists.where(F.col("_home") & whole).join(first, keys).where((start >= 0) & (start % stride == 0)).select(*keys, order, *carry, flat.alias("window"))
     peak = F.array_max(F.transform("window", F.abs))
     return kept.withColumn("window", _with_bound(peak, lambda s: F.when(s > 0, F.transform("window", lambda v: (v / s).cast("float"))).otherwise(F.col("window"))))
 
@@ -205,29 +210,64 @@ def bin_zero(values: DataFrame, keys: list[str], bins: int = 40) -> DataFrame:
     return medians.groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col("m"), "bin")).alias("offset"))
 
 
-def measured_lag(values: DataFrame, diffs: DataFrame, lags: range = range(1, 5), tolerance: float = 1e-3, columns: int = 256) -> DataFrame:
-    """(lag, residual): how well ``values`` (frame, bin, value) differenced at each lag give ``diffs`` (frame, bin, d).
+#: Lags that are tried, columns they are tried on, and the residual of a match.
+LAGS, LAG_COLUMNS, LAG_RESIDUAL = range(1, 5), 256, 1e-3
 
-    ``diffs`` counts frames from its own first, so that frame j belongs to frame j + lag of ``values``. Measured on the
-    first ``columns`` differences.
+
+def measured_lag(values: DataFrame, diffs: DataFrame, lags: range = LAGS, tolerance: float = LAG_RESIDUAL, columns: int = LAG_COLUMNS) -> DataFrame:
+    """(lag, residual): how well the change into column j + lag of ``values`` (frame, bin, value) gives column j of
+    ``diffs`` (frame, bin, d).
+
+    ``diffs`` counts frames from its own first. Measured on the first ``columns`` differences.
     """
     out, diffs = None, diffs.where(F.col("frame") < columns)
+    before = values.select((F.col("frame") + 1).alias("frame"), "bin", F.col("value").alias("b"))
+    change = values.join(before, ["frame", "bin"]).select("frame", "bin", (F.col("value") - F.col("b")).alias("e"))
     for lag in lags:
-        before = values.select((F.col("frame") + lag).alias("frame"), "bin", F.col("value").alias("b"))
-        expected = values.join(before, ["frame", "bin"]).select((F.col("frame") - lag).alias("frame"), "bin", (F.col("value") - F.col("b")).alias("e"))
-        part = diffs.join(expected, ["frame", "bin"]).agg((F.sqrt(F.sum((F.col("d") - F.col("e")) ** 2)) / F.sqrt(F.sum(F.col("d") ** 2))).alias("residual")).select(F.lit(lag).alias("lag"), "residual")
+        part = diffs.join(change.withColumn("frame", F.col("frame") - lag), ["frame", "bin"]).agg((F.sqrt(F.sum((F.col("d") - F.col("e")) ** 2)) / F.sqrt(F.sum(F.col("d") ** 2))).alias("residual")).select(F.lit(lag).alias("lag"), "residual")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("matches", F.coalesce(F.col("residual") <= tolerance, F.lit(False)))
 
 
-def require_preparation(values: DataFrame, diffs: DataFrame, keys: list[str], offset: int, lag: int) -> None:
-    """Refuses sessions (keys, frame, bin, value) whose measured bin zero, or lag where one can be measured, is another."""
-    wrong = bin_zero(values, keys).where(F.col("offset") != offset).limit(1).collect()
+def preparation(frames: DataFrame, keys: list[str], order: str, lag: int, bins: int = 40) -> DataFrame:
+    """(keys, offset, lag) measured for every recording of (keys, order, samples, diff) at once.
+
+    ``diff`` is the stored difference at ``order - lag``. ``offset`` is the bin of the largest median; ``lag`` the only
+    lag whose changes give the stored differences, null where none or several do or a difference is all zero. Medians
+    look at all frames, lags at the first 256 stored differences of each recording.
+    """
+    near = frames.select(*keys, F.posexplode(F.slice("samples", 1, bins)).alias("bin", "value"))
+    offsets = bin_zero(near, keys, bins)
+    first = frames.groupBy(*keys).agg(F.min(order).alias("_first"))
+    early = frames.join(first, keys).withColumn("_at", F.col(order) - F.col("_first")).where(F.col("_at") < LAG_COLUMNS + max(LAGS) + lag)
+    w = Window.partitionBy(*keys).orderBy("_at")
+    change = early.withColumn("_b", F.lag("samples").over(w)).withColumn("_e", F.zip_with("samples", "_b", lambda a, b: a - b.cast("double")))
+    square = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    seen = change.select(*keys, "diff", (F.col("_at") - lag).alias("_j"), *[F.lead("_e", k - lag).over(w).alias(f"_e{k}") for k in LAGS]).where(F.col("diff").isNotNull() & F.col("_j").between(0, LAG_COLUMNS - 1))
+    parts = []
+    for k in LAGS:
+        there = F.col(f"_e{k}").isNotNull()
+        far, size = F.sum(F.when(there, square(F.zip_with("diff", f"_e{k}", lambda a, b: a - b)))), F.sum(F.when(there, square("diff")))
+        parts += [far.alias(f"far{k}"), size.alias(f"size{k}")]
+    sums = seen.groupBy(*keys).agg(*parts)
+    silent = F.coalesce(*[F.when(F.col(f"size{k}") <= 0, F.lit(True)) for k in LAGS], F.lit(False))
+    matches = F.array_compact(F.array(*[F.when(F.sqrt(F.col(f"far{k}")) <= LAG_RESIDUAL * F.sqrt(F.col(f"size{k}")), F.lit(k)) for k in LAGS]))
+    lags = sums.select(*keys, F.when(~silent & (F.size(matches) == 1), matches[0]).alias("lag"))
+    return offsets.join(lags, keys, "left")
+
+
+def preparation_fault(offset: int, lag: int) -> Column:
+    """What is wrong with a measured (offset, lag), or null; a lag that cannot be measured is not wrong."""
+    shifted = F.when(F.col("offset") != offset, F.concat(F.lit("bin zero is "), F.col("offset").cast("string"), F.lit(f", not {offset}")))
+    other = F.when(F.col("lag") != lag, F.concat(F.lit("differences are at lag "), F.col("lag").cast("string"), F.lit(f", not {lag}")))
+    return F.coalesce(shifted, other)
+
+
+def require_preparation(frames: DataFrame, keys: list[str], order: str, offset: int, lag: int) -> None:
+    """Refuses recordings whose measured bin zero, or lag where it can be measured, is another."""
+    wrong = preparation(frames, keys, order, lag).withColumn("fault", preparation_fault(offset, lag)).where("fault IS NOT NULL").limit(1).collect()
     if wrong:
-        raise PreprocessingMismatchError(f"bin zero is {wrong[0]['offset']}, not {offset}, in {wrong[0].asDict()}")
-    found = [r["lag"] for r in measured_lag(values, diffs).where("matches").collect()]
-    if found and lag not in found:
-        raise PreprocessingMismatchError(f"differences are at lag {found}, not {lag}")
+        raise PreprocessingMismatchError(f"{wrong[0]['fault']} in {[wrong[0][k] for k in keys]}")
 
 
 def helmholtz_frequency(area: Column, volume: Column, neck: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,54 @@ def _glob(suffixes: tuple[str, ...]) -> str:
 def tree(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(path, content) of the files below a folder with one of the suffixes; others are not opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(suffixes)).load(folder)
-    relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/+", "/"), "^.*?" + "/".join([""] + [p for p in str(folder).split("/") if p and ":" not in p]) + "/", "")
-    return files.select(relative.alias("path"), "content")
+    return files.select(relative_to(folder, F.col("path")).alias("path"), "content")
+
+
+def relative_to(folder: str, path: Column) -> Column:
+    """A full path, with or without scheme, as the path below ``folder``."""
+    return F.regexp_replace(F.regexp_replace(path, r"^\w+:/+", "/"), "^.*?" + "/".join([""] + [re.escape(p) for p in str(folder).split("/") if p and ":" not in p]) + "/", "")
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, full, size_now) of the files below a folder whose names match; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select(relative_to(folder, F.col("path")).alias("path"), F.col("path").alias("full"), F.col("length").alias("size_now"))
+
+
+#: Bytes of a file that are in memory at once when it is hashed.
+CHUNK = 4 << 20
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """``files`` with ``hash_now``, the SHA-256 of the file at ``full``, read piece by piece in the task of its row."""
+
+    def run(batches):
+        from tidewave.sources.npy import open_file
+
+        for batch in batches:
+            digests = []
+            for path in batch.column(batch.schema.get_field_index("full")).to_pylist():
+                digest = hashlib.sha256()
+                with open_file(path) as file:
+                    while part := file.read(CHUNK):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pa.record_batch([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "hash_now"])
+
+    return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + ", hash_now string")
+
+
+def statuses(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, full, size_now, status) of a manifest and a listing: each path once.
+
+    Only files that the manifest has with their size are read; they are dealt out one by one, large ones of any size.
+    """
+    met = files.join(kept, "path", "full")
+    status = F.when(F.col("full").isNull(), "missing").when(F.col("sha256").isNull(), "not in the manifest").when(F.col("size_now") != F.col("size_bytes"), "wrong size")
+    met = met.withColumn("status", status)
+    same = hashed(met.where("status IS NULL").select("path", "full", "size_now", "sha256").repartition("path"))
+    same = same.select("path", "full", "size_now", F.when(F.col("hash_now") != F.col("sha256"), "content changed").otherwise("ok").alias("status"))
+    return met.where("status IS NOT NULL").select("path", "full", "size_now", "status").unionByName(same)
 
 
 def with_suffix(paths: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:

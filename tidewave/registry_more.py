@@ -211,11 +211,11 @@ def simulated_frames(spark, d):
     return f.select("k", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 4).alias("energy"), F.round(F.col("x")[300], 5).alias("middle"))
 
 
-@query(f"WITH {R}, o AS (SELECT frame_id, x, row_number() OVER (ORDER BY frame_id) - 1 AS at FROM fr), p AS (SELECT a.frame_id, list_sum(list_transform(range(1, 51), lambda i: a.x[i] * (a.x[i] - b.x[i]))) AS v FROM o a JOIN o b ON b.frame_id = a.frame_id - 2) SELECT frame_id, round(v, 3) AS product FROM p")
+@query(f"WITH {R}, o AS (SELECT frame_id, x, row_number() OVER (ORDER BY frame_id) - 1 AS at FROM fr), p AS (SELECT a.frame_id, list_sum(list_transform(range(1, 51), lambda i: a.x[i] * (a.x[i] - b.x[i]))) AS v FROM o a JOIN o b ON b.frame_id = a.frame_id - 1 WHERE a.frame_id >= 2) SELECT frame_id, round(v, 3) AS product FROM p")
 def original_and_difference(spark, d):
     """Columns of a recording paired with the stored differences that belong to them."""
     f = framed(spark, d)
-    stored = fr.differences(f, ["rec"], "frame_id", 2).select("rec", (F.col("frame_id") - 2).alias("frame"), "samples")
+    stored = fr.differences(f, ["rec"], "frame_id").where("frame_id >= 2").select("rec", (F.col("frame_id") - 2).alias("frame"), "samples")
     met = fr.paired(f.withColumnRenamed("frame_id", "frame"), stored, ["rec"], 2)
     return met.select(F.col("frame").alias("frame_id"), F.round(F.aggregate(F.zip_with("samples", "diff", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v), 3).alias("product"))
 
@@ -345,7 +345,7 @@ def stream_gaps(spark, d):
 def live_poses(spark, d):
     """Windows through a predictor that says their first 63 numbers, wrist at the origin."""
     f = framed(spark, d).select(F.lit("s").alias("stream_id"), F.col("frame_id").alias("frame_no"), F.col("frame_id").cast("double").alias("timestamp_s"), F.lit(True).alias("continuous"), F.transform("samples", lambda v: v.cast("float")).alias("samples"))
-    windows = live.assembled_windows(f, 8, 1)
+    windows = live.assembled_windows(f, 8)
     said = live.infer(windows, lambda x: x[:, :63], "first", 800)
     return said.select(F.col("source_timestamp_s").cast("long").alias("frame_no"), F.round(F.col("pose")[4].cast("double"), 4).alias("y1"))
 

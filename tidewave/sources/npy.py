@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 from pyarrow import fs
@@ -17,6 +18,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidewave.errors import DatasetError
 
 
+def open_file(path: str):
+    store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    return store.open_input_file(inner)
+
+
 class NpyColumns(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -29,11 +35,6 @@ class NpyColumns(DataSource):
         return NpyReader(self.options)
 
 
-def _open(path: str):
-    store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-    return store.open_input_file(inner)
-
-
 def header(file) -> tuple[tuple[int, ...], bool, str, int]:
     """(shape, column order, type, where values begin) of an open .npy file."""
     if file.read(6) != b"\x93NUMPY":
@@ -45,6 +46,46 @@ def header(file) -> tuple[tuple[int, ...], bool, str, int]:
     return tuple(said["shape"]), bool(said["fortran_order"]), said["descr"], 8 + n + length
 
 
+@dataclass(frozen=True)
+class Matrix:
+    """Where the moments of a .npy file are: its shape, which axis a moment is on, and where its values begin."""
+
+    rows: int
+    columns: int
+    fortran: bool
+    at: int
+    by_rows: bool
+
+    @classmethod
+    def of(cls, file, path: str, by_rows: bool, rows: int | None = None) -> Matrix:
+        """Of an open file, whose values must be 32-bit floats in two dimensions (by rows in more)."""
+        shape, fortran, kind, at = header(file)
+        if kind not in ("<f4", "|f4"):
+            raise DatasetError(f"{path}: values are {kind}, not 32-bit floats")
+        if by_rows and len(shape) > 2:
+            shape = shape[0], int(np.prod(shape[1:]))
+        if len(shape) != 2 or rows and shape[0] != rows:
+            raise DatasetError(f"{path}: shape {shape}")
+        return cls(*shape, fortran, at, by_rows)
+
+    @property
+    def moments(self) -> int:
+        return self.rows if self.by_rows else self.columns
+
+    def read(self, file, a: int, b: int) -> np.ndarray:
+        """Moments [a, b) as rows; their values stand together, or one in each of the other axis's lines."""
+
+        def values(first: int, n: int) -> np.ndarray:
+            file.seek(self.at + 4 * first)
+            return np.frombuffer(file.read(4 * n), "<f4")
+
+        if self.by_rows != self.fortran:
+            width = self.columns if self.by_rows else self.rows
+            return values(a * width, (b - a) * width).reshape(b - a, width)
+        lines, length = (self.columns, self.rows) if self.by_rows else (self.rows, self.columns)
+        return np.stack([values(k * length + a, b - a) for k in range(lines)], axis=1)
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -53,32 +94,14 @@ class NpyReader(DataSourceReader):
         self.by_rows = options.get("axis", "columns") == "rows"
 
     def partitions(self):
-        with _open(self.path) as file:
-            shape, fortran, kind, at = header(file)
-        if kind not in ("<f4", "|f4"):
-            raise DatasetError(f"{self.path}: values are {kind}, not 32-bit floats")
-        if self.by_rows and len(shape) > 2:
-            shape = shape[0], int(np.prod(shape[1:]))
-        if len(shape) != 2 or self.rows and shape[0] != self.rows:
-            raise DatasetError(f"{self.path}: shape {shape}")
-        moments = shape[0 if self.by_rows else 1]
-        return [InputPartition((a, min(a + self.step, moments), shape, fortran, at)) for a in range(0, moments, self.step)]
+        with open_file(self.path) as file:
+            matrix = Matrix.of(file, self.path, self.by_rows, self.rows)
+        return [InputPartition((a, min(a + self.step, matrix.moments), matrix)) for a in range(0, matrix.moments, self.step)]
 
     def read(self, partition):
-        a, b, (rows, columns), fortran, at = partition.value
-        with _open(self.path) as file:
-
-            def values(first: int, n: int) -> np.ndarray:
-                file.seek(at + 4 * first)
-                return np.frombuffer(file.read(4 * n), "<f4")
-
-            # a moment's values stand together, or one in each of the other axis's lines
-            if self.by_rows != fortran:
-                width = columns if self.by_rows else rows
-                part = values(a * width, (b - a) * width).reshape(b - a, width)
-            else:
-                lines, length = (columns, rows) if self.by_rows else (rows, columns)
-                part = np.stack([values(k * length + a, b - a) for k in range(lines)], axis=1)
+        a, b, matrix = partition.value
+        with open_file(self.path) as file:
+            part = matrix.read(file, a, b)
         for i in range(b - a):
             yield a + i, part[i].tolist()
 

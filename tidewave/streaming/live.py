@@ -7,7 +7,6 @@ state that Spark keeps between micro-batches; ``Pipeline`` is the way of one con
 
 from __future__ import annotations
 
-import pickle
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -27,11 +26,16 @@ GAP_S, LEAST_SCORE, CHECK_EVERY, SLIP = 0.030, 0.4, 80, 2
 RATE_TOLERANCE, LOCK_TIMEOUT_S = 0.02, 3.0
 
 
+#: The synchroniser's fields between micro-batches.
+SYNC_STATE = "pending binary, start_s double, next_s double, taken long, received long, locked boolean, continuous boolean, frames long, since_check int, last_observed double"
+
+
 @dataclass
 class Synchronizer:
     """Cuts a stream of chunks into chirp-aligned frames.
 
-    A chunk whose time is over 30 ms from what the samples so far give starts anew. Unlocked, the best offset with a
+    A chunk whose time is over 30 ms from the end of the one before it starts anew; slow drift does not, and shows in the
+    observed rate, over two seconds or more from the first chunk. Unlocked, the best offset with a
     normalised correlation of 0.4 or more locks. Every 80 frames the lock is scored again on two frames: a slip of
     more than 2 samples is corrected and marks a break, a low score unlocks.
     """
@@ -39,6 +43,7 @@ class Synchronizer:
     chirp: Chirp = field(default_factory=Chirp)
     pending: np.ndarray = field(default_factory=lambda: np.zeros(0))
     start_s: float | None = None
+    next_s: float | None = None
     taken: int = 0
     received: int = 0
     locked: bool = False
@@ -52,16 +57,25 @@ class Synchronizer:
             raise SynchronizationError(f"rate {rate} is not {self.chirp.rate}")
         x = np.asarray(samples)
         x = x / (np.iinfo(x.dtype).max + 1) if np.issubdtype(x.dtype, np.integer) else x.astype(float)
-        expected = None if self.start_s is None else self.start_s + self.received / rate
-        if expected is None or abs(timestamp_s - expected) > GAP_S:
+        if self.next_s is None or abs(timestamp_s - self.next_s) > GAP_S:
             self.pending, self.start_s, self.taken, self.received = np.zeros(0), timestamp_s, 0, 0
             self.locked = self.continuous = False
         elif timestamp_s - self.start_s >= 2:
             self.last_observed = self.received / (timestamp_s - self.start_s)
         self.received += len(x)
+        self.next_s = timestamp_s + len(x) / rate
         self.pending = np.concatenate([self.pending, x])
         return self._drain()
 
+    def state(self) -> tuple:
+        """All that the next chunk depends on, as ``SYNC_STATE``."""
+        return (self.pending.astype("<f8").tobytes(), self.start_s, self.next_s, self.taken, self.received, self.locked, self.continuous, self.frames, self.since_check, self.last_observed)
+
+    def restore(self, state: tuple) -> Synchronizer:
+        pending, self.start_s, self.next_s, self.taken, self.received, self.locked, self.continuous, self.frames, self.since_check, self.last_observed = state
+        self.pending = np.frombuffer(pending, "<f8")
+        return self
+
     def _scores(self, x: np.ndarray, count: int) -> np.ndarray:
         n, ref = self.chirp.n_samples, dsp.reference(self.chirp)
         size = 1 << (len(x) + n).bit_length()
@@ -145,37 +159,39 @@ class LiveGuard:
 
 @dataclass
 class Assembler:
-    """Windows of profiles and differences; a break or a time that does not grow clears all and is dropped itself."""
+    """Windows of profiles and their changes from the profile before.
+
+    A frame that does not continue the one before it, by its mark or by a time that does not grow, clears all and is
+    dropped itself; the next one then has nothing before it.
+    """
 
     length: int
-    lag: int = 1
-    profiles: deque = field(default_factory=deque)
-    windows: deque = field(default_factory=deque)
+    previous: np.ndarray | None = None
+    pairs: deque = field(default_factory=deque)
     last_s: float | None = None
 
     def push(self, profile: np.ndarray, timestamp_s: float, continuous: bool) -> np.ndarray | None:
         x = np.asarray(profile, np.float32)
-        if not np.isfinite(x).all():
-            raise CaptureProcessingError("a profile is not finite")
-        if self.last_s is not None and (not continuous or timestamp_s <= self.last_s):
-            self.profiles.clear()
-            self.windows.clear()
-            self.last_s = None
-            return None
+        if not np.isfinite(timestamp_s) or not np.isfinite(x).all():
+            raise CaptureProcessingError("a profile or its time is not finite")
+        follows = continuous and (self.last_s is None or timestamp_s > self.last_s)
         self.last_s = timestamp_s
-        self.profiles.append(x)
-        if len(self.profiles) <= self.lag:
+        if not follows:
+            self.previous = None
+            self.pairs.clear()
             return None
-        self.windows.append((x, x - self.profiles[-1 - self.lag]))
-        while len(self.profiles) > self.lag:
-            self.profiles.popleft()
-        while len(self.windows) > self.length:
-            self.windows.popleft()
-        if len(self.windows) < self.length:
+        before, self.previous = self.previous, x
+        if before is None:
             return None
-        out = np.concatenate([*(a for a, _ in self.windows), *(b for _, b in self.windows)]).astype(np.float32)
-        top = np.abs(out).max()
-        return out / top if top > 0 else out
+        self.pairs.append((x, x - before))
+        if len(self.pairs) > self.length:
+            self.pairs.popleft()
+        return normalised(np.concatenate([*(a for a, _ in self.pairs), *(b for _, b in self.pairs)])) if len(self.pairs) == self.length else None
+
+
+def normalised(window: np.ndarray) -> np.ndarray:
+    top = np.abs(window).max()
+    return (window / top if top > 0 else window).astype(np.float32)
 
 
 ALIGNED = "stream_id string, frame_no long, timestamp_s double, continuous boolean, samples array<float>"
@@ -211,14 +227,14 @@ def aligned_frames(packets: DataFrame, chirp: Chirp) -> DataFrame:
     return _by_stream(packets.select("stream_id", "seq", "timestamp_ns", "sample_rate", "samples"), ["timestamp_ns", "seq"]).mapInPandas(run, ALIGNED)
 
 
-def assembled_windows(frames: DataFrame, length: int, lag: int) -> DataFrame:
+def assembled_windows(frames: DataFrame, length: int) -> DataFrame:
     """Windows of frames (stream_id, frame_no, timestamp_s, continuous, samples), each stream in order of frames."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, a = None, None
         for name, data in _runs(batches):
             if name != stream:
-                stream, a = name, Assembler(length, lag)
+                stream, a = name, Assembler(length)
             rows = []
             for no, t, c, x in data[["frame_no", "timestamp_s", "continuous", "samples"]].itertuples(index=False):
                 if (w := a.push(np.asarray(x), t, c)) is not None:
@@ -235,7 +251,7 @@ class Processor:
     descriptor: Descriptor = field(default_factory=Descriptor)
 
     def __post_init__(self) -> None:
-        self.assembler = Assembler(self.descriptor.window_frames, self.descriptor.differential_lag)
+        self.assembler = Assembler(self.descriptor.window_frames)
 
     def push(self, frame: np.ndarray, timestamp_s: float, continuous: bool) -> np.ndarray | None:
         d = self.descriptor
@@ -323,15 +339,17 @@ class SyncProcessor(StatefulProcessor):
         self.chirp = chirp
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("sync", "data binary")
+        self.state = handle.getValueState("sync", SYNC_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sync = pickle.loads(self.state.get()[0]) if self.state.exists() else Synchronizer(self.chirp)
+        sync = Synchronizer(self.chirp)
+        if self.state.exists():
+            sync.restore(self.state.get())
         data = pd.concat(list(rows)).sort_values(["timestamp_ns", "seq"])
         first, out = sync.frames, []
         for ns, rate, x in zip(data["timestamp_ns"], data["sample_rate"], data["samples"], strict=True):
             out += sync.push(np.asarray(x, np.int16), ns / 1e9, int(rate))
-        self.state.update((pickle.dumps(sync),))
+        self.state.update(sync.state())
         yield pd.DataFrame([(key[0], first + i, t, c, f) for i, (t, c, f) in enumerate(out)], columns=["stream_id", "frame_no", "timestamp_s", "continuous", "samples"])
 
     def close(self) -> None:
