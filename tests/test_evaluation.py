@@ -11,7 +11,7 @@ from tidewave.errors import ExperimentError, IntegrityError, LeakageError
 from tidewave.model import Descriptor, GroundTruth, Measurement, Normalisation, Protocol, Split
 from tidewave.operators import integrity, poses
 from tidewave.operators import frames as fr
-from tidewave.plans import suite
+from tidewave.plans import fitting, suite
 from tidewave.plans.guards import Binding, Finding, GuardName, GuardReport, Report, Row, Waiver, run_guards
 
 P = Protocol(Split.CROSS_USER, "synthetic", "1", GroundTruth.SYNTHETIC, 6)
@@ -572,3 +572,99 @@ def test_sidecars_are_read_back(spark, tmp_path):
     assert sorted(r["joints"][7] for r in corpus.poses().where("identity LIKE '%s000'").collect()) == [100.0 * i + 7 for i in range(6)]
     with pytest.raises(LandmarkPreparationError, match="already"):
         prepare_landmarks(video, video, seen, str(at), {})
+
+
+def ridge_rows():
+    """A class of its own for workers, which do not import tests."""
+
+    class RidgeRows(fitting.RowsFitter):
+        """The ridge over rows, solved directly."""
+
+        def fit_predict(self, train, test):
+            table = lambda t, c: np.array(t[c].to_pylist(), float)
+            x, y = table(train, "features"), table(train, "pose")
+            x = np.hstack([x, np.ones((len(x), 1))])
+            shrink = np.diag([1e-6 * len(x)] * (x.shape[1] - 1) + [0.0])
+            w = np.linalg.solve(x.T @ x + shrink, x.T @ y)
+            z = table(test, "features")
+            return np.hstack([z, np.ones((len(z), 1))]) @ w
+
+    return RidgeRows()
+
+
+def guesses(frame):
+    return {(r["fold"], r["sample_id"]): np.array(r["guess"]) for r in frame.collect()}
+
+
+def test_fits_of_all_folds_are_one_plan(spark):
+    """Sums, rows and a plan for each fold give the same guesses, in families by unit and by rows."""
+    s = people(spark, n=5, per=4, noise=0.01)
+    for split in (Split.CROSS_USER, Split.CROSS_SESSION, Split.WITHIN_SESSION):
+        family = suite.Family.of(s, split)
+        each = guesses(suite.predictions(family, "m", suite.fold_means, ())[0])
+        sums = guesses(suite.predictions(family, "m", fitting.MeanFitter(), ())[0])
+        assert each.keys() == sums.keys() and all(np.allclose(each[k], sums[k]) for k in each)
+        by_rows, by_sums = guesses(ridge_rows().predictions(family)), guesses(fitting.RidgeFitter(5).predictions(family))
+        assert by_rows.keys() == each.keys() == by_sums.keys() and all(np.allclose(by_rows[k], by_sums[k], atol=1e-5) for k in each)
+    done = suite.measure(s, Split.CROSS_SESSION, replace(P, split=Split.CROSS_SESSION), "ridge", fitting.RidgeFitter(5))
+    assert done.report.best("model").name == "ridge" and done.report.guards.binding.n_test == s.count()
+
+
+def test_five_hundred_folds_have_the_plan_of_five(spark):
+    size = {}
+    for n in (5, 500):
+        rows = [(i, f"P{i % n:03d}", "S0", "D0", float(i), [float(i % 7)] * 63, [float(i % 5)]) for i in range(2 * n)]
+        s = spark.createDataFrame(rows, "sample_id long, participant string, session string, device string, ts double, pose array<double>, features array<double>")
+        said, _ = suite.predictions(suite.Family.of(s, Split.CROSS_USER), "m", fitting.MeanFitter(), ())
+        size[n] = len(said._jdf.queryExecution().optimizedPlan().toString().splitlines())
+        got = guesses(said)
+    assert size[5] == size[500] and len(got) == 1000
+    total = sum(i % 7 for i in range(1000))
+    assert all(abs(g[0] - (total - i % 7 - (i + 500) % 7 if i < 500 else total - i % 7 - (i - 500) % 7) / 998) < 1e-9 for (_, i), g in got.items())
+
+
+def test_calibration_of_all_folds_and_budgets_is_one_plan(spark):
+    from tidewave.plans import calibration
+
+    s = people(spark, n=3, sessions=3, per=40).cache()
+    test = s.where("session = 'S2'").select(F.col("participant").alias("fold"), "sample_id", F.lit("test").alias("role"))
+    others = s.where("session = 'S0'").select("sample_id", F.col("participant").alias("p")).join(s.select(F.col("participant").alias("fold")).distinct(), F.col("fold") != F.col("p")).select("fold", "sample_id", F.lit("train").alias("role"))
+    folded = test.unionByName(others)
+    each = calibration.sweep(s, folded, suite.fold_means, P, 6.0)
+    sums = calibration.sweep(s, folded, fitting.MeanFitter(), P, 6.0)
+    assert [(p.requested, p.achieved, round(p.mpjpe.value, 9)) for p in each.points] == [(p.requested, p.achieved, round(p.mpjpe.value, 9)) for p in sums.points]
+    taken = poses.calibration(s, folded, [0.0, 2.0], 6.0)
+    a, b = ({(r["budget"], r["fold"], r["sample_id"]): np.array(r["guess"]) for r in f.calibrated(s, folded, taken, [0.0, 2.0]).collect()} for f in (ridge_rows(), fitting.RidgeFitter(5)))
+    assert a.keys() == b.keys() and len(a) == 2 * 120 and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
+
+
+def test_label_matches_among_many_people(spark):
+    """One table of distances with a person's places deleted, against a median for each fold; names in two spellings."""
+    from tidewave.operators import people as many
+
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 41):
+        names = [f"P{i:02d}" for i in range(n)]
+        rows = [(i, names[i % n], f"S{i}", "D0", float(i), draw.normal(0, 1, 63).tolist()) for i in range(2 * n)]
+        if n == 41:
+            rows += [(1000 + i, f"p{i:02d} ", "S9", "D0", 1.0, draw.normal(0, 1, 63).tolist()) for i in (3, 7)]
+            rows += [(2000 + i, f"Q{i}", "S9", "D0", 1.0, [0.5] * 63) for i in range(5)]
+        s = poses.keyed(spark.createDataFrame(rows, "sample_id long, participant string, session string, device string, ts double, pose array<double>"))
+        got = {r["fold"]: r for r in many.left_out_matches(s, block_rows=10).collect()}
+        mean = {}
+        for r in s.collect():
+            mean.setdefault((r["who"], r["participant"]), []).append(np.array(r["pose"]))
+        units = sorted({w for w, _ in mean})
+        assert sorted(got) == units
+        far = lambda a, b: np.sqrt(((a - b).reshape(21, 3) ** 2).sum(1)).mean()
+        for u in units:
+            test = np.mean([p for (w, _), some in mean.items() if w == u for p in some], axis=0)
+            rest = sorted((name, np.mean(some, axis=0)) for (w, name), some in mean.items() if w != u)
+            if not rest:
+                assert got[u]["nearest"] is None and not got[u]["passed"]
+                continue
+            d = [far(test, m) for _, m in rest]
+            pairs = [far(a, b) for i, (_, a) in enumerate(rest) for _, b in rest[i + 1 :]]
+            assert got[u]["nearest"] == rest[int(np.argmin(d))][0] and abs(got[u]["distance"] - min(d)) < 1e-12
+            assert (got[u]["typical"] is None) == (not pairs) and (not pairs or abs(got[u]["typical"] - np.median(pairs)) < 1e-12)
+            assert got[u]["passed"] == bool(pairs and min(d) / np.median(pairs) > 0.2)

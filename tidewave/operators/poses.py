@@ -317,7 +317,14 @@ def unit_leaks(samples: DataFrame, split: Split) -> DataFrame:
 
 
 def fold_label_matches(samples: DataFrame, split: Split, least: float = 0.2) -> DataFrame:
-    """``label_matches`` of all folds of a family that leaves units out, from one pass of sums by unit and person."""
+    """``label_matches`` of all folds of a family that leaves units out, from one pass of sums by unit and person.
+
+    Folds that leave people out share one table of distances (``people``).
+    """
+    if split is Split.CROSS_USER:
+        from tidewave.operators.people import left_out_matches
+
+        return left_out_matches(samples, least)
     unit, within = unit_of(split)
     parts = vector_sums(samples, [*within, unit, "participant"])
     tested = parts.withColumn("fold", F.col(unit))

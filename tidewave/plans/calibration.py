@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewave.errors import ExperimentError
 from tidewave.model import Measurement, Protocol
 from tidewave.operators import poses
+from tidewave.plans.fitting import RowsFitter, SufficientFitter
 
 #: (training and calibration rows of a fold, its test rows) -> (sample_id, guess).
 Fitter = Callable[[DataFrame, DataFrame], DataFrame]
@@ -72,8 +73,14 @@ class Curve:
         return json.dumps({"points": rows, "gain": self.gain, "monotone": self.monotone, "best": self.best.requested}, indent=2)
 
 
-def sweep_errors(samples: DataFrame, folded: DataFrame, taken: DataFrame, budgets: tuple[float, ...], fitter: Fitter) -> DataFrame:
-    """(budget, fold, sample_id, err): the fitter refitted for every fold and budget on training rows and what was taken."""
+def sweep_errors(samples: DataFrame, folded: DataFrame, taken: DataFrame, budgets: tuple[float, ...], fitter: Fitter | SufficientFitter | RowsFitter) -> DataFrame:
+    """(budget, fold, sample_id, err): the fitter refitted for every fold and budget on training rows and what was taken.
+
+    A fitter of ``plans.fitting`` takes all folds and budgets in one plan.
+    """
+    if isinstance(fitter, SufficientFitter | RowsFitter):
+        met = fitter.calibrated(samples, folded, taken, list(budgets)).join(samples.select("sample_id", "pose"), "sample_id")
+        return met.select("budget", "fold", "sample_id", poses.joint_errors(F.col("guess"), F.col("pose")).alias("err"))
     out = None
     for fold in sorted(r["fold"] for r in folded.select("fold").distinct().collect()):
         mine = folded.where(F.col("fold") == fold)
@@ -87,7 +94,7 @@ def sweep_errors(samples: DataFrame, folded: DataFrame, taken: DataFrame, budget
     return out
 
 
-def sweep(samples: DataFrame, folded: DataFrame, fitter: Fitter, protocol: Protocol, sample_seconds: float, budgets: tuple[float, ...] = BUDGETS) -> Curve:
+def sweep(samples: DataFrame, folded: DataFrame, fitter: Fitter | SufficientFitter | RowsFitter, protocol: Protocol, sample_seconds: float, budgets: tuple[float, ...] = BUDGETS) -> Curve:
     """The curve of a fitter over budgets of minutes.
 
     The pool of a fold is what its test people have beside training and test; an empty pool with a budget above zero is a

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidewave.errors import ExperimentError, LeakageError
 from tidewave.model import Alignment, Measurement, Protocol, Split
 from tidewave.operators import poses
+from tidewave.plans.fitting import RowsFitter, SufficientFitter
 from tidewave.plans.guards import Report, ReportSet, Row, Waiver, require_protocol, run_guards
 
 #: (train, test) of one fold -> (sample_id, guess) for each test sample.
@@ -186,12 +187,18 @@ def fold_means(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.select("sample_id").join(F.broadcast(mean), F.lit(True))  # one row
 
 
-def predictions(family: Family, model: str, predict: Predictor, baselines: tuple[Baseline, ...] = BASELINES) -> tuple[DataFrame, list[str]]:
-    """(predictor, fold, sample_id, guess) of the model, fold by fold, and of the baselines that can be had."""
+def predictions(family: Family, model: str, predict: Predictor | SufficientFitter | RowsFitter, baselines: tuple[Baseline, ...] = BASELINES) -> tuple[DataFrame, list[str]]:
+    """(predictor, fold, sample_id, guess) of the model and of the baselines that can be had.
+
+    A fitter fits all folds in one plan; a plain predictor is asked fold by fold.
+    """
     said, names = None, [model]
-    for fold in family.names():
-        part = predict(family.side(fold, "train"), family.side(fold, "test")).select(F.lit(model).alias("predictor"), F.lit(fold).alias("fold"), "sample_id", "guess")
-        said = part if said is None else said.unionByName(part)
+    if isinstance(predict, SufficientFitter | RowsFitter):
+        said = predict.predictions(family).select(F.lit(model).alias("predictor"), "fold", "sample_id", "guess")
+    else:
+        for fold in family.names():
+            part = predict(family.side(fold, "train"), family.side(fold, "test")).select(F.lit(model).alias("predictor"), F.lit(fold).alias("fold"), "sample_id", "guess")
+            said = part if said is None else said.unionByName(part)
     for baseline in baselines:
         part = baseline.fit_predict(family)
         if part is not None:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -25,6 +24,7 @@ from tidewave.model import Descriptor, GroundTruth, Protocol, Split
 from tidewave.operators import frames as fr
 from tidewave.operators import poses
 from tidewave.operators.integrity import listing, relative_to, statuses
+from tidewave.operators.ordering import shared_folder
 from tidewave.sources import npy, session_arrays, sessions
 
 RATE, FRAME = 48000, 600
@@ -44,14 +44,6 @@ def dataset_protocol(dataset: str, version: str, split: Split, subjects: int, **
     return Protocol(split, dataset, version, GroundTruth.VIDEO_FITTED, subjects, **options)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, on one machine a temporary one, on a cluster refused."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder or f"file://{tempfile.mkdtemp(prefix='tidewave-')}"
-
-
 @dataclass
 class Corpus:
     """A session tree below ``folder`` with its manifest (path, size_bytes, sha256), as plans over all its sessions.
