@@ -190,14 +190,76 @@ def matched_filter_column(samples: Column, chirp: Chirp, bins: int | None = None
     return run(samples)
 
 
-def peaks_column(samples: Column, bin_metres: float, offset: float = 0.0) -> Column:
-    kind = pa.list_(pa.struct([("bin_index", pa.int32()), ("range_m", pa.float64()), ("amplitude", pa.float64()), ("peak_to_noise", pa.float64())]))
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
-    @F.arrow_udf("array<struct<bin_index:int,range_m:double,amplitude:double,peak_to_noise:double>>")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([peaks(np.array(x), bin_metres, offset) for x in column.to_pylist()], kind)
 
-    return run(samples)
+def floor_column(x: Column, block: int = 96) -> Column:
+    """``floor_of`` as an expression: tenths of blocks, their median scaled to a half-normal's, at most the largest."""
+    size = F.abs
+    n = F.size(x)
+    k = F.greatest(F.lit(1), F.floor(n / block).cast("int"))
+    each, more = F.floor(n / k).cast("int"), n % k
+    sorted_block = lambda b: F.array_sort(F.transform(F.slice(x, b * each + F.least(b, more) + 1, each + F.when(b < more, 1).otherwise(0)), size))
+
+    def at(v: Column, share: float) -> Column:
+        place = (F.size(v) - 1) * F.lit(share)
+        low = F.floor(place).cast("int")
+        return F.get(v, low) + (F.coalesce(F.get(v, low + 1), F.get(v, low)) - F.get(v, low)) * (place - low)
+
+    tenths = F.array_sort(F.transform(F.sequence(F.lit(0), k - 1), lambda b: _bound(sorted_block(b), lambda v: at(v, 0.1))))
+    scale = float(np.sqrt(2 * np.log(2)) / np.sqrt(-2 * np.log(0.9)))
+    return F.when(n > 0, F.least(_bound(tenths, lambda v: at(v, 0.5)) * F.lit(scale), F.array_max(F.transform(x, size)))).otherwise(0.0)
+
+
+def peaks_column(samples: Column, bin_metres: float, offset: float = 0.0, ratio: float = 4.0, share: float = 0.3, most: int | None = None) -> Column:
+    """``peaks`` as an expression: array<struct<bin_index, range_m, amplitude, peak_to_noise>>, largest first.
+
+    Runs of equal values are one place each; a top is a run above both neighbours. Its prominence goes down to the
+    higher of the lowest runs on each side, up to the nearest higher run.
+    """
+
+    def found(x: Column, floor: Column, top: Column, padded: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(padded) - 1), lambda i: (i == 0) | (F.get(padded, i) != F.get(padded, i - 1)))
+        runs = F.struct(starts.alias("first"), F.transform(starts, lambda i: F.get(padded, i)).alias("level"))
+
+        def tops(r: Column) -> Column:
+            level, last = r["level"], F.size(r["level"]) - 1
+            high = F.filter(F.sequence(F.lit(0), last), lambda i: (i > 0) & (i < last) & (F.get(level, i) > F.get(level, i - 1)) & (F.get(level, i) > F.get(level, i + 1)) & ((floor <= 0) | (F.get(level, i) >= ratio * floor)))
+
+            def prominence(i: Column) -> Column:
+                above = F.filter(F.sequence(F.lit(0), last), lambda q: F.get(level, q) > F.get(level, i))
+                left, right = F.coalesce(F.array_max(F.filter(above, lambda q: q < i)), F.lit(-1)), F.coalesce(F.array_min(F.filter(above, lambda q: q > i)), last + 1)
+                lows = _bound(F.struct(left.alias("l"), right.alias("r")), lambda e: F.greatest(F.array_min(F.slice(level, e["l"] + 2, i - e["l"])), F.array_min(F.slice(level, i + 1, e["r"] - i))))
+                return F.get(level, i) - lows
+
+            kept = F.filter(high, lambda i: prominence(i) >= share * top)
+            # the middle of a run, counted without the zero in front
+            return F.transform(kept, lambda i: F.floor((F.get(r["first"], i) + F.get(r["first"], i + 1) - 1) / 2).cast("int") - 1)
+
+        return F.transform(_bound(runs, tops), lambda i: refined(x, floor, i))
+
+    def refined(x: Column, floor: Column, i: Column) -> Column:
+        log = lambda k: F.log(F.greatest(F.get(x, k), F.lit(1e-300)))
+        inside = (i > 0) & (i < F.size(x) - 1)
+        logs = F.when(inside, F.struct(log(i - 1).alias("l"), log(i).alias("c"), log(i + 1).alias("r")))
+
+        def of(v: Column) -> Column:
+            bend = v["l"] - 2 * v["c"] + v["r"]
+            shift = F.when(inside & (bend < 0), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (v["l"] - v["r"]) / bend))).otherwise(0.0)
+            return _bound(shift, lambda s: _bound(F.when(inside, F.exp(v["c"] - 0.25 * (v["l"] - v["r"]) * s)).otherwise(F.get(x, i)), lambda a: F.struct(i.cast("int").alias("bin_index"), (offset + (i + s) * bin_metres).alias("range_m"), a.alias("amplitude"), F.when(floor > 0, a / floor).otherwise(float("inf")).alias("peak_to_noise"))))
+
+        return _bound(logs, of)
+
+    def whole(x: Column) -> Column:
+        zero = F.array(F.lit(0.0))
+        about = F.struct(floor_column(x).alias("floor"), F.array_max(x).alias("top"), F.concat(zero, x, zero).alias("padded"))
+        order = lambda a, b: F.when(a["amplitude"] > b["amplitude"], -1).when(a["amplitude"] < b["amplitude"], 1).otherwise(a["bin_index"] - b["bin_index"])
+        peaks_ = _bound(about, lambda v: F.when((F.size(x) >= 3) & (v["top"] > 0), F.array_sort(found(x, v["floor"], v["top"], v["padded"]), order)).otherwise(F.array().cast("array<struct<bin_index:int,range_m:double,amplitude:double,peak_to_noise:double>>")))
+        return peaks_ if most is None else F.slice(peaks_, 1, most)
+
+    return _bound(samples.cast("array<double>"), whole)
 
 
 def simulate_column(reflectors: Column, chirp: Chirp, snr_db: float | None = None) -> Column:

@@ -7,6 +7,9 @@ the unit left out, so no fold is ever joined with all samples.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -194,23 +197,104 @@ def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = 4096,
     return met.mapInArrow(best, "sample_id bigint, id bigint, d2 double").groupBy("sample_id").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), F.col("id"))).alias("m")).select("sample_id", F.col("m.id").alias("nearest_id"), F.col("m.d2").alias("d2"))
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _minor(a: list[list], i: int, j: int):
+    """Cofactor (i, j) of a 4 x 4 matrix of numbers, columns or the like."""
+    m = [[a[r][c] for c in range(4) if c != j] for r in range(4) if r != i]
+    det = m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+    return det if (i + j) % 2 == 0 else -det
+
+
+#: Newton steps towards the largest root, and squarings where it is a double one.
+STEPS, SQUARINGS = 60, 40
+
+
+def quaternion_matrix(s: dict) -> list[list]:
+    """The symmetric matrix whose largest eigenvalue's vector is the rotation of ``s`` (xx, xy, ... zz; sums of products)."""
+    yz, zx, xy = s["yz"] - s["zy"], s["zx"] - s["xz"], s["xy"] - s["yx"]
+    ab, ac, bc = s["xy"] + s["yx"], s["zx"] + s["xz"], s["yz"] + s["zy"]
+    return [[s["xx"] + s["yy"] + s["zz"], yz, zx, xy], [yz, s["xx"] - s["yy"] - s["zz"], ab, ac], [zx, ab, s["yy"] - s["xx"] - s["zz"], bc], [xy, ac, bc, s["zz"] - s["xx"] - s["yy"]]]
+
+
+def characteristic(s: dict, n: list[list]) -> tuple:
+    """(c2, c1, c0) of x^4 + c2 x^2 + c1 x + c0, the characteristic polynomial of ``quaternion_matrix``."""
+    squares = reduce(add, (v * v for v in s.values()))
+    det = s["xx"] * (s["yy"] * s["zz"] - s["yz"] * s["zy"]) - s["xy"] * (s["yx"] * s["zz"] - s["yz"] * s["zx"]) + s["xz"] * (s["yx"] * s["zy"] - s["yy"] * s["zx"])
+    whole = reduce(add, (n[0][j] * _minor(n, 0, j) for j in range(4)))
+    return -2 * squares, -8 * det, whole
+
+
 def procrustes(predicted: Column, truth: Column) -> Column:
-    """Predicted poses after the best rotation, scale and shift of each frame, without reflections."""
-    @F.arrow_udf("array<double>")
-    def fitted(a: pa.Array, b: pa.Array) -> pa.Array:
-        p, t = (np.array(x.to_pylist(), np.float64).reshape(-1, N_JOINTS, 3) for x in (a, b))
-        pm, tm = p.mean(1, keepdims=True), t.mean(1, keepdims=True)
-        pc, tc = p - pm, t - tm
-        u, s, vt = np.linalg.svd(np.einsum("nji,njk->nik", tc, pc) / N_JOINTS)
-        sign = np.ones_like(s)
-        sign[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
-        rotation = np.einsum("nij,nj,njk->nik", u, sign, vt)
-        variance = (pc * pc).sum((1, 2)) / N_JOINTS
-        scale = np.where(variance > 0, (s * sign).sum(1) / np.where(variance > 0, variance, 1), 1.0)
-        out = scale[:, None, None] * np.einsum("nij,nkj->nki", rotation, pc) + tm
-        return pa.array(out.reshape(len(p), -1).tolist(), pa.list_(pa.float64()))
-
-    return fitted(predicted, truth)
+    """Predicted poses after the best rotation, scale and shift of each frame, without reflections.
+
+    Horn's closed form as expressions: the largest root of a quartic by Newton steps from above, the quaternion as the
+    longest column of the adjugate. Where the root is double (poses on a line) squarings of the matrix find one of its
+    vectors. A predicted pose in one point stays one, at the truth's middle.
+    """
+    at = lambda v, a: F.transform(F.sequence(F.lit(0), F.lit(N_JOINTS - 1)), lambda j: F.get(v, 3 * j + a))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda x, y: x + y)
+    dot = lambda v, w: total(F.zip_with(v, w, lambda x, y: x * y))
+    axes = "xyz"
+    split = F.struct(*[at(v.cast("array<double>"), k).alias(n + c) for n, v in (("p", predicted), ("t", truth)) for k, c in enumerate(axes)])
+
+    def centred(v: Column) -> Column:
+        means = F.struct(*[(total(v[n + c]) / N_JOINTS).alias(n + c) for n in "pt" for c in axes])
+        minus = lambda w, mean: F.transform(w, lambda x: x - mean)
+        return _bound(means, lambda m: F.struct(*[minus(v[n + c], m[n + c]).alias(n + c) for n in "pt" for c in axes], *[m["t" + c].alias("m" + c) for c in axes]))
+
+    def summed(v: Column) -> Column:
+        sizes = [sum((dot(v[n + c], v[n + c]) for c in "yz"), dot(v[n + "x"], v[n + "x"])).alias(n) for n in "pt"]
+        products = [dot(v["p" + a], v["t" + b]).alias(a + b) for a in axes for b in axes]
+        return _bound(F.struct(*sizes, *products), lambda s: fitted(v, s))
+
+    def fitted(v: Column, s: Column) -> Column:
+        most = F.sqrt(s["p"] * s["t"])  # no eigenvalue is larger
+        scaled = F.struct(*[F.when(most > 0, s[a + b] / most).otherwise(0.0).alias(a + b) for a in axes for b in axes])
+
+        def rotated(q: Column) -> Column:
+            named = {a + b: q[a + b] for a in axes for b in axes}
+            n = quaternion_matrix(named)
+            c2, c1, c0 = characteristic(named, n)
+            poly = F.struct(c2.alias("c2"), c1.alias("c1"), c0.alias("c0"), *[n[i][j].alias(f"n{i}{j}") for i in range(4) for j in range(i, 4)])
+            return _bound(poly, root)
+
+        def root(c: Column) -> Column:
+            def newton(x: Column, _: Column) -> Column:
+                slope = (4 * x * x + 2 * c["c2"]) * x + c["c1"]
+                return F.when(slope > 0, x - (((x * x + c["c2"]) * x + c["c1"]) * x + c["c0"]) / slope).otherwise(x)
+
+            return _bound(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(1.0), newton), lambda x: vector(c, x))
+
+        def vector(c: Column, x: Column) -> Column:
+            entry = lambda i, j: c[f"n{min(i, j)}{max(i, j)}"]
+            a = [[entry(i, j) - x if i == j else entry(i, j) for j in range(4)] for i in range(4)]
+            columns = F.array(*[F.array(*[_minor(a, i, j) for i in range(4)]) for j in range(4)])
+            positive = F.array(*[entry(i, j) + 1.0 if i == j else entry(i, j) for i in range(4) for j in range(4)])
+            longest = lambda m: F.element_at(F.array_sort(F.transform(m, lambda r: F.struct((-dot(r, r)).alias("size"), r.alias("r")))), 1)
+            rows = lambda m: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(m, 4 * i + 1, 4))
+
+            def squared(m: Column, _: Column) -> Column:
+                product = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda u, i: u + F.get(m, F.floor(k / 4).cast("int") * 4 + i) * F.get(m, 4 * i + k % 4)))
+                return _bound(product, lambda y: _bound(F.greatest(F.lit(1e-300), F.get(y, F.lit(0)) + F.get(y, F.lit(5)) + F.get(y, F.lit(10)) + F.get(y, F.lit(15))), lambda trace: F.transform(y, lambda e: e / trace)))
+
+            double = F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), positive, squared)
+            found = _bound(longest(columns), lambda best: F.when(best["size"] < -1e-18, best["r"]).otherwise(longest(rows(double))["r"]))
+            return _bound(found, lambda r: _bound(F.sqrt(dot(r, r)), lambda size: placed(F.transform(r, lambda e: e / size), x)))
+
+        def placed(q: Column, x: Column) -> Column:
+            w, i, j, k = (F.get(q, F.lit(n)) for n in range(4))
+            turn = [[w * w + i * i - j * j - k * k, 2 * (i * j - w * k), 2 * (i * k + w * j)], [2 * (i * j + w * k), w * w - i * i + j * j - k * k, 2 * (j * k - w * i)], [2 * (i * k - w * j), 2 * (j * k + w * i), w * w - i * i - j * j + k * k]]
+            scale = F.when(s["p"] > 0, x * most / s["p"]).otherwise(1.0)
+            matrix = F.array(*[F.when(s["p"] > 0, scale * e).otherwise(0.0) for row in turn for e in row])
+            return _bound(matrix, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(N_JOINTS - 1)), lambda n: F.array(*[sum((F.get(m, F.lit(3 * r + c)) * F.get(v["p" + axes[c]], n) for c in range(3)), v["m" + axes[r]]) for r in range(3)]))))
+
+        return _bound(scaled, rotated)
+
+    return F.when(predicted.isNotNull() & truth.isNotNull(), _bound(split, lambda v: _bound(centred(v), summed)))
 
 
 def calibration(samples: DataFrame, folded: DataFrame, budgets: list[float], sample_seconds: float) -> DataFrame:

@@ -117,7 +117,43 @@ def unaligned_mpjpe(spark, d):
     return rounded(poses.metrics(louo_errors(spark, d, Alignment.NONE), ["fold"]).select("fold", "mpjpe"), "mpjpe")
 
 
-@query()
+class _Text(str):
+    """SQL text that adds and multiplies as numbers do, so that formulas of ``poses`` can be written down."""
+
+    def _op(sign, turned=False):  # noqa: N805
+        return lambda a, b: _Text(f"({b} {sign} {a})" if turned else f"({a} {sign} {b})")
+
+    __add__, __sub__, __mul__, __rmul__, __radd__ = _op("+"), _op("-"), _op("*"), _op("*", True), _op("+", True)
+
+    def __neg__(self):
+        return _Text(f"(-{self})")
+
+
+def _pa_sql() -> str:
+    """The similarity fit of each frame: sums of products, largest root by Newton steps, quaternion, errors."""
+    pairs = [a + b for a in "xyz" for b in "xyz"]
+    named = {p: _Text(f"s{p}") for p in pairs}
+    n = poses.quaternion_matrix(named)
+    c2, c1, c0 = poses.characteristic(named, n)
+    entries = {(i, j): _Text(f"n{i}{j}") for i in range(4) for j in range(4)}
+    a = [[entries[i, j] - _Text("x") if i == j else entries[i, j] for j in range(4)] for i in range(4)]
+    columns = ", ".join(f"({poses._minor(a, i, j)})::DOUBLE AS a{i}{j}" for j in range(4) for i in range(4))
+    size = lambda j: "+".join(f"a{i}{j}*a{i}{j}" for i in range(4))
+    best = lambda i: "CASE " + " ".join(f"WHEN {size(j)} = greatest({', '.join(size(k) for k in range(4))}) THEN a{i}{j} / sqrt({size(j)})" for j in range(4)) + f" END AS q{i}"
+    turned = lambda r: {"x": "(q0*q0+q1*q1-q2*q2-q3*q3)*cx + 2*(q1*q2-q0*q3)*cy + 2*(q1*q3+q0*q2)*cz", "y": "2*(q1*q2+q0*q3)*cx + (q0*q0-q1*q1+q2*q2-q3*q3)*cy + 2*(q2*q3-q0*q1)*cz", "z": "2*(q1*q3-q0*q2)*cx + 2*(q2*q3+q0*q1)*cy + (q0*q0-q1*q1-q2*q2+q3*q3)*cz"}[r]
+    return f"""WITH {M}, b AS (SELECT j.sample_id, j.fold, joint, nx AS px, ny AS py, nz AS pz, ax AS tx, ay AS ty, az AS tz FROM (SELECT *, participant AS fold FROM j) j JOIN m USING (fold, joint)),
+c AS (SELECT *, {', '.join(f'px - avg(px) OVER f AS cx'.replace('px', 'p' + a).replace('cx', 'c' + a) + f", t{a} - avg(t{a}) OVER f AS d{a}" for a in 'xyz')} FROM b WINDOW f AS (PARTITION BY sample_id)),
+e AS (SELECT sample_id, sum(cx*cx+cy*cy+cz*cz) AS p, sqrt(sum(cx*cx+cy*cy+cz*cz) * sum(dx*dx+dy*dy+dz*dz)) AS most, {', '.join(f'sum(c{k[0]}*d{k[1]}) AS u{k}' for k in pairs)} FROM c GROUP BY sample_id),
+g AS (SELECT sample_id, p, most, {', '.join(f'u{k} / most AS s{k}' for k in pairs)} FROM e),
+h AS (SELECT *, {c2} AS c2, {c1} AS c1, {c0} AS c0, {', '.join(f'{n[i][j]} AS n{i}{j}' for i in range(4) for j in range(4))} FROM g),
+k AS (SELECT *, list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({poses.STEPS}), lambda i: i::DOUBLE)), lambda x, i: CASE WHEN (4*x*x + 2*c2)*x + c1 > 0 THEN x - (((x*x + c2)*x + c1)*x + c0) / ((4*x*x + 2*c2)*x + c1) ELSE x END) AS x FROM h),
+l AS (SELECT sample_id, x * most / p AS scale, {columns} FROM k),
+q AS (SELECT sample_id, scale, {', '.join(best(i) for i in range(4))} FROM l),
+z AS (SELECT c.fold, c.sample_id, 1000*sqrt(""" + " + ".join(f"(scale * ({turned(r)}) - d{r})**2" for r in "xyz") + """) AS e FROM c JOIN q USING (sample_id))
+SELECT fold, count(DISTINCT sample_id) AS samples, round(avg(e), 4) AS pa_mpjpe FROM z GROUP BY fold"""
+
+
+@query(_pa_sql())
 def pa_mpjpe(spark, d):
     s = samples(spark, d)
     met = s.join(poses.left_out_means(s, "participant"), "participant")
@@ -441,7 +477,20 @@ def strongest_peak_subbin(spark, d):
     return fr.strongest_peak(framed(spark, d), BIN).select("frame_id", "bin", F.round("range_m", 6).alias("range_m"), F.round("amplitude", 4).alias("amplitude"))
 
 
-@query()
+PEAKS = f"""WITH {R}, f AS (SELECT frame_id, x, list_max(x) AS top, least(list_aggregate(list_transform(x, lambda v: abs(v)), 'quantile_cont', 0.1) * {FLOOR}, list_max(list_transform(x, lambda v: abs(v)))) AS floor FROM fr),
+b AS (SELECT frame_id, unnest(range(52)) AS k, unnest(list_concat([0.0::DOUBLE], x, [0.0::DOUBLE])) AS v FROM f WHERE top > 0),
+c AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY frame_id ORDER BY k) THEN 0 ELSE 1 END AS turn FROM b),
+u AS (SELECT frame_id, run, any_value(v) AS level, min(k) AS first, max(k) AS last FROM (SELECT *, sum(turn) OVER (PARTITION BY frame_id ORDER BY k) AS run FROM c) GROUP BY frame_id, run),
+n AS (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS after FROM u WINDOW w AS (PARTITION BY frame_id ORDER BY run)),
+t AS (SELECT n.frame_id, run, level, (first + last) // 2 - 1 AS i, top, floor, x FROM n JOIN f USING (frame_id) WHERE level > before AND level > after AND (floor <= 0 OR level >= 4 * floor)),
+g AS (SELECT t.frame_id, t.run, coalesce(max(CASE WHEN u.run < t.run AND u.level > t.level THEN u.run END), -1) AS l, coalesce(min(CASE WHEN u.run > t.run AND u.level > t.level THEN u.run END), 1000) AS h FROM t JOIN u USING (frame_id) GROUP BY t.frame_id, t.run),
+p AS (SELECT t.frame_id, t.i, t.x, t.level - greatest(min(CASE WHEN u.run > g.l AND u.run <= t.run THEN u.level END), min(CASE WHEN u.run >= t.run AND u.run < g.h THEN u.level END)) AS prominence, any_value(t.top) AS top FROM t JOIN g USING (frame_id, run) JOIN u ON u.frame_id = t.frame_id GROUP BY t.frame_id, t.run, t.i, t.x, t.level),
+o AS (SELECT frame_id, i, x, i > 0 AND i < 49 AS inside, ln(greatest(x[i], 1e-300)) AS a, ln(greatest(x[i + 1], 1e-300)) AS b, ln(greatest(x[i + 2], 1e-300)) AS c FROM p WHERE prominence >= 0.3 * top),
+s AS (SELECT *, CASE WHEN inside AND a - 2 * b + c < 0 THEN greatest(-0.5, least(0.5, 0.5 * (a - c) / (a - 2 * b + c))) ELSE 0 END AS delta FROM o)
+SELECT frame_id, i::INT AS bin_index, round((i + delta) * {BIN!r}::DOUBLE, 6) AS range_m, round(CASE WHEN inside THEN exp(b - 0.25 * (a - c) * delta) ELSE x[i + 1] END, 4) AS amplitude FROM s"""
+
+
+@query(PEAKS)
 def peak_list(spark, d):
     found = framed(spark, d).select("frame_id", F.explode(dsp.peaks_column(F.col("samples"), BIN)).alias("p"))
     return found.select("frame_id", "p.bin_index", F.round("p.range_m", 6).alias("range_m"), F.round("p.amplitude", 4).alias("amplitude"))
