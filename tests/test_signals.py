@@ -310,3 +310,55 @@ def test_preparation_of_many_recordings(spark):
     for declared in (1, 2):
         got = {r["k"]: (r["offset"], r["lag"]) for r in fr.preparation(table.where(F.col("declared") == declared), ["k"], "i", declared).collect()}
         assert got == {k: v for k, v in want.items() if k.endswith(str(declared))}
+
+
+def test_peak_expressions_equal_the_kernel(spark):
+    """Flat tops, negative values, several blocks, ends, silence and short rows."""
+    draw = np.random.default_rng(8)
+    rows = [[], [1.0], [2.0, 1.0], [0.0] * 5, [-1.0, -2.0, -3.0], [5.0] * 4]
+    rows += [draw.integers(-2, 6, draw.integers(3, 30)).astype(float).tolist() for _ in range(150)]
+    rows += [np.abs(draw.normal(0, 1, n)).tolist() for n in (95, 191, 192, 200, 600)]
+    table = spark.createDataFrame(list(enumerate(rows)), "i int, x array<double>")
+    got = {r["i"]: r["p"] for r in table.select("i", dsp.peaks_column(F.col("x"), 0.5, 0.25).alias("p")).collect()}
+    floors = {r["i"]: r["f"] for r in table.select("i", dsp.floor_column(F.col("x")).alias("f")).collect()}
+    for i, x in enumerate(rows):
+        want = dsp.peaks(np.array(x), 0.5, 0.25)
+        assert abs(floors[i] - dsp.floor_of(np.array(x))) < 1e-9
+        assert [p["bin_index"] for p in got[i]] == [p["bin_index"] for p in want], x
+        assert all(np.allclose([a[k] for k in ("range_m", "amplitude", "peak_to_noise")], [b[k] for k in ("range_m", "amplitude", "peak_to_noise")]) for a, b in zip(got[i], want, strict=True))
+    assert table.where("i = 160").select(F.size(dsp.peaks_column(F.col("x"), 0.5, most=2)).alias("n")).first()["n"] <= 2
+
+
+def test_similarity_fits_of_odd_poses(spark):
+    """Against a singular value decomposition: turned, mirrored, flat, on a line (by their error), in one point."""
+    from tidewave.operators import poses
+
+    draw = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        p, t = draw.normal(0, 1, (21, 3)), draw.normal(0, 0.1, (21, 3)) + 5
+        if k % 6 == 1:
+            q, _ = np.linalg.qr(draw.normal(size=(3, 3)))
+            t = 3 * p @ q + 1
+        if k % 6 == 2:
+            t = p * [1, 1, -1]
+        if k % 6 == 3:
+            p, t = p * [1, 1, 0], t * [1, 0, 1]
+        if k % 6 == 4:
+            p, t = np.outer(draw.normal(size=21), draw.normal(size=3)), np.outer(draw.normal(size=21), draw.normal(size=3))
+        if k % 12 == 5:
+            p = np.ones((21, 3))
+        rows.append((k, p.ravel().tolist(), t.ravel().tolist()))
+    got = {r["k"]: np.array(r["f"]).reshape(21, 3) for r in spark.createDataFrame(rows, "k int, p array<double>, t array<double>").select("k", poses.procrustes(F.col("p"), F.col("t")).alias("f")).collect()}
+    for k, p, t in rows:
+        p, t = np.array(p).reshape(21, 3), np.array(t).reshape(21, 3)
+        a, b = p - p.mean(0), t - t.mean(0)
+        u, s, vt = np.linalg.svd(b.T @ a)
+        d = np.array([1, 1, np.sign(np.linalg.det(u @ vt))])
+        size = (a * a).sum()
+        fit = ((s * d).sum() / size if size > 0 else 0) * a @ (u * d @ vt).T + t.mean(0)
+        if k % 6 == 4:
+            assert abs(((fit - t) ** 2).sum() - ((got[k] - t) ** 2).sum()) < 1e-6
+        else:
+            assert np.allclose(got[k], fit, atol=1e-6), k % 6
+    assert spark.range(1).select(poses.procrustes(F.lit(None).cast("array<double>"), F.array(F.lit(1.0))).alias("f")).first()["f"] is None

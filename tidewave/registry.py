@@ -721,4 +721,4 @@ def stream_windows_equal_batch(spark, d):
     return met.groupBy("stream_id").agg(F.count("*").alias("windows"), (F.max(far) <= 1e-6).alias("equal"))
 
 
-from tidewave import registry_more  # noqa: E402, F401  further queries, registered on import
+from tidewave import registry_more, registry_product  # noqa: E402, F401  further queries, registered on import

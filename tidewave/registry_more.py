@@ -211,13 +211,13 @@ def simulated_frames(spark, d):
     return f.select("k", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 4).alias("energy"), F.round(F.col("x")[300], 5).alias("middle"))
 
 
-@query(f"WITH {R}, o AS (SELECT frame_id, x, row_number() OVER (ORDER BY frame_id) - 1 AS at FROM fr), p AS (SELECT a.frame_id, list_sum(list_transform(range(1, 51), lambda i: a.x[i] * (a.x[i] - b.x[i]))) AS v FROM o a JOIN o b ON b.frame_id = a.frame_id - 1 WHERE a.frame_id >= 2) SELECT frame_id, round(v, 3) AS product FROM p")
+@query(f"WITH {R}, o AS (SELECT frame_id, x, row_number() OVER (ORDER BY frame_id) - 1 AS at FROM fr), p AS (SELECT a.frame_id, list_sum(list_transform(range(1, 51), lambda i: a.x[i] * (a.x[i] - b.x[i]))) AS v FROM o a JOIN o b ON b.frame_id = a.frame_id - 1 WHERE a.frame_id >= 2) SELECT frame_id, round(v, 4) AS product FROM p")
 def original_and_difference(spark, d):
     """Columns of a recording paired with the stored differences that belong to them."""
     f = framed(spark, d)
     stored = fr.differences(f, ["rec"], "frame_id").where("frame_id >= 2").select("rec", (F.col("frame_id") - 2).alias("frame"), "samples")
     met = fr.paired(f.withColumnRenamed("frame_id", "frame"), stored, ["rec"], 2)
-    return met.select(F.col("frame").alias("frame_id"), F.round(F.aggregate(F.zip_with("samples", "diff", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v), 3).alias("product"))
+    return met.select(F.col("frame").alias("frame_id"), F.round(F.aggregate(F.zip_with("samples", "diff", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v), 4).alias("product"))
 
 
 @query(f"WITH {R}, q AS (SELECT frame_id, list_position(x, list_max(x)) - 1 AS bin, list_max(x) AS top, list_sort(list_transform(x, lambda v: abs(v))) AS a FROM fr), f AS (SELECT frame_id, bin, top, least((a[5] + (a[6] - a[5]) * 0.9::DOUBLE) * {math.sqrt(2 * math.log(2)) / math.sqrt(-2 * math.log(0.9))!r}::DOUBLE, a[50]) AS floor FROM q) SELECT frame_id, CASE WHEN top > 0 AND (floor = 0 OR top >= 20 * floor) THEN bin::INT END AS bin FROM f")
