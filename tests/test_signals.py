@@ -322,7 +322,10 @@ def test_peak_expressions_equal_the_kernel(spark):
     got = {r["i"]: r["p"] for r in table.select("i", dsp.peaks_column(F.col("x"), 0.5, 0.25).alias("p")).collect()}
     floors = {r["i"]: r["f"] for r in table.select("i", dsp.floor_column(F.col("x")).alias("f")).collect()}
     for i, x in enumerate(rows):
-        want = dsp.peaks(np.array(x), 0.5, 0.25)
+        # amplitudes that are equal but for their last bits may stand in either order
+        order = lambda some: sorted(some, key=lambda p: p["bin_index"])
+        assert all(a["amplitude"] >= b["amplitude"] for a, b in zip(got[i], got[i][1:], strict=False))
+        want, got[i] = order(dsp.peaks(np.array(x), 0.5, 0.25)), order(got[i])
         assert abs(floors[i] - dsp.floor_of(np.array(x))) < 1e-9
         assert [p["bin_index"] for p in got[i]] == [p["bin_index"] for p in want], x
         assert all(np.allclose([a[k] for k in ("range_m", "amplitude", "peak_to_noise")], [b[k] for k in ("range_m", "amplitude", "peak_to_noise")]) for a, b in zip(got[i], want, strict=True))
