@@ -352,7 +352,7 @@ def test_similarity_fits_of_odd_poses(spark):
         if k % 12 == 5:
             p = np.ones((21, 3))
         rows.append((k, p.ravel().tolist(), t.ravel().tolist()))
-    got = {r["k"]: np.array(r["f"]).reshape(21, 3) for r in spark.createDataFrame(rows, "k int, p array<double>, t array<double>").select("k", poses.procrustes(F.col("p"), F.col("t")).alias("f")).collect()}
+    got = {r["k"]: np.array(r["f"]).reshape(21, 3) for r in spark.createDataFrame(rows, "k int, p array<double>, t array<double>").select("k", poses.similarity_fit(F.col("p"), F.col("t")).alias("f")).collect()}
     for k, p, t in rows:
         p, t = np.array(p).reshape(21, 3), np.array(t).reshape(21, 3)
         a, b = p - p.mean(0), t - t.mean(0)
@@ -364,4 +364,4 @@ def test_similarity_fits_of_odd_poses(spark):
             assert abs(((fit - t) ** 2).sum() - ((got[k] - t) ** 2).sum()) < 1e-6
         else:
             assert np.allclose(got[k], fit, atol=1e-6), k % 6
-    assert spark.range(1).select(poses.procrustes(F.lit(None).cast("array<double>"), F.array(F.lit(1.0))).alias("f")).first()["f"] is None
+    assert spark.range(1).select(poses.similarity_fit(F.lit(None).cast("array<double>"), F.array(F.lit(1.0))).alias("f")).first()["f"] is None

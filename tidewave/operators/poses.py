@@ -197,6 +197,25 @@ def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = 4096,
     return met.mapInArrow(best, "sample_id bigint, id bigint, d2 double").groupBy("sample_id").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), F.col("id"))).alias("m")).select("sample_id", F.col("m.id").alias("nearest_id"), F.col("m.d2").alias("d2"))
 
 
+def procrustes(predicted: Column, truth: Column) -> Column:
+    """Predicted poses after the best rotation, scale and shift of each frame, without reflections."""
+    @F.arrow_udf("array<double>")
+    def fitted(a: pa.Array, b: pa.Array) -> pa.Array:
+        p, t = (np.array(x.to_pylist(), np.float64).reshape(-1, N_JOINTS, 3) for x in (a, b))
+        pm, tm = p.mean(1, keepdims=True), t.mean(1, keepdims=True)
+        pc, tc = p - pm, t - tm
+        u, s, vt = np.linalg.svd(np.einsum("nji,njk->nik", tc, pc) / N_JOINTS)
+        sign = np.ones_like(s)
+        sign[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+        rotation = np.einsum("nij,nj,njk->nik", u, sign, vt)
+        variance = (pc * pc).sum((1, 2)) / N_JOINTS
+        scale = np.where(variance > 0, (s * sign).sum(1) / np.where(variance > 0, variance, 1), 1.0)
+        out = scale[:, None, None] * np.einsum("nij,nkj->nki", rotation, pc) + tm
+        return pa.array(out.reshape(len(p), -1).tolist(), pa.list_(pa.float64()))
+
+    return fitted(predicted, truth)
+
+
 def _bound(value: Column, of) -> Column:
     """``of(value)`` with the value worked out once."""
     return F.element_at(F.transform(F.array(value), of), 1)
@@ -228,8 +247,8 @@ def characteristic(s: dict, n: list[list]) -> tuple:
     return -2 * squares, -8 * det, whole
 
 
-def procrustes(predicted: Column, truth: Column) -> Column:
-    """Predicted poses after the best rotation, scale and shift of each frame, without reflections.
+def similarity_fit(predicted: Column, truth: Column) -> Column:
+    """``procrustes`` without a Python worker; slower for each frame, and longer to plan.
 
     Horn's closed form as expressions: the largest root of a quartic by Newton steps from above, the quaternion as the
     longest column of the adjugate. Where the root is double (poses on a line) squarings of the matrix find one of its

@@ -157,7 +157,7 @@ SELECT fold, count(DISTINCT sample_id) AS samples, round(avg(e), 4) AS pa_mpjpe
 def pa_mpjpe(spark, d):
     s = samples(spark, d)
     met = s.join(poses.left_out_means(s, "participant"), "participant")
-    fitted = met.select("participant", "pose", poses.procrustes(F.col("mean_pose"), F.col("pose")).alias("fit"))
+    fitted = met.select("participant", "pose", poses.similarity_fit(F.col("mean_pose"), F.col("pose")).alias("fit"))
     return poses.metrics(fitted.select(F.col("participant").alias("fold"), poses.joint_errors(F.col("fit"), F.col("pose"), Alignment.NONE).alias("err")), ["fold"]).select("fold", "samples", F.round("mpjpe", 4).alias("pa_mpjpe"))
 
 
