@@ -668,3 +668,29 @@ def test_label_matches_among_many_people(spark):
             assert got[u]["nearest"] == rest[int(np.argmin(d))][0] and abs(got[u]["distance"] - min(d)) < 1e-12
             assert (got[u]["typical"] is None) == (not pairs) and (not pairs or abs(got[u]["typical"] - np.median(pairs)) < 1e-12)
             assert got[u]["passed"] == bool(pairs and min(d) / np.median(pairs) > 0.2)
+
+
+def test_digests_are_trees_that_follow_the_rows(spark, monkeypatch):
+    """Levels by hand for keys of very different sizes, in any partitioning; one changed row changes its key's digest alone."""
+    import hashlib
+
+    from tidewave.operators import merkle
+
+    monkeypatch.setattr(merkle, "LEAF", 2)
+    monkeypatch.setattr(merkle, "DIGITS", 1)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def tree(hashes, deep, path=""):
+        if len(path) == deep:
+            return sha("".join(sorted(hashes)))
+        return sha("".join(sorted(path + c + tree([h for h in hashes if h[len(path)] == c], deep, path + c) for c in sorted({h[len(path)] for h in hashes}))))
+
+    rows = [(k, sha(f"{k}{i}")) for k, n in (("a", 1), ("b", 2), ("c", 20), ("d", 700)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k string, h string")
+    got = {r["k"]: (r["n"], r["x"]) for r in merkle.tree_digest(d, ["k"], "x").collect()}
+    assert got == {k: (n, tree([h for j, h in rows if j == k], deep)) for k, n, deep in (("a", 1, 0), ("b", 2, 0), ("c", 20, 1), ("d", 700, 3))}
+    again = {r["k"]: (r["n"], r["x"]) for r in merkle.tree_digest(d.where("k IN ('c', 'd')").repartition(7, "h"), ["k"], "x").collect()}
+    assert again == {k: got[k] for k in "cd"}
+    changed = {r["k"]: r["x"] for r in merkle.tree_digest(d.withColumn("h", F.when(F.col("h") == rows[30][1], sha("other")).otherwise(F.col("h"))), ["k"], "x").collect()}
+    assert changed["d"] != got["d"][1] and changed["c"] == got["c"][1]
+    assert merkle.tree_digest(d.limit(0), ["k"], "x").count() == 0 and merkle.tree_digest(d.select("h"), [], "x").first()["n"] == 723

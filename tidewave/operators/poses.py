@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewave.errors import LeakageError
 from tidewave.model import JOINTS, TIPS, Alignment, Split
+from tidewave.operators.merkle import tree_digest
 
 N_JOINTS = len(JOINTS)
 SIZE = 3 * N_JOINTS
@@ -459,8 +460,7 @@ def split_fingerprint(folded: DataFrame, samples: DataFrame) -> DataFrame:
     """(fold, role, n, fingerprint): what a fold holds, as one hash of its sorted samples and what describes them."""
     rows = folded.join(samples.select("sample_id", "participant", "session", "device"), "sample_id")
     row = F.sha2(F.concat_ws("|", F.col("sample_id").cast("string"), "participant", "session", "device"), 256)
-    by = rows.select("fold", "role", F.pmod("sample_id", F.lit(1 << 12)).alias("b"), row.alias("h")).groupBy("fold", "role", "b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return by.groupBy("fold", "role").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("b").cast("string"), 6, "0"), "h"))), ""), 256).alias("fingerprint"))
+    return tree_digest(rows.select("fold", "role", row.alias("h")), ["fold", "role"], "fingerprint")
 
 
 def index_faults(folded: DataFrame, samples: DataFrame) -> DataFrame:
@@ -512,13 +512,9 @@ def restore_pose(z: Column, mean: Column, sd: Column) -> Column:
 
 
 def digest(predictions: DataFrame, digits: int = 9) -> DataFrame:
-    """(rows, digest) of (sample_id, pose): one hash for each row, combined by 4,096 buckets of ids and then over those.
-
-    Numbers count to ``digits`` decimals. Buckets grow with the rows, each within one task.
-    """
+    """(rows, digest) of (sample_id, pose), as a tree of one hash for each row; numbers count to ``digits`` decimals."""
     row = F.sha2(F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("pose", lambda v: F.round(v * 10**digits).cast("long").cast("string"))), 256)
-    parts = predictions.select(F.pmod("sample_id", F.lit(1 << 12)).alias("b"), row.alias("h")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("b").cast("string"), 6, "0"), "h"))), ""), 256).alias("digest"))
+    return tree_digest(predictions.select(row.alias("h")), [], "digest").withColumnRenamed("n", "rows")
 
 
 def require_pool(calibrated: DataFrame, folded: DataFrame, budgets: list[float]) -> None:

@@ -355,7 +355,12 @@ def standardised_poses(spark, d):
     return met.select("sample_id", F.round(F.aggregate(poses.standardise(F.col("p"), F.col("m"), F.col("sd")), F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
-@query(f"WITH {S}, h AS (SELECT sample_id % 4096 AS b, sha256(concat_ws(',', sample_id::VARCHAR, array_to_string(list_transform(e[1:63], lambda v: round(v * 1000000000)::BIGINT::VARCHAR), ','))) AS h FROM s), p AS (SELECT b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY b) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(lpad(b::VARCHAR, 6, '0') || h, '' ORDER BY b)) AS digest FROM p")
+#: Leaves of a tree of hashes and, beyond 1,024 rows, the level above them; enough for four million rows.
+LEAVES = "CASE WHEN n > 1024 THEN substr(h, 1, 3) ELSE '' END AS b, any_value(n) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h"
+TOP = "CASE WHEN any_value(n) > 1024 THEN sha256(string_agg(b || h, '' ORDER BY b)) ELSE any_value(h) END"
+
+
+@query(f"WITH {S}, h AS (SELECT count(*) OVER () AS n, sha256(concat_ws(',', sample_id::VARCHAR, array_to_string(list_transform(e[1:63], lambda v: round(v * 1000000000)::BIGINT::VARCHAR), ','))) AS h FROM s), p AS (SELECT {LEAVES} FROM h GROUP BY b) SELECT any_value(n) AS rows, {TOP} AS digest FROM p")
 def prediction_digest(spark, d):
     return poses.digest(samples(spark, d).select("sample_id", "pose"))
 

@@ -16,7 +16,7 @@ from tidewave.model import ARM_RANGE_DEG, CLAP_MODES, CONFUSABLE, IMPULSE_BITS,
 from tidewave.operators import frames as fr
 from tidewave.operators import integrity, poses
 from tidewave.plans import suite
-from tidewave.registry import BIN, FOLD_DEVICE, FOLD_SESSION, FOLD_TAIL, FOLD_USER, J, R, S, SK, TREE, framed, query, recording, rounded, samples, table
+from tidewave.registry import BIN, FOLD_DEVICE, FOLD_SESSION, FOLD_TAIL, FOLD_USER, J, LEAVES, R, S, SK, TOP, TREE, framed, query, recording, rounded, samples, table
 from tidewave.sources import corpus, sessions
 from tidewave.streaming import live, wire
 
@@ -434,7 +434,7 @@ def guard_label_match_by_device(spark, d):
     return _guarded(spark, d, Split.CROSS_DEVICE)
 
 
-@query(f"WITH {S}, {FOLD_USER}, g AS (SELECT f.fold, f.role, s.sample_id % 4096 AS b, sha256(concat_ws('|', s.sample_id::VARCHAR, participant, session, device)) AS h FROM f JOIN s USING (sample_id)), p AS (SELECT fold, role, b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM g GROUP BY ALL) SELECT fold, role, sum(n)::BIGINT AS n, sha256(string_agg(lpad(b::VARCHAR, 6, '0') || h, '' ORDER BY b)) AS fingerprint FROM p GROUP BY ALL")
+@query(f"WITH {S}, {FOLD_USER}, g AS (SELECT f.fold, f.role, count(*) OVER (PARTITION BY f.fold, f.role) AS n, sha256(concat_ws('|', s.sample_id::VARCHAR, participant, session, device)) AS h FROM f JOIN s USING (sample_id)), p AS (SELECT fold, role, {LEAVES} FROM g GROUP BY fold, role, b) SELECT fold, role, any_value(n) AS n, {TOP} AS fingerprint FROM p GROUP BY fold, role")
 def split_fingerprints(spark, d):
     s = samples(spark, d)
     return poses.split_fingerprint(poses.folds(s, Split.CROSS_USER), s)
