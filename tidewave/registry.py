@@ -713,17 +713,23 @@ def stream_sync_frames(spark, d):
     return live.aligned_frames(live.chirp_packets(spark, table(spark, d, "events").where("user_id IS NOT NULL").select("user_id").distinct(), 20), Chirp()).groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum((~F.col("continuous")).cast("int")).alias("breaks"))
 
 
-@query(f"WITH {R} SELECT 's' AS stream_id, count(*) - 8 AS windows, true AS equal FROM fr")
+def stream_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The recording as streams of twenty frames each."""
+    stream = F.concat(F.lit("s"), F.floor(F.col("frame_id") / 20).cast("string"))
+    return framed(spark, d).select(stream.alias("stream_id"), F.col("frame_id").alias("frame_no"), F.col("frame_id").cast("double").alias("timestamp_s"), F.lit(True).alias("continuous"), F.transform("samples", lambda v: v.cast("float")).alias("samples"))
+
+
+@query(f"WITH {R}, a AS (SELECT 's' || (frame_id // 20) AS stream_id, frame_id, list_transform(x, lambda v: v::FLOAT) AS y FROM fr), b AS (SELECT *, lag(y) OVER w AS p, row_number() OVER w AS place FROM a WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id)), c AS (SELECT *, max(greatest(list_max(list_transform(y, lambda v: abs(v))), list_max(list_transform(range(1, 51), lambda i: abs(y[i] - p[i]))))) OVER (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS top FROM b WHERE p IS NOT NULL) SELECT stream_id, count(*) AS windows, true AS equal, round(sum((y[50] / top)::DOUBLE), 3) AS last FROM c WHERE place >= 9 GROUP BY stream_id")
 def stream_windows_equal_batch(spark, d):
-    """Windows that the state machine assembles against those of the batch plan, by stream."""
+    """Windows that the state machine assembles against those of the batch plan, by stream; the last profile's last bin."""
     from tidewave.streaming import live
 
-    frames_ = framed(spark, d).select(F.lit("s").alias("stream_id"), F.col("frame_id").alias("frame_no"), F.col("frame_id").cast("double").alias("timestamp_s"), F.lit(True).alias("continuous"), F.transform("samples", lambda v: v.cast("float")).alias("samples"))
+    frames_ = stream_frames(spark, d)
     live_windows = live.assembled_windows(frames_, 8)
     batch = fr.causal_windows(frames_, ["stream_id"], "frame_no", 8, 1).select("stream_id", "frame_no", F.col("window").alias("batch"))
     met = live_windows.join(batch, ["stream_id", "frame_no"])
     far = F.aggregate(F.zip_with("window", "batch", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda m, v: F.greatest(m, v))
-    return met.groupBy("stream_id").agg(F.count("*").alias("windows"), (F.max(far) <= 1e-6).alias("equal"))
+    return met.groupBy("stream_id").agg(F.count("*").alias("windows"), (F.max(far) <= 1e-6).alias("equal"), F.round(F.sum(F.col("window")[399].cast("double")), 3).alias("last"))
 
 
 from tidewave import registry_more, registry_product  # noqa: E402, F401  further queries, registered on import

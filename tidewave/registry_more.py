@@ -16,7 +16,7 @@ from tidewave.model import ARM_RANGE_DEG, CLAP_MODES, CONFUSABLE, IMPULSE_BITS,
 from tidewave.operators import frames as fr
 from tidewave.operators import integrity, poses
 from tidewave.plans import suite
-from tidewave.registry import BIN, FOLD_DEVICE, FOLD_SESSION, FOLD_TAIL, FOLD_USER, J, LEAVES, R, S, SK, TOP, TREE, framed, query, recording, rounded, samples, table
+from tidewave.registry import BIN, FOLD_DEVICE, FOLD_SESSION, FOLD_TAIL, FOLD_USER, J, LEAVES, R, S, SK, TOP, TREE, framed, query, recording, rounded, samples, stream_frames, table
 from tidewave.sources import corpus, sessions
 from tidewave.streaming import live, wire
 
@@ -341,10 +341,10 @@ def stream_gaps(spark, d):
     return f.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum((~F.col("continuous")).cast("int")).alias("breaks"), F.countDistinct(F.when(~F.col("continuous"), F.col("frame_no"))).alias("starts"))
 
 
-@query(f"WITH {R}, a AS (SELECT frame_id, x, list_transform(range(1, 51), lambda i: x[i]::FLOAT) AS y FROM fr), w AS (SELECT frame_id, max(list_max(list_transform(y, lambda v: abs(v)))) OVER o AS m1, list_max(list_transform(range(1, 51), lambda i: abs(y[i] - lag_y[i]))) AS dm, first_value(y) OVER o AS oldest, count(*) OVER o AS n FROM (SELECT frame_id, y, lag(y) OVER (ORDER BY frame_id) AS lag_y FROM a) WHERE lag_y IS NOT NULL WINDOW o AS (ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), k AS (SELECT frame_id, n, oldest, greatest(m1, max(dm) OVER (ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) AS top FROM w) SELECT frame_id AS frame_no, round(((oldest[5] - oldest[2]) / top)::DOUBLE, 4) AS y1 FROM k WHERE n = 8")
+@query(f"WITH {R}, a AS (SELECT frame_id // 20 AS s, frame_id, list_transform(x, lambda v: v::FLOAT) AS y FROM fr), w AS (SELECT s, frame_id, max(list_max(list_transform(y, lambda v: abs(v)))) OVER o AS m1, list_max(list_transform(range(1, 51), lambda i: abs(y[i] - lag_y[i]))) AS dm, first_value(y) OVER o AS oldest, count(*) OVER o AS n FROM (SELECT s, frame_id, y, lag(y) OVER (PARTITION BY s ORDER BY frame_id) AS lag_y FROM a) WHERE lag_y IS NOT NULL WINDOW o AS (PARTITION BY s ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), k AS (SELECT frame_id, n, oldest, greatest(m1, max(dm) OVER (PARTITION BY s ORDER BY frame_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) AS top FROM w) SELECT frame_id AS frame_no, round(((oldest[5] - oldest[2]) / top)::DOUBLE, 4) AS y1 FROM k WHERE n = 8")
 def live_poses(spark, d):
     """Windows through a predictor that says their first 63 numbers, wrist at the origin."""
-    f = framed(spark, d).select(F.lit("s").alias("stream_id"), F.col("frame_id").alias("frame_no"), F.col("frame_id").cast("double").alias("timestamp_s"), F.lit(True).alias("continuous"), F.transform("samples", lambda v: v.cast("float")).alias("samples"))
+    f = stream_frames(spark, d)
     windows = live.assembled_windows(f, 8)
     said = live.infer(windows, lambda x: x[:, :63], "first", 800)
     return said.select(F.col("source_timestamp_s").cast("long").alias("frame_no"), F.round(F.col("pose")[4].cast("double"), 4).alias("y1"))
