@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import bytepairs, resampling, whitening
 
@@ -235,3 +236,18 @@ def test_codes_of_words():
     assert [pairs[i - 2].tolist() for i in numbers] == [[0, 0], [1, 1]] and ends.tolist() == [0, 1, 1, 1, 2, 2] and times.tolist() == [0, 0, 1, 1]
     times, (pairs,), numbers, ends = resampling.runs_of(codes, before, 1, 2)
     assert numbers.tolist() == [0, 0, 2, 1, 1, 3, 0] and ends.tolist() == [0, 3, 3, 3, 6, 7] and times.tolist() == [3, 2, 1, 1]
+
+
+# 9
+
+
+def test_large_tables_of_blocks_are_not_broadcast(spark):
+    """Beyond the limit the plan has no broadcast of blocks and no text in its shuffles, and the same rows."""
+    from tidewave.llm import mixing
+
+    d = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 4}") for i in range(400)], "doc_id long, text string, source string")
+    some, many = (mixing.assign(d, [], broadcast_rows=n).select("doc_id", "size", "target", "taken", F.size("shards").alias("n")) for n in (100_000, 0))
+    assert Counter(map(tuple, some.collect())) == Counter(map(tuple, many.collect()))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "text#" in x]

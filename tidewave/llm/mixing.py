@@ -153,7 +153,7 @@ def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2,
 
     ``passes`` whole copies and then the first ``extra`` words are taken; ``shards`` lists the output shard of
     each pass in turn. ``shards`` (the parameter) is a power of two. Tables of blocks of up to ``broadcast_rows`` rows
-    are broadcast, so that texts stay where they are; larger ones are joined.
+    are broadcast, so that texts stay where they are; larger ones are joined by sorting, without texts that are not kept.
     """
     s, blocks = F.lit(str(seed)), blocks or block_count(docs.count())
     base = docs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit("")).alias("text"))
@@ -183,9 +183,11 @@ def assign(docs: DataFrame, keep: list[str], budget: float = 1.5, most: int = 2,
     # at most a row for each source and block, and one of each source whose last block is cut
 
     def met(some: DataFrame) -> DataFrame:
-        """Documents of some blocks; sizes are counted behind the join, only where they are wanted."""
-        some = F.broadcast(some) if some.count() <= broadcast_rows else some
-        return base.join(some, ["skey", "block"]).withColumn("size", size).drop("text")
+        """Documents of some blocks. Beside a small table texts stay where they are and words are counted behind the join,
+        only where they are wanted; a large one is never broadcast, and words are counted before rows are shuffled."""
+        if some.count() <= broadcast_rows:
+            return base.join(F.broadcast(some), ["skey", "block"]).withColumn("size", size).drop("text")
+        return base.withColumn("size", size).drop("text").join(some.hint("merge"), ["skey", "block"])
 
     inside = Window.partitionBy("skey", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("size").over(inside), F.lit(0))
