@@ -70,7 +70,9 @@ def statuses(kept: DataFrame, files: DataFrame) -> DataFrame:
     met = files.join(kept, "path", "full")
     status = F.when(F.col("full").isNull(), "missing").when(F.col("sha256").isNull(), "not in the manifest").when(F.col("size_now") != F.col("size_bytes"), "wrong size")
     met = met.withColumn("status", status)
-    same = hashed(met.where("status IS NULL").select("path", "full", "size_now", "sha256").repartition("path"))
+    # rows are tiny and files are not, so the number of tasks does not go by the bytes of rows
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    same = hashed(met.where("status IS NULL").select("path", "full", "size_now", "sha256").repartition(tasks, "path"))
     same = same.select("path", "full", "size_now", F.when(F.col("hash_now") != F.col("sha256"), "content changed").otherwise("ok").alias("status"))
     return met.where("status IS NOT NULL").select("path", "full", "size_now", "status").unionByName(same)
 
