@@ -212,3 +212,29 @@ def test_the_synchroniser_alone_keeps_typed_state(store, tmp_path):
     run()
     got = [(r["frame_no"], r["continuous"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("frame_no").collect()]
     assert got == [(i, i > 0) for i in range(len(got))] and len(got) >= 29
+
+
+def test_windows_of_a_stream_do_not_depend_on_blocks(spark, sf):
+    """Breaks, times that stand still and missing numbers, against the assembler over each whole stream."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for stream, n in (("a", 90), ("b", 3), ("c", 41)):
+        numbers = np.sort(draw.choice(3 * n, n, replace=False)).tolist()
+        rows += [(stream, no, float(no - 4 * (k % 17 == 9)), bool(k % 23 != 20), draw.normal(size=5).tolist()) for k, no in enumerate(numbers)]
+    want = {}
+    for stream in "abc":
+        a = live.Assembler(3)
+        want |= {(s, no): w.tolist() for s, no, t, c, x in rows if s == stream and (w := a.push(np.array(x, np.float32), t, c)) is not None}
+    f = spark.createDataFrame(rows, "stream_id string, frame_no long, timestamp_s double, continuous boolean, samples array<float>")
+    for block in (1, 2, 7, 50, 4096):
+        got = live.assembled_windows(f, 3, block).collect()
+        assert len(got) == len(want) and {(r["stream_id"], r["frame_no"]): r["window"] for r in got} == want
+    assert live.assembled_windows(f.limit(0), 3).count() == 0
+
+
+def test_live_poses_take_the_recording_as_one_stream(spark, sf):
+    """Each frame but the first eight, which have no whole window behind them."""
+    from tidewave.registry import QUERIES
+
+    frames = sorted(r["frame_id"] for r in QUERIES["segment_frames"](spark, sf).collect())
+    assert sorted(r["frame_no"] for r in QUERIES["live_poses"](spark, sf).collect()) == frames[8:]

@@ -1,7 +1,7 @@
 """Live capture: chirp synchroniser, window assembler, guards, and their Spark forms.
 
-The state machines are plain classes that take chunks in order. ``aligned_frames`` and ``assembled_windows`` run them
-over sorted partitions of a batch, holding one batch of rows at a time; ``SyncProcessor`` runs the synchroniser with
+The state machines are plain classes that take chunks in order. ``aligned_frames`` runs the synchroniser over sorted
+partitions of a batch and ``assembled_windows`` the assembler over blocks of frames, holding one batch of rows at a time; ``SyncProcessor`` runs the synchroniser with
 state that Spark keeps between micro-batches; ``Pipeline`` is the way of one connection from packets to poses.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from tidewave.errors import CaptureProcessingError, InferenceError, LiveCaptureError, SynchronizationError
 from tidewave.functions import dsp
 from tidewave.model import Chirp, Descriptor
+from tidewave.operators.frames import BLOCK, blocked
+from tidewave.operators.ordering import placed
 
 GAP_S, LEAST_SCORE, CHECK_EVERY, SLIP = 0.030, 0.4, 80, 2
 RATE_TOLERANCE, LOCK_TIMEOUT_S = 0.02, 3.0
@@ -202,10 +204,11 @@ def _by_stream(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.repartition("stream_id").sortWithinPartitions("stream_id", *order)
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
-    """Runs of rows of one stream, as batches hold them."""
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str] | None = None) -> Iterator[tuple[str, pd.DataFrame]]:
+    """Runs of rows of one stream, or of equal ``keys``, as batches hold them."""
+    keys = keys or ["stream_id"]
     for data in batches:
-        edges = np.flatnonzero((data["stream_id"] != data["stream_id"].shift()).to_numpy())
+        edges = np.flatnonzero((data[keys] != data[keys].shift()).any(axis=1).to_numpy())
         for a, b in zip(edges, [*edges[1:], len(data)], strict=True):
             yield data["stream_id"].iloc[a], data.iloc[a:b]
 
@@ -227,21 +230,28 @@ def aligned_frames(packets: DataFrame, chirp: Chirp) -> DataFrame:
     return _by_stream(packets.select("stream_id", "seq", "timestamp_ns", "sample_rate", "samples"), ["timestamp_ns", "seq"]).mapInPandas(run, ALIGNED)
 
 
-def assembled_windows(frames: DataFrame, length: int) -> DataFrame:
-    """Windows of frames (stream_id, frame_no, timestamp_s, continuous, samples), each stream in order of frames."""
+def assembled_windows(frames: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
+    """Windows of frames (stream_id, frame_no, timestamp_s, continuous, samples), each stream in order of frames.
+
+    What the assembler says at a frame follows from that one and the ``length + 1`` before it: those of the window, the
+    one that the first change is from, and the time that this one must grow from. So frames are dealt by their places
+    into blocks of ``block``, each with the ``length + 1`` frames before it, and no task holds a stream.
+    """
+    near = frames.select("stream_id", "frame_no", "timestamp_s", "continuous", "samples")
+    dealt = blocked(placed(near, [F.col("stream_id"), F.col("frame_no")], "_place"), "_place", length + 1, block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, a = None, None
-        for name, data in _runs(batches):
-            if name != stream:
-                stream, a = name, Assembler(length)
+        at, a = None, None
+        for name, data in _runs(batches, ["_block", "stream_id"]):
+            if (data["_block"].iloc[0], name) != at:
+                at, a = (data["_block"].iloc[0], name), Assembler(length)
             rows = []
-            for no, t, c, x in data[["frame_no", "timestamp_s", "continuous", "samples"]].itertuples(index=False):
-                if (w := a.push(np.asarray(x), t, c)) is not None:
+            for no, t, c, x, home in data[["frame_no", "timestamp_s", "continuous", "samples", "_home"]].itertuples(index=False):
+                if (w := a.push(np.asarray(x), t, c)) is not None and home:
                     rows.append((name, no, t, w))
             yield pd.DataFrame(rows, columns=["stream_id", "frame_no", "timestamp_s", "window"])
 
-    return _by_stream(frames.select("stream_id", "frame_no", "timestamp_s", "continuous", "samples"), ["frame_no"]).mapInPandas(run, "stream_id string, frame_no long, timestamp_s double, window array<float>")
+    return dealt.repartition("_block").sortWithinPartitions("_block", "_place").mapInPandas(run, "stream_id string, frame_no long, timestamp_s double, window array<float>")
 
 
 @dataclass
