@@ -514,6 +514,24 @@ def test_one_of_each_where_doc_ids_repeat(spark):
     assert sorted(map(tuple, kept)) == sorted([(1, some("a")), (1, some("b")), (2, some("c")), (3, ""), (3, some("d"))])
 
 
+def test_one_of_each_shuffles_no_text(spark):
+    """Ids that go are broadcast to the texts; where they are too many, the rows are the same."""
+    words = lambda c, n: " ".join(f"c{c}_{k}" for k in range(n))
+    rows = [(i, words(i % 40, 60) + (" more" if i >= 80 else ""), "s") for i in range(120)] + [(None, words(0, 60), "s"), (200, None, "t"), (201, "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few, many = jaccard.one_of_each(docs), jaccard.one_of_each(docs, broadcast_rows=0)
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan(few) and "Exchange hashpartitioning" in plan(many)
+        for kept in (few, many):
+            assert kept.columns == docs.columns
+            assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[0] is None or r[0] < 40 or r[0] >= 200), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_least_matches_bounds_the_posterior():
     t, tolerance = 0.8, 1e-6
     for k, least in enumerate(jaccard.least_matches(tolerance)):

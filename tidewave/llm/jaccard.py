@@ -296,22 +296,30 @@ def node_column(text: str = "text") -> F.Column:
     return nodes(F.col(text).cast("string"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """The row with the smallest doc_id of each class; rows without a doc_id stay.
 
     Rows of a doc_id that repeats are known by doc_id and set, so such a doc_id keeps a row for each class it stands
     for; of rows of one doc_id and set the smallest text stays, and of rows of one doc_id without words one.
+
+    Texts meet the ids that go, far fewer than those that stay: up to ``broadcast_rows`` they are broadcast and no text
+    is shuffled; beyond that both sides are, once.
     """
     node, known = fresh(docs, "node"), docs.where("doc_id IS NOT NULL")
-    rows = Work(docs.sparkSession).saved(classified(known, **options).select("doc_id", F.coalesce("node", F.lit(b"")).alias(node), "root"))
-    keep = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", node)).alias("row")).select("row.*").unionByName(rows.where("root IS NULL").select("doc_id", node).distinct())
+    work = Work(docs.sparkSession)
+    rows = work.saved(classified(known, broadcast_rows=broadcast_rows, **options).select("doc_id", F.coalesce("node", F.lit(b"")).alias(node), "root"))
+    firsts = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", node)).alias("row"), F.count("*").alias("n"))
     repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    others = rows.join(firsts.where("n > 1"), "root").where(F.struct("doc_id", node) != F.col("row")).select("doc_id")
+    gone = work.saved(others.unionByName(repeated).distinct())
+    ids = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    single = docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
     if not repeated.limit(1).count():
-        return docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-    single = docs.join(keep.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+        return single
+    keep = firsts.select("row.*").unionByName(rows.where("root IS NULL").select("doc_id", node).distinct())
     named = known.join(repeated, "doc_id", "left_semi").withColumn(node, node_column()).join(keep, ["doc_id", node], "left_semi")
     one = named.groupBy("doc_id", node).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")).select("row.*")
-    return single.select(*docs.columns).unionByName(one).unionByName(docs.where("doc_id IS NULL"))
+    return single.unionByName(one)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
