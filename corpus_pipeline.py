@@ -18,6 +18,12 @@ from tidewave.llm.common import fresh, table
 from tidewave.llm.tables import Work, scratch
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of about 1 MB where the session has Spark's default of 64, since texts are long."""
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch") in ("64m", "67108864", "67108864b"):
+        spark.conf.set(key, f"{1 << 20}b")
+
+
 def _retold(docs: DataFrame, text: F.Column) -> DataFrame:
     """``docs`` with another text and its length."""
     out = docs.withColumn("text", text)
@@ -26,6 +32,7 @@ def _retold(docs: DataFrame, text: F.Column) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line chain scores at the threshold or above."""
+    _small_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "score")
     return docs.withColumn(score, quality.score_column(model)).where(F.col(score) >= quality.THRESHOLD).drop(score)
@@ -33,11 +40,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    _small_batches(spark)
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets."""
+    _small_batches(spark)
     return _retold(docs, pii.redact_column(pii.train(docs)))
 
 
@@ -50,9 +59,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None =
     """(doc_id, source, n_tokens, ids): every row of the mix as piece ids with an end id."""
     import public_tokenizers
 
+    _small_batches(spark)
     blob = pieces.model_bytes(path or public_tokenizers.path("piece_bpe_32k.model"))
     rows = docs.select(F.struct("doc_id", "source").alias("row"), "text")
-    return pieces.encode(rows, blob, key="row").select("row.doc_id", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return pieces.encode(rows, blob, key="row", decode=False).select("row.doc_id", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -11,10 +11,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.llm import jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, queries, substrings
+from tidewave.llm import jaccard, language, media, mixing, neighbours, pages, pieces, pii, quality, queries, substrings, tables
 from tidewave.llm.common import sampled, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, size int, k1 string, score double, shard int"
@@ -532,6 +533,53 @@ def test_one_of_each_shuffles_no_text(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_small_tables_of_near_duplicates_take_few_files(spark, monkeypatch):
+    """However many partitions a session has: each local file that an executor writes costs it processes of its own."""
+    words = lambda c, n: " ".join(f"c{c}_{k}" for k in range(n))
+    docs = spark.createDataFrame([(i, words(i % 100, 60) + " more" * (i // 100)) for i in range(300)], "doc_id long, text string")
+    saved, files = tables.Work.saved, []
+
+    def counted(self, *args):
+        out = saved(self, *args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(tables.Work, "saved", counted)
+    given = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == list(range(100))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 10 and sum(files) < 5 * len(files), files
+
+
+def test_workers_give_memory_back():
+    """Freed memory goes back to the system also where something above it is still held."""
+    from tidewave.llm.common import portions
+
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+    many = [bytes(50_000) + bytes([i % 256]) for i in range(4000)]
+    kept = many[1::2][-1:]
+    before = held()
+    del many
+    assert len(list(portions(iter([pa.record_batch([pa.array(["some text"])], names=["text"])]), "text"))) == 1
+    assert before - held() > 150 and len(kept) == 1
+
+
+def test_encoding_without_decoding_gives_the_same_ids(spark, docs):
+    import public_tokenizers
+
+    blob = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = docs.select("doc_id", "text")
+    whole, ids = pieces.encode(rows, blob), pieces.encode(rows, blob, decode=False)
+    assert ids.columns == ["doc_id", "ids", "offsets"]
+    assert sorted(ids.collect(), key=str) == sorted(whole.drop("decoded").collect(), key=str)
+
+
 def test_least_matches_bounds_the_posterior():
     t, tolerance = 0.8, 1e-6
     for k, least in enumerate(jaccard.least_matches(tolerance)):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import U64, fresh, mix, portions, run_hashes, table, utf8, word_hashes, words
+from tidewave.llm.common import U64, fresh, give_back, mix, portions, run_hashes, table, utf8, word_hashes, words
 from tidewave.llm.tables import Work, components
 
 SHINGLE, HASHES, STEP = 5, 128, 16
@@ -189,8 +189,13 @@ def join(docs: DataFrame, **options) -> DataFrame:
     return classified(docs, **options).select("doc_id", "class_id", "links")
 
 
-def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, bands_needed: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
+def classified(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, node, root, class_id, links) of every row: node names its set, root its class, also where doc_ids repeat."""
+    return _classified(docs, **options)[0]
+
+
+def _classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, block_rows: int = 1024, tolerance: float = 1e-6, bands_needed: int = 2, broadcast_rows: int = 500_000) -> tuple[DataFrame, int]:
+    """What ``classified`` gives, and the number of its rows."""
     spark, need = docs.sparkSession, least_matches(tolerance)
     work = Work(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -207,24 +212,27 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     base = work.saved(rows.mapInArrow(sketch, f"doc_id {kind}, mark bigint, node binary, id bigint, n bigint, bands array<bigint>"))
+    n_rows = base.count()
     # the row that stands for a class is known by its doc_id and its text's hash, so repeated and null ids do no harm
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    classes = work.saved(base.where("node IS NOT NULL").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies", "id", "n", "bands"))
+    classes = work.saved(base.where("node IS NOT NULL").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies", "id", "n", "bands"), n_rows)
+    n_classes = classes.count()
 
     # candidates go by half a fingerprint: if two sets share one, both are looked at
 
     banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     # written, so that the join is between plain tables and a hot bucket's rows can be split
-    buckets = work.saved(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"))
-    met = work.saved(banded.join(buckets, "bucket"))
+    buckets = work.saved(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"), n_classes)
+    met = work.saved(banded.join(buckets, "bucket"), n_classes)
     few = met.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("x"))
     pairs = few.select(F.explode(F.expr("flatten(transform(sequence(1, size(x) - 1), i -> transform(slice(x, i + 1, size(x)), y -> struct(x[i - 1] AS a, y AS b))))")).alias("p")).select("p.a", "p.b").groupBy("a", "b").count().where(F.col("count") >= bands_needed).select("a", "b")
     stars = met.where(F.col("size") > small).select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    roots = components(work, pairs.unionByName(stars)).withColumnRenamed("node", "id")
+    roots = components(work, pairs.unionByName(stars), n_classes).withColumnRenamed("node", "id")
     work.drop(met)
 
-    members = work.saved(roots.join(classes.select("id", "node", "rep", "mark", "copies", "n"), "id").drop("id"))
-    weights = work.saved(members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_weight), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.sum("n").alias("weight")))
+    members = work.saved(roots.join(classes.select("id", "node", "rep", "mark", "copies", "n"), "id").drop("id"), n_classes)
+    n_members = members.count()
+    weights = work.saved(members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_weight), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.sum("n").alias("weight")), n_members)
     total = weights.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0
     groups = max(1, -(-4 * total // block_weight))
     # block b of a component stands in the groups of all pairs that it is part of
@@ -244,10 +252,10 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
             yield pa.RecordBatch.from_arrays([part.column(1), sets], names=["node", "set"]).filter(same)
 
     wanted = members.select("rep", F.col("mark").alias("same"), "node")
-    if members.count() <= broadcast_rows:  # 32 bytes each; beyond that both sides are shuffled
+    if n_members <= broadcast_rows:  # 32 bytes each; beyond that both sides are shuffled
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, (F.col("mark") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
-    sets = work.saved(texts.mapInArrow(reshingle, "node binary, set binary").dropDuplicates(["node"]))
+    sets = work.saved(texts.mapInArrow(reshingle, "node binary, set binary").dropDuplicates(["node"]), 8 * n_members)  # rows of some kB
 
     def verify(data: pa.Table) -> pa.Table:
         value = {c: data[c].to_pylist() for c in ("root", "i", "j", "node", "copies", "right", "set")}
@@ -269,17 +277,19 @@ def classified(docs: DataFrame, small: int = 32, block_weight: int = 1 << 20, bl
                 count += np.bincount(a, copies[b], len(some)) + np.bincount(b, copies[a], len(some))
                 root = _roots(len(some), np.concatenate([every, a]), np.concatenate([root, b]))
             out += [(value["node"][r], int(c), value["node"][some[k]]) for r, c, k in zip(some, count, root, strict=True)]
+        give_back()
         node, count, root = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"node": pa.array(node, pa.binary()), "links": pa.array(count, pa.int64()), "root": pa.array(root, pa.binary())})
 
     verified = work.saved(spread.join(sets, "node").groupBy("bin").applyInArrow(verify, "node binary, links bigint, root binary"))
     counted = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = components(work, verified.where("links > 0").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    linked = components(work, verified.where("links > 0").select(F.col("root").alias("a"), F.col("node").alias("b")), n_members)
     named = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     found = classes.select("node", "rep", "copies").join(counted, "node", "left").join(linked, "node", "left").join(named, "root", "left")
-    found = work.saved(found.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    found = work.saved(found.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), n_classes)
     work.keep_only(base, found)
-    return base.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    every = base.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return every, n_rows
 
 
 def node_column(text: str = "text") -> F.Column:
@@ -307,11 +317,12 @@ def one_of_each(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> Da
     """
     node, known = fresh(docs, "node"), docs.where("doc_id IS NOT NULL")
     work = Work(docs.sparkSession)
-    rows = work.saved(classified(known, broadcast_rows=broadcast_rows, **options).select("doc_id", F.coalesce("node", F.lit(b"")).alias(node), "root"))
+    every, n = _classified(known, broadcast_rows=broadcast_rows, **options)
+    rows = work.saved(every.select("doc_id", F.coalesce("node", F.lit(b"")).alias(node), "root"), n)
     firsts = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", node)).alias("row"), F.count("*").alias("n"))
     repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
     others = rows.join(firsts.where("n > 1"), "root").where(F.struct("doc_id", node) != F.col("row")).select("doc_id")
-    gone = work.saved(others.unionByName(repeated).distinct())
+    gone = work.saved(others.unionByName(repeated).distinct(), n)
     ids = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
     single = docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
     if not repeated.limit(1).count():

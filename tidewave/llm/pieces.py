@@ -395,8 +395,11 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, offsets, decoded) of every row; portions of about 1 MB of text bound a worker's memory."""
+def encode(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
+    """(key, ids, offsets, decoded) of every row; portions of about 1 MB of text bound a worker's memory.
+
+    Without ``decode`` the last column, and the work for it, are left out.
+    """
 
     def run(batches):
         model = load(blob)
@@ -406,9 +409,12 @@ def encode(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text"
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([i for i, _ in rows])))
             marks = np.concatenate([[0], np.cumsum([len(o) for _, o in rows])]).astype(np.int32)
             offsets = pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate([o for _, o in rows])))
-            yield pa.record_batch([part.column(0), ids, offsets, pa.array([model.decode(i.tolist()) for i, _ in rows], pa.string())], names=["key", "ids", "offsets", "decoded"])
+            out = {"key": part.column(0), "ids": ids, "offsets": offsets}
+            if decode:
+                out["decoded"] = pa.array([model.decode(i.tolist()) for i, _ in rows], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return _over(docs, key, text, run, "ids array<int>, offsets array<int>, decoded string")
+    return _over(docs, key, text, run, "ids array<int>, offsets array<int>" + ", decoded string" * decode)
 
 
 def digests(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import sampled, table
+from tidewave.llm.common import give_back, sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base spans.
@@ -459,6 +459,7 @@ def redact_column(tagger: Tagger | None, text: str = "text") -> F.Column:
                         free = max(free, b)
                     t = "".join([*parts, t[free:]])
                 out.append(t)
+        give_back()
         return pa.array(out, pa.string())
 
     return redacted.asNondeterministic()(F.col(text).cast("string"))
