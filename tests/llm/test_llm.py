@@ -256,6 +256,46 @@ def test_copies_of_a_page_are_one_page(spark):
         assert got == [(1, text)] * 3 + [(i, text) for i in (2, 3, 4)] + [(5, "Article 5"), (6, "Article 6"), (7, "Seventh")]
 
 
+def test_unique_runs_decide_on_marked_pages(spark):
+    """Marked articles whose text repeats on the host go where another has unique runs; an article found is complete."""
+    story = "The mayor opened the new bridge over the river on Sunday morning"
+    quote = "We shall never close a bridge again said the mayor of the town"
+    page = lambda i, inner: (i, f"http://a.example/{i}", f"<nav>Home News</nav>{inner}<footer>All rights to the pages of this address are reserved</footer>")
+    own = lambda i: f"<h1>Title {i}</h1><p>Own words {i} a{i} b{i}</p><p>{quote}</p>"
+    teaser = f"<article><h2>{story}</h2></article>"
+    rows = [page(i, f"<main><article>{own(i)}</article>{teaser}</main>") for i in range(4)]
+    rows += [page(i, f"<article>{own(i)}{teaser}</article>") for i in range(4, 8)]  # within another
+    rows += [page(i, f"<div><article><p>{quote}</p></article></div><p>Footnote {i}</p>") for i in range(8, 12)]  # none is unique
+    rows += [page(i, f"<main><p>{quote}</p><article><p>Own words {i} c{i}</p></article></main>") for i in range(12, 14)]  # around one that is
+    mine = lambda i: f"Title {i}\nOwn words {i} a{i} b{i}\n{quote}"
+    want = {i: mine(i) for i in range(8)} | {i: quote for i in range(8, 12)} | {i: f"{quote}\nOwn words {i} c{i}" for i in range(12, 14)}
+    for n in (10**6, 20):
+        got = pages.extract(spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string"), shard_tokens=n).collect()
+        assert len(got) == 15 and all(r["text"] == want[r["page_id"]] and r["repeated"] >= 13 for r in got)
+
+
+def test_repeated_tokens_do_not_depend_on_shards(spark):
+    """All words of a page count, those of its article too: against a plain count of substrings on three pages."""
+    draw = random.Random(2)
+    texts = [" ".join(str(draw.randint(0, 2)) for _ in range(draw.randint(0, 60))) for _ in range(60)]
+    found = defaultdict(set)
+    for t in texts:
+        for k in range(len(w := t.split()) - 5):
+            found[tuple(w[k : k + 6])].add(t)
+    rows = [(i, "http://a.example/", f"<article>{t}</article>") for i, t in enumerate(texts)]
+    for n in (10**6, 100, 10):
+        for r in pages.extract(spark.createDataFrame(rows + rows[:9], "page_id long, url string, html string"), shard_tokens=n, broadcast_rows=n - 100).collect():
+            w = texts[r["page_id"]].split()
+            hot = {k + j for k in range(len(w) - 5) if len(found[tuple(w[k : k + 6])]) >= 3 for j in range(6)}
+            assert r["repeated"] == len(hot) and r["text"] == texts[r["page_id"]]
+
+
+def test_squeezed_codes_come_back():
+    for codes in ([], [0], [5, 5, 5], [0, 1, 2**62, 2**62, 2**63 - 1], sorted(random.Random(0).randrange(2**40) for _ in range(1000))):
+        codes = np.array(codes, np.uint64)
+        assert (pages.unsqueezed(pages.squeezed(codes), len(codes)) == codes).all()
+
+
 def test_suffix_array_is_sorted_with_longest_common_prefixes():
     draw = random.Random(1)
     for _ in range(200):
