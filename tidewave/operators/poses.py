@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewave.errors import LeakageError
 from tidewave.model import JOINTS, TIPS, Alignment, Split
+from tidewave.operators import nearest
 from tidewave.operators.merkle import tree_digest
 
 N_JOINTS = len(JOINTS)
@@ -101,6 +102,10 @@ def left_out_means(samples: DataFrame, unit: str, within: list[str] | None = Non
     return met.where("all_n > n").select(*within, unit, mean_vector(rest, F.col("all_n") - F.col("n")).alias("mean_pose"))
 
 
+def tail_size(n: Column, test_fraction: float = 0.2) -> Column:
+    return F.least(n - 1, F.greatest(F.lit(1), F.bround(n * F.lit(test_fraction)).cast("long")))
+
+
 def folds(samples: DataFrame, split: Split, test_fraction: float = 0.2, contiguous: bool = True) -> DataFrame:
     """(fold, sample_id, role) of one family, for all its folds; without ``contiguous`` the tail of a session is one
     of a fixed shuffle (by hash) instead of its end in time."""
@@ -108,7 +113,7 @@ def folds(samples: DataFrame, split: Split, test_fraction: float = 0.2, contiguo
     if split is Split.WITHIN_SESSION:
         order = Window.partitionBy("skey").orderBy(*(["ts"] if contiguous else [F.xxhash64("sample_id")]), "sample_id")
         n = F.count("*").over(Window.partitionBy("skey"))
-        test = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * F.lit(test_fraction)).cast("long")))
+        test = tail_size(n, test_fraction)
         return s.select("sample_id", F.col("skey").alias("fold"), F.row_number().over(order).alias("at"), n.alias("n"), test.alias("test")).where("n >= 2").select("fold", "sample_id", F.when(F.col("at") > F.col("n") - F.col("test"), "test").otherwise("train").alias("role"))
     unit, within = {Split.CROSS_SESSION: ("skey", "who"), Split.CROSS_USER: ("who", None), Split.CROSS_DEVICE: ("device", None)}[split]
     units = s.select(unit, *([within] if within else [])).distinct().withColumnRenamed(unit, "fold")
@@ -120,6 +125,15 @@ def folds(samples: DataFrame, split: Split, test_fraction: float = 0.2, contiguo
     return pairs.select("fold", "sample_id", F.when(F.col("fold") == F.col(unit), "test").otherwise("train").alias("role"))
 
 
+def tail_starts(samples: DataFrame) -> DataFrame:
+    """(skey, tail): where the tested tail of each session of two samples or more begins, as (ts, sample_id); the same
+    tails as ``folds`` of ``WITHIN_SESSION``, from rows with ``skey`` and without anything else of them."""
+    order, whole = Window.partitionBy("skey").orderBy("ts", "sample_id"), Window.partitionBy("skey")
+    n = F.count("*").over(whole)
+    placed = samples.select("skey", "ts", "sample_id", F.row_number().over(order).alias("at"), n.alias("n"))
+    return placed.where((F.col("n") >= 2) & (F.col("at") == F.col("n") - tail_size(F.col("n")) + 1)).select("skey", F.struct("ts", "sample_id").alias("tail"))
+
+
 def leakage(folded: DataFrame, samples: DataFrame) -> DataFrame:
     """(fold, shared_samples, shared_participants, shared_sessions, shared_devices) between train and test."""
     rows = folded.join(samples.select("sample_id", identity(F.col("participant")).alias("who"), session_key(F.col("participant"), F.col("session")).alias("skey"), "device"), "sample_id")
@@ -155,47 +169,15 @@ def subject_means(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.join(known, "participant", "left").join(F.broadcast(everybody), F.lit(True)).select(*test.columns, F.coalesce("own", "overall").alias("mean_pose"), F.col("own").isNotNull().alias("known"))
 
 
-def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = 4096, same: list[str] | None = None, differ: list[str] | None = None) -> DataFrame:
-    """(sample_id, nearest_id, d2): nearest training sample by features, the smallest id on ties.
+def nearest_features(train: DataFrame, test: DataFrame, block_rows: int = nearest.BLOCK, same: list[str] | None = None, differ: list[str] | None = None) -> DataFrame:
+    """(sample_id, nearest_id, d2): nearest training sample by features, the smallest id on ties (``nearest.search``).
 
-    Training rows form blocks of about ``block_rows``; each block of test rows meets each of them once as a matrix
-    product, and the best of each block are reduced by a grouped minimum. Only training rows count that have the test
-    row's values in the columns ``same`` and others in the columns ``differ``: so all folds of a family take one pass.
+    Only training rows count that have the test row's values in the columns ``same`` and others in the columns
+    ``differ``: so all folds of a family take one pass.
     """
-    keys = lambda names: F.xxhash64(*names) if names else F.lit(0).cast("long")
-
-    def blocks(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-frame.count() // block_rows))
-
-        def pack(data: pa.Table) -> pa.Table:
-            x = np.array(data["features"].to_pylist(), np.float64)
-            return pa.table({f"{name}_ids": pa.array([data["sample_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_x": pa.array([x.tobytes()], pa.binary()), f"{name}_keys": pa.array([np.stack([data["same"].to_numpy(), data["differ"].to_numpy()]).astype("<i8").tobytes()], pa.binary()), f"{name}_block": pa.array([data["block"][0].as_py()], pa.int64())})
-
-        dealt = frame.select("sample_id", "features", keys(same).alias("same"), keys(differ).alias("differ"), F.pmod(F.xxhash64("sample_id"), F.lit(n)).alias("block"))
-        return dealt.groupBy("block").applyInArrow(pack, f"{name}_ids binary, {name}_x binary, {name}_keys binary, {name}_block bigint"), n
-
-    a, n = blocks(train, "train")
-    b, _ = blocks(test, "test")
-
-    def best(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["train_ids"], "<i8"), np.frombuffer(row["test_ids"], "<i8")
-                order = np.argsort(ids)
-                x, q = np.frombuffer(row["train_x"]).reshape(len(ids), -1)[order], np.frombuffer(row["test_x"]).reshape(len(qids), -1)
-                d = np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1), 0)
-                (same_a, differ_a), (same_b, differ_b) = (np.frombuffer(row[c], "<i8").reshape(2, -1) for c in ("train_keys", "test_keys"))
-                allowed = same_b[:, None] == same_a[order]
-                if differ:
-                    allowed &= differ_b[:, None] != differ_a[order]
-                d = np.where(allowed, np.round(d, 9), np.inf)
-                at = d.argmin(1)
-                low = d[np.arange(len(q)), at]
-                some = np.isfinite(low)
-                yield pa.record_batch([pa.array(qids[some]), pa.array(ids[order][at][some]), pa.array(low[some])], names=["sample_id", "id", "d2"])
-
-    met = b.withColumn("train_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(a, "train_block").select("train_ids", "train_x", "train_keys", "test_ids", "test_x", "test_keys")
-    return met.mapInArrow(best, "sample_id bigint, id bigint, d2 double").groupBy("sample_id").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), F.col("id"))).alias("m")).select("sample_id", F.col("m.id").alias("nearest_id"), F.col("m.d2").alias("d2"))
+    columns = ["sample_id", "features", *dict.fromkeys([*(same or []), *(differ or [])])]
+    found = nearest.search(train.select(*columns), test.select(*columns), [(same or [], differ or [])], block_rows=block_rows)
+    return found.select("sample_id", "nearest_id", "d2")
 
 
 def procrustes(predicted: Column, truth: Column) -> Column:

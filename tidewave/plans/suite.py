@@ -1,7 +1,8 @@
 """The evaluation suite: four families of splits, a model and three baselines, guards, fold reports and a refusing report.
 
 Baselines of a family that leaves units out come from sums by unit (all minus the unit) and from one pass of masked
-nearest neighbours, so no fold is joined with all samples. A model is fitted fold by fold on that fold's rows alone.
+nearest neighbours, so no fold is joined with all samples. Tails of sessions are known by where they begin. So baselines
+guess where a sample is read, and poses are not shuffled. A model is fitted fold by fold on that fold's rows alone.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewave.errors import ExperimentError, LeakageError
 from tidewave.model import Alignment, Measurement, Protocol, Split
-from tidewave.operators import poses
+from tidewave.operators import nearest, poses
 from tidewave.plans.fitting import RowsFitter, SufficientFitter
 from tidewave.plans.guards import Report, ReportSet, Row, Waiver, require_protocol, run_guards
 
@@ -28,19 +31,30 @@ Predictor = Callable[[DataFrame, DataFrame], DataFrame]
 FoldBuilder = Callable[[DataFrame], DataFrame]
 
 
+#: Tables of at most so many units or people are broadcast.
+FEW = 20_000
+
+
 @dataclass
 class Family:
-    """The folds of one split over samples: by units that are left out in turn, or as rows (fold, sample_id, role)."""
+    """The folds of one split over samples: by units that are left out in turn, or as rows (fold, sample_id, role).
+
+    ``tails``: where the tested tail of each session begins, if the rows of folds are these tails.
+    ``few``: whether tables of a row for each person, session and device are known to be small.
+    """
 
     samples: DataFrame
     split: Split
     folded: DataFrame | None = None
+    tails: DataFrame | None = None
+    few: bool = False
 
     @classmethod
     def of(cls, samples: DataFrame, split: Split, builder: FoldBuilder | None = None) -> Family:
         rows = poses.keyed(samples)
+        few = rows.select("participant", "who", "skey", "device").distinct().limit(FEW + 1).count() <= FEW
         if builder is None and split is not Split.WITHIN_SESSION:
-            out = cls(rows, split)
+            out = cls(rows, split, few=few)
             if out.units().limit(1).count() == 0:
                 raise ValueError(f"no folds of {split.name}")
             leak = poses.unit_leaks(rows, split).limit(1).collect()
@@ -53,7 +67,11 @@ class Family:
         if builder and poses.index_faults(folded, samples).limit(1).count():
             raise ExperimentError("folds name samples twice or that do not exist")
         poses.require_no_leakage(folded, samples, split)
-        return cls(rows, split, folded)
+        return cls(rows, split, folded, None if builder else poses.tail_starts(rows), few)
+
+    def small(self, frame: DataFrame) -> DataFrame:
+        """A table of units or people, broadcast where it is known to be small."""
+        return F.broadcast(frame) if self.few else frame
 
     @property
     def by_unit(self) -> bool:
@@ -64,19 +82,29 @@ class Family:
         unit, within = poses.unit_of(self.split)
         every = self.samples.select(*within, unit).distinct()
         n = every.groupBy(*within).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return every.join(n, within, "left_semi") if within else every.join(F.broadcast(n.withColumn("some", F.lit(True))), F.lit(True)).drop("some")  # one row
+        return every.join(self.small(n), within, "left_semi") if within else every.join(F.broadcast(n.withColumn("some", F.lit(True))), F.lit(True)).drop("some")  # one row
 
     def test(self) -> DataFrame:
         """Test rows of all folds, each with its ``fold``."""
         if self.by_unit:
             unit, within = poses.unit_of(self.split)
-            return self.samples.join(self.units(), [*within, unit], "left_semi").withColumn("fold", F.col(unit))
+            return self.samples.join(self.small(self.units()), [*within, unit], "left_semi").withColumn("fold", F.col(unit))
+        if self.tails is not None:
+            return self._placed("test")
         return self.folded.where("role = 'test'").select("fold", "sample_id").join(self.samples, "sample_id")
 
     def train(self) -> DataFrame:
         """Training rows of all folds that are given as rows."""
+        if self.tails is not None:
+            return self._placed("train")
         return self.folded.where("role = 'train'").select("fold", "sample_id").join(self.samples, "sample_id")
 
+    def _placed(self, role: str) -> DataFrame:
+        """Rows of one side where folds are the tails of sessions."""
+        rows = self.samples.join(self.small(self.tails), "skey")
+        tested = F.struct("ts", "sample_id") >= F.col("tail")
+        return rows.where(tested if role == "test" else ~tested).select(F.col("skey").alias("fold"), *self.samples.columns)
+
     def names(self) -> list[str]:
         rows = self.units().select(F.col(poses.unit_of(self.split)[0]).alias("fold")) if self.by_unit else self.folded.select("fold")
         return sorted(r["fold"] for r in rows.distinct().collect())
@@ -129,14 +157,29 @@ class Family:
         return poses.vector_sums(self.train(), ["fold", "participant"]).select("fold", "participant", poses.mean_vector(F.col("sums"), F.col("n")).alias("own"))
 
     def nearest(self) -> DataFrame:
-        """(fold, sample_id, nearest_id): the nearest training sample of each test sample's fold by features."""
-        test = self.test()
-        if self.by_unit:
-            unit, within = poses.unit_of(self.split)
-            found = poses.nearest_features(self.samples, self.samples, same=within, differ=[unit])
+        """(fold, sample_id, nearest_id, guess, pose): the nearest training sample of each test sample's fold by features."""
+        if self.by_unit or self.tails is not None:
+            return nearest_of([self]).drop("split")
+        columns = ["fold", "sample_id", "features", "pose"]
+        return nearest.search(self.train().select(*columns), self.test().select(*columns), [(["fold"], [])], [F.col("fold")]).drop("rule", "d2")
+
+
+def nearest_of(families: list[Family]) -> DataFrame:
+    """(split, fold, sample_id, nearest_id, guess, pose): ``Family.nearest`` of families by units or tails over the same
+    samples, all in one pass."""
+    rows, rules, folds = families[0].samples, [], []
+    for family in families:
+        if family.by_unit:
+            unit, within = poses.unit_of(family.split)
+            rules.append((within, [unit]))
+            folds.append(F.when(F.col(unit).isNotNull() & reduce(and_, (F.col(c).isNotNull() for c in within), F.lit(True)), F.col(unit)))
         else:
-            found = poses.nearest_features(self.train(), test, same=["fold"])
-        return test.select("fold", "sample_id").join(found, "sample_id").select("fold", "sample_id", "nearest_id")
+            rows = rows.join(family.small(family.tails), "skey", "left").withColumn("tested", F.struct("ts", "sample_id") >= F.col("tail"))
+            rules.append((["skey"], ["tested"]))
+            folds.append(F.when(F.col("tested"), F.col("skey")))
+    found = nearest.search(rows, None, rules, folds)
+    names = F.array(*[F.lit(f.split.name.lower()) for f in families])
+    return found.select(F.element_at(names, F.col("rule") + 1).alias("split"), "fold", "sample_id", "nearest_id", "guess", "pose")
 
 
 class Baseline(ABC):
@@ -146,14 +189,17 @@ class Baseline(ABC):
 
     @abstractmethod
     def fit_predict(self, family: Family) -> DataFrame | None:
-        """(fold, sample_id, guess), or None where the samples do not have what it needs."""
+        """(fold, sample_id, guess), or None where the samples do not have what it needs.
+
+        With the sample's ``pose`` beside the guess it need not be joined again.
+        """
 
 
 class MeanPose(Baseline):
     name = "mean-pose"
 
     def fit_predict(self, family: Family) -> DataFrame:
-        return family.test().select("fold", "sample_id").join(family.means(), "fold")
+        return family.test().select("fold", "sample_id", "pose").join(family.small(family.means()), "fold")
 
 
 class SubjectMean(Baseline):
@@ -162,8 +208,9 @@ class SubjectMean(Baseline):
     name = "subject-mean"
 
     def fit_predict(self, family: Family) -> DataFrame:
-        met = family.test().select("fold", "sample_id", "participant").join(family.means(), "fold").join(family.subject_means(), ["fold", "participant"], "left")
-        return met.select("fold", "sample_id", F.coalesce("own", "guess").alias("guess"))
+        test = family.test().select("fold", "sample_id", "participant", "pose")
+        met = test.join(family.small(family.means()), "fold").join(family.small(family.subject_means()), ["fold", "participant"], "left")
+        return met.select("fold", "sample_id", F.coalesce("own", "guess").alias("guess"), "pose")
 
 
 class NearestNeighbour(Baseline):
@@ -172,10 +219,13 @@ class NearestNeighbour(Baseline):
     name = "nearest-neighbour"
 
     def fit_predict(self, family: Family) -> DataFrame | None:
-        if "features" not in family.samples.columns or family.samples.where("features IS NULL").limit(1).count():
+        if not has_features(family.samples):
             return None
-        known = family.samples.select(F.col("sample_id").alias("nearest_id"), F.col("pose").alias("guess"))
-        return family.nearest().join(known, "nearest_id").select("fold", "sample_id", "guess")
+        return family.nearest().select("fold", "sample_id", "guess", "pose")
+
+
+def has_features(samples: DataFrame) -> bool:
+    return "features" in samples.columns and not samples.where("features IS NULL").limit(1).count()
 
 
 BASELINES: tuple[Baseline, ...] = (MeanPose(), SubjectMean(), NearestNeighbour())
@@ -216,6 +266,20 @@ def fold_metrics(family: Family, said: DataFrame, threshold_mm: float = 20.0) ->
     return poses.metrics(errors, ["predictor", "fold"], threshold_mm).join(fitted, ["predictor", "fold"])
 
 
+def baseline_metrics(samples: DataFrame, threshold_mm: float = 20.0) -> DataFrame:
+    """(split, predictor, fold, samples, mpjpe, ...) of the three baselines in all folds of all four families.
+
+    Every sample is met by its folds' means where it is read, and by its neighbours where these are found; what is
+    shuffled are the blocks of the search, once, and sums.
+    """
+    families = [Family.of(samples, split) for split in Split]
+    said = [b.fit_predict(f).withColumns({"split": F.lit(f.split.name.lower()), "predictor": F.lit(b.name)}) for f in families for b in (MeanPose(), SubjectMean())]
+    if has_features(families[0].samples):
+        said.append(nearest_of(families).withColumn("predictor", F.lit(NearestNeighbour.name)))
+    errors = [s.select("split", "predictor", "fold", poses.joint_errors(F.col("guess"), F.col("pose")).alias("err")) for s in said]
+    return poses.metrics(reduce(DataFrame.unionByName, errors), ["split", "predictor", "fold"], threshold_mm)
+
+
 #: Numbers of a row, each the mean over samples, so that folds pool by their numbers of samples.
 NUMBERS = ("mpjpe", "mpjpe_excl_root", "pa_mpjpe", "fingertips", "rest", "pck", "pck_excl_root")
 

@@ -381,18 +381,7 @@ GUESS = f"{FAMILIES}, q AS (SELECT sample_id, k AS joint, e[3*k+1]-e[1] AS x, e[
 
 def family_metrics(spark, d) -> DataFrame:
     """(split, predictor, fold, ...) of the three baselines in all folds of all families."""
-    out = None
-    for split in Split:
-        family = suite.Family.of(samples(spark, d), split)
-        said = None
-        for b in suite.BASELINES:
-            part = b.fit_predict(family).select(F.lit(b.name).alias("predictor"), "fold", "sample_id", "guess")
-            said = part if said is None else said.unionByName(part)
-        met = said.join(family.test().select("fold", "sample_id", "pose"), ["fold", "sample_id"])
-        errors = met.select("predictor", "fold", poses.joint_errors(F.col("guess"), F.col("pose")).alias("err"))
-        part = poses.metrics(errors, ["predictor", "fold"], 250.0).withColumn("split", F.lit(split.name.lower()))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return suite.baseline_metrics(samples(spark, d), 250.0)
 
 
 @query(f"WITH {GUESS} SELECT split, predictor, fold, count(DISTINCT sample_id) AS samples, round(avg(e), 3) AS mpjpe, round(avg(CASE WHEN joint > 0 THEN e END), 3) AS mpjpe_excl_root, round(avg((e <= 250)::INT), 5) AS pck FROM ee GROUP BY ALL")
