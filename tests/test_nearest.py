@@ -76,7 +76,7 @@ def test_pairs_of_blocks_are_not_written(spark, request):
     assert {r["sample_id"]: r["nearest_id"] for r in got} == dict(enumerate(d.argmin(1).tolist()))
 
 
-@pytest.mark.parametrize("name", ("suite_fold_metrics",))
+@pytest.mark.parametrize("name", ("suite_fold_metrics", "suite_pooled"))
 def test_the_suite_writes_little_more_than_its_input(spark, tmp_path, name):
     r = np.random.default_rng(6)
     x = r.normal(0, 0.1, (8000, 64)).astype("f4")
