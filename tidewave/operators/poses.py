@@ -91,10 +91,13 @@ def mean_vector(sums: Column, n: Column) -> Column:
     return F.transform(sums, lambda x: x / n)
 
 
-def left_out_means(samples: DataFrame, unit: str, within: list[str] | None = None) -> DataFrame:
-    """(within, unit, mean_pose): for each unit the mean pose of all samples of the others, where there are any."""
+def left_out_means(samples: DataFrame, unit: str, within: list[str] | None = None, summed: bool = False) -> DataFrame:
+    """(within, unit, mean_pose): for each unit the mean pose of all samples of the others, where there are any.
+
+    ``summed``: rows are (n, sums) of samples already.
+    """
     within = within or []
-    parts = vector_sums(samples, [*within, unit])
+    parts = vector_sums(samples, [*within, unit], "sums", "n") if summed else vector_sums(samples, [*within, unit])
     # the table of units has one row for each person, session or device
     total = vector_sums(parts, within, "sums", "n").withColumnsRenamed({"n": "all_n", "sums": "all_sums"})
     met = parts.join(total, within) if within else parts.join(F.broadcast(total), F.lit(True))  # one row

@@ -269,12 +269,32 @@ def fold_metrics(family: Family, said: DataFrame, threshold_mm: float = 20.0) ->
 def baseline_metrics(samples: DataFrame, threshold_mm: float = 20.0) -> DataFrame:
     """(split, predictor, fold, samples, mpjpe, ...) of the three baselines in all folds of all four families.
 
-    Every sample is met by its folds' means where it is read, and by its neighbours where these are found; what is
-    shuffled are the blocks of the search, once, and sums.
+    Means of all folds come from one table of sums by person, session, device and side of a tail, and meet every sample
+    where it is read; neighbours are met where they are found. What is shuffled are the blocks of the search, once, and
+    sums.
     """
     families = [Family.of(samples, split) for split in Split]
-    said = [b.fit_predict(f).withColumns({"split": F.lit(f.split.name.lower()), "predictor": F.lit(b.name)}) for f in families for b in (MeanPose(), SubjectMean())]
-    if has_features(families[0].samples):
+    tails = next(f for f in families if not f.by_unit)
+    rows = tails.samples.join(tails.small(tails.tails), "skey", "left").withColumn("tested", F.struct("ts", "sample_id") >= F.col("tail"))
+    sums = poses.vector_sums(rows, ["participant", "who", "skey", "device", "tested"])
+
+    def sides(frame: DataFrame) -> DataFrame:
+        """Each row once for each family: of what is in ``scope``, its folds leave out ``unit``, if ``asks``."""
+        each = []
+        for f in families:
+            unit, within = poses.unit_of(f.split) if f.by_unit else ("tested", ["skey"])
+            fold, asks = (unit, F.lit(True)) if f.by_unit else ("skey", F.col("tested"))
+            each.append(F.struct(F.lit(f.split.name.lower()).alias("split"), (F.col(within[0]) if within else F.lit("")).alias("scope"), F.col(unit).cast("string").alias("unit"), F.col(fold).alias("fold"), asks.alias("asks")))
+        return frame.withColumn("side", F.explode(F.array(*each))).select("*", "side.*").drop("side")
+
+    def left_out(within: list[str], name: str) -> DataFrame:
+        return tails.small(poses.left_out_means(sides(sums), "unit", ["split", "scope", *within], True).withColumnRenamed("mean_pose", name))
+
+    asking = sides(rows.select("participant", "who", "skey", "device", "tested", "pose")).where("asks")
+    met = asking.join(left_out([], "overall"), ["split", "scope", "unit"]).join(left_out(["participant"], "own"), ["split", "scope", "participant", "unit"], "left")
+    guesses = F.array(*[F.struct(F.lit(b.name).alias("predictor"), g.alias("guess")) for b, g in ((MeanPose, F.col("overall")), (SubjectMean, F.coalesce("own", "overall")))])
+    said = [met.select("split", "fold", "pose", F.explode(guesses).alias("x")).select("split", "fold", "pose", "x.*")]
+    if has_features(tails.samples):
         said.append(nearest_of(families).withColumn("predictor", F.lit(NearestNeighbour.name)))
     errors = [s.select("split", "predictor", "fold", poses.joint_errors(F.col("guess"), F.col("pose")).alias("err")) for s in said]
     return poses.metrics(reduce(DataFrame.unionByName, errors), ["split", "predictor", "fold"], threshold_mm)
